@@ -148,3 +148,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
     out = sketch.select("doc_id", "n_shingles", "node_key").join(named, "node_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("of_node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each component, with all columns; rows with a null doc_id stay."""
+    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    ided = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return ided.unionByName(docs.where("doc_id is null"))

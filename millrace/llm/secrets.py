@@ -159,3 +159,11 @@ def redact(docs: DataFrame, table: list[float], mark: str = "[SECRET]") -> DataF
     clean = F.concat(F.array_join(fold_blocks(F.col("s"), lambda at, x: F.greatest(at, x["end"]), F.lit(0), keep), ""), F.substring(text, furthest + 1, F.length(text)))
     found = found.select("row", F.when(F.size("s") > 0, clean).otherwise(text).alias("clean"))
     return found.select(*[(F.col("clean") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def redact_documents(docs: DataFrame, table: list[float], mark: str = "[SECRET]") -> DataFrame:
+    """``redact``, with n_chars (where there is such a column) brought in line with the new text."""
+    out = redact(docs, table, mark)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
