@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, importance, minhash, quality_rules, secrets, sentencepiece_scan, sharding, token_counts, token_files
+from millrace.llm import decontaminate, importance, minhash, quality_rules, secrets, sentencepiece_scan, sharding, suffix_dedup, token_counts, token_files
 from millrace.llm.common import table
 
 UNIGRAM_VOCABULARY, TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), vocabulary_path(UNIGRAM_VOCABULARY), with_ids=False)
 
@@ -58,7 +62,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality_rules, op4_quality_classifier, op5_decontamination, op7_sentencepiece, op8_secret_scan, op9_token_files, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality_rules, op4_quality_classifier, op5_decontamination, op6_suffix_dedup, op7_sentencepiece, op8_secret_scan, op9_token_files, op10_minhash)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
