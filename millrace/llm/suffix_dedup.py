@@ -109,7 +109,7 @@ def text_number(text: bytes) -> int:
 
 
 def _anchors(length: int, gram: int, counting: bool):
-    names = ["anchor", "context", "place"] if counting else ["anchor", "context", "place", "number", "first", "last", "at"]
+    names = ["anchor", "place"] if counting else ["anchor", "context", "number", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -120,9 +120,11 @@ def _anchors(length: int, gram: int, counting: bool):
                     continue
                 a, c, first, last, at = anchors(text, powers, length, gram)
                 number = text_number(text)
-                place = mix64(first.astype(np.uint64) + mix64(np.array([number & (1 << 64) - 1], np.uint64)))
-                own = (a.view(np.int64), c.view(np.int64), place.view(np.int64))
-                held.append(own if counting else (*own, np.full(len(a), number, np.int64), first, last, at))
+                if counting:
+                    place = mix64(first.astype(np.uint64) + mix64(np.array([number & (1 << 64) - 1], np.uint64)))
+                    held.append((a.view(np.int64), place.view(np.int64)))
+                else:
+                    held.append((a.view(np.int64), c.view(np.int64), np.full(len(a), number, np.int64), first << 16 | (last - first) << 8 | (at - first)))
                 size += len(a)
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
@@ -134,15 +136,28 @@ def _anchors(length: int, gram: int, counting: bool):
 
 
 def suspects(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """number (of a text), first, last, at, whole (the context repeats) and several (its windows may) of every context to sort."""
-    places = docs.mapInArrow(_anchors(length, gram, True), "anchor long, context long, place long")
-    contexts = places.groupBy("anchor", "context").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    contexts = materialize(contexts, "contexts")
-    shared = contexts.groupBy("anchor").agg(F.min("lo").alias("a"), F.max("hi").alias("z"), F.count("*").alias("n")).where("a < z").select("anchor", (F.col("n") > 1).alias("several"))
-    flagged = contexts.join(shared, "anchor").select("anchor", "context", (F.col("lo") < F.col("hi")).alias("whole"), "several", F.col("lo").alias("one"))
-    again = docs.mapInArrow(_anchors(length, gram, False), "anchor long, context long, place long, number long, first long, last long, at long")
-    found = again.join(flagged, ["anchor", "context"])
-    return found.select("number", "first", "last", "at", "whole", (F.col("several") & (F.col("place") == F.col("one"))).alias("several")).where("whole or several").distinct()
+    """number (of a text), span, whole (the context repeats) and several (its windows may) of every context to sort.
+
+    span packs the first window's place, the number of further windows and the anchor's distance: place << 16 | n << 8 | d.
+    """
+    if length - gram > 255:
+        raise ValueError("a context may hold 256 windows at most: raise gram")
+    places = docs.mapInArrow(_anchors(length, gram, True), "anchor long, place long")
+    shared = materialize(places.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a < z").select("anchor"), "anchors")
+    again = docs.mapInArrow(_anchors(length, gram, False), "anchor long, context long, number long, span long")
+    found = materialize(again.join(shared, "anchor", "left_semi"), "contexts")
+    one = F.struct("number", "span")
+    contexts = found.groupBy("anchor", "context").agg(F.min(one).alias("one"), F.max(one).alias("other"))
+    several = contexts.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
+    flagged = contexts.select("anchor", "context", (F.col("one") < F.col("other")).alias("whole"), "one").join(several, "anchor").where("whole or several")
+    rows = found.join(flagged, ["anchor", "context"]).select("number", "span", "whole", (F.col("several") & (F.col("number") == F.col("one.number")) & (F.col("span") == F.col("one.span"))).alias("several"))
+    return rows.where("whole or several").distinct()
+
+
+def places_of(span: int) -> tuple[int, int, int]:
+    """First window, last window and anchor's place."""
+    first = span >> 16
+    return first, first + (span >> 8 & 255), first + (span & 255)
 
 
 def common_prefix(a: bytes, b: bytes, at: int) -> int:
@@ -252,20 +267,22 @@ def sides(row: dict, length: int, gram: int) -> Iterator[tuple[bytes, int, int]]
     text, number = row["text"].encode(), row["number"]
     for r in row["rows"]:
         if r["several"]:
-            yield b"R" + text[r["at"] : r["last"] + length], number, 2 * r["first"]
-            yield b"L" + text[r["first"] : r["at"] + gram][::-1], number, 2 * r["first"] + 1
+            first, last, at = places_of(r["span"])
+            yield b"R" + text[at : last + length], number, 2 * first
+            yield b"L" + text[first : at + gram][::-1], number, 2 * first + 1
 
 
 def windows(row: dict, length: int, gram: int) -> Iterator[tuple[bytes, int, int]]:
     """Whole contexts, and single windows within both bounds."""
     text, number = row["text"].encode(), row["number"]
-    reach = {s["place"]: s["reach"] for s in row["reaches"] or ()}
+    reach = {s["place"]: s["reach"] for s in row.get("reaches") or ()}
     for r in row["rows"]:
+        first, last, at = places_of(r["span"])
         if r["whole"]:
-            yield text[r["first"] : r["last"] + length], number, r["first"]
+            yield text[first : last + length], number, first
         if r["several"]:
-            right, left = reach.get(2 * r["first"], 0) - 1, reach.get(2 * r["first"] + 1, 0) - 1 - gram
-            for p in range(max(r["first"], r["at"] - left), min(r["last"], r["at"] + right - length) + 1):
+            right, left = reach.get(2 * first, 0) - 1, reach.get(2 * first + 1, 0) - 1 - gram
+            for p in range(max(first, at - left), min(last, at + right - length) + 1):
                 yield text[p : p + length], number, p
 
 
@@ -283,7 +300,19 @@ def _sample(entries, length: int, gram: int, each: int):
     return run
 
 
-def _runs(entries, length: int, gram: int, run_bytes: int, splitters: list[bytes]):
+def coalesce(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(number, place, size) with overlapping and touching spans of a text joined."""
+    out: list[tuple[int, int, int]] = []
+    for number, place, size in sorted(spans):
+        if out and out[-1][0] == number and place <= out[-1][1] + out[-1][2]:
+            n, p, z = out[-1]
+            out[-1] = (n, p, max(z, place + size - p))
+        else:
+            out.append((number, place, size))
+    return out
+
+
+def _runs(entries, length: int, gram: int, run_bytes: int, splitters: list[bytes], covers: bool):
     names = ["range", "run", "number", "place", "reach"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +336,8 @@ def _runs(entries, length: int, gram: int, run_bytes: int, splitters: list[bytes
                 k = j
             held.clear()
             blobs = [(b, zstandard.compress(front_code(es), 3)) for b, es in ranges.items()]
+            if covers:
+                sure = coalesce(sure)
             if sure:  # dealt out evenly, to be passed on
                 own = [-1 - (k % 64) for k in range(len(sure))]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.nulls(len(sure), pa.binary())] + [pa.array([t[i] for t in sure], pa.int64()) for i in range(3)], names)
@@ -326,23 +357,28 @@ def _runs(entries, length: int, gram: int, run_bytes: int, splitters: list[bytes
     return run
 
 
-def _merge(least: int):
+def _merge(least: int, covers: bool):
     def run(table):
         if table.column("run").null_count:
             return table.select(["number", "place", "reach"])
         found = [f for f in reaches([zstandard.ZstdDecompressor().decompress(r) for r in table.column("run").to_pylist()]) if f[2] >= least]
+        if covers:
+            found = coalesce(found)
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["number", "place", "reach"])
 
     return run
 
 
-def sort_suffixes(texts: DataFrame, entries, length: int, gram: int, run_bytes: int, least: int) -> DataFrame:
-    """number, place and reach (greatest prefix shared with another) of the suffixes that ``entries`` gives for each row."""
+def sort_suffixes(texts: DataFrame, entries, length: int, gram: int, run_bytes: int, least: int, sampled: DataFrame | None = None) -> DataFrame:
+    """number, place and reach (greatest prefix shared with another) of the suffixes that ``entries`` gives for each row.
+
+    With ``least`` above 0 shorter reaches are dropped and what is left is joined to covered spans (place, reach).
+    """
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    sample = sorted(bytes(r[0]) for r in texts.mapInArrow(_sample(entries, length, gram, 200), "prefix binary").collect())  # 200 a task
+    sample = sorted(bytes(r[0]) for r in (sampled or texts).mapInArrow(_sample(entries, length, gram, 200), "prefix binary").collect())  # 200 a task
     splitters = sorted({sample[len(sample) * k // (4 * parts)] for k in range(1, 4 * parts)}) if sample else []
-    runs = texts.mapInArrow(_runs(entries, length, gram, run_bytes, splitters), "range int, run binary, number long, place long, reach long")
-    return runs.groupBy("range").applyInArrow(_merge(least), "number long, place long, reach long")
+    runs = texts.mapInArrow(_runs(entries, length, gram, run_bytes, splitters, least > 0), "range int, run binary, number long, place long, reach long")
+    return runs.groupBy("range").applyInArrow(_merge(least, least > 0), "number long, place long, reach long")
 
 
 def cut(text: bytes, covered: Iterable[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -381,12 +417,12 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
     copies = keys.groupBy("text_key").agg(F.count("*").alias("copies"))
     index = keys.join(copies, "text_key")
 
-    rows = suspects(docs, length, gram).groupBy("number").agg(F.collect_list(F.struct("first", "last", "at", "whole", "several")).alias("rows"))  # at most a text's own contexts
+    rows = suspects(docs, length, gram).groupBy("number").agg(F.collect_list(F.struct("span", "whole", "several")).alias("rows"))  # at most a text's own contexts
     numbered = docs.mapInArrow(_numbered(length), "number long, text string")
     texts = materialize(numbered.join(rows, "number").dropDuplicates(["number"]), "suspects")
     bounds = sort_suffixes(texts, sides, length, gram, run_bytes, 0).groupBy("number").agg(F.collect_list(F.struct("place", "reach")).alias("reaches"))
-    bounded = materialize(texts.join(bounds, "number", "left"), "bounded")
-    spans = sort_suffixes(bounded, windows, length, gram, run_bytes, length)
+    bounds = materialize(bounds, "bounds")
+    spans = materialize(sort_suffixes(texts.join(bounds, "number", "left"), windows, length, gram, run_bytes, length, texts), "spans")
     spans = spans.groupBy("number").agg(F.collect_set(F.struct("place", F.col("reach").alias("size"))).alias("spans"))
     cuts = texts.select("number", "text").join(spans, "number").mapInArrow(_cut, "number long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return index, cuts
