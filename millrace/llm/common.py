@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -73,6 +75,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def worker_memory(key, make: Callable):
+    """One object for each key and Python worker, kept between tasks: what a task has learned serves the next one."""
+    memory = sys.modules.setdefault("_millrace_worker_memory", types.ModuleType("_millrace_worker_memory")).__dict__
+    if key not in memory:
+        memory[key] = make()
+    return memory[key]
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered up to ``limit`` words; use ``map(h.__getitem__, words)``."""
 
@@ -86,6 +96,10 @@ class WordHash(dict):
             self[word] = h
         return h
 
+    @staticmethod
+    def shared() -> WordHash:
+        return worker_memory("words", WordHash)
+
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

@@ -42,7 +42,7 @@ class Index:
     """Masked windows of a block of items."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], masks=MASKS):
-        hashes = WordHash()
+        hashes = WordHash.shared()
         self.masks = masks
         self.ids = [i for i, _ in items]
         words = [normal_words(t, hashes) for _, t in items]
@@ -100,7 +100,7 @@ class Index:
 
 def _search(broadcast, overlap: int, agree: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = Index(broadcast.value), WordHash()
+        index, hashes = Index(broadcast.value), WordHash.shared()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):

@@ -42,7 +42,7 @@ def features(text: bytes | None, hashes: WordHash, buckets: int) -> np.ndarray:
 
 def _counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHash(), np.zeros(buckets, np.int64)
+        hashes, total = WordHash.shared(), np.zeros(buckets, np.int64)
         for batch in batches:
             for text in text_bytes(batch.column(0)):
                 np.add.at(total, features(text, hashes, buckets), 1)
@@ -71,7 +71,7 @@ def _weights(table: np.ndarray, scale: float):
     buckets = len(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes = WordHash.shared()
         for batch in batches:
             out = []
             for text in text_bytes(batch.column(1)):

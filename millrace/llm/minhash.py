@@ -5,9 +5,10 @@ greatest image, so that 64 evaluations yield 128 values.  Both are unbiased for
 banded; documents that share a band become candidates; candidates are compared on their full sets; confirmed links give
 connected components.
 
-Skew: documents with equal sets are one node from the start.  In a bucket all nodes are compared with its least node first;
-only buckets that still hold several components after that compare nodes of different components.  So no bucket is capped
-and none emits all its pairs, yet every pair that shares a bucket is either in one component or has been compared.
+Skew: documents with equal sets are one node from the start.  In a bucket all nodes are compared with the one that shares most buckets with others;
+in buckets that still hold several components, the nodes outside the largest are then compared with all nodes of other
+components, block by block inside tasks.  So no bucket is capped, none is held by one task and none emits its pairs, yet every
+two nodes that share a bucket are in one component or have been compared.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are kept; a null doc_id is passed through with
 a null component and kept; rows that repeat a doc_id count as one document; other columns are ignored.
@@ -61,7 +62,7 @@ def band_keys(shingles: np.ndarray, permutations: int = PERMUTATIONS, rows: int
 
 def _sketches(shingle: int, permutations: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes = WordHash.shared()
         for batch in batches:
             ids, counts, keys, bands = batch.column(0), [], [], []
             for text in text_bytes(batch.column(1)):
@@ -76,7 +77,7 @@ def _sketches(shingle: int, permutations: int, rows: int):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes = WordHash.shared()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, hashes, shingle).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], ["node", "items"])
 
@@ -115,6 +116,45 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _compare(threshold: int):
+    def run(table):
+        rows = table.to_pydict()
+        items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+        sizes = np.array([len(x) for x in items], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        everything, node, c, minor = np.concatenate(items), np.array(rows["node"]), np.array(rows["c"]), np.array(rows["minor"])
+        found = []
+        for k in np.flatnonzero(minor):
+            fits = ~minor & (c != c[k]) & (100 * np.minimum(sizes, sizes[k]) >= threshold * np.maximum(sizes, sizes[k]))
+            if not fits.any():
+                continue
+            at = np.searchsorted(items[k], everything)
+            both = np.add.reduceat(items[k][np.minimum(at, sizes[k] - 1)] == everything, starts)
+            linked = fits & (100 * both >= threshold * (sizes + sizes[k] - both))
+            found += [(min(node[k], n), max(node[k], n)) for n in node[linked]]
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return run
+
+
+def _across(placed: DataFrame, threshold: int, members: int = 400_000, minors: int = 100_000) -> DataFrame:
+    """Links between nodes of different components in one bucket; ``placed`` has bucket, node, c (component) and items.
+
+    Nodes outside the bucket's largest component (minors) are compared with all its nodes, in blocks of so many shingles each;
+    no pair becomes a row, and no task holds more than a block of either side.
+    """
+    placed = placed.withColumn("size", F.octet_length("items") / 8)
+    parts = placed.groupBy("bucket", "c").agg(F.sum("size").alias("size"))
+    whole = parts.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("major"), F.sum("size").alias("all"))
+    whole = whole.select("bucket", F.col("major.c").alias("major"), F.ceil(F.col("all") / members).cast("int").alias("n_members"), F.ceil(F.greatest(F.col("all") - F.col("major.size"), F.lit(1)) / minors).cast("int").alias("n_minors"))
+    rows = placed.select("bucket", "node", "c", "items").join(whole, "bucket")
+    blocks = lambda n: F.sequence(F.lit(0), n - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    minor = rows.where("c <> major").select("bucket", own(F.col("n_minors")).alias("x"), F.explode(blocks(F.col("n_members"))).alias("y"), "node", "c", "items", F.lit(True).alias("minor"))
+    every = rows.select("bucket", F.explode(blocks(F.col("n_minors"))).alias("x"), own(F.col("n_members")).alias("y"), "node", "c", "items", F.lit(False).alias("minor"))
+    return minor.unionByName(every).groupBy("bucket", "x", "y").applyInArrow(_compare(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     docs = require_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -122,10 +162,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
     real = sketch.where("node_key is not null and doc_id is not null")
     nodes = materialize(real.groupBy("node_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
     members = materialize(members.join(shared, "bucket"), "buckets")
+    # the node that meets most others is compared with all of its bucket: the text that copies were made from, where there is one
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = members.select("bucket", "node").join(degree, "node")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"))).alias("p")).select("bucket", (-F.col("p.first")).alias("pivot"))
+    stars = members.select("bucket", "node").join(pivots, "bucket").where("node <> pivot")
 
-    pairs = materialize(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = materialize(stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, items binary"), "sets")
 
@@ -138,10 +183,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
 
     placed = members.select("bucket", "node").join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    placed = materialize(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    x, y = placed.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")), placed.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, "bucket").where("ca <> cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(rest, "rest")), "links")
+    placed = placed.join(mixed, "bucket", "left_semi").join(sets, "node")
+    more = materialize(_across(placed, threshold), "links")
     final = components(links.union(more)) if more.limit(1).count() else part
 
     named = nodes.select("node_key", "node").join(final, "node", "left").select("node_key", F.coalesce("component", "node").alias("of_node"))

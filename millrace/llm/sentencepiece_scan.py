@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, require_columns, text_bytes
+from millrace.llm.common import materialize, require_columns, text_bytes, worker_memory
 from millrace.llm.token_counts import blocks
 from millrace.llm.unigram import SPACE, Unigram
 
@@ -214,7 +214,7 @@ def scan(giants: DataFrame, vocabulary: str, chunk: int = CHUNK) -> DataFrame:
 
 def _short(vocabulary: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Unigram(vocabulary)
+        model = worker_memory(("ids", vocabulary), lambda: Unigram(vocabulary))
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for part in blocks(texts):
@@ -251,7 +251,7 @@ def _digest(vocabulary: str, with_ids: bool):
         return len(ids), zlib.crc32(raw), decoder.text(ids) == (text or b"")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(vocabulary)
+        decoder = worker_memory(("decoder", vocabulary), lambda: Decoder(vocabulary))
         for batch in batches:
             texts, raws = text_bytes(batch.column("text")), batch.column("ids").to_pylist()
             got = [one(decoder, t, r or b"") for t, r in zip(texts, raws, strict=True)]
@@ -310,7 +310,7 @@ def _encode_digest(vocabulary: str, chunk: int, with_ids: bool):
 
 def _decode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(vocabulary)
+        decoder = worker_memory(("decoder", vocabulary), lambda: Decoder(vocabulary))
         for batch in batches:
             texts = [decoder.text(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import require_columns, text_bytes
+from millrace.llm.common import require_columns, text_bytes, worker_memory
 from millrace.llm.unigram import Unigram
 
 #: Texts are taken in blocks of about so many bytes, so that memory does not depend on the rows in a batch.
@@ -35,7 +35,7 @@ def blocks(texts: list[bytes | None]) -> Iterator[slice]:
 
 def _count(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Unigram(vocabulary)
+        model = worker_memory(("counts", vocabulary), lambda: Unigram(vocabulary))
         for batch in batches:
             texts, counts, best = text_bytes(batch.column(1)), [], []
             for part in blocks(texts):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, require_columns, text_bytes
+from millrace.llm.common import materialize, require_columns, text_bytes, worker_memory
 from millrace.llm.wavelet import WaveletFile, encode
 
 END_ID, SHARD_TOKENS = 1, 1 << 20
@@ -84,7 +84,7 @@ class _Either(dict):
 
 def _write(tokenizer_path: str, end_id: int, shard_tokens: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part = PieceIds(tokenizer_path), TaskContext.get().partitionId()
+        pieces, part = worker_memory(("pieces", tokenizer_path), lambda: PieceIds(tokenizer_path)), TaskContext.get().partitionId()
         held, ids, first, shard = [], [], 0, 0
         size = 0
         end = np.array([end_id], pieces.dtype)
