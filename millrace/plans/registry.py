@@ -1,4 +1,4 @@
 """All queries of the engine and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from millrace.plans import dataset_queries, dedup_queries, relational_queries, retrieval_queries, scout_queries, text_queries  # noqa: F401
+from millrace.plans.core import ORACLES, QUERIES  # noqa: F401
