@@ -1 +1,66 @@
-"""Queries."""
+"""Queries of exact and near-duplicate detection over questions, benchmark items and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators import dedup
+from millrace.plans.core import query
+from millrace.sources.tables import load
+
+_W = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies, sha256(text) AS file_hash FROM documents GROUP BY sha256(text)")
+def exact_dedup(spark, sf):
+    return load(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+_SIM = f"""w AS (SELECT item_id, {_W} AS ws FROM benchmark), f AS (SELECT item_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w),
+h AS (SELECT item_id, md5(f) AS m FROM f), b AS (SELECT item_id, i, sum(CASE WHEN (('0x' || m[(1 + 8 * (i // 32))::INT:(8 + 8 * (i // 32))::INT])::BIGINT >> (31 - i % 32)::INT) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(64) t(i) GROUP BY item_id, i),
+sim AS (SELECT item_id, string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS simhash FROM b GROUP BY item_id)"""
+
+
+@query(f"WITH {_SIM} SELECT item_id, simhash FROM sim")
+def simhash_items(spark, sf):
+    return dedup.simhash(load(spark, sf, "benchmark"), "item_id", "text")
+
+
+@query(f"WITH {_SIM} SELECT * FROM (SELECT x.item_id AS a, y.item_id AS b, hamming(x.simhash, y.simhash)::INT AS distance FROM sim x JOIN sim y ON x.item_id < y.item_id) WHERE distance <= 7")
+def simhash_neighbours(spark, sf):
+    return dedup.simhash_pairs(dedup.simhash(load(spark, sf, "benchmark"), "item_id", "text"), "item_id", 7)
+
+
+_MIN = f"""w AS (SELECT item_id, {_W} AS ws FROM benchmark), s AS (SELECT item_id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w)"""
+
+
+@query(f"WITH {_MIN} SELECT item_id, array_to_string(list_transform(range(128), lambda p: list_min(list_transform(g, lambda x: md5(p || '|' || x)))[1:8]), ',') AS signature FROM s")
+def minhash_signatures(spark, sf):
+    sig = load(spark, sf, "benchmark").select("item_id", dedup.minhash(F.col("text")).alias("s"))
+    return sig.select("item_id", F.array_join(F.transform("s", lambda x: F.substring(x, 1, 8)), ",").alias("signature"))
+
+
+@query("""WITH u AS (SELECT DISTINCT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY conv_id, turn) AS k FROM u) WHERE k = 1""")
+def first_question_wins(spark, sf):
+    u = load(spark, sf, "conversations").where("role = 'user'")
+    return u.groupBy(F.trim("text").alias("t")).agg(F.min(F.struct("conv_id", "turn")).alias("x")).select("x.conv_id", "x.turn")
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM (SELECT conv_id, turn, {_W} AS ws FROM conversations WHERE role = 'user'))
+SELECT a.conv_id, a.turn, max(round(len(list_intersect(a.g, b.g)) / greatest(len(list_distinct(list_concat(a.g, b.g))), 1), 6)) AS nearest FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn < a.turn GROUP BY ALL""")
+def question_loops(spark, sf):
+    """Greatest bigram Jaccard with an earlier question of the conversation."""
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    grams = F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+    u = load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", grams.alias("g"))
+    b = u.select("conv_id", F.col("turn").alias("t"), F.col("g").alias("h"))
+    near = F.size(F.array_intersect("g", "h")) / F.greatest(F.size(F.array_union("g", "h")), F.lit(1))
+    return u.join(b, "conv_id").where("t < turn").groupBy("conv_id", "turn").agg(F.max(F.round(near, 6)).alias("nearest"))
+
+
+@query("SELECT doc_id, text = (SELECT min(text) FROM documents) AS is_first FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
+def preloaded_ids(spark, sf):
+    d = load(spark, sf, "documents")
+    first = d.agg(F.min("text").alias("t"))
+    seen = load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return d.join(seen, "doc_id", "left_anti").join(F.broadcast(first.withColumn("yes", F.lit(True))), F.col("text") == F.col("t"), "left").select("doc_id", F.coalesce("yes", F.lit(False)).alias("is_first"))

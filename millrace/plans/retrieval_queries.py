@@ -1 +1,93 @@
-"""Queries."""
+"""Queries of retrieval, vectors and the entity graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+from millrace.operators import graph, retrieval
+from millrace.plans.core import query
+from millrace.sources.tables import load
+
+_VEC = """q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 8), v AS (SELECT query, vec_id, label, round(list_dot_product(embedding::DOUBLE[], qv) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity FROM embeddings, q),
+vt AS (SELECT query, vec_id, label, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS k FROM v) WHERE k <= 20)"""
+#: Stated text queries: one for each vector query.
+_TEXTS = ["the and", "of the", "in with", "de la", "der die", "for that", "is to", "que en"]
+_FTS = f"""qt AS (SELECT unnest(range({len(_TEXTS)})) AS query, unnest({_TEXTS}) AS t), qw AS (SELECT query, unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM qt), qn AS (SELECT query, count(*) AS need FROM qw GROUP BY 1),
+ix AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents WHERE doc_id < 1000000) WHERE term IN (SELECT term FROM qw) GROUP BY ALL),
+ft AS (SELECT query, doc_id, round(sum(1 + ln(tf)), 6) AS rank FROM ix JOIN qw USING (term) JOIN qn USING (query) GROUP BY query, doc_id, need HAVING count(*) = need)""".replace(" WHERE doc_id < 1000000", "")
+
+
+def _vector(spark, sf):
+    e = load(spark, sf, "embeddings")
+    return retrieval.vector_top_k(e, "vec_id", "embedding", e.where("vec_id < 8").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 20)
+
+
+def _texts(spark):
+    return spark.createDataFrame(list(enumerate(_TEXTS)), "query long, text string")
+
+
+@query(f"WITH {_VEC} SELECT query, vec_id, similarity FROM vt")
+def vector_top_k(spark, sf):
+    return _vector(spark, sf)
+
+
+@query(f"WITH {_FTS} SELECT query, doc_id, rank FROM ft")
+def full_text_rank(spark, sf):
+    return retrieval.full_text(load(spark, sf, "documents"), "doc_id", "text", _texts(spark))
+
+
+_HYBRID = f"""{_VEC}, {_FTS}, tt AS (SELECT query, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, doc_id) AS k FROM ft) WHERE k <= 20),
+fu AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id) AS id, round(0.7 * coalesce(similarity, 0) + 0.3 * coalesce(rank, 0), 6) AS score FROM vt a FULL JOIN tt b ON a.query = b.query AND a.vec_id = b.doc_id)"""
+
+
+def _fused(spark, sf, k):
+    v = _vector(spark, sf).withColumnRenamed("vec_id", "id")
+    t = retrieval.full_text(load(spark, sf, "documents"), "doc_id", "text", _texts(spark)).withColumnRenamed("doc_id", "id")
+    t = t.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("rank"), "id"))).where("k <= 20").drop("k")
+    return retrieval.fuse(v, t, "id", 0.7, 0.3, k)
+
+
+@query(f"WITH {_HYBRID} SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 10")
+def hybrid_search(spark, sf):
+    return _fused(spark, sf, 10)
+
+
+@query(f"""WITH {_HYBRID}, g AS (SELECT fu.*, row_number() OVER (PARTITION BY query, id % 4 ORDER BY score DESC, id) AS g FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 40) fu)
+SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM g WHERE g <= 2) WHERE r <= 6""")
+def diversified_search(spark, sf):
+    return retrieval.diversify(_fused(spark, sf, 40).withColumn("section", F.col("id") % 4), ["section"], "id", 2, 6).drop("section")
+
+
+@query("WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT label, pos - 1 AS pos, round(avg(x), 5) AS mean FROM u GROUP BY label, pos")
+def label_centroids(spark, sf):
+    u = load(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    return u.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+
+
+_ENT = "m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS name FROM documents)"
+
+
+@query(f"WITH {_ENT} SELECT name, count(*) AS n_docs, min(doc_id) AS first_doc, sha1(lower(name))[1:12] AS entity_id FROM m GROUP BY name")
+def entities(spark, sf):
+    return graph.entities(load(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{4,}'))) AS e FROM conversations), p AS (SELECT unnest(list_transform(range(1, len(e)), lambda i: list_transform(range(i + 1, len(e) + 1), lambda j: {'a': e[i], 'b': e[j]}))) AS ps FROM s WHERE len(e) > 1), f AS (SELECT unnest(ps) AS p FROM p)
+SELECT p.a AS source, p.b AS target, count(*) AS weight FROM f GROUP BY ALL""")
+def co_occurrence(spark, sf):
+    """Pairs of names in one turn, each pair once."""
+    return graph.co_occurrence(load(spark, sf, "conversations"), "text", "[A-Z][a-z]{4,}")
+
+
+@query("SELECT vec_id, least(0, 0) AS zero, len(embedding) = 64 AS right_size FROM embeddings")
+def vector_check(spark, sf):
+    return load(spark, sf, "embeddings").select("vec_id", F.lit(0).alias("zero"), (F.size("embedding") == 64).alias("right_size"))
+
+
+@query("""SELECT role, count(*) AS n, count(*) FILTER (len(list_intersect(regexp_split_to_array(lower(text), '\\s+'), ['not', 'no', 'never', 'nicht', 'ne', 'no'])) > 0) AS negated FROM conversations GROUP BY role""")
+def negation_parity(spark, sf):
+    return load(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(graph.negated(F.col("text"), ("not", "no", "never", "nicht", "ne"))).alias("negated"))
+
+

@@ -1 +1,76 @@
-"""Queries."""
+"""Queries of topic discovery: firewall, scores and ranking, with a fixed clock."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from millrace.functions import scores, text, urls
+from millrace.plans.core import query
+from millrace.plans.text_queries import _NORMAL, _in
+from millrace.sources.tables import load
+
+NOW = "2024-02-01"
+
+_TOPIC = """t AS (SELECT user_id % 40 AS topic, count(*) AS n, count(DISTINCT event_type) AS kinds, max(ts) AS last_at, avg(value) AS v FROM events GROUP BY 1),
+s AS (SELECT topic, n, round(greatest(1 - date_diff('day', last_at::DATE, DATE '2024-02-01') / 365.0, 0), 3) AS recency, kinds / 5.0 AS diversity, least(n / 400.0, 1) AS demand, least(v / 200.0, 1) AS quality FROM t)"""
+
+
+def topics(spark, sf):
+    t = load(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("topic")).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"), F.max("ts").alias("last_at"), F.avg("value").alias("v"))
+    recency = F.round(F.greatest(1 - F.datediff(F.lit(NOW).cast("date"), F.to_date("last_at")) / 365.0, F.lit(0.0)), 3)
+    return t.select("topic", "n", recency.alias("recency"), (F.col("kinds") / 5.0).alias("diversity"), F.least(F.col("n") / 400.0, F.lit(1.0)).alias("demand"), F.least(F.col("v") / 200.0, F.lit(1.0)).alias("quality"))
+
+
+@query(f"WITH {_TOPIC} SELECT topic, n, recency, round(diversity, 6) AS diversity FROM s")
+def topic_recency(spark, sf):
+    return topics(spark, sf).select("topic", "n", "recency", F.round("diversity", 6).alias("diversity"))
+
+
+@query(f"WITH {_TOPIC} SELECT topic, round(0.25 * recency + 0.20 * quality + 0.15 * 0.5 + 0.15 * least(greatest((13 * n / 1000.0 - 1) / 4, 0), 1) + 0.10 * least(greatest(1 - log10(greatest(1.0, n)) / 5, 0), 1) + 0.08 * 0.5 + 0.04 * demand + 0.03 * diversity, 4) AS gap FROM s")
+def knowledge_gap(spark, sf):
+    parts = {"temporal_gap": F.col("recency"), "llm_uncertainty": F.col("quality"), "cross_model_divergence": F.lit(None).cast("double"), "citation_velocity": scores.citation_velocity(F.col("n"), F.lit(1000)), "niche_penetration": scores.niche(F.col("n")), "source_authority": F.lit(None).cast("double"), "multilingual_gap": F.col("demand"), "format_diversity": F.col("diversity")}
+    return topics(spark, sf).select("topic", scores.knowledge_gap(parts).alias("gap"))
+
+
+@query(f"WITH {_TOPIC} SELECT topic, round(0.20 * (n > 250)::INT + 0.45 * quality + 0.25 * diversity + 0.20 * recency + 0.10 * demand, 6) AS priority FROM s ORDER BY priority DESC, topic LIMIT 10")
+def ranked_topics(spark, sf):
+    c = F.col
+    rows = topics(spark, sf).select("topic", F.round(scores.priority(c("n") > 250, c("quality"), c("diversity"), c("recency"), c("demand")), 6).alias("priority"))
+    return rows.orderBy(F.desc("priority"), "topic").limit(10)
+
+
+@query("SELECT event_type, user_id, total FROM (SELECT event_type, user_id, round(sum(value), 4) AS total, row_number() OVER (PARTITION BY event_type ORDER BY round(sum(value), 4) DESC, user_id) AS k FROM events GROUP BY 1, 2) WHERE k <= 3")
+def top_per_model(spark, sf):
+    t = load(spark, sf, "events").groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 4).alias("total"))
+    return t.withColumn("k", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("total"), "user_id"))).where("k <= 3").drop("k")
+
+
+@query(f"""SELECT page_id, tier, tier IN ('S', 'A') OR NOT bad AS passed, array_to_string(list_filter([CASE WHEN bad AND tier IN ('B', 'C') THEN 'content' END, CASE WHEN page_id % 13 = 0 THEN 'http' END], lambda x: x IS NOT NULL), ',') AS reasons FROM (
+SELECT page_id, CASE WHEN {_in(urls.TIER_S)} THEN 'S' WHEN {_in(urls.TIER_A)} OR regexp_matches(h, '\\.(edu|gov|ac\\.uk)$') THEN 'A' WHEN {_in(urls.TIER_B)} THEN 'B' ELSE 'C' END AS tier,
+length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) < 300 AS bad FROM {_NORMAL} JOIN pages USING (page_id))""".replace("'S' WHEN", "'S' WHEN"))
+def firewall(spark, sf):
+    """Content check by tier; the HTTP status is an input column."""
+    bad = F.length(text.strip_tags(F.col("html"))) < 300
+    rows = load(spark, sf, "pages").select("page_id", urls.tier(F.col("url")).alias("tier"), bad.alias("bad"))
+    reasons = F.array_compact(F.array(F.when(F.col("bad") & F.col("tier").isin("B", "C"), "content"), F.when(F.col("page_id") % 13 == 0, "http")))
+    return rows.select("page_id", "tier", (F.col("tier").isin("S", "A") | ~F.col("bad")).alias("passed"), F.array_join(reasons, ",").alias("reasons"))
+
+
+@query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 7 = 0) AND url NOT IN (SELECT url FROM pages WHERE page_id < 10)")
+def history_anti_join(spark, sf):
+    p = load(spark, sf, "pages")
+    gone = p.where("page_id % 7 = 0").select("page_id")
+    recent = p.where("page_id < 10").select("url")
+    return p.join(gone, "page_id", "left_anti").join(F.broadcast(recent), "url", "left_anti").select("page_id")
+
+
+@query("SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events WHERE user_id < 40 GROUP BY event_type")
+def union_of_arrays(spark, sf):
+    return load(spark, sf, "events").where("user_id < 40").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("users"))
+
+
+@query("SELECT coalesce(try_strptime(o_orderpriority, '%Y-%m-%d')::DATE, DATE '2024-01-01') AS day, count(*) AS n, sum(epoch(o_orderdate)::BIGINT % 7)::BIGINT AS check_sum FROM orders GROUP BY 1")
+def date_fallback(spark, sf):
+    day = F.coalesce(F.try_to_date("o_orderpriority", "yyyy-MM-dd"), F.lit("2024-01-01").cast("date"))
+    return load(spark, sf, "orders").groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.sum(F.unix_timestamp("o_orderdate") % 7).alias("check_sum"))
