@@ -38,7 +38,7 @@ _TAIL = re.compile(rb"(.*[A-Za-z\x80-\xff])([!-/:-@\[-`{-~]+)", re.DOTALL)
 class PieceIds:
     """Ids of texts by a tokenizers file, with a memory of pieces; ids are kept as 16-bit or 32-bit little-endian bytes."""
 
-    def __init__(self, tokenizer_path: str, limit: int = 500_000):
+    def __init__(self, tokenizer_path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
