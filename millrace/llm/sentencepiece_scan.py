@@ -84,7 +84,7 @@ class Chunk:
             return np.array(rows, np.int64)
         head = np.array([self.model.lattice(self.text[: self.head], {d: 0})[0][-1] for d in range(s)], np.int64)
         tail = np.array(self._exits(self.model.lattice(self.text[self.tail :], None, self.body - self.tail)[0], self.tail), np.int64)
-        out = head[:, None] + sum(score for _, score in self.middle(lambda u: (self.model.ids(u), self.model.count(u)[1]))) + tail[None, :]
+        out = head[:, None] + sum(score for _, score in self.middle(self.model.ids_and_score)) + tail[None, :]
         return np.where(out < NEVER // 2, NEVER, out)
 
     def _seeds(self, entry: list[int]) -> dict[int, int]:
@@ -107,7 +107,7 @@ class Chunk:
             return self.model.backtrace(self.text, self.model.lattice(self.text, seeds, self.body), self.body + leave)[0]
         text = self.text[: self.head]
         out = self.model.backtrace(text, self.model.lattice(text, seeds), self.head)[0]
-        for ids, _ in self.middle(lambda u: (self.model.ids(u), self.model.count(u)[1])):
+        for ids, _ in self.middle(self.model.ids_and_score):
             out.extend(ids)
         text = self.text[self.tail :]
         out.extend(self.model.backtrace(text, self.model.lattice(text, None, self.body - self.tail), self.body - self.tail + leave)[0])
@@ -159,7 +159,7 @@ def _split_rows(chunk: int, longest: int):
 
 def _matrices(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Unigram(vocabulary)
+        model = worker_memory(("chunks", vocabulary), lambda: Unigram(vocabulary))
         for batch in batches:
             rows = batch.to_pylist()
             mats = [Chunk(model, r["part"], r["body"], r["last"]).matrix().ravel() for r in rows]
@@ -177,7 +177,7 @@ def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _entries(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Unigram(vocabulary)
+        model = worker_memory(("chunks", vocabulary), lambda: Unigram(vocabulary))
         for batch in batches:
             found = [Chunk(model, r["part"], r["body"], r["last"]).entries(r["entry"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(found, pa.list_(pa.int32()))], ["row", "k", "back"])
@@ -192,7 +192,7 @@ def _leaves(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _backtraces(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Unigram(vocabulary)
+        model = worker_memory(("chunks", vocabulary), lambda: Unigram(vocabulary))
         for batch in batches:
             ids = [np.array(Chunk(model, r["part"], r["body"], r["last"]).ids(r["entry"], r["leave"]), np.int32).tobytes() for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(ids, pa.binary())], ["row", "k", "ids"])

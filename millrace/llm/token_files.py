@@ -15,7 +15,6 @@ ordered by text and each get their own place; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +30,16 @@ from millrace.llm.wavelet import WaveletFile, encode
 END_ID, SHARD_TOKENS = 1, 1 << 20
 
 
-#: A piece that ends in ASCII punctuation after a letter: the tokenizer's pattern always cuts between the two.
-_TAIL = re.compile(rb"(.*[A-Za-z\x80-\xff])([!-/:-@\[-`{-~]+)", re.DOTALL)
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def tail(piece: bytes) -> tuple[bytes, bytes] | None:
+    """A piece's stem and final ASCII punctuation, where a letter stands before it: the tokenizer's pattern always cuts there."""
+    stem = piece.rstrip(_PUNCTUATION)
+    if not stem or len(stem) == len(piece) or b"<|" in piece:
+        return None
+    letter = stem[-1:].isalpha() if stem[-1] < 128 else stem.decode()[-1].isalpha()
+    return (stem, piece[len(stem) :]) if letter else None
 
 
 class PieceIds:
@@ -59,7 +66,7 @@ class PieceIds:
         known = self.memory
         missing = set().union(*pieces).difference(known)
         if missing:
-            cut = {p: m.groups() for p in missing if b"<|" not in p and (m := _TAIL.fullmatch(p)) and (p[m.end(1) - 1] < 128 or m[1].decode()[-1].isalpha())}
+            cut = {p: t for p in missing if (t := tail(p))}
             parts = (missing - cut.keys()).union(*cut.values()).difference(known)
             fresh = self.learn(list(parts)) if parts else {}
             get = _Either(known, fresh)

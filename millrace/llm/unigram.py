@@ -184,6 +184,10 @@ class Unigram:
     def ids(self, text: str) -> list[int]:
         return self.backtrace(text, self.lattice(text), len(text))[0]
 
+    def ids_and_score(self, text: str) -> tuple[list[int], int]:
+        lattice = self.lattice(text)
+        return self.backtrace(text, lattice, len(text))[0], lattice[0][-1]
+
     def count(self, text: str) -> tuple[int, int]:
         """Number of ids and score of the best path, carried along the lattice without any backtrace."""
         best, last, start = self.lattice(text)
