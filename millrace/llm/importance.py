@@ -122,7 +122,8 @@ def classify(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, scale:
     """doc_id, weight, key and kept of ``docs`` (doc_id, text), given ``labels`` (doc_id, wanted boolean)."""
     docs = require_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sample = require_columns(labels, "doc_id", "wanted").where("doc_id is not null and wanted is not null").groupBy("doc_id").agg(F.min("wanted").alias("wanted")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
-    labelled = materialize(docs.join(sample, "doc_id").withColumn("held_out", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)) == 0), "labelled")
+    # label_rows bounds what is broadcast, so texts need no shuffle
+    labelled = materialize(docs.join(F.broadcast(sample), "doc_id").withColumn("held_out", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)) == 0), "labelled")
     seen = labelled.where("not held_out")
     table = ratios(bucket_counts(seen.where("wanted"), buckets), bucket_counts(seen, buckets), bucket_counts(docs, buckets), smoothing, z)
     weigh = _weights_of(docs.sparkSession.sparkContext.broadcast(table), scale)  # ``buckets`` numbers, whatever the corpus

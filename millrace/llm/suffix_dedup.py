@@ -161,19 +161,10 @@ def places_of(span: int) -> tuple[int, int, int]:
 
 
 def common_prefix(a: bytes, b: bytes, at: int) -> int:
-    """Length of the common prefix, known to be ``at`` at least."""
-    n, step = min(len(a), len(b)), 16
-    while at < n:
-        to = min(at + step, n)
-        if a[at:to] == b[at:to]:
-            at, step = to, step * 2
-        elif to - at == 1:
-            return at
-        else:
-            n, step = to, max((to - at) // 2, 1)
-            if step == to - at:
-                step = max(step // 2, 1)
-    return at
+    """Length of the common prefix, known to be ``at`` at least: what differs first is the highest bit of the exclusive or."""
+    n = min(len(a), len(b))
+    differs = int.from_bytes(a[at:n], "big") ^ int.from_bytes(b[at:n], "big")
+    return n - (differs.bit_length() + 7) // 8
 
 
 def front_code(entries: list[tuple[bytes, int, int]]) -> bytes:
