@@ -75,18 +75,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def worker_memory(key, make: Callable):
-    """One object for each key and Python worker, kept between tasks: what a task has learned serves the next one."""
-    memory = sys.modules.setdefault("_millrace_worker_memory", types.ModuleType("_millrace_worker_memory")).__dict__
-    if key not in memory:
-        memory[key] = make()
-    return memory[key]
+def worker_memory(key, make: Callable, most: int = 2):
+    """One object for each key and Python worker, kept between tasks: what a task has learned serves the next one.
+
+    Only the last ``most`` objects stay, so a worker that goes from stage to stage does not gather their memories.
+    """
+    memory = sys.modules.setdefault("_millrace_worker_memory", types.ModuleType("_millrace_worker_memory")).__dict__.setdefault("kept", {})
+    found = memory.pop(key) if key in memory else make()
+    memory[key] = found
+    for old in list(memory)[:-most]:
+        del memory[old]
+    return found
 
 
 class WordHash(dict):
     """64-bit hashes of words, remembered up to ``limit`` words; use ``map(h.__getitem__, words)``."""
 
-    def __init__(self, seed: int = 0, limit: int = 200_000):
+    def __init__(self, seed: int = 0, limit: int = 150_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

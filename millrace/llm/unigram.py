@@ -107,7 +107,7 @@ def unigram_proto(path: str) -> bytes:
 class Unigram:
     """Encoder, counter and decoder.  Strings here are marked: spaces are already space marks."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         pieces, model_type, _ = read_model(path)
         own = scores(pieces, model_type)
         self.text = [p for p, _, _ in pieces]
