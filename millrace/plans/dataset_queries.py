@@ -57,7 +57,7 @@ _SAMPLE = "s AS (SELECT l.doc_id, (CASE WHEN quality = 1 THEN 0.6 ELSE 0.3 END)
 def samples(spark, sf):
     pick = lambda n, *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("doc_id") % n).cast("int"))
     rows = load(spark, sf, "labels").join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", (F.when(F.col("quality") == 1, F.lit(0.6)).otherwise(0.3) + (F.col("doc_id") % 40) * 0.01).alias("score"), pick(3, "cfo", "prawnik", "audytor").alias("perspective"), pick(4, "easy", "medium", "hard", None).alias("difficulty"), "toxic", "text")
+    return rows.select("doc_id", F.round(F.when(F.col("quality") == 1, F.lit(0.6)).otherwise(0.3) + (F.col("doc_id") % 40) * 0.01, 6).alias("score"), pick(3, "cfo", "prawnik", "audytor").alias("perspective"), pick(4, "easy", "medium", "hard", None).alias("difficulty"), "toxic", "text")
 
 
 @query(f"WITH {_SAMPLE} SELECT coalesce(perspective, 'unknown') AS perspective, coalesce(difficulty, 'unknown') AS difficulty, count(*) AS n, round(avg(score), 6) AS avg_score, count(*) FILTER (toxic = 1) AS n_adversarial FROM s GROUP BY 1, 2")
@@ -85,7 +85,7 @@ def review_summary(spark, sf):
     return samples(spark, sf).groupBy(scores.zone(F.col("score")).alias("zone")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query(f"WITH {_SAMPLE} SELECT doc_id, round(score, 6) AS score FROM s WHERE score >= 0.70 AND score < 0.88 ORDER BY round(abs(score - 0.79), 9), doc_id LIMIT 20")
+@query(f"WITH {_SAMPLE} SELECT doc_id, round(score, 6)::DOUBLE AS score FROM s WHERE score >= 0.70 AND score < 0.88 ORDER BY round(abs(score - 0.79), 9), doc_id LIMIT 20")
 def review_queue(spark, sf):
     return samples(spark, sf).where("score >= 0.70 and score < 0.88").orderBy(F.round(F.abs(F.col("score") - 0.79), 9), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 

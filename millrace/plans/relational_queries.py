@@ -120,7 +120,7 @@ def json_access(spark, sf):
 
 @query("""SELECT doc_id, CASE WHEN score >= 0.88 THEN 'green' WHEN score >= 0.70 THEN 'grey' ELSE 'red' END AS zone FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 0.6 ELSE 0.3 END + (doc_id % 40) * 0.01 AS score FROM labels)""")
 def review_zones(spark, sf):
-    return load(spark, sf, "labels").select("doc_id", scores.zone(F.when(F.col("quality") == 1, F.lit(0.6)).otherwise(0.3) + (F.col("doc_id") % 40) * 0.01).alias("zone"))
+    return load(spark, sf, "labels").select("doc_id", scores.zone(F.round(F.when(F.col("quality") == 1, F.lit(0.6)).otherwise(0.3) + (F.col("doc_id") % 40) * 0.01, 6)).alias("zone"))
 
 
 @query("""WITH m AS (SELECT unnest([{'m': 'a', 'cut': DATE '2024-01-05'}, {'m': 'b', 'cut': DATE '2024-01-15'}, {'m': 'c', 'cut': DATE '2024-01-25'}], recursive := true)) SELECT m AS model, count(*) AS n_after_cutoff FROM events JOIN m ON ts::DATE > cut GROUP BY m""")
