@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages, each on all that its predecessor kept.
 
 ``run`` writes every stage's result as Parquet to the shared folder and reads it back as the next stage's input.  SQL cannot
-express the models, so the tests hold ``run`` against a brute-force version.
+express the models; the stages' operators are tested against brute force one by one, ``run`` as a whole is not yet.
 """
 
 from __future__ import annotations
