@@ -48,15 +48,23 @@ def _sweep() -> None:
             pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there and survives lost executors."""
+def materialize(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    With ``key`` (by which ``df`` is partitioned already) the files are buckets of it: joins on it move the other side only.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    tag = f"millrace-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}"
     _written.append((spark, path))
+    if key:
+        saved = tag.replace("-", "_")
+        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(saved)
+    else:
+        df.write.option("compression", "zstd").parquet(path)
     del df
     release(spark)
-    return spark.read.parquet(path)
+    return spark.table(saved) if key else spark.read.parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -98,14 +98,15 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or b"" for t in text_bytes(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
-            ["doc_id", "text_key", "n_bytes", "sha256"],
+            [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([text_number(t) for t in texts], pa.int64())],
+            ["doc_id", "text_key", "n_bytes", "sha256", "number"],
         )
 
 
 def text_number(text: bytes) -> int:
-    """64-bit number of a text, the first half of its key."""
-    return int.from_bytes(xxhash.xxh3_128_digest(text)[:8], "big", signed=True)
+    """64-bit number of a text; Spark's xxhash64 gives the same."""
+    n = xxhash.xxh64_intdigest(text, 42)
+    return n - (n >> 63 << 64)
 
 
 def _anchors(length: int, gram: int, counting: bool):
@@ -402,15 +403,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES) -> tuple[DataFrame, DataFrame]:
     """(index of all documents, cuts by text number): the index holds doc_id, text_key, n_bytes, sha256, number and copies."""
     docs = require_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    keys = materialize(docs.mapInArrow(_keys, "doc_id long, text_key binary, n_bytes long, sha256 string"), "keys")
-    number = F.conv(F.hex(F.substring("text_key", 1, 8)), 16, -10).cast("long")
-    keys = keys.withColumn("number", number)
+    keys = materialize(docs.mapInArrow(_keys, "doc_id long, text_key binary, n_bytes long, sha256 string, number long"), "keys")
     copies = keys.groupBy("text_key").agg(F.count("*").alias("copies"))
     index = keys.join(copies, "text_key")
 
     rows = suspects(docs, length, gram).groupBy("number").agg(F.collect_list(F.struct("span", "whole", "several")).alias("rows"))  # at most a text's own contexts
-    numbered = docs.mapInArrow(_numbered(length), "number long, text string")
-    texts = materialize(numbered.join(rows, "number").dropDuplicates(["number"]), "suspects")
+    numbered = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("number"), "text")
+    texts = materialize(numbered.join(rows, "number").dropDuplicates(["number"]), "suspects", "number")
     bounds = sort_suffixes(texts, sides, length, gram, run_bytes, 0).groupBy("number").agg(F.collect_list(F.struct("place", "reach")).alias("reaches"))
     bounds = materialize(bounds, "bounds")
     spans = materialize(sort_suffixes(texts.join(bounds, "number", "left"), windows, length, gram, run_bytes, length, texts), "spans")
@@ -419,17 +418,6 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
     return index, cuts
 
 
-def _numbered(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            long = pa.array([t is not None and len(t) >= length for t in text_bytes(texts)])
-            texts = texts.filter(long)
-            yield pa.RecordBatch.from_arrays([pa.array([text_number(t) for t in text_bytes(texts)], pa.int64()), texts], ["number", "text"])
-
-    return run
-
-
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (doc_id, text)."""
     index, cuts = removals(docs, length, gram, run_bytes)
