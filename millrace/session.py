@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -10,3 +12,12 @@ def session(app: str = "millrace", **conf) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
