@@ -1,13 +1,14 @@
 """Every query with SQL gives the same rows as DuckDB on the smallest tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from millrace.plans.registry import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
