@@ -4,16 +4,18 @@ A mask fixes which of ``span`` consecutive words count; the others may differ.
 a table; every document's masked windows are looked up in it; each hit names a place in a benchmark item.  Around a hit the
 document and the item are compared word by word on that diagonal, and the overlap counts if, in some window of ``overlap``
 words (or the whole item if that is shorter), at least ``agree`` of the words are equal: substitutions are tolerated.
+The masks of a window length leave one of them whole whichever words may differ, so every such overlap is hit and verified.
 
 The benchmark is taken in blocks of at most ``block_words`` words, which bounds what is broadcast; each block is one
 pass over all documents.  Documents are never shuffled; a document holds as many rows as items it leaks.
 
-Defined cases: null, empty and too short texts and items match nothing; a null item_id is an item like others; rows that
+Defined cases: null and empty texts and items match nothing, nor do texts shorter than the window; a null item_id is an item like others; rows that
 repeat a doc_id are searched one by one and merged in the result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +23,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHash, gram_hashes, require_columns, text_bytes
-
-#: Words that count (1) in a window; between them any word may stand.  Every two fixed substitutions leave some mask whole.
-MASKS = ("11111111", "1101100111", "1110010111", "101110100111")
+from millrace.llm.common import WordHash, mix64, require_columns, text_bytes
+
+#: (words of a window, words of them that may differ): masks of words that count (1); between them any word may stand.
+#: Whichever words differ, some mask lies whole inside the window (the tests go through all cases).
+MASKS = {
+    (13, 3): ("110011011", "101001111", "11010111", "1110110001", "111000010011"),
+    (12, 3): ("10100111", "111011", "1100001011", "11001011"),
+    (11, 2): ("1111011", "1101100011", "110001111"),
+    (10, 2): ("10010111", "1111001", "10111001"),
+    (9, 2): ("101111", "10110011", "11001101", "1110101"),
+    (8, 2): ("1111", "11101", "1010011"),
+}
 OVERLAP, AGREE, BLOCK_WORDS = 13, 0.75, 4_000_000
 
 
+def masks(need: int, agree: float = AGREE) -> tuple[str, ...]:
+    """Masks that reach every accepted overlap of ``need`` words; without a listed set, the run of equal words that must remain."""
+    same = max(1, math.ceil(agree * need))
+    wrong = need - same
+    return MASKS.get((need, wrong), ("1" * -(-same // (wrong + 1)),))
+
+
 def places(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
+#: Odd multipliers, one for each counted word of a mask.
+_FACTORS = mix64(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
+
+
+def masked_hashes(words: np.ndarray, mask: str) -> np.ndarray:
+    """Hash, at every start, of the words that the mask counts; words are hashes themselves, so a weighted sum will do."""
+    n = len(words) - len(mask) + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    acc = np.zeros(n, np.uint64)
+    for k, p in enumerate(places(mask)):
+        acc += words[p : p + n] * _FACTORS[k % len(_FACTORS)]
+    return mix64(acc)
+
+
 def normal_words(text: bytes | None, hashes: WordHash) -> np.ndarray:
     """Hashes of lower-cased words without outer punctuation."""
     words = [w.strip(b".,;:!?\"'()[]{}*#$%&|<>") for w in text.lower().split()] if text else []
@@ -39,36 +71,34 @@ def normal_words(text: bytes | None, hashes: WordHash) -> np.ndarray:
 
 
 class Index:
-    """Masked windows of a block of items."""
+    """Masked windows of a block of items, with the masks that each item's length needs."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], masks=MASKS):
+    def __init__(self, items: list[tuple[int | None, bytes]], overlap: int = OVERLAP, agree: float = AGREE):
         hashes = WordHash.shared()
-        self.masks = masks
         self.ids = [i for i, _ in items]
         words = [normal_words(t, hashes) for _, t in items]
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.base = np.concatenate(([0], np.cumsum(self.sizes)))
         self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
         self.tables = []
-        for k, mask in enumerate(masks):
-            grams = [gram_hashes(w, places(mask)) + np.uint64(k) for w in words]
-            at = [np.arange(len(g)) + b for g, b in zip(grams, self.base, strict=False)]
-            h, at = (np.concatenate(grams), np.concatenate(at)) if grams else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
-            bits = 1 << max(16, int(len(h) * 16).bit_length())
-            quick = np.zeros(bits, bool)
-            quick[h & np.uint64(bits - 1)] = True
-            self.tables.append((h, at, quick))
+        needs = np.minimum(self.sizes, overlap)
+        for need in np.unique(needs[needs > 0]).tolist():
+            own = np.flatnonzero(needs == need).tolist()
+            for mask in masks(need, agree):
+                grams = [masked_hashes(words[i], mask) for i in own]
+                h, at = np.concatenate(grams), np.concatenate([np.arange(len(g)) + self.base[i] for g, i in zip(grams, own, strict=True)])
+                order = np.argsort(h, kind="stable")
+                h, at = h[order], at[order]
+                bits = 1 << max(16, int(len(h) * 16).bit_length())
+                quick = np.zeros(bits, bool)
+                quick[h & np.uint64(bits - 1)] = True
+                self.tables.append((mask, h, at, quick))
 
     def hits(self, doc: np.ndarray) -> np.ndarray:
         """Distinct (item, diagonal) pairs; the diagonal is the document's place minus the item's."""
         found = []
-        for k, mask in enumerate(self.masks):
-            h, at, quick = self.tables[k]
-            if not len(h):
-                continue
-            g = gram_hashes(doc, places(mask)) + np.uint64(k)
+        for mask, h, at, quick in self.tables:
+            g = masked_hashes(doc, mask)
             maybe = np.flatnonzero(quick[g & np.uint64(len(quick) - 1)])
             if not len(maybe):
                 continue
@@ -79,8 +109,9 @@ class Index:
             where = np.repeat(maybe, n)
             place = at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
             item = np.searchsorted(self.base, place, "right") - 1
-            found.append(np.stack((item, where - (place - self.base[item])), axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            found.append((item << 32) + (where - (place - self.base[item]) + (1 << 31)))
+        keys = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return np.stack((keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31)), axis=1)
 
     def overlaps(self, doc: np.ndarray, overlap: int, agree: float) -> Iterator[tuple[int | None, int, int, int]]:
         """(item_id, first word, word after the last, equal words) of each verified overlap."""
@@ -100,7 +131,7 @@ class Index:
 
 def _search(broadcast, overlap: int, agree: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = Index(broadcast.value), WordHash.shared()
+        index, hashes = Index(broadcast.value, overlap, agree), WordHash.shared()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):

@@ -1,6 +1,8 @@
 """Operators against brute force, on small tables with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -94,6 +96,27 @@ def test_decontamination_tolerates_substitutions(spark, docs):
     assert decontaminate.decontaminate(d, spark.createDataFrame([], "item_id long, text string")).count() == 4
 
 
+def test_masks_reach_every_accepted_substitution():
+    for overlap, agree in ((13, 0.75), (9, 0.6), (5, 1.0)):
+        for need in range(1, overlap + 1):
+            spans = [[p + shift for p in decontaminate.places(m)] for m in decontaminate.masks(need, agree) for shift in range(need - len(m) + 1)]
+            for wrong in itertools.combinations(range(need), need - math.ceil(agree * need)):
+                assert any(not set(span) & set(wrong) for span in spans), (need, wrong)
+
+
+def test_every_accepted_substitution_is_found():
+    for length in (*range(1, 14), 15):
+        item = [f"w{i}" for i in range(length)]
+        index = decontaminate.Index([(7, b"unrelated words"), (5, " ".join(item).encode())])
+        need = min(13, length)
+        for wrong in itertools.combinations(range(need), need - math.ceil(0.75 * need)):
+            said = ["x", *("other" if i in wrong else w for i, w in enumerate(item)), "y"]
+            doc = decontaminate.normal_words(" ".join(said).encode(), decontaminate.WordHash.shared())
+            assert [f[0] for f in index.overlaps(doc, 13, 0.75)] == [5], (length, wrong)
+        doc = decontaminate.normal_words(" ".join(["other"] * (need - math.ceil(0.75 * need) + 1) + item[need - math.ceil(0.75 * need) + 1 : need]).encode(), decontaminate.WordHash.shared())
+        assert not list(index.overlaps(doc, 13, 0.75))
+
+
 def test_substring_dedup_equals_brute_force(docs):
     texts = [(i if i is not None else -1, (t or "").encode()) for i, t in ROWS]
     seen = Counter(t[p : p + 200] for _, t in texts for p in range(len(t) - 199))
