@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import scores, text, urls
+from millrace.operators import firewall as checks
 from millrace.plans.core import query
 from millrace.plans.text_queries import _NORMAL, _in
 from millrace.sources.tables import load
@@ -57,6 +58,27 @@ def firewall(spark, sf):
     return rows.select("page_id", "tier", (F.col("tier").isin("S", "A") | ~F.col("bad")).alias("passed"), F.array_join(reasons, ",").alias("reasons"))
 
 
+_HEAD = "left(html, list_max(list_filter(range(2048, 8193), lambda i: strlen(left(html, i)) <= 8192)))"
+_BINARY = " OR ".join(f"ends_with(string_split(lower(url), '?')[1], '{e}')" for e in checks.BINARY)
+
+
+@query(rf"""WITH i AS (SELECT p.page_id, p.url, h, TIMESTAMP '{NOW}' + to_days((p.page_id % 17 - 8)::INT) AS published, CASE WHEN p.page_id % 13 = 0 THEN 'http_404' END AS http, p.page_id % 5 <> 0 AS cross_source,
+CASE WHEN strlen(html) <= 8192 THEN html ELSE {_HEAD} || CASE WHEN strlen({_HEAD}) < 8192 THEN chr(65533) ELSE '' END END AS html FROM {_NORMAL} JOIN pages p USING (page_id)),
+c AS (SELECT *, CASE WHEN {_in(urls.TIER_S)} THEN 'S' WHEN {_in(urls.TIER_A)} OR regexp_matches(h, '\.(edu|gov|ac\.uk)$') THEN 'A' WHEN {_in(urls.TIER_B)} THEN 'B' ELSE 'C' END AS tier,
+length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{checks.SPACE}+', ' ', 'g'))) AS clean, regexp_extract(html, '{checks.ERROR_PAGE}', 1) AS error FROM i),
+r AS (SELECT page_id, tier, CASE WHEN published > TIMESTAMP '{NOW}' + INTERVAL 7 DAY THEN ['future_date:' || strftime(published, '%Y-%m-%d')] ELSE list_filter([
+CASE WHEN tier <> 'S' THEN http END,
+CASE WHEN tier = 'C' AND NOT cross_source THEN 'cross_verification_failed' END,
+CASE WHEN tier IN ('A', 'S') OR http IS NOT NULL OR {_BINARY} THEN NULL WHEN error <> '' THEN 'error_pattern:' || regexp_replace(error[1:40], '^{checks.SPACE}+|{checks.SPACE}+$', '', 'g')
+WHEN length(html) > 500 AND clean / length(html) < 0.10 THEN 'low_density:' || printf('%.2f', clean / length(html)) WHEN clean < 100 THEN 'too_short' END], lambda x: x IS NOT NULL) END AS reasons FROM c)
+SELECT page_id, tier, len(reasons) = 0 AS passed, array_to_string(reasons, ',') AS reasons FROM r""")
+def firewall_checks(spark, sf):
+    """All five checks by tier; dates, HTTP results and cross-source results are input columns made of the page's number."""
+    p, now = F.col("page_id"), F.lit(NOW).cast("timestamp")
+    rows = load(spark, sf, "pages").select("page_id", "url", "html", (now + F.make_dt_interval((p % 17 - 8).cast("int"))).alias("published"), F.when(p % 13 == 0, "http_404").alias("http"), (p % 5 != 0).alias("cross_source"))
+    return checks.verify(rows, now).select("page_id", "tier", "passed", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 7 = 0) AND url NOT IN (SELECT url FROM pages WHERE page_id < 10)")
 def history_anti_join(spark, sf):
     p = load(spark, sf, "pages")
