@@ -74,6 +74,32 @@ def gate(rows: DataFrame, score: str, group: str, least: int = 500, mean: float
     return a.select(F.explode(checks).alias("c")).select("c.*")
 
 
+def full_gate(rows: DataFrame, score: str, group: str, pairs: DataFrame, talks: DataFrame, least: int = 500, least_pairs: int = 50, mean: float = 0.82, share: float = 0.60, multi_turn: float = 0.15, refusals: float = 0.20, advised: int = 1000) -> DataFrame:
+    """One row for each of the reference's checks: name, value, passed and blocking; rows that do not block are its warnings.
+
+    ``pairs`` are the preference pairs; ``talks`` has multi_turn and refusal of each conversation.  Without rows only the first check is made.
+    """
+    parts = rows.groupBy(group).agg(F.count("*").alias("k"), F.sum(score).alias("s"), F.count(score).alias("scored"))
+    a = parts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.try_divide(F.sum("s"), F.sum("scored")).alias("q"), F.try_divide(F.max("k"), F.sum("k")).alias("share"))
+    b = pairs.agg(F.count("*").alias("pairs"))
+    rate = lambda name: F.coalesce(F.try_divide(F.count_if(F.col(name)), F.count("*")), F.lit(0.0)).alias(name)
+    t = talks.agg(rate("multi_turn"), rate("refusal"))
+    c = F.col
+    row = lambda name, value, passed, blocking=True: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), passed.alias("passed"), F.lit(blocking).alias("blocking"))
+    first = row("min_samples", c("n"), c("n") >= least)
+    rest = (
+        row("min_dpo_pairs", c("pairs"), c("pairs") >= least_pairs),
+        row("avg_score", F.round(F.coalesce("q", F.lit(mean)), 6), F.coalesce(c("q") >= mean, F.lit(True))),
+        row("max_share", F.round("share", 6), c("share") <= share),
+        row("multi_turn_pct", F.round("multi_turn", 6), c("multi_turn") >= multi_turn),
+        row("has_scores", c("q").isNotNull(), c("q").isNotNull(), False),
+        row("refusal_pct", F.round("refusal", 6), c("refusal") <= refusals, False),
+        row("advised_samples", c("n"), c("n") >= advised, False),
+    )
+    # one row each
+    return a.crossJoin(b).crossJoin(t).select(F.explode(F.when(c("n") == 0, F.array(first)).otherwise(F.array(first, *rest))).alias("c")).select("c.*")
+
+
 def accept_with_refusal_cap(flags: Column, cap: float) -> Column:
     """Decisions over an ordered array of refusal flags: a refusal is accepted while refusals stay within ``cap`` of the accepted."""
     start = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("r"))

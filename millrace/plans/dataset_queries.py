@@ -10,6 +10,8 @@ from millrace.operators import dataset
 from millrace.plans.core import query
 from millrace.sources.tables import load
 
+#: The phrase by which the reference's gate knows a refusal.
+REFUSAL = "Brak danych w dyrektywie"
 _CONV = "conv AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id)"
 
 
@@ -80,6 +82,20 @@ def quality_gate(spark, sf):
     return dataset.gate(samples(spark, sf), "score", "perspective")
 
 
+@query(f"""WITH {_SAMPLE}, {_PAIR}, cs AS (SELECT conv_id, count(*) FILTER (role = 'user') > 1 AS multi_turn, count(*) FILTER (role = 'assistant' AND contains(text, '{REFUSAL}')) > 0 AS refusal FROM conversations GROUP BY conv_id),
+a AS (SELECT count(*) AS n, avg(score) AS q, (SELECT max(x) / sum(x) FROM (SELECT count(*) AS x FROM s GROUP BY perspective)) AS share, (SELECT count(*) FROM k) AS pairs, (SELECT coalesce(avg(multi_turn::INT), 0) FROM cs) AS mt, (SELECT coalesce(avg(refusal::INT), 0) FROM cs) AS rf FROM s)
+SELECT 'min_samples' AS name, n::DOUBLE AS value, n >= 500 AS passed, true AS blocking FROM a UNION ALL (SELECT x.* FROM (SELECT unnest([{{'name': 'min_dpo_pairs', 'value': pairs::DOUBLE, 'passed': pairs >= 50, 'blocking': true}},
+{{'name': 'avg_score', 'value': round(coalesce(q, 0.82), 6), 'passed': coalesce(q >= 0.82, true), 'blocking': true}}, {{'name': 'max_share', 'value': round(share, 6), 'passed': share <= 0.60, 'blocking': true}},
+{{'name': 'multi_turn_pct', 'value': round(mt, 6), 'passed': mt >= 0.15, 'blocking': true}}, {{'name': 'has_scores', 'value': (q IS NOT NULL)::INT::DOUBLE, 'passed': q IS NOT NULL, 'blocking': false}},
+{{'name': 'refusal_pct', 'value': round(rf, 6), 'passed': rf <= 0.20, 'blocking': false}}, {{'name': 'advised_samples', 'value': n::DOUBLE, 'passed': n >= 1000, 'blocking': false}}]) AS x FROM a WHERE n > 0))""")
+def quality_gate_checks(spark, sf):
+    """The reference's five blocking checks and its warnings."""
+    own = F.col("role") == "assistant"
+    refused = F.count_if(own & F.contains("text", F.lit(REFUSAL))) > 0
+    talks = load(spark, sf, "conversations").groupBy("conv_id").agg((F.count_if(F.col("role") == "user") > 1).alias("multi_turn"), refused.alias("refusal"))
+    return dataset.full_gate(samples(spark, sf), "score", "perspective", dataset.preference_pairs(pairs(spark, sf)), talks)
+
+
 @query(f"WITH {_SAMPLE} SELECT CASE WHEN score >= 0.88 THEN 'green' WHEN score >= 0.70 THEN 'grey' ELSE 'red' END AS zone, count(*) AS n, round(avg(score), 6) AS mean FROM s GROUP BY 1")
 def review_summary(spark, sf):
     return samples(spark, sf).groupBy(scores.zone(F.col("score")).alias("zone")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import firewall
+from millrace.operators import dataset, firewall
 
 
 def test_firewall_makes_all_checks_by_tier(spark):
@@ -18,3 +18,14 @@ def test_firewall_makes_all_checks_by_tier(spark):
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, html string, http string, cross_source boolean, days int, want string")
     for r in firewall.verify(table.withColumn("published", now + F.make_dt_interval("days")), now).collect():
         assert (",".join(r.reasons), r.passed) == (r.want, not r.want), r
+
+
+def test_gate_fails_without_pairs_or_multi_turn_talks(spark):
+    rows = spark.range(1200).select((F.col("id") % 3).alias("perspective"), F.lit(0.9).alias("score"))
+    talks = lambda multi, refused: spark.range(100).select((F.col("id") < multi).alias("multi_turn"), (F.col("id") < refused).alias("refusal"))
+    failed = lambda *a: {(r.name, r.blocking) for r in dataset.full_gate(a[0], "score", "perspective", spark.range(a[1]), talks(*a[2:])).collect() if not r.passed}
+    assert failed(rows, 50, 15, 20) == set()
+    assert failed(rows, 49, 14, 21) == {("min_dpo_pairs", True), ("multi_turn_pct", True), ("refusal_pct", False)}
+    assert failed(rows.limit(999), 0, 100, 0) == {("min_dpo_pairs", True), ("advised_samples", False)}
+    assert failed(rows.withColumn("score", F.lit(None).cast("double")), 50, 15, 0) == {("has_scores", False)}
+    assert failed(rows.limit(0), 50, 15, 0) == {("min_samples", True)}
