@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import scores, text
 
+#: Items whose similarities with a block of queries are held at once.
+ITEMS = 500
+
 
 def full_text(chunks: DataFrame, key: str, body: str, queries: DataFrame) -> DataFrame:
     """(query, key, rank) of chunks that hold all of a query's terms; rank: sum of 1 + ln(count) over the terms.
@@ -35,6 +42,64 @@ def _scored(items: DataFrame, key: str, vector: str, queries: DataFrame) -> Data
     return items.select(key, F.col(vector).alias("v"), F.explode(packed).alias("x")).select("x.query", key, F.round(scores.cosine(F.col("v"), F.col("x.qv")), 6).alias("similarity"))
 
 
+def _best(broadcast, k: int):
+    """The k best items of a part for each query: similarities of a few items with the whole block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = broadcast.value
+        lengths = {len(v) for v in vectors}
+        blocks = []
+        for n in sorted(lengths):
+            own = [i for i, v in enumerate(vectors) if len(v) == n]
+            blocks.append((n, np.array(own), np.array([vectors[i] for i in own], np.float64).reshape(len(own), n)))
+        best_s, best_k = np.empty((0, len(ids))), np.empty((0, len(ids)), np.int64)
+        for batch in batches:
+            keys, rows = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
+            for at in range(0, len(rows), ITEMS):
+                part = rows[at : at + ITEMS]
+                same = np.zeros((len(part), len(ids)))  # 0 where a norm is zero or lengths differ
+                for n, own, q in blocks:
+                    mine = np.array([i for i, v in enumerate(part) if len(v) == n], np.int64)
+                    if len(mine):
+                        v = np.array([part[i] for i in mine], np.float64).reshape(len(mine), n)
+                        both = np.sqrt((v * v).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
+                        same[np.ix_(mine, own)] = np.divide(v @ q.T, both, out=np.zeros_like(both), where=both != 0)
+                same = np.copysign(np.floor(np.abs(same) * 1e6 + 0.5) / 1e6, same) + 0.0
+                s = np.concatenate((best_s, same))
+                at_keys = np.concatenate((best_k, np.broadcast_to(keys[at : at + ITEMS, None], same.shape)))
+                order = np.lexsort((at_keys, -s), axis=0)[:k]
+                best_s, best_k = np.take_along_axis(s, order, 0), np.take_along_axis(at_keys, order, 0)
+        query = np.broadcast_to(np.array(ids, np.int64), best_k.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(query.ravel()), pa.array(best_k.ravel()), pa.array(best_s.ravel())], ["query", "item", "similarity"])
+
+    return run
+
+
+def vector_neighbours(items: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """(query, key, similarity): the k most similar items of each query, ties by key, for any number of queries.
+
+    Queries (query, vector) are read in blocks, which bounds what is broadcast; each block is one pass over the items.  A part of
+    the items hands on its k best of each query.  Null vectors are left out; keys and queries are numbers.
+    """
+    context, out, ids, vectors = items.sparkSession.sparkContext, None, [], []
+    rows = items.select(F.col(key).cast("long"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+
+    def search() -> DataFrame:
+        return rows.mapInArrow(_best(context.broadcast((list(ids), list(vectors))), k), "query long, item long, similarity double")
+
+    for q, v in queries.select("query", F.col("vector").cast("array<double>")).where("vector is not null").toLocalIterator(prefetchPartitions=False):
+        ids.append(q)
+        vectors.append(v)
+        if len(ids) >= block:
+            found = search()
+            out, ids, vectors = found if out is None else out.unionByName(found), [], []
+    if ids or out is None:
+        found = search()
+        out = found if out is None else out.unionByName(found)
+    own = W.partitionBy("query").orderBy(F.desc("similarity"), "item")
+    return out.withColumn("k", F.row_number().over(own)).where(F.col("k") <= k).select("query", F.col("item").alias(key), "similarity")
+
+
 def fuse(by_vector: DataFrame, by_text: DataFrame, key: str, vector_weight: float, text_weight: float, k: int) -> DataFrame:
     """(query, key, score): full outer join of both candidate lists, weighted sum, top k with ties by key."""
     both = by_vector.join(by_text, ["query", key], "full_outer")

@@ -60,6 +60,48 @@ def diversified_search(spark, sf):
     return retrieval.diversify(_fused(spark, sf, 40).withColumn("section", F.col("id") % 4), ["section"], "id", 2, 6).drop("section")
 
 
+#: Vector queries are all rows whose id is divisible by 20; each takes the next of the stated texts.
+_EVERY = 20
+_ALL_VEC = f"""q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {_EVERY} = 0), v AS (SELECT query, vec_id, round(list_dot_product(embedding::DOUBLE[], qv) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity FROM embeddings, q),
+vt AS (SELECT query, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS k FROM v) WHERE k <= 20)"""
+_ALL_HYBRID = f"""{_ALL_VEC}, {_FTS}, tt AS (SELECT query, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, doc_id) AS k FROM ft) WHERE k <= 20),
+qq AS (SELECT q.query, doc_id, rank FROM q JOIN tt ON tt.query = q.query // {_EVERY} % {len(_TEXTS)}),
+fu AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id) AS id, round(0.7 * coalesce(similarity, 0) + 0.3 * coalesce(rank, 0), 6) AS score FROM vt a FULL JOIN qq b ON a.query = b.query AND a.vec_id = b.doc_id)"""
+
+
+def _vector_queries(spark, sf):
+    return load(spark, sf, "embeddings").where(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+def _all_neighbours(spark, sf):
+    return retrieval.vector_neighbours(load(spark, sf, "embeddings"), "vec_id", "embedding", _vector_queries(spark, sf), 20)
+
+
+def _all_fused(spark, sf, k):
+    v = _all_neighbours(spark, sf).withColumnRenamed("vec_id", "id")
+    t = retrieval.full_text(load(spark, sf, "documents"), "doc_id", "text", _texts(spark)).withColumnRenamed("doc_id", "id")
+    t = t.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("rank"), "id"))).where("k <= 20").select(F.col("query").alias("text_no"), "id", "rank")
+    asked = _vector_queries(spark, sf).select("query", (F.floor(F.col("query") / _EVERY) % len(_TEXTS)).alias("text_no"))
+    return retrieval.fuse(v, asked.join(F.broadcast(t), "text_no").drop("text_no"), "id", 0.7, 0.3, k)
+
+
+@query(f"WITH {_ALL_VEC} SELECT query, vec_id, similarity FROM vt")
+def vector_neighbours(spark, sf):
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return _all_neighbours(spark, sf)
+
+
+@query(f"WITH {_ALL_HYBRID} SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 10")
+def hybrid_neighbours(spark, sf):
+    return _all_fused(spark, sf, 10)
+
+
+@query(f"""WITH {_ALL_HYBRID}, g AS (SELECT fu.*, row_number() OVER (PARTITION BY query, id % 4 ORDER BY score DESC, id) AS g FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 40) fu)
+SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM g WHERE g <= 2) WHERE r <= 6""")
+def diversified_neighbours(spark, sf):
+    return retrieval.diversify(_all_fused(spark, sf, 40).withColumn("section", F.col("id") % 4), ["section"], "id", 2, 6).drop("section")
+
+
 @query("WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT label, pos - 1 AS pos, round(avg(x), 5) AS mean FROM u GROUP BY label, pos")
 def label_centroids(spark, sf):
     u = load(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))

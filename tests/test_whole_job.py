@@ -1,8 +1,9 @@
 """Operators that must do the whole job of the reference, on small hand-written inputs."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import dataset, firewall
+from millrace.operators import dataset, firewall, retrieval
 
 
 def test_firewall_makes_all_checks_by_tier(spark):
@@ -29,3 +30,18 @@ def test_gate_fails_without_pairs_or_multi_turn_talks(spark):
     assert failed(rows.limit(999), 0, 100, 0) == {("min_dpo_pairs", True), ("advised_samples", False)}
     assert failed(rows.withColumn("score", F.lit(None).cast("double")), 50, 15, 0) == {("has_scores", False)}
     assert failed(rows.limit(0), 50, 15, 0) == {("min_samples", True)}
+
+
+def test_every_query_has_its_neighbours_over_several_blocks(spark):
+    vectors = np.random.default_rng(3).normal(size=(700, 8))
+    vectors[5:40], vectors[60] = vectors[5], 0.0  # ties and a zero norm
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(700, [1.0]), (701, None)]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = retrieval.vector_neighbours(items, "vec_id", "embedding", items.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 20, block=8).collect()
+    v = np.array([r[1] for r in rows[:700]], np.float32).astype(float)
+    norm = np.sqrt((v * v).sum(axis=1))
+    want = set()
+    for q in range(0, 720, 20):
+        same = [round(float(v[q] @ v[i] / (norm[q] * norm[i])), 6) if q < 700 and norm[q] * norm[i] else 0.0 for i in range(700)] + [1.0 if q == 700 else 0.0]
+        want |= {(q, i, same[i]) for i in sorted(range(701), key=lambda i: (-same[i], i))[:20]} if q <= 700 else set()
+    assert {(r.query, r.vec_id, round(r.similarity, 6)) for r in got} == want and len(got) == len(want) == 36 * 20
