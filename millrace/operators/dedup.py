@@ -47,9 +47,17 @@ def shingles(text: Column) -> Column:
     return F.when(F.size(w) == 0, F.array(F.lit("_empty_"))).otherwise(grams)
 
 
-def minhash(text: Column, permutations: int = 128) -> Column:
+def question_shingles(text: Column) -> Column:
+    """The shingles of the reference's filter: joined by ``_``, a single word as it stands in the text."""
+    w = F.filter(F.split(F.lower(text), r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"), lambda x: x != "")
+    n = F.when(F.size(w) >= 3, 3).otherwise(2)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), "_")))
+    return F.when(F.size(w) == 0, F.array(F.lit("_empty_"))).when(F.size(w) == 1, F.array(F.lower(text))).otherwise(grams)
+
+
+def minhash(text: Column, permutations: int = 128, cut=shingles) -> Column:
     """Signature: for each seed the least md5 of ``seed|shingle``."""
-    return F.transform(F.array(shingles(text)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.array_min(F.transform(s, lambda x: F.md5(F.concat(p.cast("string"), F.lit("|"), x))))))[0]
+    return F.transform(F.array(cut(text)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.array_min(F.transform(s, lambda x: F.md5(F.concat(p.cast("string"), F.lit("|"), x))))))[0]
 
 
 def minhash_pairs(signatures: DataFrame, key: str, bands: int = 16, rows: int = 8, threshold: float = 0.85) -> DataFrame:
@@ -74,3 +82,16 @@ def greedy_keep(items: DataFrame, key: str, pairs: DataFrame, checkpoint) -> Dat
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
         state = checkpoint(state.join(near, key, "left").select(key, decided.alias("kept")))
     return state
+
+
+def near_duplicates(items: DataFrame, key: str, text: str, checkpoint, threshold: float = 0.85) -> DataFrame:
+    """key and kept of every item, in the order of ``key``: dropped if an earlier, kept item shares a band and is similar enough.
+
+    Equal signatures share one decision, on the earliest; so copies make no pairs.  Null texts count as empty.
+    """
+    signed = checkpoint(items.select(key, minhash(F.coalesce(F.col(text), F.lit("")), cut=question_shingles).alias("signature")).withColumn("same", F.md5(F.concat_ws("|", "signature"))))
+    firsts = signed.groupBy("same").agg(F.min(key).alias(key))
+    single = checkpoint(firsts.join(signed.select(key, "signature"), key).select(key, "signature", "same"))
+    kept = greedy_keep(single, key, minhash_pairs(single, key, threshold=threshold), checkpoint)
+    first = single.join(kept, key).select("same", F.col(key).alias("first"), "kept")
+    return signed.select(key, "same").join(first, "same").select(key, (F.col("kept") & (F.col(key) == F.col("first"))).alias("kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize
 from millrace.operators import dedup
 from millrace.plans.core import query
 from millrace.sources.tables import load
@@ -58,6 +59,14 @@ def question_loops(spark, sf):
     return u.join(b, "conv_id").where("t < turn").groupBy("conv_id", "turn").agg(F.max(F.round(near, 6)).alias("nearest"))
 
 
+@query()
+def near_duplicate_questions(spark, sf):
+    """All user questions, in order of conversation and turn, with the greedy filter's decision."""
+    u = load(spark, sf, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn", "text").alias("id"), "text").distinct()
+    found = dedup.near_duplicates(u, "id", "text", lambda d: materialize(d, "near-questions"))
+    return found.select("id.conv_id", "id.turn", "kept")
+
+
 @query("SELECT doc_id, text = (SELECT min(text) FROM documents) AS is_first FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
 def preloaded_ids(spark, sf):
     d = load(spark, sf, "documents")

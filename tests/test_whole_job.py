@@ -1,9 +1,11 @@
 """Operators that must do the whole job of the reference, on small hand-written inputs."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import dataset, firewall, retrieval
+from millrace.operators import dataset, dedup, firewall, retrieval
 
 
 def test_firewall_makes_all_checks_by_tier(spark):
@@ -45,3 +47,31 @@ def test_every_query_has_its_neighbours_over_several_blocks(spark):
         same = [round(float(v[q] @ v[i] / (norm[q] * norm[i])), 6) if q < 700 and norm[q] * norm[i] else 0.0 for i in range(700)] + [1.0 if q == 700 else 0.0]
         want |= {(q, i, same[i]) for i in sorted(range(701), key=lambda i: (-same[i], i))[:20]} if q <= 700 else set()
     assert {(r.query, r.vec_id, round(r.similarity, 6)) for r in got} == want and len(got) == len(want) == 36 * 20
+
+
+def greedy(texts):
+    """The filter one text at a time, as the reference states it."""
+    kept, out = [], []
+    for text in texts:
+        w = text.lower().split()
+        n = 3 if len(w) >= 3 else 2
+        cut = {"_".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) > 1 else {text.lower()} if text.strip() else {"_empty_"}
+        sig = [min(int(hashlib.md5(f"{p}|{s}".encode()).hexdigest(), 16) for s in cut) for p in range(128)]
+        near = any(any(sig[b : b + 8] == k[b : b + 8] for b in range(0, 128, 8)) and sum(x == y for x, y in zip(sig, k, strict=True)) / 128 >= 0.85 for k in kept)
+        if not near:
+            kept.append(sig)
+        out.append(not near)
+    return out
+
+
+def test_near_duplicates_equal_the_greedy_filter(spark):
+    rng, words = np.random.default_rng(5), [f"w{i}" for i in range(60)]
+    texts, base = ["", "  ", "one", "One", " one", "one two", "one  two"], list(rng.choice(words, 60))
+    for i in range(24):  # a chain: each differs a little more from the first one
+        base = [*base]
+        base[-1 - 2 * i], texts = f"new{i}", [*texts, " ".join(base)]
+    texts += texts[8:14] + [" ".join(rng.choice(words, 30))]
+    want = greedy(texts)
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = dict(dedup.near_duplicates(items, "id", "text", lambda d: d.localCheckpoint()).collect())
+    assert [got[i] for i in range(len(texts))] == want and len(set(want[7:31])) == 2
