@@ -5,7 +5,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import dataset, dedup, firewall, retrieval
+from millrace.operators import chunker, dataset, dedup, firewall, retrieval
+from millrace.plans.registry import QUERIES
 
 
 def test_firewall_makes_all_checks_by_tier(spark):
@@ -75,3 +76,37 @@ def test_near_duplicates_equal_the_greedy_filter(spark):
     items = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
     got = dict(dedup.near_duplicates(items, "id", "text", lambda d: d.localCheckpoint()).collect())
     assert [got[i] for i in range(len(texts))] == want and len(set(want[7:31])) == 2
+
+
+def filled(words, most):
+    """Chunks of a text without sentences: as many words as fit."""
+    out = []
+    for w in words:
+        if out and len(out[-1]) + 1 + len(w) <= most:
+            out[-1] += " " + w
+        else:
+            out.append(w)
+    return out
+
+
+def test_long_texts_are_cut_as_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    texts = [["".join(rng.choice(list("abcdeł"), rng.integers(1, 12))) for _ in range(n)] for n in (500, 900, 1500, 2400)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert docs.where("length(text) > 2200").count() == 4
+    got = {}
+    for r in chunker.chunk_documents(docs, "doc_id", "text", overlap=0).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.body)
+    for i, t in enumerate(texts):
+        want = filled(t, 2200)
+        if len(want[-1]) < 250:  # a rest under the least size is no chunk
+            want.pop()
+        assert got[i] == want and len(want) > 1
+
+
+def test_whole_tables_are_taken(spark, tmp_path):
+    spark.createDataFrame([("a", 39), ("a", 40), ("a", 40), ("b", 500)], "event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(3, "c3"), (1002, "c1002")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "s3"), (2, "s6"), (334, "s1002")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {(r.event_type, r.users) for r in QUERIES["union_of_all_arrays"](spark, str(tmp_path)).collect()} == {("a", "39,40"), ("b", "500")}
+    assert {(r.id, r.name) for r in QUERIES["insert_ignore_all"](spark, str(tmp_path)).collect()} == {(3, "c3"), (1002, "c1002"), (6, "s6")}
