@@ -66,10 +66,10 @@ class Chunk:
     def _cuts(text: str) -> list[int]:
         return [i for i in _find_all(text, SPACE) if i and text[i - 1] != SPACE]
 
-    def middle(self, value) -> list:
-        """Values of the units between the two cuts."""
+    def middle(self) -> list[tuple[bytes, int]]:
+        """Ids and scores of the units between the two cuts."""
         units = self.model.units(self.text[self.head + 1 : self.tail].replace(SPACE, " ").encode()) if self.tail > self.head else []
-        known = self.model.remember([units], value)
+        known = self.model.remember([units], self.model.ids_and_scores)
         return [known[u] for u in units]
 
     def _exits(self, best: list[int], base: int) -> list[int]:
@@ -84,7 +84,7 @@ class Chunk:
             return np.array(rows, np.int64)
         head = np.array([self.model.lattice(self.text[: self.head], {d: 0})[0][-1] for d in range(s)], np.int64)
         tail = np.array(self._exits(self.model.lattice(self.text[self.tail :], None, self.body - self.tail)[0], self.tail), np.int64)
-        out = head[:, None] + sum(score for _, score in self.middle(self.model.ids_and_score)) + tail[None, :]
+        out = head[:, None] + sum(score for _, score in self.middle()) + tail[None, :]
         return np.where(out < NEVER // 2, NEVER, out)
 
     def _seeds(self, entry: list[int]) -> dict[int, int]:
@@ -107,8 +107,8 @@ class Chunk:
             return self.model.backtrace(self.text, self.model.lattice(self.text, seeds, self.body), self.body + leave)[0]
         text = self.text[: self.head]
         out = self.model.backtrace(text, self.model.lattice(text, seeds), self.head)[0]
-        for ids, _ in self.middle(self.model.ids_and_score):
-            out.extend(ids)
+        for ids, _ in self.middle():
+            out.extend(np.frombuffer(ids, np.int32).tolist())
         text = self.text[self.tail :]
         out.extend(self.model.backtrace(text, self.model.lattice(text, None, self.body - self.tail), self.body - self.tail + leave)[0])
         return out
@@ -219,7 +219,7 @@ def _short(vocabulary: str, chunk: int):
             texts = text_bytes(batch.column("text"))
             for part in blocks(texts):
                 units = [model.units(t) if t and len(t) < chunk else [] for t in texts[part]]
-                known = model.remember(units, lambda u: np.array(model.ids(u), np.int32).tobytes())
+                known = model.remember(units, lambda us: [ids for ids, _ in model.ids_and_scores(us)])
                 ids = [b"".join(map(known.__getitem__, us)) for us in units]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(part.start, part.stop - part.start), pa.array(ids, pa.binary())], ["row", "ids"])
 

@@ -19,6 +19,9 @@ from __future__ import annotations
 import math
 import re
 import struct
+from collections.abc import Callable
+from itertools import chain
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -104,6 +107,38 @@ def unigram_proto(path: str) -> bytes:
     return bytes(out)
 
 
+#: Units of more characters than this have a lattice of their own; common lattices take about so many characters.
+UNIT, LATTICE = 64, 200_000
+
+
+class Paths(NamedTuple):
+    """Lattices of units side by side; ``first`` and ``last`` are the places of each unit's ends."""
+
+    units: list[str]
+    first: np.ndarray
+    last: np.ndarray
+    best: np.ndarray
+    back: np.ndarray | None
+    count: np.ndarray
+
+    def trace(self, id_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of all best paths, where each unit's begin, and the units (perhaps repeated) with an unknown character."""
+        steps, unit, place = [], np.arange(len(self.units)), self.last
+        n = np.zeros(len(self.units), np.int64)
+        while len(unit):
+            won = self.back[place]
+            steps.append((unit, (won & (1 << id_bits) - 1) - 1))
+            n[unit] += 1
+            place = place - (won >> id_bits)
+            alive = place > self.first[unit]
+            unit, place = unit[alive], place[alive]
+        cuts = np.concatenate(([0], np.cumsum(n)))
+        ids = np.empty(cuts[-1], np.int64)
+        for k, (unit, piece) in enumerate(steps):
+            ids[cuts[unit + 1] - 1 - k] = piece
+        return ids, cuts, np.concatenate([u[p < 0] for u, p in steps]) if steps else unit
+
+
 class Unigram:
     """Encoder, counter and decoder.  Strings here are marked: spaces are already space marks."""
 
@@ -122,11 +157,15 @@ class Unigram:
         self.unknown_score = int(min(s for _, _, s in normal)) - 10
         self.longest = max(len(p) for _, p, _ in normal)
         self.single = {p for _, p, _ in normal if len(p) == 1}
-        self.matcher = ahocorasick.Automaton()
-        for i, p, s in normal:
-            self.matcher.add_word(p, (i, len(p), int(s)))
+        self.piece_size = np.array([len(p) for p, _, _ in pieces], np.int64)
+        self.piece_score = np.array(own, np.float64).astype(np.int64)
+        self.size_of, self.score_of = self.piece_size.tolist(), self.piece_score.tolist()
+        self.id_bits = len(pieces).bit_length()
+        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, p, _ in normal:
+            self.matcher.add_word(p, i)
         self.matcher.make_automaton()
-        self.limit, self.memory = limit, {}
+        self.limit, self.memory, self.passing = limit, {}, ()
 
     def lattice(self, text: str, seeds: dict[int, int] | None = None, stop: int | None = None, strict: bool = False) -> tuple[list[int], list[int], list[int]]:
         """Best score, id and start of the last piece for each end position.
@@ -153,14 +192,15 @@ class Unigram:
                 done += 1
 
         # the automaton reports ends in ascending order, at each end the longest piece first: the earliest start wins ties
-        for end, (i, size, score) in self.matcher.iter(text):
+        size_of, score_of = self.size_of, self.score_of
+        for end, i in self.matcher.iter(text):
             end += 1
             if end > done + 1:
                 gaps(end - 1)
-            at = end - size
+            at = end - size_of[i]
             if at < 0 or at >= stop or end in fixed or best[at] == _NEVER:
                 continue
-            s = best[at] + score
+            s = best[at] + score_of[i]
             if s > best[end] or (s == best[end] and at < start[end]):
                 best[end], last[end], start[end] = s, i, at
             if done < end - 1:
@@ -189,13 +229,119 @@ class Unigram:
         return self.backtrace(text, lattice, len(text))[0], lattice[0][-1]
 
     def count(self, text: str) -> tuple[int, int]:
-        """Number of ids and score of the best path, carried along the lattice without any backtrace."""
-        best, last, start = self.lattice(text)
-        n = [0] * len(best)
-        for end in range(1, len(best)):
-            if (at := start[end]) >= 0:
-                n[end] = n[at] + (len(text[at:end].encode()) if last[end] == self.unknown_id and self.byte_id else 1)
-        return n[-1], best[-1]
+        """Number of ids and score of the best path: both are carried along the text, without back pointers or ids."""
+        n, unknown, single = len(text), self.unknown_score, self.single
+        best, count = [_NEVER] * (n + 1), [0] * (n + 1)
+        best[0], done, size_of, score_of = 0, 0, self.size_of, self.score_of
+
+        def gaps(upto: int) -> None:
+            nonlocal done
+            while done < upto:
+                if text[done] not in single and best[done] + unknown > best[done + 1]:
+                    best[done + 1] = best[done] + unknown
+                    count[done + 1] = count[done] + (len(text[done].encode()) if self.byte_id else 1)
+                done += 1
+
+        # the longest piece of an end comes first, the unknown character last: what comes later must be better to win
+        for end, i in self.matcher.iter(text):
+            end += 1
+            if end > done + 1:
+                gaps(end - 1)
+            at = end - size_of[i]
+            if (s := best[at] + score_of[i]) > best[end]:
+                best[end], count[end] = s, count[at] + 1
+        gaps(n)
+        return count[n], best[n]
+
+    def counts(self, units: list[str]) -> list[tuple[int, int]]:
+        """``count`` of many independent units."""
+        return self._many(units, self.count, lambda paths: list(zip(paths.count[paths.last].tolist(), paths.best[paths.last].tolist(), strict=True)), False)
+
+    def ids_and_scores(self, units: list[str]) -> list[tuple[bytes, int]]:
+        """Ids (int32 bytes) and score of many independent units."""
+
+        def one(unit: str) -> tuple[bytes, int]:
+            ids, score = self.ids_and_score(unit)
+            return np.array(ids, np.int32).tobytes(), score
+
+        def traced(paths: Paths) -> list[tuple[bytes, int]]:
+            ids, cuts, unknown = paths.trace(self.id_bits)
+            raw, score = ids.astype(np.int32).tobytes(), paths.best[paths.last].tolist()
+            out = [(raw[4 * a : 4 * b], s) for a, b, s in zip(cuts[:-1].tolist(), cuts[1:].tolist(), score, strict=True)]
+            for u in np.unique(unknown).tolist():
+                out[u] = one(paths.units[u])
+            return out
+
+        return self._many(units, one, traced, True)
+
+    def _many(self, units: list[str], one: Callable, of_paths: Callable, traced: bool) -> list:
+        """Values of units: those of usual length through common lattices of bounded size, the others one by one."""
+
+        def close() -> None:
+            for at, v in zip(block, of_paths(self._paths([units[b] for b in block], traced)), strict=True):
+                out[at] = v
+
+        out: list = [None] * len(units)
+        block, size = [], 0
+        for k, unit in enumerate(units):
+            if len(unit) > UNIT or unit.endswith(SPACE):
+                out[k] = one(unit)
+                continue
+            block.append(k)
+            size += len(unit)
+            if size >= LATTICE:
+                close()
+                block, size = [], 0
+        if block:
+            close()
+        return out
+
+    def _paths(self, units: list[str], traced: bool) -> Paths:
+        """The lattices of many units side by side: one automaton run, then one step for each length of a prefix.
+
+        No piece crosses from one unit into the next, since only its first character can be a space mark.
+        """
+        text = "".join(units)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        found = np.fromiter(chain.from_iterable(self.matcher.iter(text)), np.int64).reshape(-1, 2)
+        last, piece = found[:, 0], found[:, 1]  # place of a piece's last character
+        single = np.zeros(len(text), bool)
+        single[last[self.piece_size[piece] == 1]] = True
+        unknown = np.flatnonzero(~single)
+        if len(unknown):
+            last, piece = np.concatenate((last, unknown)), np.concatenate((piece, np.full(len(unknown), -1)))
+            order = np.argsort(last, kind="stable")
+            last, piece = last[order], piece[order]
+        size = np.where(piece < 0, 1, self.piece_size[piece])
+        score = np.where(piece < 0, self.unknown_score, self.piece_score[piece])
+        unit = np.repeat(np.arange(len(units)), sizes)
+        start = np.cumsum(sizes) - sizes
+        depth = last + 1 - start[unit[last]]  # characters of the unit up to the piece's end
+        order = np.argsort(depth.astype(np.uint8), kind="stable")
+        depth, last, score, size = depth[order], last[order], score[order], size[order]
+        low = size << self.id_bits | (piece[order] + 1)
+        place = last + 1 + unit[last]  # a unit of n characters has n + 1 places
+        groups = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        ends = place[groups]
+        more = np.zeros(len(text) + len(units), np.int64)
+        if len(unknown) and self.byte_id:
+            more[unknown + 1 + unit[unknown]] = [len(text[k].encode()) - 1 for k in unknown.tolist()]
+        best, count = (np.zeros(len(text) + len(units), np.int64) for _ in range(2))
+        back = np.zeros_like(best) if traced else None
+        bits = self.id_bits + 8
+        steps = np.searchsorted(depth, np.arange(1, int(sizes.max(initial=0)) + 2))
+        of_step = np.searchsorted(groups, steps)
+        for a, b, g, h in zip(steps[:-1].tolist(), steps[1:].tolist(), of_step[:-1].tolist(), of_step[1:].tolist(), strict=True):
+            value = (best[place[a:b] - size[a:b]] + score[a:b] << bits) + low[a:b]  # among equal scores the longest piece wins
+            value = np.maximum.reduceat(value, groups[g:h] - a)
+            end, won = ends[g:h], value & (1 << bits) - 1
+            length = won >> self.id_bits
+            best[end] = value >> bits
+            if traced:
+                back[end] = won
+            count[end] = count[end - length] + 1 + np.where(won & (1 << self.id_bits) - 1, 0, more[end])
+        first = start + np.arange(len(units))
+        return Paths(units, first, first + sizes, best, back, count)
 
     def units(self, text: bytes) -> list[bytes]:
         """The independent units of a text with its added first space; spaces are still spaces."""
@@ -211,17 +357,15 @@ class Unigram:
         s = unit.decode().replace(" ", SPACE)
         return s if s.startswith(SPACE) else SPACE + s
 
-    def remember(self, units: list[list[bytes]], value) -> dict:
-        """Values of all units, from memory or by ``value(marked string)``."""
+    def remember(self, units: list[list[bytes]], values: Callable[[list[str]], list]) -> dict:
+        """Values of all units, from memory or by ``values(marked strings)``; they hold until the next call."""
         known = self.memory
+        for unit in self.passing:  # of the last call: the memory was full
+            del known[unit]
         missing = set().union(*units).difference(known)
-        if not missing:
-            return known
-        fresh = {u: value(self.mark(u)) for u in missing}
-        if len(known) < self.limit:
-            known.update(fresh)
-            return known
-        return {u: fresh[u] if u in fresh else known[u] for us in units for u in us}
+        known.update(zip(missing, values([self.mark(u) for u in missing]), strict=True))
+        self.passing = missing if len(known) > self.limit else ()
+        return known
 
     def decode(self, ids) -> str:
         """Text of ids: bytes are joined, space marks become spaces, the added first space goes."""
