@@ -8,7 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode a temporary one where it is unset."""
     try:
         path = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # an unset key raises in the session's configuration
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,14 +44,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _written:
+    for name, spark in _tables.items():
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: S110  the session is already gone
+            pass
+    for path, spark in _written.items():
         try:
             _delete(spark, path)
         except Exception:  # noqa: S110  the session is already gone; the cluster's own retention applies
             pass
 
 
-def materialize(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, key: str | Sequence[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there and survives lost executors.
 
     With ``key`` (by which ``df`` is partitioned already) the files are buckets of it: joins on it move the other side only.
@@ -56,15 +64,27 @@ def materialize(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     spark = df.sparkSession
     tag = f"millrace-{name}-{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{tag}"
-    _written.append((spark, path))
+    _written[path] = spark
     if key:
-        saved = tag.replace("-", "_")
-        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(saved)
+        saved, keys = tag.replace("-", "_"), [key] if isinstance(key, str) else key
+        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(saved)
+        _tables[saved] = spark
     else:
         df.write.option("compression", "zstd").parquet(path)
     del df
     release(spark)
-    return spark.table(saved) if key else spark.read.parquet(path)
+    out = spark.table(saved) if key else spark.read.parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing will read any more."""
+    for frame in frames:
+        path = frame._millrace_path
+        spark = _written.pop(path, None)
+        if spark:
+            _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -4,24 +4,29 @@ Removed is every byte covered by a ``length``-byte string that also starts anywh
 moves hundreds of times its size, so only suffixes that can matter are sorted, and none that matters is left out:
 
 1. Anchors.  Every window of ``length`` bytes selects its least ``gram``-byte hash (leftmost among equals).  Equal windows select
-   the same place, so a repeated window's anchor hash occurs twice.  Consecutive windows with one anchor form its context,
-   which has a hash of its own.  One aggregation by (anchor hash, context hash) tells which contexts repeat as a whole and which
-   anchors occur in several contexts.
-2. Suspects.  A context that repeats is one suffix (its first window's, as long as the context).  Where an anchor has several
-   contexts, windows of different contexts may agree.  One place of each context is then sorted twice, by what follows the
-   anchor and by what precedes it, read backwards; the common prefixes with its neighbours bound how far any other place agrees
-   with it on either side, and only the windows within both bounds become suspects.
-3. Sort.  A task sorts its suspects' suffixes, merges equal ones, front-codes the run (length of the prefix shared with the
-   predecessor, then the rest) and deals it by splitters.  A range's runs are merged by a loser tree that keeps each head's
-   common prefix with the last output: heads with different values are ordered without looking at a byte, others are compared
-   from there on.  A suffix that shares ``length`` bytes or more with a neighbour covers that prefix: the bytes decide.
+   the same place, so a repeated window's anchor hash occurs twice.  Consecutive windows with one anchor form its context.
+   One aggregation by anchor tells which occur at several places; one by (anchor, 128-bit hash of the context's bytes) tells
+   which contexts repeat as a whole, and which anchors have several contexts, whose windows may agree in part.
+2. Sides.  Where an anchor has several contexts, one place of each is sorted twice: by what follows the anchor, and by what
+   precedes it, read backwards.  The common prefixes with its neighbours bound how far any other context agrees on either side.
+   Two contexts agree backwards for exactly one of the common prefixes that neighbours of the second sort have (the least
+   between them); these are the anchor's levels, at most as many as a context has windows.
+3. Suffixes.  Sorted are, for a whole context, two of its places; and for one place of each of several contexts, the suffixes that
+   begin a level before the anchor, within both bounds.  Contexts that agree on a window agree from one level on, where both have a
+   suffix; so neighbours in this order give each suffix its longest repeated prefix.  A prefix of ``length`` bytes or more is covered:
+   the bytes decide.  The other places of a whole context whose suffix is found to repeat are covered by its hash.
 4. Removal.  Covered runs are cut out.
 
-Skew: equal texts are one text throughout (with a copy, all of a text of ``length`` bytes goes); equal suffixes of one task leave it
-once; so a hot passage costs each task one entry.  Aggregations combine before the shuffle; the joins may be split.
+Sort.  A task sorts its suffixes, merges equal ones, front-codes the run (length of the prefix shared with the predecessor, then
+the rest) and deals it by splitters.  A range's runs are merged by a loser tree that keeps each head's common prefix with the last
+output: heads with different values are ordered without looking at a byte, others are compared from there on.
+
+Skew: equal texts are one text from the start (with a copy, all of a text of ``length`` bytes goes); a context that repeats any
+number of times is sorted at two places; equal suffixes of one task leave it once.  Aggregations combine before the shuffle; the
+joins may be split.
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; rows that repeat a doc_id are documents of
-their own; null ids are kept; other columns are ignored.
+their own; null ids are kept; other columns are ignored.  Texts are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -35,17 +40,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, mix64, require_columns, text_bytes
+from millrace.llm.common import discard, materialize, mix64, require_columns, text_bytes
 
-LENGTH, GRAM, RUN_BYTES, SEGMENT = 200, 40, 48 << 20, 1 << 19
+LENGTH, GRAM, RUN_BYTES, SEGMENT = 200, 40, 48 << 20, 1 << 16
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _X = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_X, -1, 1 << 64)
 
+#: A text's key: two 64-bit hashes.
+KEY = ("n1", "n2")
+#: What a suffix carries: its text's key, its anchor and its place.
+TAG = np.dtype([("n1", "<i8"), ("n2", "<i8"), ("anchor", "<i8"), ("place", "<i8")])
+_PACKED = "<qqqq"
+
 
 class Powers:
     """x**i and x**-i modulo 2**64."""
@@ -70,62 +81,60 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def anchors(text: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchor hash, context hash, first window, last window and anchor's place of each context."""
-    parts = []
-    for base in range(0, max(len(text) - length + 1, 0), SEGMENT):
-        piece = text[base : base + SEGMENT + length - 1]
-        n = len(piece)
-        powers.grow(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[np.frombuffer(piece, np.uint8)] * powers.up[:n], out=sums[1:])
-        h = mix64((sums[gram:] - sums[: n + 1 - gram]) * powers.down[: n + 1 - gram])
-        place = np.uint64((1 << 20) - 1)
-        least = sliding_min((h & ~place) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
-        chosen = (least & place).astype(np.int64)
-        first = np.concatenate(([0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1))
-        last = np.concatenate((first[1:], [len(chosen)])) - 1
-        at = chosen[first]
-        ends = last + length
-        context = mix64((sums[ends] - sums[first]) * powers.down[first] + (ends - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (at - first).astype(np.uint64))
-        parts.append((h[at], context, first + base, last + base, at + base))
-    if not parts:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
-    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or b"" for t in text_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([text_number(t) for t in texts], pa.int64())],
-            ["doc_id", "text_key", "n_bytes", "sha256", "number"],
-        )
-
-
-def text_number(text: bytes) -> int:
-    """64-bit number of a text; Spark's xxhash64 gives the same."""
-    n = xxhash.xxh64_intdigest(text, 42)
-    return n - (n >> 63 << 64)
+def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Blocks of (text, base, bytes) of about SEGMENT bytes that hold every window of every text once."""
+    block, size = [], 0
+    for k, text in enumerate(texts):
+        for base in range(0, max(len(text) - length + 1, 0), SEGMENT):
+            block.append((k, base, text[base : base + SEGMENT + length - 1]))
+            size += len(block[-1][2])
+            if size >= SEGMENT:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
+
+
+def anchors(block: list[tuple[int, int, bytes]], powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a block, and of each context: its piece, anchor hash, first window, last window and anchor's place (in these bytes), and what to add for places in the text."""
+    data = b"".join([p for _, _, p in block])
+    n = len(data)
+    powers.grow(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * powers.up[:n], out=sums[1:])
+    h = mix64((sums[gram:] - sums[: n + 1 - gram]) * powers.down[: n + 1 - gram])
+    low = np.uint64((1 << 20) - 1)
+    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
+    ends = np.cumsum([len(p) for _, _, p in block])
+    inside = np.ones(len(least), bool)  # windows that lie in one piece
+    inside[(ends[:-1, None] - np.arange(1, length)).ravel()] = False
+    starts = np.flatnonzero(inside)
+    chosen = (least[starts] & low).astype(np.int64)
+    begins = np.concatenate(([0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1))
+    first, last, at = starts[begins], starts[np.concatenate((begins[1:], [len(chosen)])) - 1], chosen[begins]
+    piece = np.searchsorted(ends, first, "right")
+    shift = np.array([b for _, b, _ in block], np.int64) - np.concatenate(([0], ends[:-1]))
+    return data, piece, h[at], first, last, at, shift[piece]
 
 
 def _anchors(length: int, gram: int, counting: bool):
-    names = ["anchor", "place"] if counting else ["anchor", "context", "number", "span"]
+    names = ["anchor", "place"] if counting else ["anchor", "c1", "c2", "n1", "n2", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
+            n1, n2 = (batch.column(k).to_numpy() for k in KEY)
             held, size = [], 0
-            for text in text_bytes(batch.column("text")):
-                if text is None or len(text) < length:
-                    continue
-                a, c, first, last, at = anchors(text, powers, length, gram)
-                number = text_number(text)
+            for block in pieces(text_bytes(batch.column("text")), length):
+                data, piece, a, first, last, at, shift = anchors(block, powers, length, gram)
+                text = np.array([k for k, _, _ in block], np.int64)[piece]
                 if counting:
-                    place = mix64(first.astype(np.uint64) + mix64(np.array([number & (1 << 64) - 1], np.uint64)))
+                    place = mix64((first + shift).astype(np.uint64) + mix64(n1[text].view(np.uint64)))
                     held.append((a.view(np.int64), place.view(np.int64)))
                 else:
-                    held.append((a.view(np.int64), c.view(np.int64), np.full(len(a), number, np.int64), first << 16 | (last - first) << 8 | (at - first)))
+                    digest = b"".join([xxhash.xxh3_128_digest(data[f:e]) for f, e in zip(first.tolist(), (last + length).tolist(), strict=True)])
+                    c = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                    held.append((a.view(np.int64), c[:, 0], c[:, 1], n1[text], n2[text], (first + shift) << 16 | (last - first) << 8 | (at - first)))
                 size += len(a)
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
@@ -136,29 +145,29 @@ def _anchors(length: int, gram: int, counting: bool):
     return run
 
 
-def suspects(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """number (of a text), span, whole (the context repeats) and several (its windows may) of every context to sort.
+def places_of(span: int) -> tuple[int, int, int]:
+    """First window, last window and anchor's place; a span packs place << 16 | further windows << 8 | anchor's distance."""
+    first = span >> 16
+    return first, first + (span >> 8 & 255), first + (span & 255)
+
+
+def shared_contexts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """Places (anchor, c1, c2, n1, n2, span) whose anchor occurs elsewhere too, and their contexts.
 
-    span packs the first window's place, the number of further windows and the anchor's distance: place << 16 | n << 8 | d.
+    A context (anchor, c1, c2) has one of its places, another where it is ``whole`` (repeats), and whether its anchor has ``several``.
     """
     if length - gram > 255:
         raise ValueError("a context may hold 256 windows at most: raise gram")
-    places = docs.mapInArrow(_anchors(length, gram, True), "anchor long, place long")
-    shared = materialize(places.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a < z").select("anchor"), "anchors")
-    again = docs.mapInArrow(_anchors(length, gram, False), "anchor long, context long, number long, span long")
+    once = texts.mapInArrow(_anchors(length, gram, True), "anchor long, place long")
+    shared = materialize(once.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a < z").select("anchor"), "anchors")
+    again = texts.mapInArrow(_anchors(length, gram, False), "anchor long, c1 long, c2 long, n1 long, n2 long, span long")
     found = materialize(again.join(shared, "anchor", "left_semi"), "contexts")
-    one = F.struct("number", "span")
-    contexts = found.groupBy("anchor", "context").agg(F.min(one).alias("one"), F.max(one).alias("other"))
-    several = contexts.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
-    flagged = contexts.select("anchor", "context", (F.col("one") < F.col("other")).alias("whole"), "one").join(several, "anchor").where("whole or several")
-    rows = found.join(flagged, ["anchor", "context"]).select("number", "span", "whole", (F.col("several") & (F.col("number") == F.col("one.number")) & (F.col("span") == F.col("one.span"))).alias("several"))
-    return rows.where("whole or several").distinct()
-
-
-def places_of(span: int) -> tuple[int, int, int]:
-    """First window, last window and anchor's place."""
-    first = span >> 16
-    return first, first + (span >> 8 & 255), first + (span & 255)
+    discard(shared)
+    one = F.struct("n1", "n2", "span")
+    contexts = materialize(found.groupBy("anchor", "c1", "c2").agg(F.min(one).alias("one"), F.max(one).alias("other")).withColumn("whole", F.col("one") < F.col("other")), "distinct")
+    several = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("several")), "several")
+    flagged = contexts.join(several, "anchor", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    return found, flagged.where("whole or several")
 
 
 def common_prefix(a: bytes, b: bytes, at: int) -> int:
@@ -168,32 +177,33 @@ def common_prefix(a: bytes, b: bytes, at: int) -> int:
     return n - (differs.bit_length() + 7) // 8
 
 
-def front_code(entries: list[tuple[bytes, int, int]]) -> bytes:
-    """Sorted distinct (suffix, number, place) as one front-coded run; place -1: repeated already."""
+def front_code(entries: list[tuple[bytes, bytes]]) -> bytes:
+    """Sorted (suffix, tag) as one front-coded run."""
     out, last = [], b""
-    for s, number, place in entries:
+    for s, tag in entries:
         shared = common_prefix(last, s, 0)
-        out.append(struct.pack("<HHqi", shared, len(s) - shared, number, place))
+        out.append(struct.pack("<HH", shared, len(s) - shared))
+        out.append(tag)
         out.append(s[shared:])
         last = s
     return b"".join(out)
 
 
-def read_run(run: bytes) -> Iterator[tuple[bytes, int, int, int]]:
-    """(suffix, prefix shared with the predecessor, number, place)."""
-    at, last, head = 0, b"", struct.Struct("<HHqi")
+def read_run(run: bytes) -> Iterator[tuple[bytes, int, bytes]]:
+    """(suffix, prefix shared with the predecessor, tag)."""
+    at, last, head, size = 0, b"", struct.Struct("<HH"), TAG.itemsize
     while at < len(run):
-        shared, rest, number, place = head.unpack_from(run, at)
-        at += head.size
+        shared, rest = head.unpack_from(run, at)
+        at += 4 + size
         last = last[:shared] + run[at : at + rest]
+        yield last, shared, run[at - size : at]
         at += rest
-        yield last, shared, number, place
 
 
 class LoserTree:
     """Merges front-coded runs in order; known common prefixes are never compared again."""
 
-    def __init__(self, runs: list[Iterator[tuple[bytes, int, int, int]]]):
+    def __init__(self, runs: list[Iterator[tuple[bytes, int, bytes]]]):
         self.runs = runs
         self.heads = [next(r, None) for r in runs]
         # common prefix of each head with the last output (nothing yet: 0)
@@ -229,11 +239,11 @@ class LoserTree:
         self.losers[node] = lose
         return win
 
-    def __iter__(self) -> Iterator[tuple[bytes, int, int, int]]:
-        """(suffix, prefix shared with the last output, number, place) in order."""
+    def __iter__(self) -> Iterator[tuple[bytes, int, bytes]]:
+        """(suffix, prefix shared with the last output, tag) in order."""
         while (k := self.winner) >= 0 and self.heads[k] is not None:
-            s, _, number, place = self.heads[k]
-            yield s, self.shared[k], number, place
+            s, _, tag = self.heads[k]
+            yield s, self.shared[k], tag
             self.heads[k] = head = next(self.runs[k], None)
             self.shared[k] = head[1] if head else 0
             node = (k + self.size) // 2
@@ -243,39 +253,50 @@ class LoserTree:
             self.winner = k
 
 
-def reaches(runs: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(number, place, greatest prefix shared with a neighbour) of all shipped suffixes of a range."""
-    number, place, best = 0, -1, 0
-    for _, shared, n, p in LoserTree([read_run(r) for r in runs]):
-        if place >= 0:
-            yield number, place, max(best, shared)
-        number, place, best = n, p, shared
-    if place >= 0:
-        yield number, place, best
-
-
-def sides(row: dict, length: int, gram: int) -> Iterator[tuple[bytes, int, int]]:
-    """What follows and what precedes the anchor of contexts that share it; the place holds the side in its last bit."""
-    text, number = row["text"].encode(), row["number"]
-    for r in row["rows"]:
-        if r["several"]:
+def reaches(runs: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
+    """(tag, prefix shared with the predecessor, greatest prefix shared with a neighbour) of all suffixes of a range."""
+    last, before = None, 0
+    for _, shared, tag in LoserTree([read_run(r) for r in runs]):
+        if last is not None:
+            yield last, before, max(before, shared)
+        last, before = tag, shared
+    if last is not None:
+        yield last, before, before
+
+
+def _lists(column: pa.Array) -> Iterator[list[dict]]:
+    """Values of a list-of-struct column, null as an empty list."""
+    for value in column:
+        yield value.as_py() or []
+
+
+def sides(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[bytes, bytes]]:
+    """What follows and what precedes the anchor of one place of each of several contexts; the place holds the side in its last bit."""
+    texts, keys = text_bytes(batch.column("text")), zip(*(batch.column(k).to_pylist() for k in KEY), strict=True)
+    for text, (n1, n2), rows in zip(texts, keys, _lists(batch.column("rows")), strict=True):
+        for r in rows:
+            if r["several"]:
+                first, last, at = places_of(r["span"])
+                yield b"R" + text[at : last + length], struct.pack(_PACKED, n1, n2, r["anchor"], 2 * first)
+                yield b"L" + text[first : at + gram][::-1], struct.pack(_PACKED, n1, n2, r["anchor"], 2 * first + 1)
+
+
+def suffixes(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[bytes, bytes]]:
+    """Whole contexts, and what begins a level before the anchor, within both bounds."""
+    texts, keys = text_bytes(batch.column("text")), zip(*(batch.column(k).to_pylist() for k in KEY), strict=True)
+    for text, (n1, n2), rows, bounds in zip(texts, keys, _lists(batch.column("rows")), _lists(batch.column("bounds")), strict=True):
+        spans = {}
+        for r in rows:
             first, last, at = places_of(r["span"])
-            yield b"R" + text[at : last + length], number, 2 * first
-            yield b"L" + text[first : at + gram][::-1], number, 2 * first + 1
-
-
-def windows(row: dict, length: int, gram: int) -> Iterator[tuple[bytes, int, int]]:
-    """Whole contexts, and single windows within both bounds."""
-    text, number = row["text"].encode(), row["number"]
-    reach = {s["place"]: s["reach"] for s in row.get("reaches") or ()}
-    for r in row["rows"]:
-        first, last, at = places_of(r["span"])
-        if r["whole"]:
-            yield text[first : last + length], number, first
-        if r["several"]:
-            right, left = reach.get(2 * first, 0) - 1, reach.get(2 * first + 1, 0) - 1 - gram
-            for p in range(max(first, at - left), min(last, at + right - length) + 1):
-                yield text[p : p + length], number, p
+            spans[first] = last, at
+            if r["whole"]:
+                yield text[first : last + length], struct.pack(_PACKED, n1, n2, r["anchor"], first)
+        for b in bounds:
+            last, at = spans[b["first"]]
+            for level in b["levels"]:
+                p = at - level
+                if level <= b["before"] and p <= last and level + b["after"] >= length:
+                    yield text[p : last + length], struct.pack(_PACKED, n1, n2, b["anchor"], p)
 
 
 def _sample(entries, length: int, gram: int, each: int):
@@ -283,8 +304,8 @@ def _sample(entries, length: int, gram: int, each: int):
         best: list[tuple[int, bytes]] = []
         for batch in batches:
             for i in range(0, batch.num_rows, 16):  # splitters only need to be about even
-                for s, number, place in entries(batch.slice(i, 1).to_pylist()[0], length, gram):
-                    best.append((hash((number, place)), s[:24]))
+                for s, tag in entries(batch.slice(i, 1), length, gram):
+                    best.append((hash(tag), s[: min(gram, 24)]))  # what shares a gram shares a range
                 if len(best) > 20 * each:
                     best = sorted(best)[:each]
         yield pa.RecordBatch.from_arrays([pa.array([s for _, s in sorted(best)[:each]], pa.binary())], ["prefix"])
@@ -292,54 +313,44 @@ def _sample(entries, length: int, gram: int, each: int):
     return run
 
 
-def coalesce(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(number, place, size) with overlapping and touching spans of a text joined."""
-    out: list[tuple[int, int, int]] = []
-    for number, place, size in sorted(spans):
-        if out and out[-1][0] == number and place <= out[-1][1] + out[-1][2]:
-            n, p, z = out[-1]
-            out[-1] = (n, p, max(z, place + size - p))
-        else:
-            out.append((number, place, size))
-    return out
+_FOUND = "n1 long, n2 long, anchor long, place long, low int, reach int"
+
 
+def _found(tags: list[bytes], low: list[int], reach: list[int]) -> list[pa.Array]:
+    t = np.frombuffer(b"".join(tags), TAG)
+    return [pa.array(np.ascontiguousarray(t[k])) for k in TAG.names] + [pa.array(low, pa.int32()), pa.array(reach, pa.int32())]
 
-def _runs(entries, length: int, gram: int, run_bytes: int, splitters: list[bytes], covers: bool):
-    names = ["range", "run", "number", "place", "reach"]
+
+def _runs(entries, length: int, gram: int, run_bytes: int, splitters: list[bytes]):
+    names = ["range", "run", *(f.split()[0] for f in _FOUND.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, int]] = []
+        held: list[tuple[bytes, bytes]] = []
         size = 0
 
         def close() -> Iterator[pa.RecordBatch]:
             held.sort()
-            sure, ranges, k = [], {}, 0
+            tags, sizes, ranges, k = [], [], {}, 0
             while k < len(held):
-                j = k + 1
-                while j < len(held) and held[j][0] == held[k][0]:
+                s, j = held[k][0], k + 1
+                while j < len(held) and held[j][0] == s:
                     j += 1
-                s, number, place = held[k]
-                mine = ranges.setdefault(bisect_right(splitters, s), [])
-                if j > k + 1 and any(h[1:] != held[k][1:] for h in held[k + 1 : j]):
-                    sure += [(n, p, len(s)) for _, n, p in held[k:j]]
-                    mine.append((s, number, -1))  # once for all of them: neighbours still meet it
-                else:
-                    mine.append((s, number, place))
+                ranges.setdefault(bisect_right(splitters, s), []).append(held[k])  # once for all: neighbours still meet it
+                if j > k + 1 and len(same := {tag for _, tag in held[k:j]}) > 1:
+                    tags += same
+                    sizes += [len(s)] * len(same)
                 k = j
             held.clear()
             blobs = [(b, zstandard.compress(front_code(es), 3)) for b, es in ranges.items()]
-            if covers:
-                sure = coalesce(sure)
-            if sure:  # dealt out evenly, to be passed on
-                own = [-1 - (k % 64) for k in range(len(sure))]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.nulls(len(sure), pa.binary())] + [pa.array([t[i] for t in sure], pa.int64()) for i in range(3)], names)
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())] + [pa.nulls(len(blobs), pa.int64())] * 3, names)
+            if tags:  # known already: they are passed on
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(tags), pa.int32()), pa.nulls(len(tags), pa.binary()), *_found(tags, sizes, sizes)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())] + [pa.nulls(len(blobs), pa.int64())] * 4 + [pa.nulls(len(blobs), pa.int32())] * 2, names)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                for e in entries(batch.slice(i, 1).to_pylist()[0], length, gram):
+            for at in range(0, batch.num_rows, 64):
+                for e in entries(batch.slice(at, 64), length, gram):
                     held.append(e)
-                    size += len(e[0]) + 100
+                    size += len(e[0]) + 150
                     if size > run_bytes:
                         yield from close()
                         size = 0
@@ -349,28 +360,30 @@ def _runs(entries, length: int, gram: int, run_bytes: int, splitters: list[bytes
     return run
 
 
-def _merge(least: int, covers: bool):
+def _merge(least: int):
     def run(table):
-        if table.column("run").null_count:
-            return table.select(["number", "place", "reach"])
-        found = [f for f in reaches([zstandard.ZstdDecompressor().decompress(r) for r in table.column("run").to_pylist()]) if f[2] >= least]
-        if covers:
-            found = coalesce(found)
-        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["number", "place", "reach"])
+        tags, lows, best = [], [], []
+        for tag, low, reach in reaches([zstandard.ZstdDecompressor().decompress(r) for r in table.column("run").to_pylist()]):
+            if reach >= least:
+                tags.append(tag)
+                lows.append(low)
+                best.append(reach)
+        return pa.table(_found(tags, lows, best), names=[f.split()[0] for f in _FOUND.split(", ")])
 
     return run
 
 
-def sort_suffixes(texts: DataFrame, entries, length: int, gram: int, run_bytes: int, least: int, sampled: DataFrame | None = None) -> DataFrame:
-    """number, place and reach (greatest prefix shared with another) of the suffixes that ``entries`` gives for each row.
-
-    With ``least`` above 0 shorter reaches are dropped and what is left is joined to covered spans (place, reach).
-    """
+def sort_suffixes(texts: DataFrame, entries, length: int, gram: int, run_bytes: int, least: int, name: str) -> DataFrame:
+    """Key, anchor, place, low (prefix shared with the predecessor) and reach (greatest prefix shared with another) of the suffixes that
+    ``entries`` gives, where the reach is ``least`` at least."""
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    sample = sorted(bytes(r[0]) for r in (sampled or texts).mapInArrow(_sample(entries, length, gram, 200), "prefix binary").collect())  # 200 a task
+    sample = sorted(bytes(r[0]) for r in texts.mapInArrow(_sample(entries, length, gram, 200), "prefix binary").collect())  # 200 a task
     splitters = sorted({sample[len(sample) * k // (4 * parts)] for k in range(1, 4 * parts)}) if sample else []
-    runs = texts.mapInArrow(_runs(entries, length, gram, run_bytes, splitters, least > 0), "range int, run binary, number long, place long, reach long")
-    return runs.groupBy("range").applyInArrow(_merge(least, least > 0), "number long, place long, reach long")
+    runs = materialize(texts.mapInArrow(_runs(entries, length, gram, run_bytes, splitters), f"range int, run binary, {_FOUND}"), f"{name}-runs")
+    merged = runs.where("run is not null").select("range", "run").groupBy("range").applyInArrow(_merge(least), _FOUND)
+    out = materialize(merged.unionByName(runs.where("run is null").drop("range", "run")), name)
+    discard(runs)
+    return out
 
 
 def cut(text: bytes, covered: Iterable[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -390,43 +403,68 @@ def cut(text: bytes, covered: Iterable[tuple[int, int]]) -> tuple[int, int, byte
     return removed, runs, b"".join(kept)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            removed, runs, rest = cut(r["text"].encode(), ((s["place"], s["size"]) for s in r["spans"]))
-            rows.append((r["number"], removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["number", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(index of all documents, cuts by text number): the index holds doc_id, text_key, n_bytes, sha256, number and copies."""
-    docs = require_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    keys = materialize(docs.mapInArrow(_keys, "doc_id long, text_key binary, n_bytes long, sha256 string, number long"), "keys")
-    copies = keys.groupBy("text_key").agg(F.count("*").alias("copies"))
-    index = keys.join(copies, "text_key")
-
-    rows = suspects(docs, length, gram).groupBy("number").agg(F.collect_list(F.struct("span", "whole", "several")).alias("rows"))  # at most a text's own contexts
-    numbered = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("number"), "text")
-    texts = materialize(numbered.join(rows, "number").dropDuplicates(["number"]), "suspects", "number")
-    bounds = sort_suffixes(texts, sides, length, gram, run_bytes, 0).groupBy("number").agg(F.collect_list(F.struct("place", "reach")).alias("reaches"))
-    bounds = materialize(bounds, "bounds")
-    spans = materialize(sort_suffixes(texts.join(bounds, "number", "left"), windows, length, gram, run_bytes, length, texts), "spans")
-    spans = spans.groupBy("number").agg(F.collect_set(F.struct("place", F.col("reach").alias("size"))).alias("spans"))
-    cuts = texts.select("number", "text").join(spans, "number").mapInArrow(_cut, "number long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+def _cut(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spans in zip(text_bytes(batch.column("text")), _lists(batch.column("spans")), strict=True):
+                removed, runs, rest = cut(text, [(s["place"], s["size"]) for s in spans])
+                rows.append((removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace") if with_text else None))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [*KEY, "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+    return run
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two 64-bit hashes of a text."""
+    return [F.xxhash64(text).alias(KEY[0]), F.xxhash64(F.lit(1), text).alias(KEY[1])]
+
+
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(index of all documents, cuts by text key): the index holds doc_id, key, n_bytes, sha256 and whether the text has a copy."""
+    docs = require_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = docs.select("doc_id", *text_key(F.col("text")), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+    keys = materialize(keys, "keys")
+    copies = materialize(keys.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY, F.lit(True).alias("copied")), "copies")
+    index = keys.join(copies, list(KEY), "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+
+    # a text once, whatever number of copies it has; the buckets of its key serve all joins below
+    unique = docs.where(F.octet_length("text") >= length).select(*text_key(F.col("text")), "text").groupBy(*KEY).agg(F.any_value("text").alias("text"))
+    unique = materialize(unique, "texts", KEY)
+    found, contexts = shared_contexts(unique, length, gram)
+    contexts = materialize(contexts, "flagged")
+
+    one = contexts.select("one.*", "anchor", "whole", "several")
+    other = contexts.where("whole").select("other.*", "anchor", "whole", F.lit(False).alias("several"))
+    rows = one.unionByName(other).groupBy(*KEY).agg(F.collect_list(F.struct("span", "anchor", "whole", "several")).alias("rows"))  # at most a text's own contexts
+    sorted_ = materialize(unique.join(rows, list(KEY)), "suspects", KEY)
+
+    near = sort_suffixes(sorted_, sides, length, gram, run_bytes, 0, "sides")
+    before, place = F.col("place") % 2 == 1, F.floor(F.col("place") / 2).cast("long")
+    bounds = near.groupBy(*KEY, "anchor", place.alias("first")).agg(F.max(F.when(before, F.col("reach") - 1 - gram)).alias("before"), F.max(F.when(~before, F.col("reach") - 1)).alias("after"))
+    levels = near.where(before & (F.col("low") > gram)).groupBy("anchor").agg(F.collect_set(F.col("low") - 1 - gram).alias("levels"))  # at most a context's windows
+    bounds = materialize(bounds.where(F.col("before") + F.col("after") >= length), "bounds")
+    levels = materialize(levels, "levels")
+    bounds = bounds.join(levels, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("first", "anchor", "before", "after", "levels")).alias("bounds"))
+    spans = sort_suffixes(sorted_.join(materialize(bounds, "bounds"), list(KEY), "left"), suffixes, length, gram, run_bytes, length, "spans")
+
+    # a whole context that the sort has found again covers all its places
+    size = F.shiftright(F.col("one.span").bitwiseAND(65535), 8) + length
+    whole = contexts.where("whole").select("anchor", "c1", "c2", F.col("one.n1").alias("n1"), F.col("one.n2").alias("n2"), F.shiftright("one.span", 16).alias("place"), size.alias("size"))
+    repeated = whole.join(spans.groupBy(*KEY, "place").agg(F.max("reach").alias("reach")), [*KEY, "place"]).where("reach >= size").select("anchor", "c1", "c2", "size")
+    heirs = found.join(materialize(repeated, "repeated"), ["anchor", "c1", "c2"]).select(*KEY, F.shiftright("span", 16).alias("place"), "size")
+    covered = heirs.unionByName(spans.select(*KEY, "place", F.col("reach").cast("long").alias("size")))
+    covered = materialize(covered.groupBy(*KEY).agg(F.collect_set(F.struct("place", "size")).alias("spans")), "covered")
+    cuts = unique.join(covered, list(KEY)).mapInArrow(_cut(with_text), "n1 long, n2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return index, cuts
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (doc_id, text)."""
-    index, cuts = removals(docs, length, gram, run_bytes)
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = index.join(cuts.drop("kept_text"), "number", "left")
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-    )
+    index, cuts = removals(docs, length, gram, run_bytes, with_text=False)
+    gone = F.col("copied") & (F.col("n_bytes") >= length)
+    whole = index.where(gone).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
+    rest = index.where(~gone).join(cuts.drop("kept_text"), list(KEY), "left")
+    kept = rest.select("doc_id", "n_bytes", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    return whole.unionByName(kept)
