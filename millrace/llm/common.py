@@ -56,7 +56,7 @@ def _sweep() -> None:
             pass
 
 
-def materialize(df: DataFrame, name: str, key: str | Sequence[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, key: str | Sequence[str] | None = None, **options) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there and survives lost executors.
 
     With ``key`` (by which ``df`` is partitioned already) the files are buckets of it: joins on it move the other side only.
@@ -65,12 +65,13 @@ def materialize(df: DataFrame, name: str, key: str | Sequence[str] | None = None
     tag = f"millrace-{name}-{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{tag}"
     _written[path] = spark
+    options = {"compression": "zstd", **options}
     if key:
         saved, keys = tag.replace("-", "_"), [key] if isinstance(key, str) else key
-        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(saved)
+        df.write.options(**options).option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(saved)
         _tables[saved] = spark
     else:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**options).parquet(path)
     del df
     release(spark)
     out = spark.table(saved) if key else spark.read.parquet(path)

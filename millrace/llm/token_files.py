@@ -1,10 +1,10 @@
 """Token-ID output: one wavelet-matrix file image per shard, documents in ascending doc_id order.
 
 Documents are range-partitioned by doc_id; every range is encoded in one streaming pass that closes a shard whenever it
-holds ``shard_tokens`` ids at the end of a document.  The images go to the shared folder as a table of binary rows
-(part, shard, first id's place in the part, image), written through Spark, so any file system that Spark can write serves,
-and a lost executor only means that its ranges are encoded again.  A part's offset is the sum of the parts before it: one
-number per part.
+holds ``shard_tokens`` ids at the end of a document.  Each shard is one file in the shared folder: the image, in the envelope
+(part, shard, first id's place in the part, doc_ids) that Spark's writer gives it, so any file system that Spark can write
+serves, and a lost executor only means that its ranges are encoded again.  A part's offset is the sum of the parts before it:
+one number per part.
 
 White-space separated pieces of a text are encoded independently by this tokenizer (its pattern drops white space and its
 merges never cross it), so each piece's ids are remembered; the library encodes the pieces that are not.
@@ -34,12 +34,14 @@ _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tail(piece: bytes) -> tuple[bytes, bytes] | None:
-    """A piece's stem and final ASCII punctuation, where a letter stands before it: the tokenizer's pattern always cuts there."""
+    """A piece's stem and final ASCII punctuation, where an ASCII letter stands before it: the tokenizer's pattern always cuts there.
+
+    Other letters are left to the library: lowering may end them in a mark, which is no letter.
+    """
     stem = piece.rstrip(_PUNCTUATION)
-    if not stem or len(stem) == len(piece) or b"<|" in piece:
+    if not stem or len(stem) == len(piece) or b"<|" in piece or stem[-1] > 127 or not stem[-1:].isalpha():
         return None
-    letter = stem[-1:].isalpha() if stem[-1] < 128 else stem.decode()[-1].isalpha()
-    return (stem, piece[len(stem) :]) if letter else None
+    return stem, piece[len(stem) :]
 
 
 class PieceIds:
@@ -131,27 +133,34 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     docs = require_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = parts or max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     laid = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(laid.mapInArrow(_write(tokenizer_path, end_id, shard_tokens, block_bytes), _FILES), "tokens")
+    return materialize(laid.mapInArrow(_write(tokenizer_path, end_id, shard_tokens, block_bytes), _FILES), "tokens", maxRecordsPerFile=1, compression="none")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            file = WaveletFile(row["image"])
-            ids = file.decode().astype("<u4", copy=False)
-            ends = file.ends.tolist()
-            starts = [0, *ends[:-1]]
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-            base = row["base"] + row["first"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row["doc_ids"], [base + a for a in starts], [b - a for a, b in zip(starts, ends, strict=True)], crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+def _read(end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                file = WaveletFile(row["image"])
+                ids = file.decode().astype("<u4", copy=False)
+                ends = file.ends
+                starts = np.concatenate(([0], ends[:-1]))
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                base = row["base"] + row["first"]
+                rank = file.rank(end_id, np.concatenate(([0], ends)))  # by the bit planes, not by the decoded ids
+                last = base + file.select(end_id, rank[1:] - 1)
+                columns = (row["doc_ids"], base + starts, ends - starts, crc, np.diff(rank), last)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "n_tokens", "ids_crc32", "n_end_ids", "end_at"])
+
+    return run
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the files."""
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # one row per part
-    base, bases = 0, {}
+def read_token_files(files: DataFrame, end_id: int = END_ID) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the files; n_end_ids and end_at (how often the end id
+    occurs in it, and the place of the last time) by rank and select on the files."""
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # one number per part
+    base, bases = 0, []
     for part, n in sorted(totals):
-        bases[part] = base
+        bases.append((part, base))
         base += n
-    lookup = files.sparkSession.createDataFrame(list(bases.items()) or [(0, 0)], "part int, base long")
-    return files.join(F.broadcast(lookup), "part").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    lookup = files.sparkSession.createDataFrame(bases or [(0, 0)], "part int, base long")
+    return files.join(F.broadcast(lookup), "part").mapInArrow(_read(end_id), "doc_id long, start long, n_tokens long, ids_crc32 long, n_end_ids long, end_at long")
