@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import WordHash, gram_hashes, materialize, require_columns, text_bytes
 
-BUCKETS, SMOOTHING, SHRINKAGE, CLEAN_COST, SEED, LABEL_ROWS = 1 << 18, 5.0, 25.0, 2.0, 7, 200_000
+BUCKETS, SMOOTHING, SHRINKAGE, CLEAN_COST, SEED, LABEL_ROWS = 1 << 18, 5.0, 25.0, 5.0, 7, 200_000
 #: Weights are fitted in steps of 1/STEPS, up to REACH in either direction.
 STEPS, REACH = 100, 1000
 
