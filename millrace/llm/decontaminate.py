@@ -16,6 +16,7 @@ repeat a doc_id are searched one by one and merged in the result; other columns
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHash, mix64, require_columns, text_bytes
+from millrace.llm.common import WordHash, mix64, require_columns, text_bytes, worker_memory
 
 #: (words of a window, words of them that may differ): masks of words that count (1); between them any word may stand.
 #: Whichever words differ, some mask lies whole inside the window (the tests go through all cases).
@@ -130,8 +131,10 @@ class Index:
 
 
 def _search(broadcast, overlap: int, agree: float):
+    tag = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = Index(broadcast.value, overlap, agree), WordHash.shared()
+        index, hashes = worker_memory(("index", tag), lambda: Index(broadcast.value, overlap, agree)), WordHash.shared()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
@@ -172,5 +175,7 @@ def leaking_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without any verified overlap, with all their columns."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaks")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__leaks")), "left_anti")
+    bad = leaks(docs, benchmark, **options).select(F.struct(F.col("doc_id")).alias("leak")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of theirs meets those used here
+    clean = rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("leak.doc_id")), "left_anti")
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

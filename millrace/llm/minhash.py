@@ -11,7 +11,8 @@ components, block by block inside tasks.  So no bucket is capped, none is held b
 two nodes that share a bucket are in one component or have been compared.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are kept; a null doc_id is passed through with
-a null component and kept; rows that repeat a doc_id count as one document; other columns are ignored.
+a null component and kept; rows that repeat a doc_id are one document, which is linked with all that any of its texts
+is linked with (``deduplicate`` keeps its least text, null first); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -178,7 +179,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
         a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
         return found.join(b, "b").join(a, "a").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(threshold), "a long, b long")
 
-    links = materialize(confirmed(pairs), "links")
+    # rows that repeat a doc_id with other texts are one document: their nodes are linked
+    repeated = real.groupBy("doc_id").agg(F.min("node_key").alias("lo"), F.max("node_key").alias("hi")).where("lo < hi").select("doc_id")
+    named = real.join(materialize(repeated, "repeated"), "doc_id", "left_semi").join(nodes.select("node_key", "node"), "node_key")
+    same = named.select("node", "doc_id").join(named.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+    links = materialize(confirmed(pairs).unionByName(same).distinct(), "links")
     part = components(links)
 
     placed = members.select("bucket", "node").join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
@@ -194,7 +199,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each component, with all columns; rows with a null doc_id stay."""
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    ided = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return ided.unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` for each component, with all columns; rows with a null doc_id stay.
+
+    Where rows repeat a doc_id, they stand for one document, the row with the least text.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of theirs meets those used here
+    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
+    text = F.struct("row.text", F.xxhash64("row"))
+    ided = rows.where("row.doc_id is not null").join(kept, F.col("row.doc_id") == F.col("doc_id"), "left_semi").groupBy("row.doc_id").agg(F.min_by("row", text).alias("row"))
+    return ided.select("row").unionByName(rows.where("row.doc_id is null")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

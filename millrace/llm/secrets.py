@@ -34,7 +34,7 @@ BASE = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32)
 ASSIGN_NEEDS = ("passw", "secret", "token", "apikey", "api_key")
 CANDIDATE = r"[A-Za-z0-9+/_=-]"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-MIN_LENGTH, THRESHOLD = 20, 0.35
+MIN_LENGTH, THRESHOLD = 20, 0.5
 
 
 def fold_blocks(items: Column, carry: Callable[[Column, Column], Column], start: Column, element: Callable[[Column, Column], Column], size: int = 256) -> Column:
@@ -92,20 +92,42 @@ def train(samples: DataFrame, alphabet: str = ALPHABET, smoothing: float = 1.0)
     return [math.log(counts[1][i] / rows[1][i // n]) - math.log(counts[0][i] / rows[0][i // n]) for i in range(n * n)]
 
 
+#: Parts of ordinary identifiers in the documents' languages.
+SYLLABLES = (
+    "get set make data user name count list index file path value item node test load read write base time page text line word main view form "
+    "code type key map id er ing ation en le de la que re ment ich ung sch ein ado cion para http www com html org the and with status max size "
+    "inter national service schaft gesell keit lich heit ver bund ober land straat tion ment eau oir aux ille con tra pre sion idad mente cia ero "
+    "over under system report price order customer street number version release config default error message request response server client"
+).split()
+
+
 def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
-    """Labelled samples: digests in several alphabets (1), and identifiers joined from syllables in usual styles (0)."""
+    """Labelled samples (id, token, label): random strings over several alphabets (1), and identifiers joined from syllables in usual styles, and rules of one symbol (0)."""
     i = F.col("id")
-    hashed = F.sha2(F.concat(F.lit("s"), i.cast("string")), 256)
-    wide = F.base64(F.unhex(F.substring(hashed, 1, 60)))
-    plain = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("t"), i.cast("string")), 256))), "[+/=]", "")
-    upper = F.upper(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("u"), i.cast("string")), 512))), "[+/=]", ""))
-    secret = spark.range(each).select(F.when(i % 3 == 0, wide).when(i % 3 == 1, plain).otherwise(upper).alias("token"), F.lit(1).alias("label"))
-    syllables = F.array(*[F.lit(s) for s in "get set make data user name count list index file path value item node test load read write base time page text line word main view form code type key map id er ing ation en le de la que re ment ich ung sch ein ado cion para http www com html org the and with http_status max_size".split()])
+    digest = lambda salt, bits: F.base64(F.unhex(F.sha2(F.concat(F.lit(salt), i.cast("string")), bits)))
+    letters = lambda salt: F.substring(F.regexp_replace(F.concat(digest(salt, 512), digest(f"{salt}2", 512)), "[^A-Za-z]", ""), 1, 40)
+    wide = F.base64(F.unhex(F.substring(F.sha2(F.concat(F.lit("s"), i.cast("string")), 256), 1, 60)))
+    plain = F.regexp_replace(digest("t", 256), "[+/=]", "")
+    upper = F.upper(F.regexp_replace(digest("u", 512), "[+/=]", ""))
+    styles = (wide, plain, upper, letters("v"), F.lower(letters("w")))
+    secret = spark.range(each).select("id", F.get(F.array(*styles), (i % len(styles)).cast("int")).alias("token"), F.lit(1).alias("label"))
+    syllables = F.array(*map(F.lit, SYLLABLES))
     part = lambda k: F.get(syllables, F.pmod(F.xxhash64(i, F.lit(k)), F.size(syllables)).cast("int"))
-    parts = F.array(*[part(k) for k in range(6)])
-    styled = F.when(i % 5 == 0, F.array_join(parts, "_")).when(i % 5 == 1, F.array_join(F.transform(parts, F.initcap), "")).when(i % 5 == 2, F.array_join(parts, "-")).when(i % 5 == 3, F.array_join(parts, "/")).otherwise(F.array_join(parts, ""))
-    ordinary = spark.range(each).select(F.when(i % 7 == 0, F.upper(styled)).otherwise(styled).alias("token"), F.lit(0).alias("label"))
-    return secret.unionByName(ordinary)
+    parts = F.slice(F.array(*[part(k) for k in range(9)]), F.lit(1), (5 + F.pmod(F.xxhash64(i), F.lit(5))).cast("int"))
+    joined = (F.array_join(parts, "_"), F.array_join(F.transform(parts, F.initcap), ""), F.array_join(parts, "-"), F.array_join(parts, "/"), F.array_join(parts, ""))
+    styled = F.get(F.array(*joined), (i % len(joined)).cast("int"))
+    ended = F.when(i % 4 == 0, F.concat(styled, F.lit("_"), (i % 2000).cast("string"))).otherwise(styled)
+    ordinary = spark.range(each).select("id", F.when(i % 7 == 0, F.upper(ended)).otherwise(ended).alias("token"), F.lit(0).alias("label"))
+    rules = spark.range(each // 20).select("id", F.repeat(F.substring(F.lit("-=_+/"), (i % 5 + 1).cast("int"), F.lit(1)), (20 + i % 30).cast("int")).alias("token"), F.lit(0).alias("label"))
+    return secret.unionByName(ordinary).unionByName(rules)
+
+
+def accuracy(samples: DataFrame, table: list[float], threshold: float, min_length: int) -> DataFrame:
+    """One row: n, precision and recall of the models on labelled samples (token, label) of at least ``min_length`` characters."""
+    found = likelihood_ratio(F.col("token"), table) > threshold
+    held = samples.where("token is not null and label is not null").where(F.length("token") >= min_length).select((F.col("label") > 0).alias("real"), found.alias("found"))
+    hits = F.count_if(F.col("real") & F.col("found"))
+    return held.agg(F.count("*").alias("n"), (hits / F.count_if("found")).alias("precision"), (hits / F.count_if("real")).alias("recall"))
 
 
 def likelihood_ratio(token: Column, table: list[float], alphabet: str = ALPHABET) -> Column:
@@ -135,7 +157,7 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, min_
     found = found.select("doc_id", "text", F.sort_array(F.concat(*[k[0] for k in BASE])).alias("base"), "candidates")
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     found = found.select("doc_id", "text", "base", free.alias("free"))
-    added = F.when(F.size("free") > 0, F.filter("free", lambda c: (c["token"].rlike("[0-9]")) & (likelihood_ratio(c["token"], table) > threshold))).otherwise(F.col("free"))
+    added = F.when(F.size("free") > 0, F.filter("free", lambda c: likelihood_ratio(c["token"], table) > threshold)).otherwise(F.col("free"))
     return found.select("doc_id", "text", "base", added.alias("added"))
 
 

@@ -47,12 +47,12 @@ def tail(piece: bytes) -> tuple[bytes, bytes] | None:
 class PieceIds:
     """Ids of texts by a tokenizers file, with a memory of pieces; ids are kept as 16-bit or 32-bit little-endian bytes."""
 
-    def __init__(self, tokenizer_path: str, limit: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.limit, self.memory = limit, {}
+        self.limit, self.memory, self.passing = limit, {}, ()
 
     def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces through one call of the library."""
@@ -66,31 +66,18 @@ class PieceIds:
         # the tokenizer lowers all letters itself; strings like its special tokens are left as they are
         pieces = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         known = self.memory
+        for piece in self.passing:  # of the last call: the memory was full
+            del known[piece]
         missing = set().union(*pieces).difference(known)
-        if missing:
-            cut = {p: t for p in missing if (t := tail(p))}
-            parts = (missing - cut.keys()).union(*cut.values()).difference(known)
-            fresh = self.learn(list(parts)) if parts else {}
-            get = _Either(known, fresh)
-            fresh |= {p: get[a] + get[b] for p, (a, b) in cut.items()}
-            if len(known) < self.limit:
-                known.update(fresh)
-            else:
-                known = _Either(known, fresh)
+        cut = {p: t for p in missing if (t := tail(p))}
+        parts = (missing - cut.keys()).union(*cut.values()).difference(known)
+        if parts:
+            known.update(self.learn(list(parts)))
+        known.update({p: known[a] + known[b] for p, (a, b) in cut.items()})
+        self.passing = parts.union(missing) if len(known) > self.limit else ()
         return [np.frombuffer(b"".join(map(known.__getitem__, ps)), self.dtype) for ps in pieces]
 
 
-class _Either(dict):
-    """Looks in ``second`` first, then in ``first``."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key: bytes) -> bytes:
-        return self.first[key]
-
-
 def _write(tokenizer_path: str, end_id: int, shard_tokens: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part = worker_memory(("pieces", tokenizer_path), lambda: PieceIds(tokenizer_path)), TaskContext.get().partitionId()
@@ -133,7 +120,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     docs = require_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = parts or max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     laid = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(laid.mapInArrow(_write(tokenizer_path, end_id, shard_tokens, block_bytes), _FILES), "tokens", maxRecordsPerFile=1, compression="none")
+    return materialize(laid.mapInArrow(_write(tokenizer_path, end_id, shard_tokens, block_bytes), _FILES), "tokens", maxRecordsPerFile=1, compression="none", **{"parquet.enable.dictionary": "false"})
 
 
 def _read(end_id: int):

@@ -167,6 +167,8 @@ class WaveletFile:
         lo, hi = self._down(code, np.array([0, self.n])).tolist() if code is not None else (0, 0)
         if len(want) and not (0 <= want.min() and want.max() < hi - lo):
             raise IndexError(j)
+        if not len(want):
+            return want
         at = lo + want
         for k in range(self.levels - 1, -1, -1):
             bit = code >> (self.levels - 1 - k) & 1
