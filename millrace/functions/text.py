@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -48,19 +49,34 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def _argmax(scores: dict[str, Column]) -> tuple[Column, Column]:
-    """(greatest score, its first name)."""
-    best = F.greatest(*scores.values())
-    return best, F.coalesce(*[F.when(s == best, F.lit(k)) for k, s in scores.items()])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def best_of(scores: dict[str, Column]) -> Column:
+    """Struct of the greatest score and its first name."""
+    ranked = [F.struct(s.cast("double").alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, s) in enumerate(scores.items())]
+    return F.array_max(F.array(*ranked))
 
 
 def detect_language(text: Column) -> Column:
-    sample = F.lower(F.substring(text, 1, 5000))
-    letters = F.greatest(F.regexp_count(sample, F.lit(r"\p{L}")), F.lit(1))
-    by_letter, letter_name = _argmax({k: F.regexp_count(sample, F.lit(f"[{v}]")) / letters for k, v in LETTERS.items()})
-    words = F.filter(tokens(sample), lambda w: w.rlike("^[a-z]{2,}$"))
-    by_word, word_name = _argmax({k: F.size(F.array_intersect(words, F.array(*map(F.lit, v)))) / F.lit(len(v)) for k, v in STOP_WORDS.items()})
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "unknown").when(by_letter > 0.01, letter_name).when(by_word > 0.3, word_name).otherwise("en")
+    """Language by characteristic letters, else by common words; each score is computed once."""
+
+    def by_words(words: Column) -> Column:
+        best = best_of({k: F.size(F.array_intersect(words, F.array(*map(F.lit, v)))) / F.lit(len(v)) for k, v in STOP_WORDS.items()})
+        return let(best, lambda x: F.when(x["score"] > 0.3, x["name"]).otherwise("en"))
+
+    def of_sample(sample: Column) -> Column:
+        letters = F.greatest(F.length(sample) - F.length(F.regexp_replace(sample, r"\p{L}+", "")), F.lit(1))
+        other = F.regexp_replace(sample, r"[\x00-\x7F]+", "")  # no characteristic letter is ASCII
+        count = lambda chars, rest: F.length(F.regexp_replace(rest, f"[^{chars}]+", ""))
+        best = let(letters, lambda n: let(other, lambda rest: best_of({k: count(v, rest) / n for k, v in LETTERS.items()})))
+        words = F.array_distinct(F.regexp_extract_all(sample, F.lit(r"(?<![\p{L}\p{N}_])[a-z]{2,}(?![\p{L}\p{N}_])"), F.lit(0)))
+        return let(best, lambda x: F.when(x["score"] > 0.01, x["name"]).otherwise(let(words, by_words)))
+
+    found = let(F.lower(F.substring(text, 1, 5000)), of_sample)
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "unknown").otherwise(found)
 
 
 def is_polish(text: Column) -> Column:

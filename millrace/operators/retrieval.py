@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions import scores, text
+from millrace.functions import text
 
 #: Items whose similarities with a block of queries are held at once.
 ITEMS = 500
@@ -30,16 +30,8 @@ def full_text(chunks: DataFrame, key: str, body: str, queries: DataFrame) -> Dat
 
 
 def vector_top_k(items: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query, key, similarity): the k most similar items of each query, ties by key; queries are a small, stated set."""
-    scored = _scored(items, key, vector, queries)
-    own = W.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("k", F.row_number().over(own)).where(F.col("k") <= k).drop("k")
-
-
-def _scored(items: DataFrame, key: str, vector: str, queries: DataFrame) -> DataFrame:
-    rows = queries.select("query", "vector").collect()  # the stated queries travel as literals
-    packed = F.array(*[F.struct(F.lit(q).alias("query"), F.array(*[F.lit(float(x)) for x in v]).alias("qv")) for q, v in rows])
-    return items.select(key, F.col(vector).alias("v"), F.explode(packed).alias("x")).select("x.query", key, F.round(scores.cosine(F.col("v"), F.col("x.qv")), 6).alias("similarity"))
+    """(query, key, similarity): the k most similar items of each query, ties by key."""
+    return vector_neighbours(items, key, vector, queries, k)
 
 
 def _best(broadcast, k: int):

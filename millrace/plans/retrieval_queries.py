@@ -10,8 +10,13 @@ from millrace.operators import graph, retrieval
 from millrace.plans.core import query
 from millrace.sources.tables import load
 
-_VEC = """q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 8), v AS (SELECT query, vec_id, label, round(list_dot_product(embedding::DOUBLE[], qv) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity FROM embeddings, q),
-vt AS (SELECT query, vec_id, label, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS k FROM v) WHERE k <= 20)"""
+#: Vector queries are all rows whose id is divisible by 20; each takes the next of the stated texts.
+_EVERY = 20
+_VEC = f"""q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {_EVERY} = 0),
+v AS (SELECT query, vec_id,
+    round(list_dot_product(embedding::DOUBLE[], qv) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity
+  FROM embeddings, q),
+vt AS (SELECT query, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS k FROM v) WHERE k <= 20)"""
 #: Stated text queries: one for each vector query.
 _TEXTS = ["the and", "of the", "in with", "de la", "der die", "for that", "is to", "que en"]
 _FTS = f"""qt AS (SELECT unnest(range({len(_TEXTS)})) AS query, unnest({_TEXTS}) AS t), qw AS (SELECT query, unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM qt), qn AS (SELECT query, count(*) AS need FROM qw GROUP BY 1),
@@ -19,9 +24,12 @@ ix AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_ex
 ft AS (SELECT query, doc_id, round(sum(1 + ln(tf)), 6) AS rank FROM ix JOIN qw USING (term) JOIN qn USING (query) GROUP BY query, doc_id, need HAVING count(*) = need)""".replace(" WHERE doc_id < 1000000", "")
 
 
+def _vector_queries(spark, sf):
+    return load(spark, sf, "embeddings").where(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
 def _vector(spark, sf):
-    e = load(spark, sf, "embeddings")
-    return retrieval.vector_top_k(e, "vec_id", "embedding", e.where("vec_id < 8").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 20)
+    return retrieval.vector_top_k(load(spark, sf, "embeddings"), "vec_id", "embedding", _vector_queries(spark, sf), 20)
 
 
 def _texts(spark):
@@ -38,15 +46,19 @@ def full_text_rank(spark, sf):
     return retrieval.full_text(load(spark, sf, "documents"), "doc_id", "text", _texts(spark))
 
 
-_HYBRID = f"""{_VEC}, {_FTS}, tt AS (SELECT query, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, doc_id) AS k FROM ft) WHERE k <= 20),
-fu AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id) AS id, round(0.7 * coalesce(similarity, 0) + 0.3 * coalesce(rank, 0), 6) AS score FROM vt a FULL JOIN tt b ON a.query = b.query AND a.vec_id = b.doc_id)"""
+_HYBRID = f"""{_VEC}, {_FTS},
+tt AS (SELECT query, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, doc_id) AS k FROM ft) WHERE k <= 20),
+qq AS (SELECT q.query, doc_id, rank FROM q JOIN tt ON tt.query = q.query // {_EVERY} % {len(_TEXTS)}),
+fu AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id) AS id, round(0.7 * coalesce(similarity, 0) + 0.3 * coalesce(rank, 0), 6) AS score
+  FROM vt a FULL JOIN qq b ON a.query = b.query AND a.vec_id = b.doc_id)"""
 
 
 def _fused(spark, sf, k):
     v = _vector(spark, sf).withColumnRenamed("vec_id", "id")
     t = retrieval.full_text(load(spark, sf, "documents"), "doc_id", "text", _texts(spark)).withColumnRenamed("doc_id", "id")
-    t = t.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("rank"), "id"))).where("k <= 20").drop("k")
-    return retrieval.fuse(v, t, "id", 0.7, 0.3, k)
+    t = t.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("rank"), "id"))).where("k <= 20").select(F.col("query").alias("text_no"), "id", "rank")
+    asked = _vector_queries(spark, sf).select("query", (F.floor(F.col("query") / _EVERY) % len(_TEXTS)).alias("text_no"))
+    return retrieval.fuse(v, asked.join(t, "text_no").drop("text_no"), "id", 0.7, 0.3, k)
 
 
 @query(f"WITH {_HYBRID} SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 10")
@@ -60,46 +72,23 @@ def diversified_search(spark, sf):
     return retrieval.diversify(_fused(spark, sf, 40).withColumn("section", F.col("id") % 4), ["section"], "id", 2, 6).drop("section")
 
 
-#: Vector queries are all rows whose id is divisible by 20; each takes the next of the stated texts.
-_EVERY = 20
-_ALL_VEC = f"""q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {_EVERY} = 0), v AS (SELECT query, vec_id, round(list_dot_product(embedding::DOUBLE[], qv) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity FROM embeddings, q),
-vt AS (SELECT query, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS k FROM v) WHERE k <= 20)"""
-_ALL_HYBRID = f"""{_ALL_VEC}, {_FTS}, tt AS (SELECT query, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, doc_id) AS k FROM ft) WHERE k <= 20),
-qq AS (SELECT q.query, doc_id, rank FROM q JOIN tt ON tt.query = q.query // {_EVERY} % {len(_TEXTS)}),
-fu AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id) AS id, round(0.7 * coalesce(similarity, 0) + 0.3 * coalesce(rank, 0), 6) AS score FROM vt a FULL JOIN qq b ON a.query = b.query AND a.vec_id = b.doc_id)"""
-
-
-def _vector_queries(spark, sf):
-    return load(spark, sf, "embeddings").where(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-
-
-def _all_neighbours(spark, sf):
-    return retrieval.vector_neighbours(load(spark, sf, "embeddings"), "vec_id", "embedding", _vector_queries(spark, sf), 20)
-
-
-def _all_fused(spark, sf, k):
-    v = _all_neighbours(spark, sf).withColumnRenamed("vec_id", "id")
-    t = retrieval.full_text(load(spark, sf, "documents"), "doc_id", "text", _texts(spark)).withColumnRenamed("doc_id", "id")
-    t = t.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("rank"), "id"))).where("k <= 20").select(F.col("query").alias("text_no"), "id", "rank")
-    asked = _vector_queries(spark, sf).select("query", (F.floor(F.col("query") / _EVERY) % len(_TEXTS)).alias("text_no"))
-    return retrieval.fuse(v, asked.join(F.broadcast(t), "text_no").drop("text_no"), "id", 0.7, 0.3, k)
-
-
-@query(f"WITH {_ALL_VEC} SELECT query, vec_id, similarity FROM vt")
+@query(f"WITH {_VEC} SELECT query, vec_id, similarity FROM vt")
 def vector_neighbours(spark, sf):
     """The 20 nearest of every vector whose id is divisible by 20."""
-    return _all_neighbours(spark, sf)
+    return _vector(spark, sf)
 
 
-@query(f"WITH {_ALL_HYBRID} SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 10")
+@query(f"WITH {_HYBRID} SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 10")
 def hybrid_neighbours(spark, sf):
-    return _all_fused(spark, sf, 10)
+    return _fused(spark, sf, 10)
 
 
-@query(f"""WITH {_ALL_HYBRID}, g AS (SELECT fu.*, row_number() OVER (PARTITION BY query, id % 4 ORDER BY score DESC, id) AS g FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 40) fu)
+@query(f"""WITH {_HYBRID}, g AS (
+  SELECT fu.*, row_number() OVER (PARTITION BY query, id % 4 ORDER BY score DESC, id) AS g
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM fu) WHERE k <= 40) fu)
 SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM g WHERE g <= 2) WHERE r <= 6""")
 def diversified_neighbours(spark, sf):
-    return retrieval.diversify(_all_fused(spark, sf, 40).withColumn("section", F.col("id") % 4), ["section"], "id", 2, 6).drop("section")
+    return retrieval.diversify(_fused(spark, sf, 40).withColumn("section", F.col("id") % 4), ["section"], "id", 2, 6).drop("section")
 
 
 @query("WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT label, pos - 1 AS pos, round(avg(x), 5) AS mean FROM u GROUP BY label, pos")
@@ -123,9 +112,13 @@ def co_occurrence(spark, sf):
     return graph.co_occurrence(load(spark, sf, "conversations"), "text", "[A-Z][a-z]{4,}")
 
 
-@query("SELECT vec_id, least(0, 0) AS zero, len(embedding) = 64 AS right_size FROM embeddings")
+@query("""SELECT vec_id, len(embedding)::BIGINT AS dims, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS square_norm,
+  (list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0)::INT AS zero, len(embedding) = 64 AS right_size FROM embeddings""")
 def vector_check(spark, sf):
-    return load(spark, sf, "embeddings").select("vec_id", F.lit(0).alias("zero"), (F.size("embedding") == 64).alias("right_size"))
+    """Dimension and norm of every vector: a zero norm or another dimension makes its similarities 0."""
+    square = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    dims = F.size("embedding")
+    return load(spark, sf, "embeddings").select("vec_id", dims.cast("long").alias("dims"), F.round(square, 4).alias("square_norm"), (square == 0).cast("int").alias("zero"), (dims == 64).alias("right_size"))
 
 
 @query("""SELECT role, count(*) AS n, count(*) FILTER (len(list_intersect(regexp_split_to_array(lower(text), '\\s+'), ['not', 'no', 'never', 'nicht', 'ne', 'no'])) > 0) AS negated FROM conversations GROUP BY role""")
