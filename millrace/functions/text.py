@@ -96,15 +96,34 @@ def is_refusal(text: Column) -> Column:
     return any_of(F.lower(text), REFUSALS)
 
 
+# The letters of words that count for richness.
+RICH_LETTERS = "a-zA-ZąćęłńóśźżÄÖÜäöüàâéèêëîïôœùûü"
+# What makes a text dense: references (3), numbers, dates (2), acronyms.
+DENSE = (
+    (3, r"(?i)\b(art(?:ykuł)?\.?\s*\d+|article\s+\d+|§\s*\d+|ustęp|ust\.|paragraph|section)\b"),
+    (1, r"\b\d{1,3}(?:[.,]\d+)*\s*(?:%|EUR|PLN|mln|mld|tys\.)?\b"),
+    (2, r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"),
+    (1, r"\b[A-Z]{2,6}\b"),
+)
+#: A word border as every engine knows it once letters, digits and underscores are spelled out.
+_WORD = r"[\p{L}\p{N}_]"
+_BORDER = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def bordered(pattern: str) -> str:
+    """The pattern with Unicode word borders, digits and white space of ASCII."""
+    return pattern.replace(r"\b", _BORDER)
+
+
 def richness(text: Column) -> Column:
-    """Distinct share of words of three letters or more."""
-    words = F.filter(tokens(F.lower(text)), lambda w: w.rlike(r"^\p{L}{3,}$"))
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_distinct(words)) / F.size(words))
+    """Distinct share of words of three of these letters or more; letters, digits and underscores border a word."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(bordered(f"\\b[{RICH_LETTERS}]{{3,}}\\b")), F.lit(0))
+    return let(words, lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.array_distinct(w)) / F.size(w)))
 
 
 def density(text: Column) -> Column:
     """Legal references, numbers, dates and acronyms by length, capped at 1."""
-    hits = 3 * F.regexp_count(text, F.lit(r"(?i)(article [0-9]+|§ ?[0-9]+|section [0-9]+)")) + F.regexp_count(text, F.lit("[0-9]+")) + 2 * F.regexp_count(text, F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}")) + F.regexp_count(text, F.lit("[A-Z]{2,6}"))
+    hits = reduce(lambda a, b: a + b, [weight * F.regexp_count(text, F.lit(bordered(pattern))) for weight, pattern in DENSE])
     return F.least(hits / (F.greatest(F.length(text), F.lit(1)) / 100.0) / 10.0, F.lit(1.0))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text, urls
-from millrace.llm.common import let
 
 #: White space as in Python's str.split.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -34,7 +33,7 @@ def content_reason(url: Column, html: Column) -> Column:
     binary = F.lit(False)
     for e in BINARY:
         binary = binary | F.endswith(path, F.lit(e))
-    return F.when(binary, F.lit(None)).otherwise(let(head, judge))
+    return F.when(binary, F.lit(None)).otherwise(text.let(head, judge))
 
 
 def verify(rows: DataFrame, now: Column) -> DataFrame:

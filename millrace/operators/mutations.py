@@ -31,4 +31,7 @@ def update_by_key(base: DataFrame, changes: DataFrame, keys: list[str], columns:
 
 def cascade_delete(children: DataFrame, child_key: str, gone: DataFrame, key: str) -> DataFrame:
     """Children of deleted rows go with them."""
-    return children.join(gone.select(F.col(key).alias("__gone")), F.col(child_key) == F.col("__gone"), "left_anti")
+    deleted = gone.select(F.struct(F.col(key).alias("key")).alias("deleted"))
+    rows = children.select(F.struct(*[F.col(f"`{c}`") for c in children.columns]).alias("row"))  # no name of theirs meets those used here
+    left = rows.join(deleted, F.col("row").getField(child_key) == F.col("deleted.key"), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in children.columns])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
 from millrace.operators import dedup
 from millrace.plans.core import query
+from millrace.session import written
 from millrace.sources.tables import load
 
 _W = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
@@ -63,7 +63,7 @@ def question_loops(spark, sf):
 def near_duplicate_questions(spark, sf):
     """All user questions, in order of conversation and turn, with the greedy filter's decision."""
     u = load(spark, sf, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn", "text").alias("id"), "text").distinct()
-    found = dedup.near_duplicates(u, "id", "text", lambda d: materialize(d, "near-questions"))
+    found = dedup.near_duplicates(u, "id", "text", lambda d: written(d, "near-questions"))
     return found.select("id.conv_id", "id.turn", "kept")
 
 

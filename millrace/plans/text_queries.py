@@ -50,13 +50,18 @@ def document_category(spark, sf):
     return load(spark, sf, "documents").select("doc_id", text.category(F.col("text")).alias("category"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^\p{L}{3,}$')) AS ws FROM documents)
+@query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[{text.RICH_LETTERS}]{{3,}}')) AS ws FROM documents)
 SELECT doc_id, round(CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_distinct(ws)) / len(ws) END, 6) AS richness FROM w""")
 def vocabulary_richness(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.round(text.richness(F.col("text")), 6).alias("richness"))
 
 
-@query(f"""SELECT doc_id, round(least((3 * {_chars('text', '(?i)(article [0-9]+|§ ?[0-9]+|section [0-9]+)')} + {_chars('text', '[0-9]+')} + 2 * {_chars('text', '[0-9]{4}-[0-9]{2}-[0-9]{2}')} + {_chars('text', '[A-Z]{2,6}')}) / (greatest(length(text), 1) / 100.0) / 10.0, 1.0), 6) AS density FROM documents""")
+# DuckDB knows word borders of ASCII only: other letters become an x there, and the two that patterns need their plain form.
+_ASCII = r"regexp_replace(translate(text, 'łęŁĘ', 'leLE'), '[^\x00-\x7F§–—…„“”’‘«»¿¡°€]', 'x', 'g')"
+_DENSE = " + ".join(f"{w} * len(regexp_extract_all(a, '{p.translate(str.maketrans('łę', 'le'))}'))" for w, p in text.DENSE)
+
+
+@query(f"WITH t AS (SELECT doc_id, text, {_ASCII} AS a FROM documents) SELECT doc_id, round(least(({_DENSE}) / (greatest(length(text), 1) / 100.0) / 10.0, 1.0), 6) AS density FROM t")
 def information_density(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.round(text.density(F.col("text")), 6).alias("density"))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "millrace", **conf) -> SparkSession:
@@ -15,9 +16,18 @@ def session(app: str = "millrace", **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir; in local mode a temporary one where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
