@@ -105,11 +105,11 @@ def full_gate(rows: DataFrame, score: str, group: str, pairs: DataFrame, talks:
 
 
 def accept_with_refusal_cap(flags: Column, cap: float) -> Column:
-    """Decisions over an ordered array of refusal flags: a refusal is accepted while refusals stay within ``cap`` of the accepted."""
+    """Decisions over a short ordered array of refusal flags: a refusal is accepted first, or while less than ``cap`` of the accepted are."""
     start = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("r"))
 
     def step(acc, x):
-        ok = ~x | ((acc["r"] + 1) <= cap * (acc["n"] + 1))
+        ok = ~x | (acc["n"] == 0) | (acc["r"] < cap * acc["n"])
         return F.struct(F.concat(acc["out"], F.array(ok)).alias("out"), (acc["n"] + ok.cast("int")).alias("n"), (acc["r"] + (ok & x).cast("int")).alias("r"))
 
     return F.aggregate(flags, start, step, lambda acc: acc["out"])

@@ -95,3 +95,33 @@ def near_duplicates(items: DataFrame, key: str, text: str, checkpoint, threshold
     kept = greedy_keep(single, key, minhash_pairs(single, key, threshold=threshold), checkpoint)
     first = single.join(kept, key).select("same", F.col(key).alias("first"), "kept")
     return signed.select(key, "same").join(first, "same").select(key, (F.col("kept") & (F.col(key) == F.col("first"))).alias("kept"))
+
+
+def preloaded(items: DataFrame, known: DataFrame, key: str, text: str, checkpoint, threshold: float = 0.85) -> DataFrame:
+    """key and kept of ``items``, of which none is kept that is near to a text of ``known`` (key, text): those count as kept from the start.
+
+    Keys of ``known`` and ``items`` must be numbers that do not meet; known ones are put before all others.
+    """
+    first = known.select(F.col(key).cast("long").alias(key), text)
+    low = first.agg(F.max(key)).first()[0] or 0
+    both = first.select((F.col(key) - low - 1).alias(key), text).unionByName(items.select(F.col(key).cast("long").alias(key), text))
+    signed = checkpoint(both.select(key, minhash(F.coalesce(F.col(text), F.lit("")), cut=question_shingles).alias("signature")).withColumn("same", F.md5(F.concat_ws("|", "signature"))))
+    single = checkpoint(signed.groupBy("same").agg(F.min(key).alias(key)).join(signed.select(key, "signature"), key).select(key, "signature", "same"))
+    pairs = checkpoint(minhash_pairs(single, key, threshold=threshold))
+    hit = pairs.where("a < 0 and b >= 0").select(F.col("b").alias(key)).distinct()
+    open_ = single.where(F.col(key) >= 0).join(hit, key, "left_anti")
+    kept = greedy_keep(open_.select(key), key, pairs.where("a >= 0").join(open_.select(F.col(key).alias("a")), "a").join(open_.select(F.col(key).alias("b")), "b"), checkpoint).where("kept")
+    return items.select(F.col(key).cast("long").alias(key)).join(kept.select(key, "kept"), key, "left").select(key, F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def staged(sources: DataFrame, key: str, fingerprint: Column, title: str, checkpoint, distance: int = 3) -> DataFrame:
+    """key and stage of sources in the order of ``key``: 'url' for a fingerprint that an earlier source has, 'title' for one near an
+    earlier kept title, else null (kept).  A blank title is near nothing; equal titles are settled once, on the earliest."""
+    seen = checkpoint(sources.select(key, fingerprint.alias("print"), F.trim(F.coalesce(F.col(title), F.lit(""))).alias("title")))
+    firsts = checkpoint(seen.groupBy("print").agg(F.min(key).alias(key)).join(seen.select(key, "title"), key))
+    titled = firsts.where("title <> ''").groupBy("title").agg(F.min(key).alias(key))
+    hashes = checkpoint(simhash(titled, key, "title"))
+    kept = greedy_keep(hashes.select(key), key, checkpoint(simhash_pairs(hashes, key, distance)), checkpoint).where("kept")
+    fine = titled.join(kept.select(key), key, "left_semi").select(key).unionByName(firsts.where("title = ''").select(key)).withColumn("fine", F.lit(True))
+    first = firsts.select(key, F.lit(True).alias("first"))
+    return seen.select(key).join(first, key, "left").join(fine, key, "left").select(key, F.when(F.col("first").isNull(), "url").when(F.col("fine").isNull(), "title").alias("stage"))

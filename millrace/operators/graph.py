@@ -25,10 +25,82 @@ def neighbours(edges: DataFrame, name: str) -> DataFrame:
     return out.unionByName(edges.where(F.col("target") == name).select(F.col("source").alias("name"), "weight")).groupBy("name").agg(F.sum("weight").alias("weight"))
 
 
+# Names of regulations, and concepts that count as entities.
+REGULATION = (
+    r"(?i)(?<![\p{L}\p{N}_])(CSRD|SFDR|TCFD|GRI|SASB|ESRS|EU\s+Taxonomy|NFRD|CSDDD|Pillar\s+III|TNFD|CDP|UNGC|SDG|Article\s+\d+|Directive\s+\d+/\d+/EC"
+    r"|Regulation\s+\([A-Z]+\)\s+\d+/\d+)(?![\p{L}\p{N}_])"
+)
+CONCEPTS = (
+    "double materiality", "Scope 1", "Scope 2", "Scope 3", "net zero", "carbon neutral", "just transition", "taxonomy alignment", "sustainable finance", "green bond", "social bond",
+    "principal adverse impacts", "PAI", "do no significant harm", "DNSH", "minimum social safeguards", "transition plan", "climate risk", "physical risk", "transition risk", "stranded asset",
+)
+# Surface names of entities and what they are called.
+ALIASES = {
+    "corporate sustainability reporting directive": "CSRD", "csrd": "CSRD", "sustainable finance disclosure regulation": "SFDR", "sfdr": "SFDR",
+    "corporate sustainability due diligence directive": "CSDDD", "cs3d": "CSDDD", "csddd": "CSDDD", "taxonomy regulation": "EU Taxonomy", "eu taxonomy regulation": "EU Taxonomy",
+    "taxonomy": "EU Taxonomy", "non-financial reporting directive": "NFRD", "nfrd": "NFRD", "task force on climate-related financial disclosures": "TCFD", "tcfd": "TCFD",
+    "global reporting initiative": "GRI", "gri": "GRI", "sustainability accounting standards board": "SASB", "sasb": "SASB", "european sustainability reporting standards": "ESRS", "esrs": "ESRS",
+    "taskforce on nature-related financial disclosures": "TNFD", "tnfd": "TNFD", "carbon disclosure project": "CDP", "cdp": "CDP", "sustainable development goals": "SDG", "sdg": "SDG",
+    "un global compact": "UNGC", "united nations global compact": "UNGC", "ungc": "UNGC", "eu ai act": "EU AI Act", "artificial intelligence act": "EU AI Act",
+    "markets in financial instruments directive": "MiFID II", "mifid ii": "MiFID II", "mifid": "MiFID II", "solvency ii": "Solvency II",
+}
+# Verbs that make a relation of what follows within 80 characters, and its confidence.
+RELATIONS = (
+    ("AMENDS", r"(?i)\bamends?\b.{0,80}", 0.85), ("REQUIRES", r"(?i)\brequires?\b.{0,80}", 0.80), ("DEFINES", r"(?i)\bdefines?\b.{0,80}", 0.90),
+    ("REFERENCES", r"(?i)\b(?:refers?\s+to|pursuant\s+to|under|within\s+the\s+meaning\s+of)\b.{0,80}", 0.75),
+)
+
+
+def mentions(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, name, kind, snippet): each document's regulations (LAW) and concepts once, by their canonical names, with 100 characters around the
+    first place (200 at most)."""
+    text = F.col(body)
+    laws = F.transform(F.regexp_extract_all(text, F.lit(REGULATION), F.lit(1)), lambda m: F.struct(m.alias("said"), F.lit("LAW").alias("kind")))
+    low = F.lower(text)
+    concepts = F.filter(F.array(*[F.struct(F.lit(c).alias("said"), F.lit("CONCEPT").alias("kind")) for c in CONCEPTS]), lambda c: F.contains(low, F.lower(c["said"])))
+    found = docs.select(key, text.alias("body"), F.posexplode(F.concat(laws, concepts)).alias("order", "m"))
+    named = found.select(key, canonical(F.trim("m.said"), ALIASES).alias("name"), "m.kind", "order", F.col("m.said").alias("said"), "body")
+    first = named.groupBy(key, F.upper("name").alias("upper"), "kind").agg(F.min_by(F.struct("name", "said", "body"), "order").alias("f"))
+    at = F.instr(F.lower(F.col("f.body")), F.lower(F.col("f.said")))
+    start = F.greatest(at - 100, F.lit(1))
+    around = F.substring(F.col("f.body"), start, at - start + F.length("f.said") + 100)
+    return first.select(key, "f.name", "kind", F.substring(F.trim(F.replace(around, F.lit("\n"), F.lit(" "))), 1, 200).alias("snippet"))
+
+
+def relations(docs: DataFrame, key: str, body: str, named: DataFrame) -> DataFrame:
+    """(key, source, target, relation, confidence): names of a document that stand in one sentence, and in what follows a relation's verb.
+
+    ``named`` has key, name and kind.  Pairs are those of one sentence or window, by name.
+    """
+    names = named.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("name", "kind"))).alias("names"))  # a document's own
+    rows = docs.select(key, F.col(body).alias("body")).join(names, key)
+    said = lambda array, relation, confidence: F.transform(array, lambda s: F.struct(s.alias("said"), F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence")))
+    sentence = said(F.split("body", r"(?<=[.!?])\s+"), "CO_OCCURS", 0.7)
+    windows = [said(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), relation, confidence) for relation, pattern, confidence in RELATIONS]
+    rows = rows.select(key, "names", F.explode(F.concat(sentence, *windows)).alias("w"))
+    rows = rows.select(key, "w.relation", "w.confidence", F.filter("names", lambda n: F.contains(F.lower(F.col("w.said")), F.lower(n["name"]))).alias("here")).where(F.size("here") > 1)
+    pairs = F.flatten(F.transform("here", lambda a, i: F.transform(F.slice("here", i + 2, F.size("here")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    rows = rows.select(key, "relation", "confidence", F.explode(pairs).alias("p"))
+    kinds = (F.col("p.a.kind"), F.col("p.b.kind"))
+    typed = F.when((kinds[0] == "LAW") & (kinds[1] == "ORG"), "REGULATES").when((kinds[0] == "ORG") & (kinds[1] == "LAW"), "SUBJECT_TO").otherwise("CO_OCCURS")
+    relation = F.when(F.col("relation") == "CO_OCCURS", typed).otherwise(F.col("relation"))
+    return rows.select(key, F.col("p.a.name").alias("source"), F.col("p.b.name").alias("target"), relation.alias("relation"), "confidence")
+
+
+def merged_edges(edges: DataFrame) -> DataFrame:
+    """One edge for each source, target and relation, with how often it was found and its greatest confidence."""
+    return edges.groupBy("source", "target", "relation").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+
+
+def shared_entities(named: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """Entities of at least so many documents, with their number: links between documents without their pairs."""
+    return named.groupBy("name", "kind").agg(F.count_distinct(key).alias("n_docs")).where(F.col("n_docs") >= least)
+
+
 def canonical(name: Column, aliases: dict[str, str]) -> Column:
-    """Alias, else short alphabetic names in capitals, else as it is."""
-    known = F.coalesce(*[F.when(F.lower(name) == k, F.lit(v)) for k, v in aliases.items()], F.lit(None)) if aliases else F.lit(None)
-    return F.coalesce(known, F.when(name.rlike(r"^\p{L}{1,6}$"), F.upper(name)), name)
+    """Alias, else names of up to six letters and hyphens in capitals, else as it is."""
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), F.lower(name)) if aliases else F.lit(None)
+    return F.coalesce(known, F.when(name.rlike(r"^(?=.*\p{L})[\p{L}-]{1,6}$"), F.upper(name)), name)
 
 
 def negated(text: Column, words) -> Column:

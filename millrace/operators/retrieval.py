@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -92,6 +92,55 @@ def vector_neighbours(items: DataFrame, key: str, vector: str, queries: DataFram
     return out.withColumn("k", F.row_number().over(own)).where(F.col("k") <= k).select("query", F.col("item").alias(key), "similarity")
 
 
+def _near(broadcast, threshold: float):
+    """Items of a part at or above the threshold with each query: similarities of a few items with the whole block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = broadcast.value
+        unit = matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1)), 1e-300)[:, None] if len(ids) else matrix
+        for batch in batches:
+            keys, rows = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
+            for at in range(0, len(rows) if len(ids) else 0, ITEMS):
+                part = np.array(rows[at : at + ITEMS], np.float64)
+                norm = np.sqrt((part * part).sum(axis=1))
+                same = np.round((part / np.where(norm == 0, 1, norm)[:, None]) @ unit.T, 6)
+                item, query = np.nonzero(same >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[query]), pa.array(keys[at : at + ITEMS][item]), pa.array(same[item, query])], ["query", "item", "similarity"])
+
+    return run
+
+
+def cosine_links(items: DataFrame, key: str, vector: str, queries: DataFrame, threshold: float, block: int = 2000) -> DataFrame:
+    """(query, key, similarity): all items at least so similar to a query, itself left out; queries (query, vector) are a stated set.
+
+    Queries are read in blocks, which bounds what is broadcast; each block is one pass over the items, and none is cut off.  Vectors
+    have one length; null ones are left out.
+    """
+    context, out, ids, vectors = items.sparkSession.sparkContext, None, [], []
+    rows = items.select(F.col(key).cast("long"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+
+    def search() -> DataFrame:
+        return rows.mapInArrow(_near(context.broadcast((list(ids), np.array(vectors, np.float64))), threshold), "query long, item long, similarity double")
+
+    for q, v in queries.select("query", F.col("vector").cast("array<double>")).where("vector is not null").toLocalIterator(prefetchPartitions=False):
+        ids.append(q)
+        vectors.append(v)
+        if len(ids) >= block:
+            found = search()
+            out, ids, vectors = found if out is None else out.unionByName(found), [], []
+    if ids or out is None:
+        found = search()
+        out = found if out is None else out.unionByName(found)
+    return out.where("query <> item").select("query", F.col("item").alias(key), "similarity")
+
+
+def reranked(candidates: DataFrame, score: Column, k: int, key: str, most: int = 512) -> DataFrame:
+    """(query, key, score): the k best of each query's candidates by an injected score of ``cut``, the first 512 characters of the body."""
+    own = W.partitionBy("query").orderBy(F.desc("score"), key)
+    scored = candidates.withColumn("cut", F.substring("body", 1, most)).select("query", key, F.round(score, 6).alias("score"))
+    return scored.withColumn("k", F.row_number().over(own)).where(F.col("k") <= k).drop("k")
+
+
 def fuse(by_vector: DataFrame, by_text: DataFrame, key: str, vector_weight: float, text_weight: float, k: int) -> DataFrame:
     """(query, key, score): full outer join of both candidate lists, weighted sum, top k with ties by key."""
     both = by_vector.join(by_text, ["query", key], "full_outer")

@@ -1,0 +1,207 @@
+"""Queries of the writer, of near-duplicates on planted copies, of the entity graph, and of documents that go together."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from millrace.functions import urls
+from millrace.operators import dedup, graph, mutations, retrieval, writer
+from millrace.plans.core import query
+from millrace.plans.dataset_queries import conversations
+from millrace.plans.retrieval_queries import _VEC, _vector, _vector_queries
+from millrace.session import written
+from millrace.sources.tables import load
+
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+# A word that stands in for the phrase of a refusal, and a cap of a third.
+_PHRASE, _CAP = " is", 0.25
+_WRITTEN = f"""m AS (SELECT conv_id, list({{'role': role, 'content': text}} ORDER BY turn) AS m FROM conversations GROUP BY conv_id),
+v AS (SELECT conv_id, m, list_filter(m, lambda x: x.role = 'assistant') AS a FROM m WHERE len(list_filter(m, lambda x: x.role NOT IN ('system', 'user', 'assistant') OR trim(coalesce(x.content, '')) = '')) = 0),
+f AS (SELECT conv_id, m, len(a) > 0 AND len(list_filter(a, lambda x: contains(x.content, '{_PHRASE}'))) > 0.5 * len(a) AS bad, row_number() OVER (ORDER BY conv_id) AS i FROM v),
+w AS (WITH RECURSIVE r(i, n, bads, ok) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, false UNION ALL
+  SELECT f.i, r.n + k::INT, r.bads + (k AND f.bad)::INT, k FROM (SELECT r.*, NOT f.bad OR r.n = 0 OR r.bads / r.n < {_CAP} AS k FROM r JOIN f ON f.i = r.i + 1) r JOIN f ON f.i = r.i + 1) SELECT i, ok FROM r WHERE i > 0),
+x AS (SELECT conv_id, m, (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS idx FROM f JOIN w USING (i) WHERE ok)"""
+
+
+@query(f"WITH {_WRITTEN} SELECT conv_id, idx, len(m)::INT AS n_messages, CASE WHEN idx > 0 AND idx % 10 = 0 THEN sha256('acme|b1|' || idx || '|key') END AS hash FROM x")
+def write_conversations(spark, sf):
+    """The written conversations with their numbers and marks; the SQL decides on refusals one after the other."""
+    rows = writer.records(conversations(spark, sf), "conv_id", _PHRASE, _CAP, 10, "acme", "b1", "key")
+    return rows.select("conv_id", "idx", F.size("messages").alias("n_messages"), "hash")
+
+
+@query("WITH m AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, md5(to_json({'conversations': m})) AS line FROM m")
+def chat_lines(spark, sf):
+    """Lines of training chats."""
+    rows = conversations(spark, sf)
+    return rows.select("conv_id", F.md5(F.to_json(F.struct(F.col("messages").alias("conversations")))).alias("line"))
+
+
+@query(f"SELECT count(*) AS records, count(*) FILTER (contains(text, '{_PHRASE}')) AS refusals FROM conversations WHERE trim(text) <> ''")
+def resume_counts(spark, sf):
+    return writer.resume_counts(load(spark, sf, "conversations").select(F.col("text").alias("value")), _PHRASE)
+
+
+@query()
+def run_output(spark, sf):
+    """The end of a run over all conversations: states of its chunks; the parts are held against SQL or brute force elsewhere."""
+    rows = conversations(spark, sf).withColumn("rejected", F.when(F.col("conv_id") % 3 == 0, F.lit("another answer altogether")))
+    near = lambda asked: dedup.near_duplicates(asked, "conv_id", "question", lambda d: written(d, "run-output"))
+    _, _, states = writer.write_output(rows, "conv_id", near, _PHRASE, _CAP, 10, "acme", "b1", "key")
+    return states
+
+
+# Near-duplicates: every title comes three times, as it is, with other white space and case, and with one word more.
+_TITLES = "t AS (SELECT p_partkey * 3 + k AS id, CASE k WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '  ')) ELSE p_name || ' ' || p_name || ' ' || p_brand || ' more' END AS title FROM part, (SELECT unnest([0, 1, 2]) AS k))"
+
+
+def _titles(spark, sf):
+    p = load(spark, sf, "part")
+    said = F.array(F.col("p_name"), F.upper(F.replace("p_name", F.lit(" "), F.lit("  "))), F.concat_ws(" ", "p_name", "p_name", "p_brand", F.lit("more")))
+    return p.select("p_partkey", F.posexplode(said).alias("k", "title")).select((F.col("p_partkey") * 3 + F.col("k")).alias("id"), "title")
+
+
+@query()
+def title_neighbours(spark, sf):
+    """Classes of part titles (planted copies) whose simhashes are equal, and the pairs of classes within three bits."""
+    hashes = dedup.simhash(_titles(spark, sf), "id", "title")
+    classes = hashes.groupBy("simhash").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    pairs = dedup.simhash_pairs(written(classes.select("id", "simhash"), "titles"), "id", 3)
+    return pairs.join(classes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(classes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+
+
+@query(f"""WITH {_VEC}, e AS (SELECT query, b.vec_id, round(list_dot_product(b.embedding::DOUBLE[], qv) / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity FROM embeddings b, q)
+SELECT query, vec_id, similarity FROM e WHERE similarity >= 0.3 AND query <> vec_id""")
+def cosine_links(spark, sf):
+    """All vectors at least 0.3 similar to one whose id is divisible by 20."""
+    return retrieval.cosine_links(load(spark, sf, "embeddings"), "vec_id", "embedding", _vector_queries(spark, sf), 0.3)
+
+
+@query(f"WITH {_VEC}, c AS (SELECT query, vec_id, round(length(text[1:512]) / 512 + similarity / 10, 6) AS score FROM vt JOIN documents ON doc_id = vec_id) SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS k FROM c) WHERE k <= 5")
+def reranked(spark, sf):
+    """Candidates ranked anew by an injected score (here: how much text there is)."""
+    bodies = load(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("body"))
+    found = _vector(spark, sf).join(bodies, "vec_id").withColumnRenamed("similarity", "was")
+    return retrieval.reranked(found, F.length("cut") / 512 + F.col("was") / 10, 5, "vec_id")
+
+
+@query()
+def preloaded_questions(spark, sf):
+    """User questions that are near neither to those of the first conversations (known already) nor to an earlier one."""
+    asked = load(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    known = asked.where("id < 20000")
+    return dedup.preloaded(asked.where("id >= 20000"), known, "id", "text", lambda d: written(d, "preloaded"))
+
+
+@query()
+def staged_dedup(spark, sf):
+    """Pages whose URL or title (first 60 characters of their text) is another's; pages come twice, with a tracking parameter the second time."""
+    pages = load(spark, sf, "pages")
+    twice = pages.select("page_id", F.explode(F.array("url", F.concat("url", F.lit("?utm_source=x")))).alias("url"), F.regexp_replace("html", "<[^>]+>", " ").alias("title"))
+    twice = twice.select((F.col("page_id") * 2 + F.endswith("url", F.lit("utm_source=x")).cast("int")).alias("id"), "url", F.substring(F.trim(F.regexp_replace("title", r"\s+", " ")), 1, 60).alias("title"))
+    return dedup.staged(twice, "id", urls.fingerprint(F.col("url")), "title", lambda d: written(d, "staged"))
+
+
+# The entity graph: documents that name regulations and concepts in front of their text.
+_NAMED = ("The CSRD amends Article 19 under the csrd. ", "EU Taxonomy and Scope 1 need a transition plan.\nSee SFDR! ", "", "Net Zero requires the gri; dnsh. ")
+_BODIES = f"d AS (SELECT doc_id, [{', '.join(map(_quoted, _NAMED))}][(doc_id % 4 + 1)::INT] || text AS t FROM documents)"
+_RE2 = graph.REGULATION.replace(r"(?<![\p{L}\p{N}_])", r"\b").replace(r"(?![\p{L}\p{N}_])", r"\b")
+_ALIAS = " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in graph.ALIASES.items())
+_MENTIONS = f"""{_BODIES}, e AS (SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(t, {_quoted(_RE2)}, 1), lambda x: {{'s': x, 'k': 'LAW'}}),
+  list_transform(list_filter([{', '.join(map(_quoted, graph.CONCEPTS))}], lambda c: contains(lower(t), lower(c))), lambda x: {{'s': x, 'k': 'CONCEPT'}}))) AS x FROM d),
+n AS (SELECT doc_id, x.k AS kind, CASE lower(trim(x.s)) {_ALIAS} ELSE CASE WHEN regexp_full_match(trim(x.s), '[\\p{{L}}-]{{1,6}}') THEN upper(trim(x.s)) ELSE trim(x.s) END END AS name FROM e)"""
+
+
+def _documents(spark, sf):
+    head = F.get(F.array(*map(F.lit, _NAMED)), (F.col("doc_id") % 4).cast("int"))
+    return load(spark, sf, "documents").select("doc_id", F.concat(head, F.col("text")).alias("t"))
+
+
+@query(f"WITH {_MENTIONS} SELECT DISTINCT doc_id, upper(name) AS name, kind FROM n")
+def entity_mentions(spark, sf):
+    return graph.mentions(_documents(spark, sf), "doc_id", "t").select("doc_id", F.upper("name").alias("name"), "kind")
+
+
+@query(f"WITH {_MENTIONS} SELECT upper(name) AS name, kind, count(DISTINCT doc_id) AS n_docs FROM n GROUP BY ALL HAVING count(DISTINCT doc_id) > 1")
+def shared_entities(spark, sf):
+    named = graph.mentions(_documents(spark, sf), "doc_id", "t").withColumn("name", F.upper("name"))
+    return graph.shared_entities(named, "doc_id")
+
+
+@query()
+def entity_relations(spark, sf):
+    """Relations between a document's entities, merged over documents; held against hand-written cases in a test."""
+    docs = _documents(spark, sf)
+    return graph.merged_edges(graph.relations(docs, "doc_id", "t", graph.mentions(docs, "doc_id", "t")))
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{{4,}}'))) AS e FROM conversations), p AS (SELECT unnest(list_transform(range(1, len(e)), lambda i: list_transform(range(i + 1, len(e) + 1), lambda j: {{'a': e[i], 'b': e[j]}}))) AS ps FROM s WHERE len(e) > 1),
+f AS (SELECT unnest(ps) AS p FROM p), g AS (SELECT p.a AS source, p.b AS target, count(*) AS weight FROM f GROUP BY ALL), top AS (SELECT source FROM g GROUP BY source ORDER BY sum(weight) DESC, source LIMIT 1)
+SELECT name, sum(weight)::BIGINT AS weight FROM (SELECT target AS name, weight FROM g WHERE source = (SELECT source FROM top) UNION ALL SELECT source, weight FROM g WHERE target = (SELECT source FROM top)) GROUP BY name""")
+def entity_neighbours(spark, sf):
+    """What the heaviest source of the co-occurrence graph is linked with, in both directions."""
+    edges = graph.co_occurrence(load(spark, sf, "conversations"), "text", "[A-Z][a-z]{4,}")
+    top = edges.groupBy("source").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "source").first()
+    return graph.neighbours(edges, top.source if top else "")
+
+
+@query("""WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders), n AS (SELECT l_orderkey AS id, arg_max(l_returnflag, l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + ascii(l_returnflag)) AS v FROM lineitem GROUP BY 1)
+SELECT * FROM n UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM n)""")
+def node_merge(spark, sf):
+    """Nodes by id: the last of the new ones wins."""
+    new = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max_by("l_returnflag", F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 100 + F.ascii("l_returnflag")).alias("v"))
+    return mutations.upsert_last(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v")), new, ["id"])
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents WHERE NOT (doc_id % 9 = 0) GROUP BY ALL")
+def superseded_filter(spark, sf):
+    """Texts in force only (here: all but every ninth)."""
+    return load(spark, sf, "documents").withColumn("is_superseded", F.col("doc_id") % 9 == 0).where(~F.col("is_superseded")).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, (arg_min(text, turn) FILTER (role = 'user'))[1:200] AS question, (arg_min(text, turn) FILTER (role = 'assistant'))[1:300] AS answer, CASE WHEN count(*) > 1 THEN count(*) // 2 ELSE 1 END::INT AS turn_count FROM conversations GROUP BY conv_id""")
+def sample_summaries(spark, sf):
+    rows = conversations(spark, sf)
+    said = lambda role: F.get(F.filter("messages", lambda m: m["role"] == role), F.lit(0))["content"]
+    return rows.select("conv_id", F.substring(said("user"), 1, 200).alias("question"), F.substring(said("assistant"), 1, 300).alias("answer"), F.when(F.size("messages") > 1, F.floor(F.size("messages") / 2)).otherwise(1).cast("int").alias("turn_count"))
+
+
+@query("SELECT doc_id, lang, length(text) AS n FROM documents WHERE doc_id = 42")
+def sample_by_id(spark, sf):
+    return load(spark, sf, "documents").where("doc_id = 42").select("doc_id", "lang", F.length("text").alias("n"))
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value >= 50 ORDER BY value DESC, event_id LIMIT 50")
+def trending(spark, sf):
+    """The fastest topics above a velocity (here: values of purchases)."""
+    return load(spark, sf, "events").where("event_type = 'purchase' and value >= 50").orderBy(F.desc("value"), "event_id").limit(50).select("event_id", "value")
+
+
+@query("SELECT page_id, coalesce(status < 400, false) AS reachable FROM (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL ELSE 200 + page_id % 7 * 50 END AS status FROM pages)")
+def http_checks(spark, sf):
+    """Whether a page could be reached, from the status that an injected request gave (null: none)."""
+    status = F.when(F.col("page_id") % 11 == 0, None).otherwise(200 + F.col("page_id") % 7 * 50)
+    return load(spark, sf, "pages").select("page_id", F.coalesce(status < 400, F.lit(False)).alias("reachable"))
+
+
+@query("""WITH s AS (SELECT unnest(range(6)) AS layer), p AS (SELECT page_id, page_id % 6 AS layer, url FROM pages UNION ALL SELECT page_id, (page_id + 3) % 6, url FROM pages WHERE page_id % 3 = 0)
+SELECT url, page_id, layer FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY layer, page_id) AS k FROM p) WHERE k = 1""")
+def layer_union(spark, sf):
+    """All layers' sources together; the first layer that has a URL wins."""
+    pages = load(spark, sf, "pages").select("page_id", "url")
+    a = pages.withColumn("layer", F.col("page_id") % 6)
+    b = pages.where("page_id % 3 = 0").withColumn("layer", (F.col("page_id") + 3) % 6)
+    both = a.unionByName(b)
+    first = both.groupBy("url").agg(F.min(F.struct("layer", "page_id")).alias("f"))
+    return first.select("url", "f.page_id", "f.layer")
+
+
+@query()
+def weighted_sample(spark, sf):
+    """A tenth of the documents without replacement, in proportion to the length of their texts."""
+    u = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    rows = load(spark, sf, "documents").select("doc_id", (F.log(F.greatest(F.length("text"), F.lit(1)).cast("double")) - F.log(-F.log(u))).alias("key"))
+    n = rows.count()
+    return rows.orderBy(F.desc("key"), "doc_id").limit(n // 10).select("doc_id")
