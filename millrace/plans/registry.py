@@ -1,4 +1,4 @@
 """All queries of the engine and their SQL, by name."""
 
-from millrace.plans import dataset_queries, dedup_queries, ingest_queries, product_queries, relational_queries, retrieval_queries, rule_queries, scout_queries, state_queries, text_queries  # noqa: F401
+from millrace.plans import dataset_queries, dedup_queries, ingest_queries, product_queries, relational_queries, retrieval_queries, rule_queries, scout_queries, source_queries, state_queries, text_queries  # noqa: F401
 from millrace.plans.core import ORACLES, QUERIES  # noqa: F401

@@ -97,9 +97,3 @@ def union_of_all_arrays(spark, sf):
     """All users of each event type."""
     users = load(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("u")).distinct()
     return users.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("users"))
-
-
-@query("SELECT coalesce(try_strptime(o_orderpriority, '%Y-%m-%d')::DATE, DATE '2024-01-01') AS day, count(*) AS n, sum(epoch(o_orderdate)::BIGINT % 7)::BIGINT AS check_sum FROM orders GROUP BY 1")
-def date_fallback(spark, sf):
-    day = F.coalesce(F.try_to_date("o_orderpriority", "yyyy-MM-dd"), F.lit("2024-01-01").cast("date"))
-    return load(spark, sf, "orders").groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.sum(F.unix_timestamp("o_orderdate") % 7).alias("check_sum"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.sources import connectors
+
 HOUR = 3_600_000
 
 
@@ -102,3 +104,76 @@ def drain(rows: DataFrame, folder: str, mode: str = "append", then: Callable[[Da
     q.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     done = spark.read.parquet(out)
     return then(done) if then else done
+
+
+def polls(rows: DataFrame, source: str, ts: str, ok: str, found: str, usual_seconds: int = 300) -> DataFrame:
+    """source, at, outcome, interval of every poll (source, time, whether it went through, whether it found anything new), in order of time
+    within a batch: the circuit breaker and the adaptive interval of each source, whose state is four numbers."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = connectors.Poll(*state.get) if state.exists else connectors.Poll(usual_seconds), []
+        for r in pd.concat(list(frames)).sort_values([ts, ok, found]).to_dict("records"):
+            now, outcome = connectors.step(now, int(r[ts].timestamp()), bool(r[ok]), bool(r[found]), usual_seconds)
+            out.append((key[0], r[ts], outcome, now.interval))
+        state.update(tuple(now))
+        yield pd.DataFrame(out, columns=["source", "at", "outcome", "interval"])
+
+    return rows.groupBy(source).applyInPandasWithState(run, f"source {rows.schema[source].dataType.simpleString()}, at timestamp, outcome string, interval long", "interval long, empty long, errors long, paused_until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def adaptive_threshold(rows: DataFrame, key: str, order: str, score: str, start: float = 0.82, window: int = 30, every: int = 10) -> DataFrame:
+    """key, n, threshold after every ``every``-th score of a key: up by 0.01 where the mean of the last ``window`` scores lies more than
+    0.15 above it, down where it lies less than 0.03 above, from half a window on, within 0.72 and 0.92."""
+
+    def run(key_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        threshold, n, last = (state.get[0], state.get[1], list(state.get[2])) if state.exists else (start, 0, [])
+        out = []
+        for value in pd.concat(list(frames)).sort_values(order)[score]:
+            last, n = [*last, float(value)][-window:], n + 1
+            if n % every == 0:
+                mean = sum(last) / len(last)
+                if len(last) >= window // 2:
+                    threshold = min(round(threshold + 0.01, 2), 0.92) if mean > threshold + 0.15 else max(round(threshold - 0.01, 2), 0.72) if mean < threshold + 0.03 else threshold
+                out.append((key_[0], n, threshold))
+        state.update((threshold, n, last))
+        yield pd.DataFrame(out, columns=["key", "n", "threshold"])
+
+    return rows.groupBy(key).applyInPandasWithState(run, f"key {rows.schema[key].dataType.simpleString()}, n long, threshold double", "threshold double, n long, last array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def session_memory(rows: DataFrame, session: str, entry: str, value: str, ts: str, ttl_hours: int = 24) -> DataFrame:
+    """session, entry, value, expires of every stored entry; a session is forgotten once the watermark is past its last entry's time to live."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        f = pd.concat(list(frames)).sort_values(ts).drop_duplicates(entry, keep="last")
+        latest = max(int(f[ts].max().timestamp() * 1000), state.get[0] if state.exists else 0)
+        state.update((latest,))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + ttl_hours * HOUR)
+        yield pd.DataFrame({"session": key[0], "entry": f[entry], "value": f[value], "expires": f[ts] + pd.Timedelta(hours=ttl_hours)})
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    return rows.withWatermark(ts, "1 hour").groupBy(session).applyInPandasWithState(run, f"session {kind(session)}, entry {kind(entry)}, value {kind(value)}, expires timestamp", "latest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def publish(rows: DataFrame, subject: str, path: str, checkpoint: str) -> object:
+    """Appends a stream's rows as JSON messages, a folder for each subject."""
+    message = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"), F.col(subject).cast("string").alias("subject"))
+    return message.writeStream.format("text").partitionBy("subject").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def subscribe(spark: SparkSession, path: str, subject: str, schema: str) -> DataFrame:
+    """Messages of one subject as a stream: at least once, with a cursor in the reader's checkpoint."""
+    text = spark.readStream.schema("value string, subject string").text(path)
+    return text.where(F.col("subject") == subject).select(F.from_json("value", schema).alias("m")).select("m.*")
+
+
+def append_batches(rows: DataFrame, path: str, checkpoint: str, files_of: int = 100_000) -> object:
+    """Appends a stream to a table in batches: buffered rows are flushed with each; a batch that runs again overwrites its own folder."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("maxRecordsPerFile", files_of).parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
