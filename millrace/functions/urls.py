@@ -15,18 +15,24 @@ TIER_B = ("reuters.com", "ft.com", "bloomberg.com", "nature.com", "science.org",
 FORMATS = ((".pdf", "pdf"), (".docx", "docx"), (".xlsx", "xlsx"), (".pptx", "pptx"), ("/pdf/", "pdf"), ("youtube.com/watch", "video"), ("youtu.be/", "video"), (".mp3", "audio"), (".mp4", "video"), (".srt", "srt"), (".csv", "csv"), (".json", "json"))
 
 
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+    return F.regexp_replace(_host(url), r"^www\.", "")
 
 
 def normalise(url: Column) -> Column:
-    """Lower-cased scheme and host without www., no fragment, no tracking parameters, the others sorted, no final slash."""
+    """Lower-cased scheme and host without any leading w and dots, no fragment, no path parameters, no tracking parameters, the others
+    sorted, no final slash."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    path = F.regexp_replace(F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1), ";[^/]*$", ""), "/+$", "")
     path = F.when(path == "", "/").otherwise(path)
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.split(p, "=").getItem(0).isin(*TRACKING)))
-    return F.when(scheme == "", F.lower(F.trim(url))).otherwise(F.concat(scheme, F.lit("://"), host(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: ~F.split(p, "=").getItem(0).isin(*TRACKING))), "&")
+    bare = F.regexp_replace(_host(url), r"^[w.]+", "")
+    return F.when(scheme == "", F.lower(F.trim(url))).otherwise(F.concat(scheme, F.lit("://"), bare, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
 def fingerprint(url: Column) -> Column:

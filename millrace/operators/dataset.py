@@ -69,15 +69,6 @@ def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return run.groupBy(*keys).agg(F.max("n").alias("n"), F.min(value).alias("least"), at(0.5).alias("median"), at(0.75).alias("p75"), at(0.9).alias("p90"), F.max(value).alias("most"))
 
 
-def gate(rows: DataFrame, score: str, group: str, least: int = 500, mean: float = 0.82, share: float = 0.60) -> DataFrame:
-    """One row for each check: name, value, passed."""
-    parts = rows.groupBy(group).agg(F.count("*").alias("k"), F.sum(score).alias("s"), F.count(score).alias("scored"))
-    a = parts.agg(F.sum("k").alias("n"), (F.sum("s") / F.sum("scored")).alias("q"), (F.max("k") / F.sum("k")).alias("share"))
-    row = lambda name, value, passed: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), passed.alias("passed"))
-    checks = F.array(row("min_samples", F.col("n"), F.col("n") >= least), row("avg_score", F.round("q", 6), F.coalesce(F.col("q") >= mean, F.lit(True))), row("max_share", F.round("share", 6), F.col("share") <= share))
-    return a.select(F.explode(checks).alias("c")).select("c.*")
-
-
 def full_gate(rows: DataFrame, score: str, group: str, pairs: DataFrame, talks: DataFrame, least: int = 500, least_pairs: int = 50, mean: float = 0.82, share: float = 0.60, multi_turn: float = 0.15, refusals: float = 0.20, advised: int = 1000) -> DataFrame:
     """One row for each of the reference's checks: name, value, passed and blocking; rows that do not block are its warnings.
 

@@ -30,12 +30,17 @@ def conversation_stats(spark, sf):
     return load(spark, sf, "conversations").groupBy("conv_id").agg(count("user").alias("user_turns"), count("assistant").alias("assistant_turns"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n_chars"), (count("user") > 1).alias("multi_turn"))
 
 
-_PAIR = "p AS (SELECT a.doc_id AS id, a.text[1:60] AS prompt, a.text[61:200] AS chosen, b.text[61:200] AS rejected FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), k AS (SELECT * FROM p WHERE trim(chosen) <> '' AND trim(rejected) <> '' AND trim(chosen) <> trim(rejected))"
+_PAIR = """c AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS asked, arg_min(text, turn) FILTER (role = 'assistant') AS said FROM conversations GROUP BY conv_id),
+p AS (SELECT a.conv_id AS id, a.asked AS prompt, a.said AS chosen, b.said AS rejected FROM c a JOIN c b ON b.conv_id = a.conv_id + 1),
+k AS (SELECT * FROM p WHERE trim(chosen) <> '' AND trim(rejected) <> '' AND trim(chosen) <> trim(rejected))"""
 
 
 def pairs(spark, sf):
-    a, b = load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return a.join(b, "doc_id").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("prompt"), F.substring("text", 61, 140).alias("chosen"), F.substring("other", 61, 140).alias("rejected"))
+    """A conversation's first question and answer, and the next one's first answer as the rejected one: whole texts."""
+    own = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    first = load(spark, sf, "conversations").groupBy("conv_id").agg(own("user").alias("prompt"), own("assistant").alias("chosen"))
+    other = first.select((F.col("conv_id") - 1).alias("conv_id"), F.col("chosen").alias("rejected"))
+    return first.join(other, "conv_id").select(F.col("conv_id").alias("id"), "prompt", "chosen", "rejected")
 
 
 @query(f"WITH {_PAIR} SELECT id, prompt, chosen, rejected FROM k")
@@ -76,18 +81,15 @@ def length_distribution(spark, sf):
     return dataset.distribution(samples(spark, sf).select("perspective", F.length("text").alias("v")), ["perspective"], "v")
 
 
-@query(f"""WITH {_SAMPLE}, a AS (SELECT count(*) AS n, avg(score) AS q, avg((difficulty = 'hard')::INT) AS h, (SELECT max(k) / sum(k) FROM (SELECT count(*) AS k FROM s GROUP BY perspective)) AS share FROM s)
-SELECT * FROM (SELECT 'min_samples' AS name, n::DOUBLE AS value, n >= 500 AS passed FROM a UNION ALL SELECT 'avg_score', round(q, 6), q >= 0.82 FROM a UNION ALL SELECT 'max_share', round(share, 6), share <= 0.60 FROM a)""")
-def quality_gate(spark, sf):
-    return dataset.gate(samples(spark, sf), "score", "perspective")
-
-
-@query(f"""WITH {_SAMPLE}, {_PAIR}, cs AS (SELECT conv_id, count(*) FILTER (role = 'user') > 1 AS multi_turn, count(*) FILTER (role = 'assistant' AND contains(text, '{REFUSAL}')) > 0 AS refusal FROM conversations GROUP BY conv_id),
+_GATE = f"""WITH {_SAMPLE}, {_PAIR}, cs AS (SELECT conv_id, count(*) FILTER (role = 'user') > 1 AS multi_turn, count(*) FILTER (role = 'assistant' AND contains(text, '{REFUSAL}')) > 0 AS refusal FROM conversations GROUP BY conv_id),
 a AS (SELECT count(*) AS n, avg(score) AS q, (SELECT max(x) / sum(x) FROM (SELECT count(*) AS x FROM s GROUP BY perspective)) AS share, (SELECT count(*) FROM k) AS pairs, (SELECT coalesce(avg(multi_turn::INT), 0) FROM cs) AS mt, (SELECT coalesce(avg(refusal::INT), 0) FROM cs) AS rf FROM s)
 SELECT 'min_samples' AS name, n::DOUBLE AS value, n >= 500 AS passed, true AS blocking FROM a UNION ALL (SELECT x.* FROM (SELECT unnest([{{'name': 'min_dpo_pairs', 'value': pairs::DOUBLE, 'passed': pairs >= 50, 'blocking': true}},
 {{'name': 'avg_score', 'value': round(coalesce(q, 0.82), 6), 'passed': coalesce(q >= 0.82, true), 'blocking': true}}, {{'name': 'max_share', 'value': round(share, 6), 'passed': share <= 0.60, 'blocking': true}},
 {{'name': 'multi_turn_pct', 'value': round(mt, 6), 'passed': mt >= 0.15, 'blocking': true}}, {{'name': 'has_scores', 'value': (q IS NOT NULL)::INT::DOUBLE, 'passed': q IS NOT NULL, 'blocking': false}},
-{{'name': 'refusal_pct', 'value': round(rf, 6), 'passed': rf <= 0.20, 'blocking': false}}, {{'name': 'advised_samples', 'value': n::DOUBLE, 'passed': n >= 1000, 'blocking': false}}]) AS x FROM a WHERE n > 0))""")
+{{'name': 'refusal_pct', 'value': round(rf, 6), 'passed': rf <= 0.20, 'blocking': false}}, {{'name': 'advised_samples', 'value': n::DOUBLE, 'passed': n >= 1000, 'blocking': false}}]) AS x FROM a WHERE n > 0))"""
+
+
+@query(_GATE)
 def quality_gate_checks(spark, sf):
     """The reference's five blocking checks and its warnings."""
     own = F.col("role") == "assistant"
@@ -96,6 +98,11 @@ def quality_gate_checks(spark, sf):
     return dataset.full_gate(samples(spark, sf), "score", "perspective", dataset.preference_pairs(pairs(spark, sf)), talks)
 
 
+@query(_GATE)
+def quality_gate(spark, sf):
+    return quality_gate_checks(spark, sf)
+
+
 @query(f"WITH {_SAMPLE} SELECT CASE WHEN score >= 0.88 THEN 'green' WHEN score >= 0.70 THEN 'grey' ELSE 'red' END AS zone, count(*) AS n, round(avg(score), 6) AS mean FROM s GROUP BY 1")
 def review_summary(spark, sf):
     return samples(spark, sf).groupBy(scores.zone(F.col("score")).alias("zone")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))

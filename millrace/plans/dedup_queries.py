@@ -27,9 +27,14 @@ def simhash_items(spark, sf):
     return dedup.simhash(load(spark, sf, "benchmark"), "item_id", "text")
 
 
-@query(f"WITH {_SIM} SELECT * FROM (SELECT x.item_id AS a, y.item_id AS b, hamming(x.simhash, y.simhash)::INT AS distance FROM sim x JOIN sim y ON x.item_id < y.item_id) WHERE distance <= 7")
+_PLANTED = "(SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, text || ' once more' FROM benchmark)"
+
+
+@query(f"WITH {_SIM.replace('FROM benchmark', f'FROM {_PLANTED}')} SELECT * FROM (SELECT x.item_id AS a, y.item_id AS b, hamming(x.simhash, y.simhash)::INT AS distance FROM sim x JOIN sim y ON x.item_id < y.item_id) WHERE distance <= 7")
 def simhash_neighbours(spark, sf):
-    return dedup.simhash_pairs(dedup.simhash(load(spark, sf, "benchmark"), "item_id", "text"), "item_id", 7)
+    """Near pairs among all items and a copy of each with two words more."""
+    items = load(spark, sf, "benchmark").select(F.explode(F.array(F.struct((F.col("item_id") * 2).alias("item_id"), "text"), F.struct((F.col("item_id") * 2 + 1).alias("item_id"), F.concat("text", F.lit(" once more")).alias("text")))).alias("x")).select("x.*")
+    return dedup.simhash_pairs(dedup.simhash(items, "item_id", "text"), "item_id", 7)
 
 
 _MIN = f"""w AS (SELECT item_id, {_W} AS ws FROM benchmark), s AS (SELECT item_id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w)"""
@@ -67,9 +72,11 @@ def near_duplicate_questions(spark, sf):
     return found.select("id.conv_id", "id.turn", "kept")
 
 
-@query("SELECT doc_id, text = (SELECT min(text) FROM documents) AS is_first FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, trim(text) AS t FROM documents UNION ALL SELECT item_id + 1000000, trim(text) FROM benchmark) WHERE sha256(t) NOT IN (SELECT sha256(trim(text)) FROM benchmark WHERE item_id % 2 = 0) GROUP BY sha256(t)")
 def preloaded_ids(spark, sf):
-    d = load(spark, sf, "documents")
-    first = d.agg(F.min("text").alias("t"))
-    seen = load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return d.join(seen, "doc_id", "left_anti").join(F.broadcast(first.withColumn("yes", F.lit(True))), F.col("text") == F.col("t"), "left").select("doc_id", F.coalesce("yes", F.lit(False)).alias("is_first"))
+    """Documents and items, once each, without what a set that is known already (every second item) has."""
+    key = F.sha2(F.trim("text"), 256).alias("key")
+    items = load(spark, sf, "benchmark")
+    known = items.where("item_id % 2 = 0").select(key)
+    rows = load(spark, sf, "documents").select("doc_id", key).unionByName(items.select((F.col("item_id") + 1_000_000).alias("doc_id"), key))
+    return rows.join(known, "key", "left_anti").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("key")

@@ -47,22 +47,11 @@ def top_per_model(spark, sf):
     return t.withColumn("k", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("total"), "user_id"))).where("k <= 3").drop("k")
 
 
-@query(f"""SELECT page_id, tier, tier IN ('S', 'A') OR NOT bad AS passed, array_to_string(list_filter([CASE WHEN bad AND tier IN ('B', 'C') THEN 'content' END, CASE WHEN page_id % 13 = 0 THEN 'http' END], lambda x: x IS NOT NULL), ',') AS reasons FROM (
-SELECT page_id, CASE WHEN {_in(urls.TIER_S)} THEN 'S' WHEN {_in(urls.TIER_A)} OR regexp_matches(h, '\\.(edu|gov|ac\\.uk)$') THEN 'A' WHEN {_in(urls.TIER_B)} THEN 'B' ELSE 'C' END AS tier,
-length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) < 300 AS bad FROM {_NORMAL} JOIN pages USING (page_id))""".replace("'S' WHEN", "'S' WHEN"))
-def firewall(spark, sf):
-    """Content check by tier; the HTTP status is an input column."""
-    bad = F.length(text.strip_tags(F.col("html"))) < 300
-    rows = load(spark, sf, "pages").select("page_id", urls.tier(F.col("url")).alias("tier"), bad.alias("bad"))
-    reasons = F.array_compact(F.array(F.when(F.col("bad") & F.col("tier").isin("B", "C"), "content"), F.when(F.col("page_id") % 13 == 0, "http")))
-    return rows.select("page_id", "tier", (F.col("tier").isin("S", "A") | ~F.col("bad")).alias("passed"), F.array_join(reasons, ",").alias("reasons"))
-
-
 _HEAD = "left(html, list_max(list_filter(range(2048, 8193), lambda i: strlen(left(html, i)) <= 8192)))"
 _BINARY = " OR ".join(f"ends_with(string_split(lower(url), '?')[1], '{e}')" for e in checks.BINARY)
 
 
-@query(rf"""WITH i AS (SELECT p.page_id, p.url, h, TIMESTAMP '{NOW}' + to_days((p.page_id % 17 - 8)::INT) AS published, CASE WHEN p.page_id % 13 = 0 THEN 'http_404' END AS http, p.page_id % 5 <> 0 AS cross_source,
+_FIREWALL = rf"""WITH i AS (SELECT p.page_id, p.url, h, TIMESTAMP '{NOW}' + to_days((p.page_id % 17 - 8)::INT) AS published, CASE WHEN p.page_id % 13 = 0 THEN 'http_404' END AS http, p.page_id % 5 <> 0 AS cross_source,
 CASE WHEN strlen(html) <= 8192 THEN html ELSE {_HEAD} || CASE WHEN strlen({_HEAD}) < 8192 THEN chr(65533) ELSE '' END END AS html FROM {_NORMAL} JOIN pages p USING (page_id)),
 c AS (SELECT *, CASE WHEN {_in(urls.TIER_S)} THEN 'S' WHEN {_in(urls.TIER_A)} OR regexp_matches(h, '\.(edu|gov|ac\.uk)$') THEN 'A' WHEN {_in(urls.TIER_B)} THEN 'B' ELSE 'C' END AS tier,
 length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{checks.SPACE}+', ' ', 'g'))) AS clean, regexp_extract(html, '{checks.ERROR_PAGE}', 1) AS error FROM i),
@@ -71,7 +60,10 @@ CASE WHEN tier <> 'S' THEN http END,
 CASE WHEN tier = 'C' AND NOT cross_source THEN 'cross_verification_failed' END,
 CASE WHEN tier IN ('A', 'S') OR http IS NOT NULL OR {_BINARY} THEN NULL WHEN error <> '' THEN 'error_pattern:' || regexp_replace(error[1:40], '^{checks.SPACE}+|{checks.SPACE}+$', '', 'g')
 WHEN length(html) > 500 AND clean / length(html) < 0.10 THEN 'low_density:' || printf('%.2f', clean / length(html)) WHEN clean < 100 THEN 'too_short' END], lambda x: x IS NOT NULL) END AS reasons FROM c)
-SELECT page_id, tier, len(reasons) = 0 AS passed, array_to_string(reasons, ',') AS reasons FROM r""")
+SELECT page_id, tier, len(reasons) = 0 AS passed, array_to_string(reasons, ',') AS reasons FROM r"""
+
+
+@query(_FIREWALL)
 def firewall_checks(spark, sf):
     """All five checks by tier; dates, HTTP results and cross-source results are input columns made of the page's number."""
     p, now = F.col("page_id"), F.lit(NOW).cast("timestamp")
@@ -79,6 +71,11 @@ def firewall_checks(spark, sf):
     return checks.verify(rows, now).select("page_id", "tier", "passed", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(_FIREWALL)
+def firewall(spark, sf):
+    return firewall_checks(spark, sf)
+
+
 @query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 7 = 0) AND url NOT IN (SELECT url FROM pages WHERE page_id < 10)")
 def history_anti_join(spark, sf):
     p = load(spark, sf, "pages")
@@ -87,13 +84,16 @@ def history_anti_join(spark, sf):
     return p.join(gone, "page_id", "left_anti").join(F.broadcast(recent), "url", "left_anti").select("page_id")
 
 
-@query("SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events WHERE user_id < 40 GROUP BY event_type")
-def union_of_arrays(spark, sf):
-    return load(spark, sf, "events").where("user_id < 40").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("users"))
+_USERS = "SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events GROUP BY event_type"
 
 
-@query("SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events GROUP BY event_type")
+@query(_USERS)
 def union_of_all_arrays(spark, sf):
     """All users of each event type."""
     users = load(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("u")).distinct()
     return users.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("users"))
+
+
+@query(_USERS)
+def union_of_arrays(spark, sf):
+    return union_of_all_arrays(spark, sf)

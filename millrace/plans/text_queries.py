@@ -79,9 +79,10 @@ def content_integrity(spark, sf):
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '')"
-_NORMAL = rf"""(SELECT page_id, url, h, CASE WHEN sch = '' THEN lower(trim(url)) ELSE sch || '://' || h || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END END AS n FROM (
-SELECT page_id, url, {_HOST} AS h, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS sch, regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ({', '.join(map(_q, urls.TRACKING))}))) AS ps FROM pages))"""
+_NORMAL = rf"""(SELECT page_id, url, h, CASE WHEN sch = '' THEN lower(trim(url)) ELSE sch || '://' || regexp_replace(full_host, '^[w.]+', '') || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN ps <> '' THEN '?' || ps ELSE '' END END AS n FROM (
+SELECT page_id, url, {_HOST} AS h, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS full_host, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS sch,
+regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/+$', '') AS path,
+array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: string_split(p, '=')[1] NOT IN ({', '.join(map(_q, urls.TRACKING))}))), '&') AS ps FROM pages))"""
 
 
 @query(f"SELECT page_id, n AS normal_url, sha256(n)[1:16] AS fingerprint FROM {_NORMAL}")

@@ -42,7 +42,7 @@ _FEED = Spec("", "feed", ("{url}",), ("{title}",), ("{published_at}",), ("{snipp
 
 def _json(layer, items, url, title, date, snippet, tier, verified, poll) -> Spec:
     wrap = lambda fields: tuple(f if "{" in f else f"{{{f}}}" for f in fields.split("|") if f)
-    return Spec(layer, items, url if isinstance(url, tuple) else wrap(url), wrap(title), wrap(date), wrap(snippet), tier, verified, poll)
+    return Spec(layer, items, url if isinstance(url, tuple) else wrap(url), title if isinstance(title, tuple) else wrap(title), wrap(date), wrap(snippet), tier, verified, poll)
 
 
 def _feed(layer, tier, verified, poll) -> Spec:
@@ -68,13 +68,13 @@ SPECS = {
     "eurlex": _feed("B", "S", "yes", 600),
     "curia": _feed("B", "S", "curia.europa.eu", 1800),
     "federalregister": _json("B", "results", "html_url", "title", "publication_date", "abstract", "S", "yes", 900),
-    "secedgar": _json("B", "hits.hits", "https://www.sec.gov/Archives/edgar/data/{_id}", "_source.display_names.0.name|_source.display_names.0", "_source.file_date", "", "S", "yes", 900),
+    "secedgar": _json("B", "hits.hits", "https://www.sec.gov/Archives/edgar/full-index/{_id}", ("{_source.display_names.0.name} SEC Filing", "SEC Filing"), "_source.file_date", "", "S", "yes", 900),
     "esma": _json("B", "results|items", "url|link", "title|name", "date|publication_date", "description|summary", "A", "esma.europa.eu", 1800),
     "eba": _feed("B", "A", "eba.europa.eu", 1800),
     "oecd": _json("B", "items|results", ("{url}", "{link}", *_OPEN), "title", "date|publicationDate|publication_date", "summary|description", "A", "oecd", 1800),
     "wto": _feed("B", "A", "wto.org", 3600),
     "wipo": _json("B", "resultsList.wipo:PCT", "https://patentscope.wipo.int/search/en/detail.jsf?docId={wipo:internationalApplicationNumber}", "wipo:inventionTitle|title", "wipo:internationalFilingDate", "", "S", "yes", 3600),
-    "epo": _json("B", "ops:world-patent-data.ops:biblio-search.ops:search-result.ops:publication-reference", "https://worldwide.espacenet.com/patent/search?q=pn%3D{document-id.country.$}{document-id.doc-number.$}{document-id.kind.$}", "Patent {document-id.country.$}{document-id.doc-number.$}{document-id.kind.$}", "", "", "A", "yes", 3600),
+    "epo": _json("B", "ops:world-patent-data.ops:biblio-search.ops:search-result.ops:publication-reference", "https://worldwide.espacenet.com/patent/search?q={document-id.country.$}{document-id.doc-number.$}{document-id.kind.$}", "Patent {document-id.country.$}{document-id.doc-number.$}{document-id.kind.$}", "", "", "A", "yes", 3600),
     "imf": _json("C", "docs|results|items", "url|link", "title", "date|pubDate", "description|abstract", "S", "imf.org", 3600),
     "worldbank": _json("C", "documents", "url|pdfurl", "display_title|title", "docdt|repnb", "abstracts|abstract", "A", "worldbank.org", 3600),
     "fred": _json("C", "seriess", "https://fred.stlouisfed.org/series/{id}", "title", "last_updated|observation_end", "notes", "S", "yes", 3600),
@@ -94,9 +94,9 @@ SPECS = {
     "youtube": _json("E", "items", "https://www.youtube.com/watch?v={id.videoId}", "snippet.title", "snippet.publishedAt", "snippet.description", "B", "yes", 3600),
     "podcastindex": _json("E", "feeds", "url|link", "title", "newestItemPublishTime", "description", "C", "yes", 3600),
     "ted": _feed("E", "B", "ted.com", 3600),
-    "archive": _json("E", "response.docs", "https://archive.org/details/{identifier}", "title|identifier", "date", "description", "B", "yes", 3600),
+    "archive": _json("E", "response.docs", "https://archive.org/details/{identifier}", "title.0|title|identifier", "date", "description.0|description", "B", "yes", 3600),
     "jstor": _json("E", "results.items|results", ("{stableUrl}", "{doi}", "{open_access.oa_url}"), "title", "pubYear|publication_date", "snippet", "A", "jstor.org", 3600),
-    "europeana": _json("E", "items", "guid|link", "title.0|title", "year.0|timestamp_created", "dcDescription.0", "A", "europeana.eu", 7200),
+    "europeana": _json("E", "items", "edmIsShownAt.0|edmIsShownBy.0|guid", "title.0|title|dcTitle.0|dcTitle", "year.0|year|dcDate.0|dcDate", "dcDescription.0|dcDescription", "B", "europeana.eu", 7200),
 }
 
 #: Formats of dates that become ISO; others stay as they are.
@@ -148,7 +148,8 @@ def parse(source: str, payload: str | None) -> list[tuple]:
         except ValueError:
             return []
         items = next((found for path in spec.items.split("|") if isinstance(found := _at(answer, path), (list, dict)) and (path or isinstance(found, list))), [])
-        items = [v if not isinstance(v, dict) else {"uid": k, **v} for k, v in items.items()] if isinstance(items, dict) else items
+        if isinstance(items, dict):  # items by their ids, or one item alone
+            items = [{"uid": k, **v} for k, v in items.items() if isinstance(v, dict)] or [items]
     out = []
     for item in items:
         url = _filled(item, spec.url) if isinstance(item, dict) else ""
