@@ -91,13 +91,13 @@ def write_output(rows: DataFrame, key: str, duplicates, phrase: str, cap: float,
     Near-duplicates of an earlier first question (as ``duplicates`` (key, question) -> (key, kept) finds them) are left out before
     refusals are capped; every chunk is ready afterwards, written or not.
     """
-    asked = rows.withColumn("question", first_said(F.col("messages"), "user"))
+    asked = rows.withColumn("question", first_said(F.col("messages"), "user")).withColumn("answer", first_said(F.col("messages"), "assistant"))  # without marks
     kept = duplicates(asked.where("question <> ''").select(key, "question")).where("kept").select(key)
     fresh = asked.where("question = ''").unionByName(asked.join(kept, key, "left_semi"))
     written = records(fresh, key, phrase, cap, interval, client, batch, secret)
     kind = F.when(F.col("question") == "", "factual").otherwise(questions.question_type(F.col("question")))
     difficulty = F.when(F.col("question") == "", "medium").otherwise(questions.difficulty(F.col("question")))
-    samples = written.select(key, "idx", "question", first_said(F.col("messages"), "assistant").alias("answer"), kind.alias("question_type"), difficulty.alias("difficulty"), "messages", "rejected", "hash")
+    samples = written.select(key, "idx", "question", "answer", kind.alias("question_type"), difficulty.alias("difficulty"), "messages", "rejected", "hash")
     pairs = samples.where("rejected is not null").select(key, F.col("question").alias("prompt"), F.col("answer").alias("chosen"), "rejected")
     states = rows.select(key).join(samples.select(key, "idx"), key, "left").select(key, F.lit("ready").alias("status"), F.coalesce("idx", F.lit(-1)).alias("record_index"))
     return samples, dataset.preference_pairs(pairs), states
