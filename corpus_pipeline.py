@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages, each on all that its predecessor kept.
 
 ``run`` writes every stage's result as Parquet to the shared folder and reads it back as the next stage's input.  SQL cannot
-express the models; the stages' operators are tested against brute force one by one, ``run`` as a whole is not yet.
+express the models; a test holds every stage against its operator, which has a brute-force test of its own.
 """
 
 from __future__ import annotations
@@ -38,7 +38,13 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return sentencepiece_scan.encode(docs, vocabulary_path(UNIGRAM_VOCABULARY))
 
 
-STAGES = [("quality classifier", quality_classifier), ("minhash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("sentencepiece encoding", sentencepiece)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("sentencepiece encoding", sentencepiece),
+]
 
 ORACLE_SQL = None
 
