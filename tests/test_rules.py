@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import rules, text, urls, watermarks
-from millrace.operators import dataset, dedup, evaluation, graph, retrieval, state, writer
+from millrace.operators import dataset, dedup, evaluation, graph, pairing, retrieval, state, writer
 from millrace.session import written
 
 
@@ -156,3 +156,18 @@ def test_run_state(spark):
     line = lambda t: tuple(one(spark, rules.log_line(F.lit(t)).alias("r")).r)
     assert line("Progress: 5 chunks | 3 ready | 1 unresolvable | 8 records | 2 DPO") == (5, 8, 2, None, None)
     assert line("✓ Record 7 written")[1] == 8 and line("Found 3 pending chunks")[3:] == (3, "running") and line("nothing") == (None,) * 5
+
+
+def test_partners_equal_brute_force(spark):
+    names = ("CSRD report", "sfdr note", "Taxonomy act", "csddd", "others")
+    v = np.random.default_rng(6).normal(size=(80, 5))
+    rows = [(k, names[k % 5], x.tolist()) for k, x in enumerate(v)]
+    d = spark.createDataFrame([*rows, (99, None, None)], "id long, name string, vector array<double>").repartition(3)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    got = {r.id: r.partner for r in pairing.partners(d, d.where("id % 20 = 0"), block=2).collect()}
+    for q in range(0, 80, 20):
+        open_ = [k for k in range(80) if k != q and pairing.compatible(names[q % 5], names[k % 5])]
+        assert got[q] == max(open_, key=lambda k: unit[q] @ unit[k] / pairing.TEMPERATURE + pairing.noise(q, k, 7))
+    assert pairing.compatible("CSRD", "x") is False and pairing.compatible("a", "b") and pairing.compatible("SFDR x", "the csrd")
+    drawn = [pairing.noise(1, k, s) for k in range(30) for s in range(100)]
+    assert abs(np.mean(drawn) - 0.5772) < 0.08  # a standard Gumbel variate's mean
