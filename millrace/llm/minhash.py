@@ -147,13 +147,20 @@ def _across(placed: DataFrame, threshold: int, members: int = 400_000, minors: i
     placed = placed.withColumn("size", F.octet_length("items") / 8)
     parts = placed.groupBy("bucket", "c").agg(F.sum("size").alias("size"))
     whole = parts.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("major"), F.sum("size").alias("all"))
-    whole = whole.select("bucket", F.col("major.c").alias("major"), F.ceil(F.col("all") / members).cast("int").alias("n_members"), F.ceil(F.greatest(F.col("all") - F.col("major.size"), F.lit(1)) / minors).cast("int").alias("n_minors"))
-    rows = placed.select("bucket", "node", "c", "items").join(whole, "bucket")
+    whole = whole.select(
+        "bucket",
+        F.col("major.c").alias("major"),
+        F.ceil(F.col("all") / members).cast("int").alias("n_members"),
+        F.ceil(F.greatest(F.col("all") - F.col("major.size"), F.lit(1)) / minors).cast("int").alias("n_minors"),
+    )
+    # written first, so that the join with a hot bucket may be split
+    rows = placed.select("bucket", "node", "c", "items").join(materialize(whole, "whole"), "bucket")
     blocks = lambda n: F.sequence(F.lit(0), n - 1)
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     minor = rows.where("c <> major").select("bucket", own(F.col("n_minors")).alias("x"), F.explode(blocks(F.col("n_members"))).alias("y"), "node", "c", "items", F.lit(True).alias("minor"))
     every = rows.select("bucket", F.explode(blocks(F.col("n_minors"))).alias("x"), own(F.col("n_members")).alias("y"), "node", "c", "items", F.lit(False).alias("minor"))
-    return minor.unionByName(every).groupBy("bucket", "x", "y").applyInArrow(_compare(threshold), "a long, b long").distinct()
+    # dealt by block: a hot bucket's blocks go to many tasks
+    return minor.unionByName(every).repartition("bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(_compare(threshold), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
@@ -164,12 +171,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
     nodes = materialize(real.groupBy("node_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
-    members = materialize(members.join(shared, "bucket"), "buckets")
+    members = materialize(members.join(materialize(shared, "shared"), "bucket"), "buckets")  # a join of written tables may be split where it is skewed
     # the node that meets most others is compared with all of its bucket: the text that copies were made from, where there is one
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = members.select("bucket", "node").join(degree, "node")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"))).alias("p")).select("bucket", (-F.col("p.first")).alias("pivot"))
-    stars = members.select("bucket", "node").join(pivots, "bucket").where("node <> pivot")
+    stars = members.select("bucket", "node").join(materialize(pivots, "pivots"), "bucket").where("node <> pivot")
 
     pairs = materialize(stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
@@ -188,7 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
 
     placed = members.select("bucket", "node").join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    placed = placed.join(mixed, "bucket", "left_semi").join(sets, "node")
+    placed = placed.join(materialize(mixed, "mixed"), "bucket", "left_semi").join(sets, "node")
     more = materialize(_across(placed, threshold), "links")
     final = components(links.union(more)) if more.limit(1).count() else part
 
