@@ -28,13 +28,13 @@ def _counted(rows: DataFrame, value: str) -> DataFrame:
 
 
 def score_report(rows: DataFrame, score: str) -> DataFrame:
-    """One row: n, mean, median, quartiles by index, pass and fail rates (percent) of scores that are rounded to three digits."""
+    """One row: n, mean (six digits), median, quartiles by index, pass and fail rates (percent) of scores that are rounded to three digits."""
     rounded = rows.select(F.round(score, 3).alias("v"))
     counts = _counted(rounded, "v")
     n, v, k = F.max("n"), F.col("v"), F.col("k")
     middle = (F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) / 2), v)) + at_share(counts, "v", 0.5)) / 2
     rate = lambda c: F.round(100 * F.sum(F.when(c, k).otherwise(0)) / n, 1)
-    return counts.agg(n.alias("n"), F.round(F.sum(v * k) / n, 3).alias("mean"), F.round(middle, 4).alias("median"), at_share(counts, "v", 0.25).alias("p25"), at_share(counts, "v", 0.75).alias("p75"), rate(v >= PASS).alias("pass_rate"), rate(v < FAIL).alias("fail_rate"))
+    return counts.agg(n.alias("n"), F.round(F.sum(v * k) / n, 6).alias("mean"), F.round(middle, 4).alias("median"), at_share(counts, "v", 0.25).alias("p25"), at_share(counts, "v", 0.75).alias("p75"), rate(v >= PASS).alias("pass_rate"), rate(v < FAIL).alias("fail_rate"))
 
 
 def judged(answers: DataFrame) -> DataFrame:

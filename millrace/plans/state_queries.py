@@ -77,7 +77,7 @@ def fact_ids(spark, sf):
 _ANSWERS = """r AS (SELECT conv_id AS id, arg_min(text, turn) FILTER (role = 'user') AS question, arg_min(text, turn) FILTER (role = 'assistant') AS answer, (conv_id * 37 % 101) / 100 AS judge_score FROM conversations GROUP BY conv_id),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS idx FROM r) WHERE idx % 5 = 0),
 j AS (SELECT id, question, answer, round(CASE WHEN length(trim(coalesce(answer, ''))) < 20 THEN 0.0 ELSE judge_score END, 3) AS s FROM h WHERE trim(coalesce(question, '')) <> '')"""
-_REPORT = "SELECT count(*) AS n, round(avg(s), 3) AS mean, round(median(s), 4) AS median, list_sort(list(s))[(count(*) // 4 + 1)::INT] AS p25, list_sort(list(s))[(count(*) * 3 // 4 + 1)::INT] AS p75, round(100 * count(*) FILTER (s >= 0.88) / count(*), 1) AS pass_rate, round(100 * count(*) FILTER (s < 0.70) / count(*), 1) AS fail_rate"
+_REPORT = "SELECT count(*) AS n, round(avg(s), 6) AS mean, round(median(s), 4) AS median, list_sort(list(s))[(count(*) // 4 + 1)::INT] AS p25, list_sort(list(s))[(count(*) * 3 // 4 + 1)::INT] AS p75, round(100 * count(*) FILTER (s >= 0.88) / count(*), 1) AS pass_rate, round(100 * count(*) FILTER (s < 0.70) / count(*), 1) AS fail_rate"
 
 
 def _answers(spark, sf):
