@@ -28,15 +28,20 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def simhash_pairs(hashes: DataFrame, key: str, distance: int = 3) -> DataFrame:
-    """Pairs (a, b, distance) of hashes at most so far apart: with distance + 1 blocks one block is equal, so no pair is lost."""
+    """Pairs (a, b, distance) of hashes at most so far apart: with distance + 1 blocks one block is equal, so no pair is lost.
+
+    Rows with equal hashes are linked with the first of them only, which stands for all in other pairs: copies make no pairs of their own.
+    """
     blocks = distance + 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
+    firsts = hashes.groupBy("simhash").agg(F.min(key).alias(key))
     block = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.substring("simhash", cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("bits")) for i in range(blocks)]))
-    rows = hashes.select(key, "simhash", block.alias("x")).select(key, "simhash", "x.no", "x.bits")
+    rows = firsts.select(key, "simhash", block.alias("x")).select(key, "simhash", "x.no", "x.bits")
     a = rows.select(F.col(key).alias("a"), F.col("simhash").alias("sa"), "no", "bits")
     b = rows.select(F.col(key).alias("b"), F.col("simhash").alias("sb"), "no", "bits")
     found = a.join(b, ["no", "bits"]).where("a < b").select("a", "b", hamming(F.col("sa"), F.col("sb")).alias("distance"))
-    return found.where(F.col("distance") <= distance).distinct()
+    equal = hashes.join(firsts.select("simhash", F.col(key).alias("a")), "simhash").where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b"), F.lit(0).alias("distance"))
+    return found.where(F.col("distance") <= distance).distinct().unionByName(equal)
 
 
 def shingles(text: Column) -> Column:

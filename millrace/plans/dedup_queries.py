@@ -30,7 +30,9 @@ def simhash_items(spark, sf):
 _PLANTED = "(SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, text || ' once more' FROM benchmark)"
 
 
-@query(f"WITH {_SIM.replace('FROM benchmark', f'FROM {_PLANTED}')} SELECT * FROM (SELECT x.item_id AS a, y.item_id AS b, hamming(x.simhash, y.simhash)::INT AS distance FROM sim x JOIN sim y ON x.item_id < y.item_id) WHERE distance <= 7")
+@query(f"""WITH {_SIM.replace('FROM benchmark', f'FROM {_PLANTED}')}, c AS (SELECT simhash, min(item_id) AS r FROM sim GROUP BY simhash)
+SELECT * FROM (SELECT x.r AS a, y.r AS b, hamming(x.simhash, y.simhash)::INT AS distance FROM c x JOIN c y ON x.r < y.r) WHERE distance <= 7
+UNION ALL SELECT r, item_id, 0 FROM sim JOIN c USING (simhash) WHERE r < item_id""")
 def simhash_neighbours(spark, sf):
     """Near pairs among all items and a copy of each with two words more."""
     items = load(spark, sf, "benchmark").select(F.explode(F.array(F.struct((F.col("item_id") * 2).alias("item_id"), "text"), F.struct((F.col("item_id") * 2 + 1).alias("item_id"), F.concat("text", F.lit(" once more")).alias("text")))).alias("x")).select("x.*")

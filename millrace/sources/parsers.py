@@ -15,9 +15,9 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Parser = Callable[[bytes], str]
 
@@ -195,7 +195,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
 
 
-FEED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "title", "published_at", "snippet")]))
+FEED = ("url", "title", "published_at", "snippet")
 
 
 def feed_items(payload: str | None) -> list[tuple[str, str, str, str]]:
@@ -221,5 +221,14 @@ def feed_items(payload: str | None) -> list[tuple[str, str, str, str]]:
 
 def feed(payloads: DataFrame, key: str, payload: str, tier: str) -> DataFrame:
     """One row for each item of the payloads; items of tier S are verified."""
-    items = F.udf(feed_items, FEED)
-    return payloads.select(key, F.col(tier).alias("source_tier"), (F.col(tier) == "S").alias("verified"), F.inline(items(F.col(payload))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, item) for k, text in enumerate(batch.column(2).to_pylist()) for item in feed_items(text)]
+            at = pa.array([k for k, _ in found], pa.int64())
+            own = [batch.column(i).take(at) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([item[i] for _, item in found], pa.string()) for i in range(4))], [key, "source_tier", *FEED])
+
+    kind = payloads.schema[key].dataType.simpleString()
+    rows = payloads.select(key, F.col(tier).cast("string").alias("source_tier"), payload).mapInArrow(run, f"{key} {kind}, source_tier string, " + ", ".join(f"{c} string" for c in FEED))
+    return rows.select(key, "source_tier", (F.col("source_tier") == "S").alias("verified"), *FEED)
