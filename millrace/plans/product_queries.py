@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import urls
-from millrace.operators import dedup, graph, mutations, retrieval, writer
+from millrace.operators import dedup, graph, mutations, retrieval, semantic, writer
 from millrace.plans.core import query
 from millrace.plans.dataset_queries import conversations
 from millrace.plans.retrieval_queries import _VEC, _vector, _vector_queries
@@ -205,3 +205,19 @@ def weighted_sample(spark, sf):
     rows = load(spark, sf, "documents").select("doc_id", (F.log(F.greatest(F.length("text"), F.lit(1)).cast("double")) - F.log(-F.log(u))).alias("key"))
     n = rows.count()
     return rows.orderBy(F.desc("key"), "doc_id").limit(n // 10).select("doc_id")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity FROM e a JOIN e b ON a.vec_id < b.vec_id)
+SELECT a, b, similarity FROM p WHERE similarity >= 0.35""")
+def cosine_pairs(spark, sf):
+    """All pairs of vectors at 0.35 or more, by cells around pivots; the SQL compares all with all."""
+    return semantic.cosine_pairs(load(spark, sf, "embeddings"), "vec_id", "embedding", 0.35, lambda d: written(d, "cosine"))
+
+
+@query()
+def semantic_dedup(spark, sf):
+    """Every vector twice, the second time turned a little: which are kept at 0.88; held against the one-by-one rule in a test."""
+    e = load(spark, sf, "embeddings")
+    turned = F.transform("embedding", lambda x, i: F.when(i == 0, x + 0.2).otherwise(x))
+    twice = e.select((F.col("vec_id") * 2).alias("id"), "embedding").unionByName(e.select((F.col("vec_id") * 2 + 1).alias("id"), turned.alias("embedding")))
+    return semantic.semantic_keep(twice, "id", "embedding", lambda d: written(d, "semantic"))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import rules, text, urls, watermarks
-from millrace.operators import dataset, dedup, evaluation, graph, pairing, retrieval, state, writer
+from millrace.operators import dataset, dedup, evaluation, graph, pairing, retrieval, semantic, state, writer
 from millrace.session import written
 
 
@@ -171,3 +171,23 @@ def test_partners_equal_brute_force(spark):
     assert pairing.compatible("CSRD", "x") is False and pairing.compatible("a", "b") and pairing.compatible("SFDR x", "the csrd")
     drawn = [pairing.noise(1, k, s) for k in range(30) for s in range(100)]
     assert abs(np.mean(drawn) - 0.5772) < 0.08  # a standard Gumbel variate's mean
+
+
+def test_semantic_filter_equals_the_rule(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8))
+    v = np.concatenate([c + rng.normal(scale=0.35, size=(25, 8)) for c in centres])
+    v[10], v[50], v[51] = v[3], 0.0, v[3] * 2
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(900, None)]
+    d = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    near = {(a, b) for a in range(300) for b in range(a + 1, 300) if round(float(unit[a] @ unit[b]), 6) >= 0.88}
+    found = {(r.a, r.b) for r in semantic.cosine_pairs(d, "id", "v", 0.88, lambda x: written(x, "test"), pivots=9, block=40).collect()}
+    # equal vectors: the first stands for all
+    assert {p for p in found if 10 not in p} == {p for p in near if 10 not in p} and (3, 10) in found and len(near) > 500
+    kept = []
+    for a in range(300):
+        if not any((b, a) in near for b in kept):
+            kept.append(a)
+    got = {r.id for r in semantic.semantic_keep(d, "id", "v", lambda x: written(x, "test")).where("kept").collect()}
+    assert got == {*kept, 900}
