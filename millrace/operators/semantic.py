@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.dedup import greedy_keep
 
-PIVOTS, BLOCK = 64, 1000
+PIVOTS, BLOCK = 16, 2000
 
 
 def _cells(pivots: np.ndarray, radius: float):
@@ -43,8 +43,8 @@ def _cells(pivots: np.ndarray, radius: float):
 
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        home, key = np.array(table.column("home").to_pylist(), bool), np.array(table.column("key").to_pylist(), np.int64)
-        v = np.array(table.column("v").to_pylist(), np.float64)
+        home, key = table.column("home").to_numpy(), table.column("key").to_numpy()
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
         mine, other = np.flatnonzero(home), np.flatnonzero(~home)
         a, b, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if len(mine) and len(other):
