@@ -157,10 +157,21 @@ def _across(placed: DataFrame, threshold: int, members: int = 400_000, minors: i
     rows = placed.select("bucket", "node", "c", "items").join(materialize(whole, "whole"), "bucket")
     blocks = lambda n: F.sequence(F.lit(0), n - 1)
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    minor = rows.where("c <> major").select("bucket", own(F.col("n_minors")).alias("x"), F.explode(blocks(F.col("n_members"))).alias("y"), "node", "c", "items", F.lit(True).alias("minor"))
-    every = rows.select("bucket", F.explode(blocks(F.col("n_minors"))).alias("x"), own(F.col("n_members")).alias("y"), "node", "c", "items", F.lit(False).alias("minor"))
-    # dealt by block: a hot bucket's blocks go to many tasks
-    return minor.unionByName(every).repartition("bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(_compare(threshold), "a long, b long").distinct()
+
+    def sides(minor: DataFrame, every: DataFrame) -> DataFrame:
+        return minor.withColumn("minor", F.lit(True)).unionByName(every.withColumn("minor", F.lit(False)))
+
+    plain = ("bucket", "node", "c", "items")
+    one_block = (F.col("n_members") == 1) & (F.col("n_minors") == 1)
+    # a bucket of one block stays where the join has put it
+    small = rows.where(one_block)
+    found = sides(small.where("c <> major").select(*plain), small.select(*plain)).groupBy("bucket").applyInArrow(_compare(threshold), "a long, b long")
+    # a larger one is dealt by block, so that it goes to many tasks
+    large = rows.where(~one_block)
+    minor = large.where("c <> major").select(*plain, own(F.col("n_minors")).alias("x"), F.explode(blocks(F.col("n_members"))).alias("y"))
+    every = large.select(*plain, F.explode(blocks(F.col("n_minors"))).alias("x"), own(F.col("n_members")).alias("y"))
+    dealt = sides(minor, every).repartition("bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(_compare(threshold), "a long, b long")
+    return found.unionByName(dealt).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
