@@ -343,3 +343,17 @@ def test_minhash_of_ids_with_several_texts(spark):
     assert got == {(5, 5), (7, 5), (9, 5), (8, 8), (3, 3)}
     kept = minhash.deduplicate(d)
     assert kept.columns == d.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(3, ""), (5, a), (8, "")]
+
+
+def test_bucket_blocks_equal_brute_force(spark):
+    rng, base, rows = np.random.default_rng(1), [], []
+    base = [np.sort(rng.choice(2**40, 60, replace=False)) for _ in range(4)]
+    for k in range(40):
+        s = base[k % 4].copy()
+        s[rng.integers(0, 60, 5)] = rng.integers(2**41, 2**42, 5)
+        rows.append((k % 2, k, k // 8, bytearray(np.unique(s).astype(np.uint64).tobytes())))
+    d = spark.createDataFrame(rows, "bucket long, node long, c long, items binary")
+    sets = {n: set(np.frombuffer(i, np.uint64).tolist()) for _, n, _, i in rows}
+    want = {(m, n) for b, m, c, _ in rows for e, n, f, _ in rows if b == e and m < n and c != f and 100 * len(sets[m] & sets[n]) >= 75 * len(sets[m] | sets[n])}
+    for members, minors in ((400_000, 100_000), (300, 200)):
+        assert {(r.a, r.b) for r in minhash._across(d, 75, members, minors).collect()} == want and len(want) > 10
