@@ -8,10 +8,11 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,3 +171,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, so that extra ones and names that clash with an operator's own never matter."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def list_rows(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """Each list of an Arrow list column as a NumPy view of its values, None for null lists; null elements of floats are NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets, valid = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    values = column.values.to_numpy(zero_copy_only=False)
+    for k, there in enumerate(valid):
+        yield values[offsets[k] : offsets[k + 1]] if there else None
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of rows with equal ``keys``, from batches sorted by them; the last group waits for more rows."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        last = [rows.column(k)[rows.num_rows - 1] for k in keys]
+        same = np.ones(rows.num_rows, bool)
+        for k, value in zip(keys, last, strict=True):
+            same &= pc.equal(rows.column(k), value).to_numpy(zero_copy_only=False).astype(bool)
+        start = rows.num_rows - int(same.sum())
+        if start:
+            yield rows.slice(0, start)
+        rest = rows.slice(start)
+    if rest is not None:
+        yield rest

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, importance, minhash, quality_rules, secrets, sentencepiece_scan, sharding, suffix_dedup, token_counts, token_files
+from millrace.llm import (
+    decontaminate,
+    importance,
+    lloyd,
+    minhash,
+    quality_rules,
+    secrets,
+    sentencepiece_scan,
+    sharding,
+    spelling,
+    spherical_caps,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
 from millrace.llm.common import table
 
 UNIGRAM_VOCABULARY, TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -62,7 +76,34 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality_rules, op4_quality_classifier, op5_decontamination, op6_suffix_dedup, op7_sentencepiece, op8_secret_scan, op9_token_files, op10_minhash)}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_token_counts,
+    op2_sharding,
+    op3_quality_rules,
+    op4_quality_classifier,
+    op5_decontamination,
+    op6_suffix_dedup,
+    op7_sentencepiece,
+    op8_secret_scan,
+    op9_token_files,
+    op10_minhash,
+    op11_embedding_dedup,
+    op12_lloyd,
+    op13_spelling_variants,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -97,5 +138,98 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q"""
 
 
-
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL}
+OP11_SQL = f"""
+WITH RECURSIVE
+v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+    AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= {spherical_caps.THRESHOLD}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id,
+  vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+def _lloyd_sql(k: int = lloyd.CLUSTERS, dim: int = lloyd.DIM, rounds: int = lloyd.ROUNDS) -> str:
+    """One pair of tables for each round: distances and nearest centroids, then new centroids, in long form."""
+    steps = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda y: floor({lloyd.SCALE} * y::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+flat AS MATERIALIZED (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM kept),
+first AS (
+  SELECT row_number() OVER (ORDER BY sha256('{lloyd.SEED}:' || vec_id)) - 1 AS c, x FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('{lloyd.SEED}:' || vec_id)) <= {k}),
+c0 AS MATERIALIZED (SELECT c, unnest(x) AS m, generate_subscripts(x, 1) AS i FROM first)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT vec_id, c, sum((x - m) * (x - m))::BIGINT AS d FROM flat JOIN c{r} USING (i) GROUP BY ALL),
+a{r} AS MATERIALIZED (SELECT vec_id, min(struct_pack(d := d, c := c)) AS best FROM d{r} GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT best.c AS c, i, sum(x)::BIGINT AS s, count(*) AS n FROM flat JOIN a{r} USING (vec_id) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, c{r}.i, coalesce((s - ((s % n) + n) % n) // n, m) AS m FROM c{r} LEFT JOIN s{r} ON s{r}.c = c{r}.c AND s{r}.i = c{r}.i)""")
+    return ",\n".join(steps) + f""",
+h AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN h ON h.c = best.c"""
+
+
+def _crc_table() -> list[int]:
+    """The 256 remainders of CRC-32, by its rule (reflected polynomial)."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, 'null') AS doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+crc AS (SELECT {_crc_table()}::UBIGINT[] AS t),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END)) AS b FROM each),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, b::UBIGINT[]),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255)::INTEGER + 1])), 4294967295::UBIGINT) AS h FROM bytes, crc),
+words AS MATERIALIZED (
+  SELECT CASE WHEN h % {spelling.TYPO_EVERY} = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2)
+    ELSE run END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1
+  HAVING length(word) >= {spelling.SHORTEST} AND sum(n) >= {spelling.LEAST}),
+cuts AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+inserted AS (SELECT DISTINCT words.word AS a, cuts.word AS b FROM words JOIN cuts ON words.word = rest),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM cuts AS a JOIN cuts AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT a, b FROM inserted UNION ALL SELECT b, a FROM inserted),
+best AS (SELECT a, count(*) AS n_near, min(struct_pack(m := -n, w := b)) AS m FROM near JOIN words ON b = word GROUP BY a),
+forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -m.m >= {spelling.RATIO} * n THEN m.w END AS form,
+    CASE WHEN -m.m >= {spelling.RATIO} * n THEN -m.m END::BIGINT AS form_n FROM words LEFT JOIN best ON a = word),
+walk AS (
+  SELECT word, word AS root FROM forms
+  UNION SELECT walk.word, form FROM walk JOIN forms ON forms.word = walk.root WHERE form IS NOT NULL)
+SELECT f.word, f.form, root, f.n, f.n_near, f.form_n
+FROM walk JOIN forms AS f ON f.word = walk.word JOIN forms AS e ON e.word = root AND e.form IS NULL"""
+
+
+ORACLE_SQL = {
+    "op3_quality_rules": OP3_SQL,
+    "op11_embedding_dedup": OP11_SQL,
+    "op12_lloyd": _lloyd_sql(),
+    "op13_spelling_variants": OP13_SQL,
+}
