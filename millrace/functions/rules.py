@@ -78,7 +78,7 @@ TRUST = {"S": 1.0, "A": 0.8, "B": 0.6, "C": 0.3}
 MODELS = ((5.0, "Phi-4-Mini (3.8B)"), (7.0, "Llama-3.2-3B"), (12.0, "Llama-3.1-8B"), (48.0, "Llama-3.1-70B"))
 # Log lines of a run.
 PROGRESS = r"Progress:\s*(\d+)\s*chunks\s*\|\s*(\d+)\s*ready\s*\|\s*(\d+)\s*unresolvable\s*\|\s*(\d+)\s*records\s*\|\s*(\d+)\s*DPO"
-RECORD, FOUND, DONE = r"✓ Record (\d+) written", r"Found (\d+) pending chunks", "ESG Data Foundry — Run Complete"
+RECORD, FOUND = r"✓ Record (\d+) written", r"Found (\d+) pending chunks"
 # Phrases that announce from when a text applies, and the dates behind them.
 VALID_FROM = r"(?i)(?:wchodzi w życie|applicable from|valid from|effective|od dnia)\s*:?\s*(\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}[./-]\d{2}[./-]\d{2})"
 DATE_FORMATS = ("d.M.y", "d/M/y", "d-M-y", "y-M-d", "y.M.d")
@@ -202,12 +202,12 @@ def model_for(memory: Column) -> Column:
     return F.when(F.coalesce(memory, F.lit(0.0)) <= 0, "API fine-tune (no GPU)").otherwise(fits)
 
 
-def log_line(line: Column) -> Column:
+def log_line(line: Column, complete: str = "Run Complete") -> Column:
     """Struct of what a run's log line says: done, records, pairs, total and status; null where it says nothing of it."""
     at = lambda pattern, k: F.nullif(F.regexp_extract(line, pattern, k), F.lit("")).cast("int")
     progress = at(PROGRESS, 1)
     found = F.when(progress.isNull(), at(FOUND, 1))
     record = F.when(progress.isNull() & found.isNull(), at(RECORD, 1) + 1)
-    done = progress.isNull() & found.isNull() & record.isNull() & F.contains(line, F.lit(DONE))
+    done = progress.isNull() & found.isNull() & record.isNull() & F.contains(line, F.lit(complete))
     status = F.when(found.isNotNull(), "running").when(done, "done")
     return F.struct(progress.alias("done"), F.coalesce(at(PROGRESS, 4), record).alias("records"), at(PROGRESS, 5).alias("pairs"), found.alias("total"), status.alias("status"))

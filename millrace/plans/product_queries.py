@@ -9,7 +9,7 @@ from millrace.functions import urls
 from millrace.operators import dedup, graph, mutations, retrieval, semantic, writer
 from millrace.plans.core import query
 from millrace.plans.dataset_queries import conversations
-from millrace.plans.retrieval_queries import _VEC, _vector, _vector_queries
+from millrace.plans.retrieval_queries import VEC, _vector, vector_queries
 from millrace.session import written
 from millrace.sources.tables import load
 
@@ -72,14 +72,14 @@ def title_neighbours(spark, sf):
     return pairs.join(classes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(classes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
 
 
-@query(f"""WITH {_VEC}, e AS (SELECT query, b.vec_id, round(list_dot_product(b.embedding::DOUBLE[], qv) / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity FROM embeddings b, q)
+@query(f"""WITH {VEC}, e AS (SELECT query, b.vec_id, round(list_dot_product(b.embedding::DOUBLE[], qv) / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity FROM embeddings b, q)
 SELECT query, vec_id, similarity FROM e WHERE similarity >= 0.3 AND query <> vec_id""")
 def cosine_links(spark, sf):
     """All vectors at least 0.3 similar to one whose id is divisible by 20."""
-    return retrieval.cosine_links(load(spark, sf, "embeddings"), "vec_id", "embedding", _vector_queries(spark, sf), 0.3)
+    return retrieval.cosine_links(load(spark, sf, "embeddings"), "vec_id", "embedding", vector_queries(spark, sf), 0.3)
 
 
-@query(f"WITH {_VEC}, c AS (SELECT query, vec_id, round(length(text[1:512]) / 512 + similarity / 10, 6) AS score FROM vt JOIN documents ON doc_id = vec_id) SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS k FROM c) WHERE k <= 5")
+@query(f"WITH {VEC}, c AS (SELECT query, vec_id, round(length(text[1:512]) / 512 + similarity / 10, 6) AS score FROM vt JOIN documents ON doc_id = vec_id) SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS k FROM c) WHERE k <= 5")
 def reranked(spark, sf):
     """Candidates ranked anew by an injected score (here: how much text there is)."""
     bodies = load(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("body"))

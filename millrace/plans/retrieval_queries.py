@@ -2,51 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-from millrace.operators import graph, retrieval
+from millrace.operators import graph, postings, retrieval
 from millrace.plans.core import query
 from millrace.sources.tables import load
 
 #: Vector queries are all rows whose id is divisible by 20; each takes the next of the stated texts.
 _EVERY = 20
-_VEC = f"""q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {_EVERY} = 0),
+VEC = f"""q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {_EVERY} = 0),
 v AS (SELECT query, vec_id,
     round(list_dot_product(embedding::DOUBLE[], qv) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS similarity
   FROM embeddings, q),
 vt AS (SELECT query, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS k FROM v) WHERE k <= 20)"""
 #: Stated text queries: one for each vector query.
 _TEXTS = ["the and", "of the", "in with", "de la", "der die", "for that", "is to", "que en"]
-_FTS = f"""qt AS (SELECT unnest(range({len(_TEXTS)})) AS query, unnest({_TEXTS}) AS t), qw AS (SELECT query, unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM qt), qn AS (SELECT query, count(*) AS need FROM qw GROUP BY 1),
-ix AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents WHERE doc_id < 1000000) WHERE term IN (SELECT term FROM qw) GROUP BY ALL),
-ft AS (SELECT query, doc_id, round(sum(1 + ln(tf)), 6) AS rank FROM ix JOIN qw USING (term) JOIN qn USING (query) GROUP BY query, doc_id, need HAVING count(*) = need)""".replace(" WHERE doc_id < 1000000", "")
-
-
-def _vector_queries(spark, sf):
+FTS = f"""qt AS (SELECT unnest(range({len(_TEXTS)})) AS query, unnest({_TEXTS}) AS t),
+qw AS (SELECT query, unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM qt),
+qn AS (SELECT query, count(*) AS need FROM qw GROUP BY 1),
+ix AS (
+  SELECT doc_id, term, count(*) AS tf
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents)
+  WHERE term IN (SELECT term FROM qw) GROUP BY ALL),
+ft AS (
+  SELECT query, doc_id, round(sum(1 + ln(tf)), 6) AS rank FROM ix JOIN qw USING (term) JOIN qn USING (query)
+  GROUP BY query, doc_id, need HAVING count(*) = need)"""
+_INDEXES: dict[tuple[str, str], postings.Postings] = {}
+
+
+def text_index(spark, sf) -> postings.Postings:
+    """The inverted index of the documents, built once a session: they are read and cut into terms once."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _INDEXES:
+        _INDEXES[place] = postings.Postings.build(load(spark, sf, "documents"), "doc_id", "text")
+    return _INDEXES[place]
+
+
+def vector_queries(spark, sf):
     return load(spark, sf, "embeddings").where(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
 def _vector(spark, sf):
-    return retrieval.vector_top_k(load(spark, sf, "embeddings"), "vec_id", "embedding", _vector_queries(spark, sf), 20)
+    return retrieval.vector_top_k(load(spark, sf, "embeddings"), "vec_id", "embedding", vector_queries(spark, sf), 20)
 
 
-def _texts(spark):
+def text_queries(spark):
     return spark.createDataFrame(list(enumerate(_TEXTS)), "query long, text string")
 
 
-@query(f"WITH {_VEC} SELECT query, vec_id, similarity FROM vt")
+@query(f"WITH {VEC} SELECT query, vec_id, similarity FROM vt")
 def vector_top_k(spark, sf):
     return _vector(spark, sf)
 
 
-@query(f"WITH {_FTS} SELECT query, doc_id, rank FROM ft")
+@query(f"WITH {FTS} SELECT query, doc_id, rank FROM ft")
 def full_text_rank(spark, sf):
-    return retrieval.full_text(load(spark, sf, "documents"), "doc_id", "text", _texts(spark))
+    return text_index(spark, sf).matches(text_queries(spark)).withColumnRenamed("key", "doc_id")
 
 
-_HYBRID = f"""{_VEC}, {_FTS},
+_HYBRID = f"""{VEC}, {FTS},
 tt AS (SELECT query, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, doc_id) AS k FROM ft) WHERE k <= 20),
 qq AS (SELECT q.query, doc_id, rank FROM q JOIN tt ON tt.query = q.query // {_EVERY} % {len(_TEXTS)}),
 fu AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id) AS id, round(0.7 * coalesce(similarity, 0) + 0.3 * coalesce(rank, 0), 6) AS score
@@ -55,9 +69,8 @@ fu AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.vec_id, b.doc_id)
 
 def _fused(spark, sf, k):
     v = _vector(spark, sf).withColumnRenamed("vec_id", "id")
-    t = retrieval.full_text(load(spark, sf, "documents"), "doc_id", "text", _texts(spark)).withColumnRenamed("doc_id", "id")
-    t = t.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("rank"), "id"))).where("k <= 20").select(F.col("query").alias("text_no"), "id", "rank")
-    asked = _vector_queries(spark, sf).select("query", (F.floor(F.col("query") / _EVERY) % len(_TEXTS)).alias("text_no"))
+    t = text_index(spark, sf).top(text_queries(spark), 20).select(F.col("query").alias("text_no"), F.col("key").alias("id"), "rank")
+    asked = vector_queries(spark, sf).select("query", (F.floor(F.col("query") / _EVERY) % len(_TEXTS)).alias("text_no"))
     return retrieval.fuse(v, asked.join(t, "text_no").drop("text_no"), "id", 0.7, 0.3, k)
 
 
@@ -72,7 +85,7 @@ def diversified_search(spark, sf):
     return retrieval.diversify(_fused(spark, sf, 40).withColumn("section", F.col("id") % 4), ["section"], "id", 2, 6).drop("section")
 
 
-@query(f"WITH {_VEC} SELECT query, vec_id, similarity FROM vt")
+@query(f"WITH {VEC} SELECT query, vec_id, similarity FROM vt")
 def vector_neighbours(spark, sf):
     """The 20 nearest of every vector whose id is divisible by 20."""
     return _vector(spark, sf)

@@ -153,17 +153,17 @@ def model_choice(spark, sf):
 
 
 _LINES = r"""l AS (SELECT o_orderkey, CASE (o_orderkey % 6)::INT WHEN 0 THEN 'Progress: ' || o_custkey || ' chunks | 3 ready | 1 unresolvable | ' || (o_custkey * 2) || ' records | 7 DPO' WHEN 1 THEN 'Found ' || o_custkey || ' pending chunks'
-  WHEN 2 THEN '✓ Record ' || o_custkey || ' written' WHEN 3 THEN 'ESG Data Foundry — Run Complete' WHEN 4 THEN '[ERROR] ' || o_custkey ELSE 'Progress: none' END AS line FROM orders)"""
+  WHEN 2 THEN '✓ Record ' || o_custkey || ' written' WHEN 3 THEN 'Run Complete' WHEN 4 THEN '[ERROR] ' || o_custkey ELSE 'Progress: none' END AS line FROM orders)"""
 
 
 @query(rf"""WITH {_LINES}, p AS (SELECT o_orderkey, line, regexp_extract(line, '{rules.PROGRESS}', ['a', 'b', 'c', 'd', 'e']) AS g, regexp_extract(line, 'Found (\d+) pending chunks', 1) AS f, regexp_extract(line, '✓ Record (\d+) written', 1) AS r FROM l)
 SELECT o_orderkey, nullif(g.a, '')::INT AS done, coalesce(nullif(g.d, '')::INT, nullif(r, '')::INT + 1) AS records, nullif(g.e, '')::INT AS pairs, nullif(f, '')::INT AS total,
-  CASE WHEN f <> '' THEN 'running' WHEN contains(line, '{rules.DONE}') THEN 'done' END AS status FROM p""")
+  CASE WHEN f <> '' THEN 'running' WHEN contains(line, 'Run Complete') THEN 'done' END AS status FROM p""")
 def log_lines(spark, sf):
     who = F.col("o_custkey").cast("string")
     lines = F.array(
         F.concat(F.lit("Progress: "), who, F.lit(" chunks | 3 ready | 1 unresolvable | "), (F.col("o_custkey") * 2).cast("string"), F.lit(" records | 7 DPO")), F.concat(F.lit("Found "), who, F.lit(" pending chunks")),
-        F.concat(F.lit("✓ Record "), who, F.lit(" written")), F.lit("ESG Data Foundry — Run Complete"), F.concat(F.lit("[ERROR] "), who), F.lit("Progress: none"),
+        F.concat(F.lit("✓ Record "), who, F.lit(" written")), F.lit("Run Complete"), F.concat(F.lit("[ERROR] "), who), F.lit("Progress: none"),
     )
     return load(spark, sf, "orders").select("o_orderkey", rules.log_line(F.get(lines, (F.col("o_orderkey") % 6).cast("int"))).alias("x")).select("o_orderkey", "x.*")
 

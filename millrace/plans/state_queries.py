@@ -10,7 +10,7 @@ from millrace.operators import dataset, evaluation, memory, mutations, retrieval
 from millrace.plans.core import query
 from millrace.plans.dataset_queries import conversations, samples
 from millrace.plans.dataset_queries import _SAMPLE
-from millrace.plans.retrieval_queries import _VEC, _vector, _vector_queries
+from millrace.plans.retrieval_queries import VEC, _vector, vector_queries
 from millrace.sources.tables import load
 
 # Memory: every vector is a fact, its content the document of the same id.
@@ -23,13 +23,13 @@ def _facts(spark, sf):
     return load(spark, sf, "embeddings").select(F.col("vec_id").alias("fact"), (F.col("vec_id") * 60).alias("created_at"), F.col("embedding").alias("vector")).join(docs, "fact")
 
 
-@query(f"WITH {_VEC} SELECT query, vec_id AS fact, similarity FROM vt WHERE similarity >= 0.2")
+@query(f"WITH {VEC} SELECT query, vec_id AS fact, similarity FROM vt WHERE similarity >= 0.2")
 def memory_search(spark, sf):
     """The 20 nearest facts at 0.2 or more, for every vector whose id is divisible by 20."""
-    return memory.search(load(spark, sf, "embeddings").select(F.col("vec_id").alias("fact"), F.col("embedding").alias("vector")), _vector_queries(spark, sf), 20, 0.2)
+    return memory.search(load(spark, sf, "embeddings").select(F.col("vec_id").alias("fact"), F.col("embedding").alias("vector")), vector_queries(spark, sf), 20, 0.2)
 
 
-@query(f"""WITH {_VEC}, a AS (SELECT query, vec_id AS fact, similarity, 1000000 - vec_id * 60 AS age FROM vt), b AS (SELECT *, max(age) OVER (PARTITION BY query) AS oldest FROM a),
+@query(f"""WITH {VEC}, a AS (SELECT query, vec_id AS fact, similarity, 1000000 - vec_id * 60 AS age FROM vt), b AS (SELECT *, max(age) OVER (PARTITION BY query) AS oldest FROM a),
 c AS (SELECT query, fact, round(0.8 * similarity + 0.2 * (1 - age / oldest), 6) AS relevance FROM b)
 SELECT query, fact, relevance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, fact) AS k FROM c) WHERE k <= 10""")
 def memory_recall(spark, sf):
@@ -38,7 +38,7 @@ def memory_recall(spark, sf):
     return memory.recalled(_vector(spark, sf).withColumnRenamed("vec_id", "fact"), facts, F.lit(1_000_000), 10)
 
 
-@query(f"WITH {_VEC}, {_FACTS}, n AS (SELECT fact, {_NEG} AS neg FROM facts) SELECT query, vec_id AS fact, similarity FROM vt JOIN n a ON a.fact = vec_id JOIN n b ON b.fact = query WHERE query <> vec_id AND a.neg <> b.neg AND similarity >= 0.2")
+@query(f"WITH {VEC}, {_FACTS}, n AS (SELECT fact, {_NEG} AS neg FROM facts) SELECT query, vec_id AS fact, similarity FROM vt JOIN n a ON a.fact = vec_id JOIN n b ON b.fact = query WHERE query <> vec_id AND a.neg <> b.neg AND similarity >= 0.2")
 def memory_contradictions(spark, sf):
     """Near facts of which one negates and the other does not."""
     found = _vector(spark, sf).withColumnRenamed("vec_id", "fact").where("similarity >= 0.2")
@@ -272,7 +272,7 @@ def schedule_status(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", state.remaining(at, F.lit("1995-06-01 00:00:00").cast("timestamp")).alias("seconds"))
 
 
-@query(f"WITH {_VEC} SELECT query, doc_id, lang, similarity FROM vt JOIN documents ON doc_id = vec_id")
+@query(f"WITH {VEC} SELECT query, doc_id, lang, similarity FROM vt JOIN documents ON doc_id = vec_id")
 def fused_rows(spark, sf):
     """The rows of found ids."""
     return _vector(spark, sf).withColumnRenamed("vec_id", "doc_id").join(load(spark, sf, "documents"), "doc_id").select("query", "doc_id", "lang", "similarity")

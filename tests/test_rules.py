@@ -161,16 +161,33 @@ def test_run_state(spark):
 def test_partners_equal_brute_force(spark):
     names = ("CSRD report", "sfdr note", "Taxonomy act", "csddd", "others")
     v = np.random.default_rng(6).normal(size=(80, 5))
-    rows = [(k, names[k % 5], x.tolist()) for k, x in enumerate(v)]
+    rows = [(k, names[k % 5], None if k in (12, 40) else x.tolist()) for k, x in enumerate(v)]
     d = spark.createDataFrame([*rows, (99, None, None)], "id long, name string, vector array<double>").repartition(3)
+    together = {("CSRD report", "sfdr note"), ("CSRD report", "Taxonomy act"), ("CSRD report", "csddd"), ("sfdr note", "Taxonomy act"), ("Taxonomy act", "csddd"), ("others", "others")}
+    named = {k: name for k, name, _ in rows} | {99: "others"}
     unit = v / np.linalg.norm(v, axis=1)[:, None]
-    got = {r.id: r.partner for r in pairing.partners(d, d.where("id % 20 = 0"), block=2).collect()}
-    for q in range(0, 80, 20):
-        open_ = [k for k in range(80) if k != q and pairing.compatible(names[q % 5], names[k % 5])]
-        assert got[q] == max(open_, key=lambda k: unit[q] @ unit[k] / pairing.TEMPERATURE + pairing.noise(q, k, 7))
-    assert pairing.compatible("CSRD", "x") is False and pairing.compatible("a", "b") and pairing.compatible("SFDR x", "the csrd")
-    drawn = [pairing.noise(1, k, s) for k in range(30) for s in range(100)]
-    assert abs(np.mean(drawn) - 0.5772) < 0.08  # a standard Gumbel variate's mean
+
+    def similarity(a, b):
+        return 0.5 if {a, b} & {12, 40, 99} else unit[a] @ unit[b]
+
+    got = {r.id: (r.partner, r.similarity) for r in pairing.partners(d, d.where("id % 4 = 0"), block=7).collect()}
+    assert len(got) == 20
+    for q in range(0, 80, 4):
+        open_ = [k for k in named if k != q and {(named[q], named[k]), (named[k], named[q])} & together]
+        best = max(open_, key=lambda k: similarity(q, k) / 0.4 + pairing.noise(q, k, 7)[0])
+        assert got[q] == (best, round(float(similarity(q, best)), 6))
+    drawn = pairing.noise(np.arange(100)[:, None], np.arange(100)[None, :], 3)
+    assert abs(drawn.mean() - 0.5772) < 0.05 and abs(drawn.var() - np.pi**2 / 6) < 0.1  # a standard Gumbel variate
+    none = pairing.partners(d.limit(0), d.limit(0))
+    assert none.count() == 0
+
+
+def test_names_that_go_together():
+    table, bit = pairing.going_together(), {p: 1 << i for i, p in enumerate(pairing.COMPATIBLE)}
+    assert table[0, 0] and not table[bit["csrd"], 0] and not table[0, bit["sfdr"]]
+    assert table[bit["sfdr"], bit["csrd"]] and not table[bit["sfdr"], bit["csddd"]] and not table[bit["csrd"], bit["csrd"]]
+    both = bit["csrd"] | bit["sfdr"]
+    assert table[both, bit["sfdr"]] and table[bit["csddd"], both] and table[both, both] and not table[both, bit["csrd"]]
 
 
 def test_semantic_filter_equals_the_rule(spark):
