@@ -1,78 +1,97 @@
-"""Queries of the connectors on recorded answers, of polling rules, of batch results, and of stateful streams."""
+"""Queries of the connectors on answers to the pages of a table, of polling rules, of batch results, and of stateful streams."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from millrace.functions import rules
+from millrace.plans.connector_answers import ANSWERS
 from millrace.plans.core import query
 from millrace.session import shared_dir
-from millrace.sources import connectors
+from millrace.sources import connector_source, connectors
 from millrace.sources.tables import load
-from millrace.streaming import streams
+from millrace.streaming import shedding, streams
 
 
 def _folder(spark, name):
     return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
 
 
-def recorded(source: str, n: int = 3) -> str:
-    """A made-up answer of ``n`` items in the form of the source, whose second item lacks what a URL needs."""
-    spec = connectors.SPECS[source]
-    if spec.items == "feed":
-        return connectors.rss([{"title": f"{source} {k}", "link": "" if k == 1 else f"https://{spec.verified if '.' in spec.verified else 'example.org'}/{source}/{k}", "pubDate": f"2024-01-{k + 1:02d}", "description": f"about {k}"} for k in range(n)])
-
-    def put(tree: dict, path: str, value) -> None:
-        first, *rest = path.split(".")
-        if not rest:
-            tree[first] = value
-        elif rest[0].isdigit():
-            below: dict = {}
-            if rest[1:]:
-                put(below, ".".join(rest[1:]), value)
-            tree[first] = [below or value]
-        else:
-            put(tree.setdefault(first, {}), ".".join(rest), value)
-
-    def item(k: int) -> dict:
-        out: dict = {}
-        fields = ((spec.title[0], f"{source} {k}"), (spec.date[0], f"2024-01-{k + 1:02d}") if spec.date else ("", ""), (spec.snippet[0], f"about {k}") if spec.snippet else ("", ""))
-        for template, value in fields:
-            for place in (p.split("}")[0] for p in template.split("{")[1:]):
-                put(out, place, value if template.startswith("{") else f"x{k}")
-        if k != 1:
-            for place in (p.split("}")[0] for p in spec.url[0].split("{")[1:]):
-                put(out, place, f"https://example.org/{source}/{k}" if spec.url[0].startswith("{") else f"x{k}")
-        return out
-
-    answer: dict = {}
-    path = spec.items.split("|")[0]
-    if not path:
-        return json.dumps([item(k) for k in range(n)])
-    put(answer, path, [item(k) for k in range(n)])
-    return json.dumps(answer)
-
-
-def _recorded(spark):
-    return spark.createDataFrame([(s, recorded(s)) for s in connectors.SPECS] + [("arxiv", "<broken"), ("github", "{"), ("nowhere", "{}"), ("imf", None)], "source string, payload string")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-@query()
+_EXPECTED = ", ".join(
+    f"({k}, '{a.source}', '{a.layer}', {_quoted(a.url)}, {_quoted(a.title)}, '{a.published_at}', '{a.tier}', {a.verified}, {_quoted(a.snippet)})"
+    for k, a in enumerate(ANSWERS)
+)
+#: A page of the table asks the source of its number; each answer holds one item, or none where it is broken.
+_BROKEN = "page_id % 97 = 13"
+_ITEMS = f"""e(k, source, layer, url, title, published_at, tier, verified, snippet) AS (VALUES {_EXPECTED})
+SELECT source, layer, lpad(page_id::VARCHAR, 12, '0') AS mark, 0 AS position, replace(e.url, '{{n}}', page_id::VARCHAR) AS url,
+  replace(e.title, '{{n}}', page_id::VARCHAR) AS title, published_at, tier, verified, replace(snippet, '{{n}}', page_id::VARCHAR) AS snippet
+FROM pages JOIN e ON k = page_id % {len(ANSWERS)} WHERE NOT {_BROKEN}"""
+
+
+def _answers(spark, sf):
+    """(source, mark, payload): what the sources answer to a request for each page of the table."""
+    n = F.col("page_id").cast("string")
+    pick = lambda field: F.get(F.array(*[F.lit(getattr(a, field)) for a in ANSWERS]), (F.col("page_id") % len(ANSWERS)).cast("int"))
+    payload = F.when(F.expr(_BROKEN), F.substring(pick("payload"), 1, 40)).otherwise(F.replace(pick("payload"), F.lit("{n}"), n))
+    return load(spark, sf, "pages").select(pick("source").alias("source"), F.lpad(n, 12, "0").alias("mark"), payload.alias("payload"))
+
+
+@query(f"WITH {_ITEMS}".replace("lpad(page_id::VARCHAR, 12, '0') AS mark, ", ""))
 def connector_items(spark, sf):
-    """Items of a recorded answer of every source."""
-    return connectors.sources(_recorded(spark))
+    """Items of the sources' answers, as rows."""
+    return connectors.sources(_answers(spark, sf))
+
+
+def _written_answers(spark, sf, folder, low=0, high=1):
+    """Adds the answers to a part of the table's pages to an archive."""
+    most = load(spark, sf, "pages").agg(F.max("page_id")).first()[0] + 1
+    part = F.col("mark").cast("long") / most
+    rows = _answers(spark, sf).where((part >= low) & (part < high))
+    rows.repartition("source").write.partitionBy("source").mode("append").parquet(f"{folder}/answers")
+
+
+@query(f"WITH {_ITEMS}")
+def connector_batch(spark, sf):
+    """The connectors as a data source: every source's pages, a partition or more each."""
+    folder = _folder(spark, "archive")
+    _written_answers(spark, sf, folder)
+    kind = connector_source.connector_format("connector_pages", connector_source.FolderArchive(f"{folder}/answers"), per_partition=50)
+    return connector_source.items(spark, kind)
+
+
+@query(f"WITH {_ITEMS}")
+def connector_stream(spark, sf):
+    """The same as a stream that starts three times from one checkpoint, each time after more pages, with a clock that moves on."""
+    folder = _folder(spark, "ticks")
+    clock = shedding.SharedNumber(f"{folder}/clock", 0)
+    archive = connector_source.FolderArchive(f"{folder}/answers")
+    kind = connector_source.connector_format("connector_ticks", archive, clock=clock, per_partition=50, control=f"{folder}/control")
+    for k in range(3):
+        _written_answers(spark, sf, folder, k / 3, (k + 1) / 3)
+        clock.put(k * 10_000)
+        rows = streams.drain(connector_source.item_stream(spark, kind), folder)
+    return rows
 
 
 _LISTED = ", ".join(f"('{name}', '{s.layer}', '{s.tier}', {s.poll})" for name, s in connectors.SPECS.items())
 
 
-@query(f"WITH s(source, layer, tier, poll) AS (VALUES {_LISTED}) SELECT layer, count(*) AS n_sources, min(poll)::INT AS fastest, max(poll)::INT AS slowest FROM s GROUP BY layer")
+@query(f"""WITH s(source, layer, tier, poll) AS (VALUES {_LISTED}), {_ITEMS.split("SELECT source")[0]},
+i AS (SELECT e.source FROM pages JOIN e ON k = page_id % {len(ANSWERS)} WHERE NOT {_BROKEN})
+SELECT layer, count(DISTINCT source) AS n_sources, count(*) AS n_items, min(poll)::INT AS fastest, max(poll)::INT AS slowest
+FROM i JOIN s USING (source) GROUP BY layer""")
 def connector_layers(spark, sf):
-    rows = spark.createDataFrame([(n, s.layer, s.poll) for n, s in connectors.SPECS.items()], "source string, layer string, poll int")
-    return rows.groupBy("layer").agg(F.count("*").alias("n_sources"), F.min("poll").alias("fastest"), F.max("poll").alias("slowest"))
+    """Items and sources by layer, with the shortest and longest interval of the sources that answered."""
+    polls = spark.createDataFrame([(n, s.poll) for n, s in connectors.SPECS.items()], "source string, poll int")
+    rows = connectors.sources(_answers(spark, sf)).join(F.broadcast(polls), "source").groupBy("layer")
+    return rows.agg(F.countDistinct("source").alias("n_sources"), F.count("*").alias("n_items"), F.min("poll").alias("fastest"), F.max("poll").alias("slowest"))
 
 
 @query("""WITH i AS (SELECT 's' || page_id % 7 AS source, lpad((page_id * 37 % 1000)::VARCHAR, 4, '0') AS id FROM pages), m AS (SELECT 's' || k AS source, lpad((k * 150)::VARCHAR, 4, '0') AS mark FROM range(5) t(k))

@@ -6,10 +6,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans.connector_answers import ANSWERS
 from millrace.plans.registry import QUERIES
-from millrace.plans.source_queries import recorded
-from millrace.sources import connectors
-from millrace.streaming import streams
+from millrace.sources import connector_source, connectors
+from millrace.streaming import shedding, streams
 
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>On\nlight</title><link rel="alternate" href="https://arxiv.org/abs/1"/><published>2024-01-02T03:04:05Z</published></entry><entry><title>lost</title></entry></feed>'
 RSS = "<rss><channel><item><title>Act</title><link>https://eba.europa.eu/a</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate><description>d</description></item></channel></rss>"
@@ -44,17 +44,120 @@ def test_answers(source, answer, want):
     assert connectors.parse(source, answer if isinstance(answer, str) else json.dumps(answer)) == [want]
 
 
-def test_every_source_gives_its_items_and_nothing_of_broken_answers(spark):
-    rows = QUERIES["connector_items"](spark, "").collect()
-    by = defaultdict(list)
-    for r in rows:
-        by[r.source].append(r)
-    assert set(by) == set(connectors.SPECS) and len(by) == 46
-    for source, found in by.items():
-        assert len(found) == (3 if source == "epo" else 2) and all(r.layer == connectors.SPECS[source].layer and r.tier in "SABC" and r.tier for r in found)
+@pytest.mark.parametrize("answer", ANSWERS, ids=lambda a: a.source)
+def test_answers_written_by_hand(answer):
+    filled = lambda text: text.replace("{n}", "4711")
+    got = connectors.parse(answer.source, filled(answer.payload))
+    tier = connectors.SPECS[answer.source].tier and answer.tier  # else it follows from the URL
+    assert got == [(filled(answer.url), filled(answer.title), answer.published_at, tier, answer.verified, filled(answer.snippet))]
+    assert connectors.SPECS[answer.source].layer == answer.layer
+
+
+def test_every_source_has_an_answer_and_broken_ones_give_nothing(spark):
+    assert [a.source for a in ANSWERS] == list(connectors.SPECS) and len(ANSWERS) == 46
     assert connectors.parse("arxiv", "<x") == connectors.parse("imf", "[") == connectors.parse("imf", None) == connectors.parse("none", "{}") == []
-    twice = connectors.sources(spark.createDataFrame([("medrxiv", recorded("biorxiv")), ("biorxiv", recorded("biorxiv")), ("hdx", recorded("hdx"))], "source string, payload string"))
-    assert sorted(r.source for r in connectors.fan_out(twice).collect()) == ["biorxiv", "biorxiv", "hdx", "hdx"]  # the first by layer and source
+    both = [("medrxiv", ANSWERS[2].payload), ("biorxiv", ANSWERS[2].payload), ("hdx", ANSWERS[33].payload)]
+    rows = connectors.sources(spark.createDataFrame(both, "source string, payload string"))
+    assert sorted(r.source for r in connectors.fan_out(rows).collect()) == ["biorxiv", "hdx"]  # the first by layer and source
+
+
+def _write_pages(spark, folder, rows):
+    spark.createDataFrame(rows, "source string, mark string, payload string").write.partitionBy("source").mode("append").parquet(f"{folder}/answers")
+
+
+def _page(source, n):
+    return source, f"{n:04d}", next(a.payload for a in ANSWERS if a.source == source).replace("{n}", str(n))
+
+
+def test_connector_stream_restarts_without_loss_or_repeat(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    clock, limit = shedding.SharedNumber(f"{folder}/clock", 0), shedding.SharedNumber(f"{folder}/limit", 1000)
+    archive = connector_source.FolderArchive(f"{folder}/answers")
+    kind = connector_source.connector_format("restarted", archive, ["github", "imf", "arxiv"], clock, limit, per_partition=4, control=f"{folder}/control")
+    fail = {"left": 1}
+
+    def run(batches=None):
+        def put(batch, number):
+            rows = batch.collect()
+            if fail["left"] and any(r.source == "imf" for r in rows):
+                fail["left"] -= 1
+                raise RuntimeError("the sink is down")
+            got.update({number: [(r.source, r.mark) for r in rows]})
+
+        q = connector_source.item_stream(spark, kind).writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    got = {}
+    _write_pages(spark, folder, [_page("github", n) for n in range(1, 12)] + [_page("imf", 3)])
+    with pytest.raises(Exception, match="down"):
+        run()
+    run()  # the failed batch runs again as it was planned
+    first = sorted(x for rows in got.values() for x in rows)
+    assert first == sorted([("github", f"{n:04d}") for n in range(1, 12)] + [("imf", "0003")])
+    _write_pages(spark, folder, [_page("github", n) for n in range(12, 20)] + [_page("arxiv", 1), _page("imf", 9)])
+    run()  # nothing is due yet at this clock
+    assert sorted(x for rows in got.values() for x in rows) == first
+    clock.put(1000)
+    limit.put(5)
+    run()  # github and arxiv are due after 900 and 120 seconds, imf after 3600; five pages of a source are admitted
+    clock.put(9000)
+    limit.put(1000)
+    run()
+    every = sorted(x for rows in got.values() for x in rows)
+    assert every == sorted([("github", f"{n:04d}") for n in range(1, 20)] + [("imf", "0003"), ("imf", "0009"), ("arxiv", "0001")])
+    assert connector_source.items(spark, kind).count() == len(every)
+    assert connector_source.items(spark, kind, since="0010").count() == 9
+
+
+def test_ticks_pause_sources_that_fail():
+    class Failing:
+        def latest(self, source, after, most):
+            raise TimeoutError
+
+    now = [0]
+    reader = connector_source._Stream(Failing(), ["imf"], lambda: now[0], lambda: 5, 10, None)
+    seen = []
+    for at in (0, 10, 3600, 7200, 10800, 14400, 14500, 18000):
+        now[0] = at
+        seen.append(reader.latestOffset()["imf"])
+    assert [s["poll"][2] for s in seen] == [1, 1, 2, 3, 4, 0, 0, 1]
+    assert seen[5]["poll"][3] == 14400 + connectors.PAUSE and all(s["mark"] == "" for s in seen)
+
+
+def test_load_shedding_follows_its_rule(tmp_path):
+    limit = shedding.SharedNumber(f"file://{tmp_path}/limit", 100)
+    listener = shedding.LoadShedding(limit)
+    took = [6, 6.5, 6.9, 9, 2, 2, 2, 2, 2, 2, 2, 2, 2, 5]
+    want = [6, 7, 6.5, 7.5, 7, 6.5, 6, 5.5, 5, 5, 5, 5, 5, 6]
+    for seconds, tick in zip(took, want, strict=True):
+        listener.took(seconds)
+        assert listener.tick == tick and limit() == int(100 * 5 / tick)
+    assert listener.drifts == 4
+    for _ in range(40):
+        listener.took(100)
+    assert listener.tick == shedding.MAX_TICK and limit() == 16
+
+
+def test_slow_batches_narrow_the_next_trigger(spark, tmp_path):
+    import time
+
+    folder = f"file://{tmp_path}"
+    limit = shedding.SharedNumber(f"{folder}/limit", 8)
+    listener = shedding.LoadShedding(limit, base=0.5, most=30)
+    kind = connector_source.connector_format("shed", connector_source.FolderArchive(f"{folder}/answers"), ["github"], lambda: time.time() * 1e4, limit)
+    _write_pages(spark, folder, [_page("github", n) for n in range(1, 21)])
+    spark.streams.addListener(listener)
+    sizes = []
+    try:
+        q = connector_source.item_stream(spark, kind).writeStream.foreachBatch(lambda b, _: (sizes.append(b.count()), time.sleep(1.6))).option("checkpointLocation", f"{folder}/state").start()
+        for _ in range(150):
+            if sum(sizes) >= 20:
+                break
+            time.sleep(0.2)
+        q.stop()
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(sizes) == 20 and sizes[0] == 8 and min(s for s in sizes[1:] if s) < 8 and listener.drifts >= 1
 
 
 def test_fetching_never_fails_a_job(spark):
