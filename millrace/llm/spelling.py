@@ -1,10 +1,10 @@
 """Spelling variants: words one edit apart, found by rolling-hash deletions.
 
 A word's prefix and suffix polynomial hashes (two primes of 31 bits) give the hashes of all its deletions in one NumPy pass over
-a batch of words.  Rows (hash, place, word) are radix-partitioned by their hash and sorted.  Words that agree in the hash and the place
-of a deletion differ by one replaced code point; a word that agrees with another's deletion differs by one inserted one.  Each
-pair meets exactly once, and a run of such rows yields counts and the best partner of each member, never the pairs.
-Hashes decide nothing alone: what meets is compared as strings, and rows that collide are set apart.
+a batch of words.  Rows (hash, place, number of the word) are radix-partitioned by their hash and sorted.  Words that agree in the
+hash and the place of a deletion differ by one replaced code point; a word that agrees with another's deletion differs by one
+inserted one.  Each pair meets exactly once, and a run of such rows yields counts and the best partner of each member, never the
+pairs.  Only rows that meet others fetch their strings: these are compared, and rows that collide are set apart.
 
 A run is bounded by the alphabet times the word's length, so no key is hot; occurrences are added up inside tasks before words
 are shuffled.  Forms are followed to their roots by doubling.
@@ -114,22 +114,42 @@ def deletion_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, place, lone, no): lone is false where the letter before is the same, so that its deletion gives the same string."""
     for batch in batches:
-        words = [w.encode("latin-1") for w in batch.column("word").to_pylist()]
+        words, numbers = [w.encode("latin-1") for w in batch.column("word").to_pylist()], batch.column("no").to_numpy()
         lo = 0
         while lo < len(words):  # a few million letters at a time, whole words
             hi, size = lo, 0
             while hi < len(words) and (hi == lo or size + len(words[hi]) < 2_000_000):
                 size, hi = size + len(words[hi]), hi + 1
             number, place, key = deletion_hashes(words[lo:hi])
-            at = pa.array(number + lo)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(place, pa.int32()), batch.column("word").take(at), batch.column("n").take(at)],
-                ["key", "place", "word", "n"],
-            )
+            text = np.frombuffer(b"".join(words[lo:hi]), np.uint8)
+            lone = np.ones(len(key), bool)
+            lone[1 : len(text)] = (text[1:] != text[:-1]) | (place[1 : len(text)] == 0)
+            for at in range(0, len(key), 500_000):
+                part = slice(at, at + 500_000)
+                columns = [pa.array(key[part]), pa.array(place[part], pa.int32()), pa.array(lone[part]), pa.array(numbers[lo:hi][number[part]])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "place", "lone", "no"])
             lo = hi
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, slot, place, no) of the runs in which words may meet: one deletion's place as slot, or -1 for a word and its insertions."""
+    for rows in whole_groups(batches, ["key"]):
+        key, place, no = (rows.column(c).to_numpy() for c in ("key", "place", "no"))
+        lone = rows.column("lone").to_numpy(zero_copy_only=False)
+        same = np.concatenate(([False], (key[1:] == key[:-1]) & (place[1:] == place[:-1]) & (place[1:] >= 0), [False]))
+        replaced = same[1:] | same[:-1]
+        group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+        whole = np.bincount(group, place < 0) > 0
+        longer = np.bincount(group, (place >= 0) & lone) > 0
+        inserted = (whole & longer)[group] & lone
+        at = np.concatenate((np.flatnonzero(replaced), np.flatnonzero(inserted)))
+        slot = np.where(np.arange(len(at)) < replaced.sum(), place[at], -1)
+        columns = [pa.array(key[at]), pa.array(slot, pa.int32()), pa.array(place[at], pa.int32()), pa.array(no[at])]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "slot", "place", "no"])
+
+
 def _best_two(members: list[tuple[int, str]]) -> tuple:
     """The greatest n, ties to the smaller word, and the next one."""
     ranked = sorted(members, key=lambda m: (-m[0], m[1]))[:2]
@@ -138,17 +158,12 @@ def _best_two(members: list[tuple[int, str]]) -> tuple:
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each word of a run: how many others it meets there, and the best of them."""
-    for rows in whole_groups(batches, ["key"]):
-        keys = rows.column("key").to_numpy()
-        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        ends, starts = np.append(change, len(keys)), np.append(0, change)
-        ends, starts = ends[ends - starts > 1], starts[ends - starts > 1]
-        sizes = ends - starts
-        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        words, places, ns = (rows.column(c).take(pa.array(at)).to_pylist() for c in ("word", "place", "n"))
-        out, hi = [], 0
-        for size in sizes.tolist():
-            lo, hi = hi, hi + size
+    for rows in whole_groups(batches, ["key", "slot"]):
+        keys, slots = rows.column("key").to_numpy(), rows.column("slot").to_numpy()
+        change = np.flatnonzero((keys[1:] != keys[:-1]) | (slots[1:] != slots[:-1])) + 1
+        words, places, ns = (rows.column(c).to_pylist() for c in ("word", "place", "n"))
+        out = []
+        for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(words)], strict=True):
             texts: dict[str, list[int]] = {}  # equal hashes of unlike strings part here
             for k in range(lo, hi):
                 w, i = words[k], places[k]
@@ -162,27 +177,19 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(at: list[int], words: list[str], places: list[int], ns: list[int], out: list) -> None:
-    by_place: dict[int, list[int]] = {}
-    longer = []  # one deletion of each longer word: where letters repeat, the first of them
-    whole = None
-    for k in at:
-        i, w = places[k], words[k]
-        if i < 0:
-            whole = k
-        else:
-            by_place.setdefault(i, []).append(k)
-            if i == 0 or w[i] != w[i - 1]:
-                longer.append(k)
-    for same in by_place.values():
-        if len(same) > 1:
-            best, second = _best_two([(ns[k], words[k]) for k in same])
-            for k in same:
-                n, w = second if best[1] == words[k] else best
-                out.append((words[k], len(same) - 1, w, n))
-    if whole is not None and longer:
-        best, _ = _best_two([(ns[k], words[k]) for k in longer])
-        out.append((words[whole], len(longer), best[1], best[0]))
-        out += [(words[k], 1, words[whole], ns[whole]) for k in longer]
+    """Rows of one run whose strings agree: words that replace one letter, or one word (place -1) and longer ones."""
+    whole = [k for k in at if places[k] < 0]
+    if not whole:
+        best, second = _best_two([(ns[k], words[k]) for k in at])
+        for k in at:
+            n, w = second if best[1] == words[k] else best
+            out.append((words[k], len(at) - 1, w, n))
+    elif len(at) > 1:
+        k = whole[0]
+        longer = [j for j in at if places[j] >= 0]
+        best, _ = _best_two([(ns[j], words[j]) for j in longer])
+        out.append((words[k], len(longer), best[1], best[0]))
+        out += [(words[j], 1, words[k], ns[k]) for j in longer]
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -200,10 +207,12 @@ def spelling_variants(docs: DataFrame, shortest: int = SHORTEST, least: int = LE
     """word, form, root, n, n_near and form_n for each word of ``docs`` (doc_id, text)."""
     docs = require_columns(docs, "doc_id", "text")
     counted = docs.mapInArrow(_counts(every), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialize(counted.where((F.length("word") >= shortest) & (F.col("n") >= least)), "words")
+    words = materialize(counted.where((F.length("word") >= shortest) & (F.col("n") >= least)).withColumn("no", F.monotonically_increasing_id()), "words")
     radix = F.shiftrightunsigned("key", 40)
-    sorted_keys = words.mapInArrow(_deletions, "key long, place int, word string, n long").repartition(radix).sortWithinPartitions("key", "place")
-    met = sorted_keys.mapInArrow(_partners, "word string, near long, form string, form_n long")
+    keyed = words.select("word", "no").mapInArrow(_deletions, "key long, place int, lone boolean, no long")
+    shared = keyed.repartition(radix).sortWithinPartitions("key", "place").mapInArrow(_shared, "key long, slot int, place int, no long")
+    runs_ = shared.join(words, "no").repartition("key", "slot").sortWithinPartitions("key", "slot")
+    met = runs_.mapInArrow(_partners, "word string, near long, form string, form_n long")
     best = F.min(F.struct((-F.col("form_n")).alias("m"), "form"))
     met = met.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("best"))
     follows = -F.col("best.m") >= ratio * F.col("n")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import lloyd, spelling, spherical_caps
@@ -28,7 +29,7 @@ def vectors(spark):
     for k in range(60):
         other = unit_rows(1, 32, 100 + k)[0]
         other -= (other @ base[k]) * base[k]
-        angle = np.arccos(0.98) * (0.9 + 0.2 * k / 60)
+        angle = np.arccos(0.98) * (0.9 + 0.2 * (k + 0.5) / 60)  # never at the threshold itself
         rows.append((2000 + k, (np.cos(angle) * base[k] + np.sin(angle) * other / np.linalg.norm(other)).tolist(), k % 3))
     rows += [(5, base[5].tolist(), 2), (5, base[5].tolist(), 2), (3000, (base[7] * 1e200).tolist(), 1), (3001, base[8].tolist(), None)]
     rows += [(3002, None, 1), (3003, [], 1), (3004, [0.0] * 32, 1), (3005, [1.0, None] * 16, 1), (3006, [NAN] * 32, 1), (3007, [INF] * 32, 1)]
@@ -177,6 +178,7 @@ def spelled():
     stems = ["".join(rng.choice(list("abà"), rng.integers(4, 8))) for _ in range(150)] + ["aaaaaa", "aaaaa", "aaaaaaa", "Ñandu", "ñandu", "Àbcde"]
     text = lambda: "".join(w + str(rng.choice([" ", "-", "_", "日", "\n", "'"])) for w in rng.choice(stems, 60))
     rows = [(i, text()) for i in range(60)] + [(1, text()), (None, text()), (70, None), (71, ""), (72, "12 !! 日本"), (73, "x×y÷z ß " * 4)]
+    rows.append((90, "stone " * 40 + "stene " * 10 + "stenes " * 4))
     return [*rows, (80, "ab" * 700_000), (81, "ab" * 700_000), (82, "ab" * 700_000), (83, "ba" * 350_000 + "b" + "ba" * 350_000), (84, "wörds " * 400_000)]
 
 
@@ -194,20 +196,14 @@ def test_runs_are_not_cut_between_slices(monkeypatch):
     assert [w for part in spelling.runs(text) for w in part] == text.encode().split()
 
 
-def test_colliding_hashes_are_told_apart(spark, monkeypatch):
-    real = spelling.deletion_hashes
-    words = ["abcde", "abcdf", "vwxyz", "vwxy", "qqqqqq"]
-    rows = [(i, " ".join(words)) for i in range(5)]
-    number, place, _ = real([w.encode() for w in words])
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays(  # every row under one hash
-        [pa.array([7] * len(number)), pa.array(place), pa.array([words[k] for k in number]), pa.array([5] * len(number))], ["key", "place", "word", "n"]
-    )
-    order = np.argsort(place, kind="stable")
-    out = [r for b in spelling._partners([batch.take(pa.array(order))]) for r in b.to_pylist()]
-    assert sorted((r["word"], r["form"]) for r in out) == [("abcde", "abcdf"), ("abcdf", "abcde"), ("vwxy", "vwxyz"), ("vwxyz", "vwxy")]
-    assert rows
+def test_colliding_hashes_are_told_apart():
+    words = ["abcde", "abcdf", "vwxyz", "vwxyq"]
+    rows = [{"key": 7, "slot": 4, "place": 4, "word": w, "n": 5} for w in words]  # one hash for two strings
+    rows += [{"key": 7, "slot": -1, "place": i, "word": w, "n": 5} for w, i in (("vwxy", -1), ("vwxyz", 4), ("abcde", 4))]
+    rows.sort(key=lambda r: r["slot"])
+    out = [r for b in spelling._partners([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    want = [("abcde", "abcdf"), ("abcdf", "abcde"), ("vwxy", "vwxyz"), ("vwxyq", "vwxyz"), ("vwxyz", "vwxy"), ("vwxyz", "vwxyq")]
+    assert sorted((r["word"], r["form"]) for r in out) == want and all(r["near"] == 1 for r in out)
 
 
 def test_deletion_hashes_equal_hashes_of_the_deletions():
