@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import similarity
+from millrace.session import written
+
 
 def features(text: Column) -> Column:
     """Words and word pairs, with repeats."""
@@ -27,21 +30,13 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda e: e))
 
 
-def simhash_pairs(hashes: DataFrame, key: str, distance: int = 3) -> DataFrame:
-    """Pairs (a, b, distance) of hashes at most so far apart: with distance + 1 blocks one block is equal, so no pair is lost.
+def simhash_pairs(hashes: DataFrame, key: str, distance: int = 3, checkpoint=lambda d: written(d, "simhash")) -> DataFrame:
+    """Pairs (a, b, distance) of hashes (strings of 64 bits) at most so far apart; no pair is lost.
 
     Rows with equal hashes are linked with the first of them only, which stands for all in other pairs: copies make no pairs of their own.
     """
-    blocks = distance + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    firsts = hashes.groupBy("simhash").agg(F.min(key).alias(key))
-    block = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.substring("simhash", cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("bits")) for i in range(blocks)]))
-    rows = firsts.select(key, "simhash", block.alias("x")).select(key, "simhash", "x.no", "x.bits")
-    a = rows.select(F.col(key).alias("a"), F.col("simhash").alias("sa"), "no", "bits")
-    b = rows.select(F.col(key).alias("b"), F.col("simhash").alias("sb"), "no", "bits")
-    found = a.join(b, ["no", "bits"]).where("a < b").select("a", "b", hamming(F.col("sa"), F.col("sb")).alias("distance"))
-    equal = hashes.join(firsts.select("simhash", F.col(key).alias("a")), "simhash").where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b"), F.lit(0).alias("distance"))
-    return found.where(F.col("distance") <= distance).distinct().unionByName(equal)
+    bits = hashes.select(key, F.conv("simhash", 2, -10).cast("long").alias("bits"))
+    return similarity.hamming_pairs(bits, key, "bits", distance, checkpoint)
 
 
 def shingles(text: Column) -> Column:
@@ -130,3 +125,15 @@ def staged(sources: DataFrame, key: str, fingerprint: Column, title: str, checkp
     fine = titled.join(kept.select(key), key, "left_semi").select(key).unionByName(firsts.where("title = ''").select(key)).withColumn("fine", F.lit(True))
     first = firsts.select(key, F.lit(True).alias("first"))
     return seen.select(key).join(first, key, "left").join(fine, key, "left").select(key, F.when(F.col("first").isNull(), "url").when(F.col("fine").isNull(), "title").alias("stage"))
+
+
+def staged_with_meaning(sources: DataFrame, key: str, fingerprint: Column, title: str, vector: str, checkpoint, distance: int = 4, threshold: float = 0.92) -> DataFrame:
+    """key and stage as ``staged`` gives them, and 'meaning' for a source that both stages keep but whose vector is at least so
+    similar to an earlier kept one's; a source without a vector passes and stands in nobody's way."""
+    from millrace.operators import semantic  # it builds on this module
+
+    early = checkpoint(staged(sources, key, fingerprint, title, checkpoint, distance))
+    left = checkpoint(sources.join(early.where("stage IS NULL").select(key), key, "left_semi").select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")))
+    kept = semantic.semantic_keep(left.where("v IS NOT NULL"), key, "v", checkpoint, threshold)
+    late = kept.where("NOT kept").select(key, F.lit("meaning").alias("late"))
+    return early.join(late, key, "left").select(key, F.coalesce("stage", "late").alias("stage"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import dedup
+from millrace.functions import urls
+from millrace.operators import dedup, similarity
 from millrace.plans.core import query
 from millrace.session import written
 from millrace.sources.tables import load
@@ -82,3 +83,60 @@ def preloaded_ids(spark, sf):
     known = items.where("item_id % 2 = 0").select(key)
     rows = load(spark, sf, "documents").select("doc_id", key).unionByName(items.select((F.col("item_id") + 1_000_000).alias("doc_id"), key))
     return rows.join(known, "key", "left_anti").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("key")
+
+
+def _jaccard_sql(sets: str, threshold: float) -> str:
+    """All pairs of unlike sets at least so similar, and each row of an equal set with the first, from a table s(id, g) of sorted sets."""
+    return f"""WITH s AS ({sets}), c AS (SELECT g, min(id) AS r FROM s WHERE len(g) > 0 GROUP BY g),
+f AS (SELECT r, unnest(g) AS x FROM c), o AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM f AS a JOIN f AS b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+p AS (SELECT a, b, n / (len(x.g) + len(y.g) - n) AS similarity FROM o JOIN c AS x ON x.r = a JOIN c AS y ON y.r = b)
+SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= {threshold}
+UNION ALL SELECT r, id, 1.0 FROM s JOIN c USING (g) WHERE r < id"""
+
+
+_BIGRAMS = f"""SELECT conv_id * 10000000 + turn AS id, list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: conv_id || '|' || ws[i] || '_' || ws[i + 1]))) AS g
+FROM (SELECT conv_id, turn, {_W} AS ws FROM (
+    SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY ALL
+    UNION ALL SELECT conv_id, turn + 1000000, min(text) || CASE WHEN turn % 2 = 0 THEN ' why not' ELSE '' END FROM conversations WHERE role = 'user' GROUP BY conv_id, turn))"""
+
+
+@query(_jaccard_sql(_BIGRAMS, 0.6))
+def question_repeats(spark, sf):
+    """Questions of one conversation that share most of their word pairs, each pair once, copies with the first; every question is asked a
+    second time, every other one with two words more."""
+    u = load(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    tail = F.when(F.col("turn") % 2 == 0, " why not").otherwise("")
+    u = u.unionByName(u.select("conv_id", (F.col("turn") + 1_000_000).alias("turn"), F.concat("text", tail).alias("text")))
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    pair = lambda x, i: F.concat(F.col("conv_id").cast("string"), F.lit("|"), x, F.lit("_"), F.get(w, i + 1))
+    grams = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), pair)
+    rows = u.select((F.col("conv_id") * 10_000_000 + F.col("turn")).alias("id"), grams.alias("g"))
+    found = similarity.jaccard_pairs(rows, "id", "g", 0.6, lambda d: written(d, "repeats"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+_TRIGRAMS = f"""SELECT item_id AS id, list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS g
+FROM (SELECT item_id, {_W} AS ws FROM {_PLANTED} UNION ALL SELECT 1000000 + conv_id * 10000000 + turn, {_W} FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL))"""
+
+
+@query(_jaccard_sql(_TRIGRAMS, 0.75))
+def similar_texts(spark, sf):
+    """All pairs of items, altered items and turns of conversations with a Jaccard similarity of word triples of at least 0.75."""
+    items = load(spark, sf, "benchmark")
+    twice = items.select((F.col("item_id") * 2).alias("id"), "text").unionByName(items.select((F.col("item_id") * 2 + 1).alias("id"), F.concat("text", F.lit(" once more")).alias("text")))
+    turns = load(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    rows = twice.unionByName(turns.select((F.col("conv_id") * 10_000_000 + F.col("turn") + 1_000_000).alias("id"), "text"))
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    rows = rows.select("id", w.alias("w"))
+    triple = lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1), F.lit(" "), F.get("w", i + 2))
+    rows = rows.select("id", F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), triple).alias("g"))
+    found = similarity.jaccard_pairs(rows, "id", "g", 0.75, lambda d: written(d, "similar"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def staged_sources(spark, sf):
+    """Three stages over pages (URL, title of the page, the vector of the same number): which of them drops each; held by a test."""
+    pages = load(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    both = pages.join(load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id", "left")
+    return dedup.staged_with_meaning(both, "id", urls.fingerprint(F.col("url")), "title", "v", lambda d: written(d, "stages"))
