@@ -102,6 +102,48 @@ def embed(records: DataFrame, index: str, body: str, client: str, batch: str, se
     return records.select(F.col(index).cast("long"), body).mapInArrow(run, f"{index} long, marked string, verified boolean")
 
 
+def hidden_bits(text: Column) -> Column:
+    """The bits that a text's invisible characters spell, as far as they can be trusted.
+
+    Characters alternate between two alphabets, so the first one out of step shows that some are lost: bits end there.
+    """
+    hidden = F.regexp_replace(text, f"[^{INVISIBLE}]", "")
+    steps = F.regexp_extract(F.translate(hidden, INVISIBLE, "0101"), "^((?:01)*0?)", 1)
+    return F.substring(F.translate(hidden, INVISIBLE, "0011"), F.lit(1), F.least(F.length(steps), F.lit(32)))
+
+
+def signatures(indices: DataFrame, index: str, candidates: list[tuple[str, str]], secret: str) -> DataFrame:
+    """(index, client, batch, spelled): the 32 bits that a record of each candidate (client, batch) would bear."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keyed = [(c, b, Keyed(c, b, secret)) for c, b in candidates]
+        for batch in batches:
+            rows = [(i, c, b, f"{k._number(f'zwc|{i}', 4):032b}") for i in batch.column(0).to_pylist() for c, b, k in keyed]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["index", "client", "batch", "spelled"])
+
+    return indices.select(F.col(index).cast("long")).mapInArrow(run, "index long, client string, batch string, spelled string")
+
+
+def votes(records: DataFrame, index: str, body: str, candidates: list[tuple[str, str]], secret: str, least: int = 8, doubt: float = 1e-6) -> DataFrame:
+    """client, batch, n_read, n_match, expected, log10_bound, found: whose marks a set of records bears.
+
+    Every record with ``least`` trusted bits votes for the candidates whose signature of its index starts with them.  Of a
+    stranger's records ``expected`` (the sum of 2 to the minus bits) would; the chance that as many match is at most
+    (e * expected / matches) ** matches * e ** -expected, times the number of candidates.  Below ``doubt`` the candidate is found.
+    """
+    read = records.select(F.col(index).cast("long").alias("index"), hidden_bits(F.col(body)).alias("bits")).where(F.length("bits") >= least)
+    each = read.join(signatures(read.select("index").distinct(), "index", candidates, secret), "index")
+    match = F.expr("substring(spelled, 1, length(bits)) = bits")
+    sums = each.groupBy("client", "batch").agg(
+        F.count("*").alias("n_read"), F.count_if(match).alias("n_match"), F.sum(F.pow(F.lit(2.0), -F.length("bits"))).alias("expected")
+    )
+    m, mu = F.col("n_match"), F.col("expected")
+    bound = F.when(m > mu, (m * (1 + F.log(mu / m)) - mu) / F.log(F.lit(10.0))).otherwise(0.0) + F.log10(F.lit(float(max(len(candidates), 1))))
+    bound = F.least(bound, F.lit(0.0))
+    return sums.withColumn("log10_bound", bound).withColumn("found", F.col("log10_bound") < F.log10(F.lit(doubt)))
+
+
 def detect(text: Column) -> Column:
     """Struct of technique (both, zwc, synonym, none) and confidence, without knowing client or batch."""
     hidden = text.rlike(f"[{INVISIBLE}]")

@@ -211,6 +211,16 @@ def watermark_keyed(spark, sf):
     return watermarks.embed(_marked(spark, sf), "doc_id", "t", "acme", "b1", "key")
 
 
+@query("""SELECT client, batch, (client = 'acme' AND batch = 'b1') AS found FROM (VALUES ('acme', 'b1'), ('acme', 'b2'), ('other', 'b1')) t(client, batch)
+WHERE (SELECT count(*) FROM documents WHERE doc_id % 10 = 3 AND len(regexp_extract_all(text, '\\s+')) >= 8) > 0""")
+def watermark_votes(spark, sf):
+    """Whose keyed marks a tenth of the documents bears, after every text has lost its second half and a word."""
+    marked = watermarks.embed(_marked(spark, sf), "doc_id", "t", "acme", "b1", "key").where("doc_id % 10 = 3")
+    edited = marked.select("doc_id", F.expr("regexp_replace(substring(marked, 1, length(marked) div 2), '[a-z]+ ', '')").alias("t"))
+    found = watermarks.votes(edited, "doc_id", "t", [("acme", "b1"), ("acme", "b2"), ("other", "b1")], "key")
+    return found.select("client", "batch", "found")
+
+
 @query("SELECT tier, trust::DOUBLE AS trust, count(*) AS n FROM (SELECT ['S', 'A', 'B', 'C'][(page_id % 4 + 1)::INT] AS tier, [1.0, 0.8, 0.6, 0.3][(page_id % 4 + 1)::INT] AS trust FROM pages) GROUP BY ALL")
 def tier_trust(spark, sf):
     tier = _pick("page_id", ("S", "A", "B", "C"))

@@ -12,7 +12,7 @@ from millrace.plans.core import query
 from millrace.session import shared_dir
 from millrace.sources import connector_source, connectors
 from millrace.sources.tables import load
-from millrace.streaming import shedding, streams
+from millrace.streaming import keyed, shedding, streams
 
 
 def _folder(spark, name):
@@ -137,15 +137,42 @@ def adaptive_thresholds(spark, sf):
     return streams.drain(streams.adaptive_threshold(rows, "user", "event_id", "score"), _folder(spark, "thresholds"))
 
 
-@query("SELECT user_id AS session, event_type AS entry, arg_max(value, ts) AS value, ((max(ts) + INTERVAL 24 HOURS)::VARCHAR)[1:19] AS expires FROM (SELECT user_id, event_type, value, ts FROM events QUALIFY count(*) OVER (PARTITION BY user_id, event_type, ts) = 1) GROUP BY ALL")
+@query("""SELECT user_id AS session, event_type AS entry, value, (ts + INTERVAL 24 HOURS)::VARCHAR[1:19] AS expires
+FROM (SELECT user_id, event_type, value, ts::TIMESTAMP AS ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
+WHERE r = 1""".replace("(ts + INTERVAL 24 HOURS)::VARCHAR[1:19]", "strftime(ts + INTERVAL 24 HOURS, '%Y-%m-%d %H:%M:%S')"))
 def session_entries(spark, sf):
-    """Each session's entries, the last value of each, with when they run out."""
-    once = load(spark, sf, "events").groupBy("user_id", "event_type", "ts").count().where("count = 1").drop("count")
+    """Each session's entries, the last value of each (ties go to the greater event), with when they run out."""
+    keyed.keep_state_in_rocksdb(spark)
+    rows = streams.table_stream(spark, f"{sf}/events.parquet")
     folder = _folder(spark, "entries")
-    load(spark, sf, "events").join(once, ["user_id", "event_type", "ts"], "left_semi").coalesce(1).write.parquet(folder + "/in")
-    rows = spark.readStream.schema(spark.read.parquet(folder + "/in").schema).parquet(folder + "/in").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streams.drain(streams.session_memory(rows, "user_id", "event_type", "value", "ts"), folder)
-    return out.select("session", "entry", "value", F.substring(F.col("expires").cast("string"), 1, 19).alias("expires"))
+    out = streams.drain(keyed.session_entries(rows, "user_id", "event_type", "value", "event_id", "ts", late="100000 hours"), folder)
+    last = out.groupBy("session", "entry").agg(F.max_by(F.struct("value", "expires"), F.struct("expires", "id")).alias("x"))
+    return last.select("session", "entry", "x.value", F.date_format("x.expires", "yyyy-MM-dd HH:mm:ss").alias("expires"))
+
+
+@query("SELECT page_id % 7 AS topic, count(DISTINCT url) AS n_urls, count(DISTINCT url) - 1 AS last FROM pages GROUP BY 1")
+def topic_url_state(spark, sf):
+    """URLs by topic, each a row of state; the stream runs twice over pages that are delivered twice."""
+    keyed.keep_state_in_rocksdb(spark)
+    folder = _folder(spark, "topics")
+    pages = load(spark, sf, "pages").select((F.col("page_id") % 7).alias("topic"), "url", "page_id")
+    for part in (pages.where("page_id % 3 > 0"), pages):
+        part.select("topic", "url").write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema("topic long, url string").parquet(f"{folder}/in")
+        out = streams.drain(keyed.topic_urls(rows, "topic", "url"), folder)
+    return out.groupBy("topic").agg(F.count("url").alias("n_urls"), F.max("position").alias("last"))
+
+
+@query("""WITH m AS (SELECT event_type AS subject, event_id AS id, ts::TIMESTAMP AS moment, max(ts::TIMESTAMP) OVER (PARTITION BY event_type) AS newest,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts::TIMESTAMP DESC, event_id DESC) AS r FROM events)
+SELECT subject, id FROM m WHERE r <= 100 AND moment >= newest - INTERVAL 12 HOURS""")
+def bus_retention(spark, sf):
+    """What a bus still holds of each subject: the newest hundred messages, none older than twelve hours before the newest."""
+    keyed.keep_state_in_rocksdb(spark)
+    rows = streams.table_stream(spark, f"{sf}/events.parquet")
+    changes = streams.drain(keyed.retained(rows, "event_type", "event_id", "ts", 100, 12), _folder(spark, "retention"))
+    held = changes.groupBy("subject", "id").agg(F.count_if(F.col("change") == "received").alias("came"), F.count_if(F.col("change") != "received").alias("went"))
+    return held.where("came > went").select("subject", "id")
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scores, text, urls
 from millrace.plans.core import query
+from millrace.sources import main_content
 from millrace.sources.tables import load
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -129,3 +130,9 @@ def strip_reasoning(spark, sf):
 @query("SELECT doc_id, replace(trim(text[1:20000]), chr(10), ' ') AS preview FROM documents")
 def document_preview(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.replace(F.trim(F.substring("text", 1, 20000)), F.lit("\n"), F.lit(" ")).alias("preview"))
+
+
+@query()
+def page_content(spark, sf):
+    """Main content of every page, by the scan over blocks; held against brute force in a test."""
+    return main_content.with_content(load(spark, sf, "pages"), "page_id", "html")
