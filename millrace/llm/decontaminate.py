@@ -9,8 +9,11 @@ The masks of a window length leave one of them whole whichever words may differ,
 The benchmark is taken in blocks of at most ``block_words`` words, which bounds what is broadcast; each block is one
 pass over all documents.  Documents are never shuffled; a document holds as many rows as items it leaks.
 
-Defined cases: null and empty texts and items match nothing, nor do texts shorter than the window; a null item_id is an item like others; rows that
-repeat a doc_id are searched one by one and merged in the result; other columns are ignored.
+Short items: one of fewer than ``shortest`` (8) words says too little inside a longer text; it leaks only into a text that has the same
+words and no others.  Longer items that are shorter than the window need their whole length.
+
+Defined cases: null and empty texts and items match nothing; a null item_id is an item like others, named ``null`` in item_ids; rows
+that repeat a doc_id are searched one by one and merged in the result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ MASKS = {
     (9, 2): ("101111", "10110011", "11001101", "1110101"),
     (8, 2): ("1111", "11101", "1010011"),
 }
-OVERLAP, AGREE, BLOCK_WORDS = 13, 0.75, 4_000_000
+OVERLAP, AGREE, BLOCK_WORDS, SHORTEST = 13, 0.75, 4_000_000, 8
 
 
 def masks(need: int, agree: float = AGREE) -> tuple[str, ...]:
@@ -74,15 +77,17 @@ def normal_words(text: bytes | None, hashes: WordHash) -> np.ndarray:
 class Index:
     """Masked windows of a block of items, with the masks that each item's length needs."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], overlap: int = OVERLAP, agree: float = AGREE):
-        hashes = WordHash.shared()
+    def __init__(self, items: list[tuple[int | None, bytes]], overlap: int = OVERLAP, agree: float = AGREE, shortest: int = SHORTEST):
+        hashes, self.shortest = WordHash.shared(), shortest
         self.ids = [i for i, _ in items]
         words = [normal_words(t, hashes) for _, t in items]
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.base = np.concatenate(([0], np.cumsum(self.sizes)))
         self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
-        self.tables = []
-        needs = np.minimum(self.sizes, overlap)
+        self.tables, self.short = [], {}
+        for i in np.flatnonzero((self.sizes > 0) & (self.sizes < shortest)).tolist():
+            self.short.setdefault(words[i].tobytes(), []).append(i)
+        needs = np.where(self.sizes < shortest, 0, np.minimum(self.sizes, overlap))
         for need in np.unique(needs[needs > 0]).tolist():
             own = np.flatnonzero(needs == need).tolist()
             for mask in masks(need, agree):
@@ -116,6 +121,8 @@ class Index:
 
     def overlaps(self, doc: np.ndarray, overlap: int, agree: float) -> Iterator[tuple[int | None, int, int, int]]:
         """(item_id, first word, word after the last, equal words) of each verified overlap."""
+        for item in self.short.get(doc.tobytes(), ()) if len(doc) < self.shortest else ():
+            yield self.ids[item], 0, len(doc), len(doc)
         for item, shift in self.hits(doc).tolist():
             words = self.words[self.base[item] : self.base[item + 1]]
             lo, hi = max(0, -shift), min(len(words), len(doc) - shift)
@@ -130,11 +137,11 @@ class Index:
                 yield self.ids[item], a + lo + shift, b + lo + shift, int(sums[b] - sums[a])
 
 
-def _search(broadcast, overlap: int, agree: float):
+def _search(broadcast, overlap: int, agree: float, shortest: int):
     tag = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = worker_memory(("index", tag), lambda: Index(broadcast.value, overlap, agree)), WordHash.shared()
+        index, hashes = worker_memory(("index", tag), lambda: Index(broadcast.value, overlap, agree, shortest)), WordHash.shared()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
@@ -145,14 +152,14 @@ def _search(broadcast, overlap: int, agree: float):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, agree: float = AGREE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, agree: float = AGREE, block_words: int = BLOCK_WORDS, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, first_word, end_word and n_equal of each verified overlap of ``docs`` (doc_id, text) with ``benchmark``."""
     docs, benchmark = require_columns(docs, "doc_id", "text"), require_columns(benchmark, "item_id", "text")
     context, out = docs.sparkSession.sparkContext, None
     block, size = [], 0
 
     def search(items: list) -> DataFrame:
-        return docs.mapInArrow(_search(context.broadcast(items), overlap, agree), "doc_id long, item_id long, first_word long, end_word long, n_equal long")
+        return docs.mapInArrow(_search(context.broadcast(items), overlap, agree, shortest), "doc_id long, item_id long, first_word long, end_word long, n_equal long")
 
     for item_id, text in benchmark.toLocalIterator(prefetchPartitions=False):  # one block of the query set at a time
         raw = (text or "").encode()
@@ -170,7 +177,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, agree:
 def leaking_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_items, n_equal (most words shared with one item) and item_ids of every document with a verified overlap."""
     found = leaks(docs, benchmark, **options)
-    return found.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.max("n_equal").alias("n_equal"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("item_ids"))
+    item = F.struct("item_id")  # so that a null one counts
+    named = F.transform(F.sort_array(F.collect_set(item)), lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("null")))
+    return found.groupBy("doc_id").agg(F.count_distinct(item).alias("n_items"), F.max("n_equal").alias("n_equal"), F.array_join(named, ",").alias("item_ids"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

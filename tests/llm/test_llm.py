@@ -169,7 +169,7 @@ def test_decontamination_equals_brute_force(spark):
         return need > 0 and any(sum(x[a + k] == y[b + k] for k in range(need)) >= 0.75 * need for a in range(len(x) - need + 1) for b in range(len(y) - need + 1))
 
     want = {(i, k if k is not None else -1) for i, t in texts for k, item in items if overlaps(t, item)}
-    found = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), shortest=1)
     assert {(r.doc_id, r.item_id if r.item_id is not None else -1) for r in found.collect()} == want and len(want) > 100
 
 
@@ -184,7 +184,7 @@ def test_masks_reach_every_accepted_substitution():
 def test_every_accepted_substitution_is_found():
     for length in (*range(1, 14), 15):
         item = [f"w{i}" for i in range(length)]
-        index = decontaminate.Index([(7, b"unrelated words"), (5, " ".join(item).encode())])
+        index = decontaminate.Index([(7, b"unrelated words"), (5, " ".join(item).encode())], shortest=1)
         need = min(13, length)
         for wrong in itertools.combinations(range(need), need - math.ceil(0.75 * need)):
             said = ["x", *("other" if i in wrong else w for i, w in enumerate(item)), "y"]
@@ -357,3 +357,15 @@ def test_bucket_blocks_equal_brute_force(spark):
     want = {(m, n) for b, m, c, _ in rows for e, n, f, _ in rows if b == e and m < n and c != f and 100 * len(sets[m] & sets[n]) >= 75 * len(sets[m] | sets[n])}
     for members, minors in ((400_000, 100_000), (300, 200)):
         assert {(r.a, r.b) for r in minhash._across(d, 75, members, minors).collect()} == want and len(want) > 10
+
+
+def test_null_and_short_benchmark_items(spark):
+    """A null item counts like others; an item of few words leaks only into a text of the same words."""
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    items = [(None, long), (7, "the"), (8, "The answer is: yes!"), (9, "a b c d e f g h"), (10, ""), (None, None)]
+    texts = [(1, f"so {long} it ends"), (2, "the fox and the dog"), (3, "the answer is yes"), (4, "the answer is yes sir"), (5, "The"), (6, None), (8, "x a b c d e f g h y"), (9, "a b c d e f g")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.n_equal, r.item_ids) for r in decontaminate.leaking_documents(docs, benchmark).collect()}
+    assert got == {1: (1, 14, "null"), 3: (1, 4, "8"), 5: (1, 1, "7"), 8: (1, 8, "9")}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()) == [2, 4, 6, 9]
