@@ -25,6 +25,49 @@ def neighbours(edges: DataFrame, name: str) -> DataFrame:
     return out.unionByName(edges.where(F.col("target") == name).select(F.col("source").alias("name"), "weight")).groupBy("name").agg(F.sum("weight").alias("weight"))
 
 
+def lookups(names: DataFrame, edges: DataFrame, nodes: DataFrame, hub: int = 10_000, salts: int = 64) -> DataFrame:
+    """name, kind, direction, other, relation, confidence of every entity asked for (names: name), by any spelling of it, in one pass.
+
+    ``edges`` are (source, target, relation, confidence), of which the greatest confidence of each stands; ``nodes`` are (name, kind).  An
+    entity with more than ``hub`` edges is spread over ``salts`` parts.  A name that no node has gives nothing; one without edges
+    gives one row with a null direction.
+    """
+    merged = edges.groupBy("source", "target", "relation").agg(F.max("confidence").alias("confidence"))
+    both = merged.select(F.col("source").alias("name"), F.lit("outgoing").alias("direction"), F.col("target").alias("other"), "relation", "confidence")
+    both = both.unionByName(merged.select(F.col("target").alias("name"), F.lit("incoming").alias("direction"), F.col("source").alias("other"), "relation", "confidence"))
+    hubs = both.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("name", F.lit(salts).alias("parts"))
+    known = nodes.groupBy("name").agg(F.min("kind").alias("kind"))
+    asked = names.select(canonical(F.trim("name"), ALIASES).alias("name")).distinct().join(known, "name").join(hubs, "name", "left")
+    asked = asked.select("name", "kind", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    spread = both.join(hubs, "name", "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("other", "relation"), F.col("parts"))).cast("int"))
+    found = asked.join(spread.drop("parts"), ["name", "salt"], "left").drop("salt")
+    lonely = found.groupBy("name").agg(F.count("direction").alias("n")).where("n = 0").select("name")
+    rows = found.where("direction IS NOT NULL")
+    return rows.unionByName(lonely.join(known, "name").select("name", "kind", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("direction", "other", "relation", "confidence")]))
+
+
+def related(found: DataFrame, kind: str = "LAW") -> DataFrame:
+    """name, other, relation, direction of the entities of one kind that a lookup found."""
+    return found.where((F.col("kind") == kind) & F.col("other").isNotNull()).select("name", "other", "relation", "direction").distinct()
+
+
+def summary(named: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """what, name, n: numbers of entities, relations and documents, and of each kind of entity and of relation."""
+    kinds = named.select("name", "kind").distinct()
+    merged = edges.select("source", "target", "relation").distinct()
+    parts = [
+        kinds.agg(F.count("*").alias("n")).select(F.lit("entities").alias("what"), F.lit("").alias("name"), "n"),
+        merged.agg(F.count("*").alias("n")).select(F.lit("relations"), F.lit(""), "n"),
+        named.agg(F.count_distinct(key).alias("n")).select(F.lit("documents"), F.lit(""), "n"),
+        kinds.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("entity kind"), "kind", "n"),
+        merged.groupBy("relation").agg(F.count("*").alias("n")).select(F.lit("relation kind"), "relation", "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 # Names of regulations, and concepts that count as entities.
 REGULATION = (
     r"(?i)(?<![\p{L}\p{N}_])(CSRD|SFDR|TCFD|GRI|SASB|ESRS|EU\s+Taxonomy|NFRD|CSDDD|Pillar\s+III|TNFD|CDP|UNGC|SDG|Article\s+\d+|Directive\s+\d+/\d+/EC"

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import urls
-from millrace.operators import dedup, graph, mutations, retrieval, semantic, writer
+from millrace.operators import dedup, graph, mutations, retrieval, selection, semantic, writer
 from millrace.plans.core import query
 from millrace.plans.dataset_queries import conversations
 from millrace.plans.retrieval_queries import VEC, _vector, vector_queries
@@ -198,13 +198,15 @@ def layer_union(spark, sf):
     return first.select("url", "f.page_id", "f.layer")
 
 
-@query()
+@query("""WITH k AS (SELECT doc_id, ln(greatest(length(text), 1)) - ln(-ln((('0x' || md5(doc_id || '/7')[1:13])::BIGINT + 0.5) / 4503599627370496.0)) AS k FROM documents)
+SELECT doc_id FROM k QUALIFY row_number() OVER (ORDER BY k DESC, doc_id) <= (SELECT count(*) // 10 FROM documents)""")
 def weighted_sample(spark, sf):
-    """A tenth of the documents without replacement, in proportion to the length of their texts."""
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rows = load(spark, sf, "documents").select("doc_id", (F.log(F.greatest(F.length("text"), F.lit(1)).cast("double")) - F.log(-F.log(u))).alias("key"))
-    n = rows.count()
-    return rows.orderBy(F.desc("key"), "doc_id").limit(n // 10).select("doc_id")
+    """A tenth of the documents without replacement, in proportion to the length of their texts: by a threshold, without a sort."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/7"))), 1, 13), 16, 10).cast("double")
+    size = F.greatest(F.coalesce(F.length("text"), F.lit(1)), F.lit(1)).cast("double")
+    key = F.log(size) - F.log(-F.log((drawn + 0.5) / float(1 << 52)))
+    rows = load(spark, sf, "documents")
+    return selection.greatest(rows.select("doc_id", key.alias("k")), F.col("k"), "doc_id", rows.count() // 10).select("doc_id")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity FROM e a JOIN e b ON a.vec_id < b.vec_id)

@@ -139,3 +139,38 @@ def negation_parity(spark, sf):
     return load(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(graph.negated(F.col("text"), ("not", "no", "never", "nicht", "ne"))).alias("negated"))
 
 
+
+
+_EDGES = """n AS (SELECT 'customer ' || c_custkey AS name, 'ORG' AS kind FROM customer UNION ALL SELECT DISTINCT o_orderpriority, 'LAW' FROM orders),
+m AS (SELECT 'customer ' || o_custkey AS source, o_orderpriority AS target, o_orderstatus AS relation, max(o_orderkey % 100 / 100.0)::DOUBLE AS confidence
+  FROM orders GROUP BY ALL)"""
+
+
+def _order_graph(spark, sf):
+    """Customers (organisations) that ask for orders of a priority (five hubs), each order an edge."""
+    orders = load(spark, sf, "orders")
+    name = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))
+    edges = orders.select(name.alias("source"), F.col("o_orderpriority").alias("target"), F.col("o_orderstatus").alias("relation"), (F.col("o_orderkey") % 100 / 100).alias("confidence"), "o_orderkey")
+    people = load(spark, sf, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name"), F.lit("ORG").alias("kind"))
+    return edges, people.unionByName(orders.select(F.col("o_orderpriority").alias("name"), F.lit("LAW").alias("kind")).distinct())
+
+
+@query(f"""WITH {_EDGES}, b AS (SELECT source AS name, 'outgoing' AS direction, target AS other, relation, confidence FROM m
+  UNION ALL SELECT target, 'incoming', source, relation, confidence FROM m)
+SELECT n.name, kind, direction, other, relation, round(confidence, 4) AS confidence FROM n LEFT JOIN b ON n.name = b.name""")
+def entity_lookups(spark, sf):
+    """What the graph knows of every entity, hubs spread over many parts."""
+    edges, nodes = _order_graph(spark, sf)
+    return graph.lookups(nodes.select("name"), edges, nodes, hub=500).withColumn("confidence", F.round("confidence", 4))
+
+
+@query(f"""WITH {_EDGES} SELECT 'entities' AS what, '' AS name, count(*) AS n FROM n UNION ALL SELECT 'relations', '', count(*) FROM m
+UNION ALL SELECT 'documents', '', count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'entity kind', kind, count(*) FROM n GROUP BY kind UNION ALL SELECT 'relation kind', relation, count(*) FROM m GROUP BY relation""")
+def graph_summary(spark, sf):
+    """Numbers of entities, relations and documents, and by kind."""
+    edges, nodes = _order_graph(spark, sf)
+    named = nodes.select("name", "kind", F.lit(None).cast("long").alias("o_orderkey")).unionByName(
+        edges.select(F.col("target").alias("name"), F.lit("LAW").alias("kind"), "o_orderkey")
+    )
+    return graph.summary(named, "o_orderkey", edges)

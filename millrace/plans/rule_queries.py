@@ -225,3 +225,17 @@ def watermark_votes(spark, sf):
 def tier_trust(spark, sf):
     tier = _pick("page_id", ("S", "A", "B", "C"))
     return load(spark, sf, "pages").select(tier.alias("tier")).withColumn("trust", rules.trust(F.col("tier"))).groupBy("tier", "trust").agg(F.count("*").alias("n"))
+
+
+_WEAK = ("regulatory accuracy", "risk", "critical_thinking", "forward", "financial risk", "brevity", "esg_data quality", "practical")
+_WEAK_SQL = f"SELECT doc_id, list_filter({_listed(_WEAK)}, lambda w, i: (doc_id // (i + 1)) % 3 = 0) AS weak FROM labels"
+
+
+@query(f"""WITH w AS ({_WEAK_SQL}), p AS (SELECT unnest({_listed(rules.PERSPECTIVE_KEYS)}) AS perspective)
+SELECT doc_id, perspective, round(least(1.0 + 0.3 * len(list_filter(weak, lambda w: contains(w, perspective) OR contains(perspective, w))), 2.0), 6)::DOUBLE AS weight
+FROM w, p""")
+def perspective_weights(spark, sf):
+    """Weights of all perspectives after each report's weaknesses."""
+    named = F.array(*map(F.lit, _WEAK))
+    weak = F.filter(named, lambda w, i: F.floor(F.col("doc_id") / (i + 2)) % 3 == 0)
+    return load(spark, sf, "labels").select("doc_id", F.explode(rules.perspective_weights(weak)).alias("perspective", "weight"))
