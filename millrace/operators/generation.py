@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import is_refusal
+from millrace.functions.text import is_refusal, let
 
 Model = Callable[[Column], Column]
 
@@ -24,18 +24,28 @@ def simulate_question(rows: DataFrame, keys: list[str], prompt: Column, ask: Mod
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
+    """Similarity of the word pairs of two texts; a text of fewer than two words is one pair, itself."""
+
     def bigrams(x: Column) -> Column:
         w = F.filter(F.split(F.lower(x), r"\s+"), lambda t: t != "")
-        return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 2)))))
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 2)))
+        return F.when(F.size(w) < 2, F.array(F.lower(x))).otherwise(F.array_distinct(pairs))
 
-    x, y = bigrams(a), bigrams(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+    return let(bigrams(a), lambda x: let(bigrams(b), lambda y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))
 
 
 def repeats_earlier(question: Column, earlier: Column, threshold: float = 0.75) -> Column:
     """Whether a follow-up says again what an earlier question said."""
-    return F.exists(earlier, lambda e: bigram_jaccard(question, e) >= threshold)
+    return F.exists(F.coalesce(earlier, F.array().cast("array<string>")), lambda e: bigram_jaccard(question, e) >= threshold)
+
+
+def follow_up(rows: DataFrame, prompt: Column, ask: Model, earlier: Column, fallbacks: list[str], pick: Column, threshold: float = 0.75) -> DataFrame:
+    """Adds question: the model's, or a fixed one (number ``pick``) where it gives none or repeats an earlier question; never adversarial."""
+    fixed = F.get(F.array(*map(F.lit, fallbacks)), F.pmod(pick, F.lit(len(fallbacks))).cast("int"))
+    said = F.nullif(F.trim(ask(prompt)), F.lit(""))
+    rows = rows.withColumn("question", said)
+    good = F.col("question").isNotNull() & ~repeats_earlier(F.col("question"), earlier, threshold)
+    return rows.withColumn("question", F.when(good, F.col("question")).otherwise(fixed)).withColumn("adversarial", F.lit(False))
 
 
 def answer_context(base: Column, contexts: Column, tokens: int, most: int = 6) -> Column:

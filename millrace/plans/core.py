@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Register a function (spark, sf_dir) under its name."""
 
     def wrap(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query named {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

@@ -139,3 +139,37 @@ def answer_context(spark, sf):
 def adversarial_rows(spark, sf):
     rows = generation.simulate_question(load(spark, sf, "documents"), ["doc_id", "source"], F.col("text"), lambda p: F.lit(None).cast("string"), "Who must comply?", "What is the weather?", 0.1)
     return rows.select("doc_id", "adversarial", "question")
+
+
+_FALLBACKS = ("Which duties follow from this?", "Who is bound by it?", "From when does it apply?")
+_PAIRS = "(CASE WHEN len({0}) < 2 THEN [lower({1})] ELSE list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])) END)"
+_SPLIT = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text[1:60], '') AS first FROM documents),
+m AS (SELECT doc_id, first, CASE doc_id % 4 WHEN 0 THEN first || ' now' WHEN 1 THEN NULL WHEN 2 THEN ' ' ELSE 'what about number ' || doc_id END AS said FROM d),
+w AS (SELECT doc_id, first, nullif(trim(said), '') AS said, {_SPLIT.format("first")} AS a, {_SPLIT.format("trim(said)")} AS b FROM m),
+p AS (SELECT doc_id, said, {_PAIRS.format("a", "first")} AS x, {_PAIRS.format("b", "said")} AS y FROM w)
+SELECT doc_id, CASE WHEN said IS NULL OR len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.75
+  THEN {list(_FALLBACKS)}[(doc_id % 3 + 1)::INT] ELSE said END AS question FROM p""")
+def follow_ups(spark, sf):
+    """Second questions of an injected model: some repeat the first, some are missing; those are replaced by fixed ones."""
+    d = load(spark, sf, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 60), F.lit("")).alias("first"))
+    kind = F.col("doc_id") % 4
+    model = lambda prompt: F.when(kind == 0, F.concat(prompt, F.lit(" now"))).when(kind == 2, " ").when(kind == 3, F.concat(F.lit("what about number "), F.col("doc_id").cast("string")))
+    return generation.follow_up(d, F.col("first"), model, F.array("first"), list(_FALLBACKS), F.col("doc_id")).select("doc_id", "question")
+
+
+@query("""WITH d AS (SELECT doc_id, text[1:200] AS base, [source, text[1:200], lang, source] AS extra FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, array_to_string(list_concat([base], list_filter([source_, lang_], lambda x: x <> base)), chr(10) || chr(10))[1:500] AS context
+  FROM (SELECT *, extra[1] AS source_, CASE WHEN extra[3] = extra[1] THEN base ELSE extra[3] END AS lang_ FROM d)),
+a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Brak danych w dyrektywie.' ELSE 'Because: ' || context END AS answer FROM c)
+SELECT doc_id, md5(answer) AS answer, CASE WHEN doc_id % 5 = 0 THEN (doc_id % 7 = 0)::INT::DOUBLE WHEN length(trim(answer)) < 30 THEN 0.0 END AS score FROM a""")
+def generated_answers(spark, sf):
+    """Answers of an injected model from each document's context, the refusal where it gives none, and the score that needs no judge."""
+    d = load(spark, sf, "documents").where("text IS NOT NULL")
+    d = d.select("doc_id", F.substring("text", 1, 200).alias("base"), F.array("source", F.substring("text", 1, 200), "lang", "source").alias("extra"))
+    model = lambda context: F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("Because: "), context))
+    rows = generation.generate_answer(d, "base", "extra", model, "Brak danych w dyrektywie.", 100)
+    score = generation.judge_fast_path(F.col("doc_id") % 5 == 0, F.col("answer"))
+    return rows.select("doc_id", F.md5("answer").alias("answer"), score.alias("score"))

@@ -236,7 +236,7 @@ def bounded_feedback(spark, sf):
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
-def bounded_log(spark, sf):
+def last_lines(spark, sf):
     """Each run's last five lines."""
     return state.last_rows(load(spark, sf, "events"), "user_id", ["ts", "event_id"], 5).select("user_id", "event_id")
 
