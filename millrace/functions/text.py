@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -63,16 +64,22 @@ def best_of(scores: dict[str, Column]) -> Column:
 def detect_language(text: Column) -> Column:
     """Language by characteristic letters, else by common words; each score is computed once."""
 
+    plain = {k: [w for w in v if re.fullmatch("[a-z]{2,}", w)] for k, v in STOP_WORDS.items()}  # words of other letters never count
+    every = F.array(*map(F.lit, sorted({w for v in plain.values() for w in v})))
+    left = lambda s, chars: F.length(F.translate(s, chars, ""))
+
     def by_words(words: Column) -> Column:
-        best = best_of({k: F.size(F.array_intersect(words, F.array(*map(F.lit, v)))) / F.lit(len(v)) for k, v in STOP_WORDS.items()})
+        best = best_of({k: F.size(F.array_intersect(words, F.array(*map(F.lit, v)))) / F.lit(len(STOP_WORDS[k])) for k, v in plain.items()})
         return let(best, lambda x: F.when(x["score"] > 0.3, x["name"]).otherwise("en"))
 
     def of_sample(sample: Column) -> Column:
-        letters = F.greatest(F.length(sample) - F.length(F.regexp_replace(sample, r"\p{L}+", "")), F.lit(1))
-        other = F.regexp_replace(sample, r"[\x00-\x7F]+", "")  # no characteristic letter is ASCII
-        count = lambda chars, rest: F.length(F.regexp_replace(rest, f"[^{chars}]+", ""))
-        best = let(letters, lambda n: let(other, lambda rest: best_of({k: count(v, rest) / n for k, v in LETTERS.items()})))
-        words = F.array_distinct(F.regexp_extract_all(sample, F.lit(r"(?<![\p{L}\p{N}_])[a-z]{2,}(?![\p{L}\p{N}_])"), F.lit(0)))
+        def of_other(other: Column) -> Column:  # what is not ASCII: all characteristic letters are there
+            ascii_letters = F.length(sample) - F.length(F.regexp_replace(sample, "[a-z]+", ""))
+            letters = F.greatest(ascii_letters + F.length(other) - F.length(F.regexp_replace(other, r"\p{L}+", "")), F.lit(1))
+            return let(letters, lambda n: best_of({k: (F.length(other) - left(other, v)) / n for k, v in LETTERS.items()}))
+
+        best = let(F.regexp_replace(sample, r"[\x00-\x7F]+", ""), of_other)
+        words = F.array_intersect(every, F.split(sample, r"[^\p{L}\p{N}_]+"))
         return let(best, lambda x: F.when(x["score"] > 0.01, x["name"]).otherwise(let(words, by_words)))
 
     found = let(F.lower(F.substring(text, 1, 5000)), of_sample)
