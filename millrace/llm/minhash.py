@@ -173,7 +173,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
 
     pairs = materialize(stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, items binary"), "sets")
+    # rows that repeat an id and a text count once: their sets would meet as often as the product of their numbers
+    copied = materialize(real.groupBy("doc_id", "node_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct(), "copied")
+    once = docs.join(copied, "doc_id", "left_anti").unionByName(docs.join(copied, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    sets = materialize(once.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, items binary"), "sets")
 
     def confirmed(found: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))

@@ -369,3 +369,26 @@ def test_null_and_short_benchmark_items(spark):
     got = {r.doc_id: (r.n_items, r.n_equal, r.item_ids) for r in decontaminate.leaking_documents(docs, benchmark).collect()}
     assert got == {1: (1, 14, "null"), 3: (1, 4, "8"), 5: (1, 1, "7"), 8: (1, 8, "9")}
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()) == [2, 4, 6, 9]
+
+
+def test_many_copies_of_a_row_are_compared_once(spark, monkeypatch):
+    """Four hundred copies of each of two near texts: one link, one comparison."""
+    seen = []
+    real = minhash._confirm
+
+    def counting(threshold):
+        run = real(threshold)
+
+        def counted(batches):
+            for batch in batches:
+                assert batch.num_rows <= 4
+                yield from run(iter([batch]))
+
+        seen.append(threshold)
+        return counted
+
+    monkeypatch.setattr(minhash, "_confirm", counting)
+    rows = spark.createDataFrame([(1, BASE), (2, BASE.replace("fox", "cat", 1)), (3, prose(80, 77))], "doc_id long, text string")
+    many = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(400)))).repartition(4)
+    got = minhash.near_duplicates(many).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, True, 400), (2, 1, False, 400), (3, 3, True, 400)] and seen
