@@ -13,11 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Sizes of chunks in characters, headings, legal articles, and where a text may break, coarsest first.
 LEAST, MOST, OVERLAP = 250, 2200, 150
-
 HEADING = re.compile(r"^#{1,3}\s+(?P<title>.+)$", re.M)
 ARTICLE = re.compile(r"^(?P<title>(?:Article|Art(?:ykuł)?\.?|§|Section)\s+\d+\b.*)$", re.M | re.I)
-# Where a text may break, coarsest first, and what joins the pieces again.
 LEVELS = ((re.compile(r"\n{2,}"), "\n\n"), (re.compile(r"(?<=[.!?…])\s+(?=[A-ZĄĆĘŁŃÓŚŹŻ\"(\[])"), " "), (re.compile(r"\s+"), " "))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 
 def entities(docs: DataFrame, key: str, body: str, pattern: str = "[A-Z][a-z]{6,}") -> DataFrame:
     """name, n_docs, first_doc and a stable id; every document counts once for a name."""
@@ -14,8 +16,10 @@ def entities(docs: DataFrame, key: str, body: str, pattern: str = "[A-Z][a-z]{6,
 
 def co_occurrence(sentences: DataFrame, body: str, pattern: str) -> DataFrame:
     """source < target and weight: names that stand in one sentence."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(0))))
-    pairs = F.flatten(F.transform(found, lambda x, i: F.transform(F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda y: F.struct(x.alias("source"), y.alias("target")))))
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(0))))
+    later = lambda found, i: F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0)))
+    pair = lambda x: lambda y: F.struct(x.alias("source"), y.alias("target"))
+    pairs = let(names, lambda found: F.flatten(F.transform(found, lambda x, i: F.transform(later(found, i), pair(x)))))
     return sentences.select(F.explode(pairs).alias("p")).groupBy(F.col("p.source").alias("source"), F.col("p.target").alias("target")).agg(F.count("*").alias("weight"))
 
 
