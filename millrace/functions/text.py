@@ -159,3 +159,8 @@ def context_xml(index: Column, ref: Column, body: Column) -> Column:
 def snippet(text: Column, at: Column, radius: int = 100) -> Column:
     start = F.greatest(at - radius, F.lit(1))
     return F.trim(F.replace(F.substring(text, start, at - start + radius), F.lit("\n"), F.lit(" ")))
+
+
+def strip_fences(raw: Column) -> Column:
+    """A model's answer without code fences around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(raw, "```(?:json)?", ""), r"^\s+|\s+$", ""))

@@ -111,6 +111,11 @@ def tag(text: Column, name: str) -> Column:
     return F.regexp_extract(text, rf"(?is)<{name}>\s*(.*?)\s*</{name}>", 1)
 
 
+def bullets(text: Column, name: str) -> Column:
+    """The lines that begin with a hyphen inside a tag, without it."""
+    return F.regexp_extract_all(tag(text, name), F.lit("- (.+)"), F.lit(1))
+
+
 def critique_pair(raw: Column) -> Column:
     """improved and degraded answers; null unless both are there."""
     good, bad = tag(raw, "improved"), tag(raw, "degraded")

@@ -1,6 +1,7 @@
 """All queries of the engine and their SQL, by name."""
 
 from millrace.plans import (  # noqa: F401
+    datacard_queries,
     dataset_queries,
     dedup_queries,
     flow_queries,
