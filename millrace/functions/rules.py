@@ -182,14 +182,14 @@ def adjusted(hallucination: Column, quality: Column, critiqued: Column, weak: Co
 
 
 # Perspectives of questions, by how much a weakness raises one's weight, and the greatest weight.
-PERSPECTIVE_KEYS = ("regulatory", "financial", "risk", "esg_data", "cross_reference", "practical", "critical", "forward_looking")
+WEIGHED = ("regulatory", "financial", "risk", "esg_data", "cross_reference", "practical", "critical", "forward_looking")
 RAISED, WEIGHTIEST = 0.3, 2.0
 
 
 def perspective_weights(weak: Column) -> Column:
     """Map of each perspective's weight for the next cycle: every weakness whose name holds the perspective's, or lies in it, raises it."""
     matching = lambda p: F.size(F.filter(F.coalesce(weak, F.array().cast("array<string>")), lambda w: F.contains(w, F.lit(p)) | F.contains(F.lit(p), w)))
-    entries = [x for p in PERSPECTIVE_KEYS for x in (F.lit(p), F.round(F.least(1.0 + RAISED * matching(p), F.lit(WEIGHTIEST)), 6))]
+    entries = [x for p in WEIGHED for x in (F.lit(p), F.round(F.least(1.0 + RAISED * matching(p), F.lit(WEIGHTIEST)), 6))]
     return F.create_map(*entries)
 
 

@@ -231,7 +231,7 @@ _WEAK = ("regulatory accuracy", "risk", "critical_thinking", "forward", "financi
 _WEAK_SQL = f"SELECT doc_id, list_filter({_listed(_WEAK)}, lambda w, i: (doc_id // (i + 1)) % 3 = 0) AS weak FROM labels"
 
 
-@query(f"""WITH w AS ({_WEAK_SQL}), p AS (SELECT unnest({_listed(rules.PERSPECTIVE_KEYS)}) AS perspective)
+@query(f"""WITH w AS ({_WEAK_SQL}), p AS (SELECT unnest({_listed(rules.WEIGHED)}) AS perspective)
 SELECT doc_id, perspective, round(least(1.0 + 0.3 * len(list_filter(weak, lambda w: contains(w, perspective) OR contains(perspective, w))), 2.0), 6)::DOUBLE AS weight
 FROM w, p""")
 def perspective_weights(spark, sf):
