@@ -100,18 +100,22 @@ def near_duplicates(items: DataFrame, key: str, text: str, checkpoint, threshold
 def preloaded(items: DataFrame, known: DataFrame, key: str, text: str, checkpoint, threshold: float = 0.85) -> DataFrame:
     """key and kept of ``items``, of which none is kept that is near to a text of ``known`` (key, text): those count as kept from the start.
 
-    Keys of ``known`` and ``items`` must be numbers that do not meet; known ones are put before all others.
+    Keys are numbers, of any sign; those of ``known`` are shifted below all others, so the two sides never meet.
     """
+    mine = items.select(F.col(key).cast("long").alias(key), text)
     first = known.select(F.col(key).cast("long").alias(key), text)
+    border = min(mine.agg(F.min(key)).first()[0] or 0, 0)
     low = first.agg(F.max(key)).first()[0] or 0
-    both = first.select((F.col(key) - low - 1).alias(key), text).unionByName(items.select(F.col(key).cast("long").alias(key), text))
-    signed = checkpoint(both.select(key, minhash(F.coalesce(F.col(text), F.lit("")), cut=question_shingles).alias("signature")).withColumn("same", F.md5(F.concat_ws("|", "signature"))))
+    both = first.select((F.col(key) - low - 1 + border).alias(key), text).unionByName(mine)
+    signature = minhash(F.coalesce(F.col(text), F.lit("")), cut=question_shingles).alias("signature")
+    signed = checkpoint(both.select(key, signature).withColumn("same", F.md5(F.concat_ws("|", "signature"))))
     single = checkpoint(signed.groupBy("same").agg(F.min(key).alias(key)).join(signed.select(key, "signature"), key).select(key, "signature", "same"))
     pairs = checkpoint(minhash_pairs(single, key, threshold=threshold))
-    hit = pairs.where("a < 0 and b >= 0").select(F.col("b").alias(key)).distinct()
-    open_ = single.where(F.col(key) >= 0).join(hit, key, "left_anti")
-    kept = greedy_keep(open_.select(key), key, pairs.where("a >= 0").join(open_.select(F.col(key).alias("a")), "a").join(open_.select(F.col(key).alias("b")), "b"), checkpoint).where("kept")
-    return items.select(F.col(key).cast("long").alias(key)).join(kept.select(key, "kept"), key, "left").select(key, F.coalesce("kept", F.lit(False)).alias("kept"))
+    hit = pairs.where((F.col("a") < border) & (F.col("b") >= border)).select(F.col("b").alias(key)).distinct()
+    open_ = single.where(F.col(key) >= border).join(hit, key, "left_anti")
+    left = pairs.where(F.col("a") >= border).join(open_.select(F.col(key).alias("a")), "a").join(open_.select(F.col(key).alias("b")), "b")
+    kept = greedy_keep(open_.select(key), key, left, checkpoint).where("kept")
+    return mine.select(key).join(kept.select(key, "kept"), key, "left").select(key, F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def staged(sources: DataFrame, key: str, fingerprint: Column, title: str, checkpoint, distance: int = 3) -> DataFrame:

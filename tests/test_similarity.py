@@ -108,3 +108,10 @@ def test_three_stages_of_sources(spark):
 
     got = dedup.staged_with_meaning(df, "id", urls.fingerprint(F.col("url")), "title", "v", keep)
     assert {r.id: r.stage for r in got.collect()} == {1: None, 2: "url", 3: "title", 4: "meaning", 5: None, 6: None, 7: "meaning", 8: None}
+
+
+def test_known_texts_stand_before_items_of_any_key(spark):
+    known = spark.createDataFrame([(-5, "who has to report on climate risks under the new rules"), (9, "what is a green bond")], "id long, t string")
+    items = [(-20, "what is a green bond"), (-3, "when does the law apply to small firms in the union"), (0, "when does the law apply to small firms in the union"), (4, "quite another question here"), (7, None)]
+    got = dedup.preloaded(spark.createDataFrame(items, "id long, t string"), known, "id", "t", keep)
+    assert {r.id: r.kept for r in got.collect()} == {-20: False, -3: True, 0: False, 4: True, 7: True}
