@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.operators import chunker, dataset, dedup, firewall, retrieval
@@ -110,3 +111,35 @@ def test_whole_tables_are_taken(spark, tmp_path):
     spark.createDataFrame([(1, "s3"), (2, "s6"), (334, "s1002")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     assert {(r.event_type, r.users) for r in QUERIES["union_of_all_arrays"](spark, str(tmp_path)).collect()} == {("a", "39,40"), ("b", "500")}
     assert {(r.id, r.name) for r in QUERIES["insert_ignore_all"](spark, str(tmp_path)).collect()} == {(3, "c3"), (1002, "c1002"), (6, "s6")}
+
+
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_few_items_are_ranked_and_none_is_lost(monkeypatch):
+    """Past the first items only those that can still be among a query's best are ranked; ties, zero norms and other lengths count."""
+    rng, ranked, leading = np.random.default_rng(11), [], retrieval._leading
+    monkeypatch.setattr(retrieval, "_leading", lambda query, *a: ranked.append(len(query)) or leading(query, *a))
+    v = np.round(rng.normal(size=(12_000, 8)), 1)
+    v[100:160], v[9000:9100], v[7] = v[3], 2 * v[3], 0.0
+    rows = [x.tolist() for x in v] + [[1.0, 2.0]] * 30
+    ids, asked = np.arange(40), [rows[i] for i in range(38)] + [[2.0, 4.0], [0.5]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, min(at + 5000, len(rows)))), pa.array(rows[at : at + 5000], pa.list_(pa.float64()))], ["k", "v"]) for at in range(0, len(rows), 5000)]
+    got = [tuple(r.values()) for b in retrieval._best(_Held((ids, retrieval._by_length(asked))), 20)(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for q, a in enumerate(asked):
+        a = np.array(a)
+        norm = lambda x: np.sqrt((x * x).sum(axis=-1))
+        same = np.zeros(len(rows))
+        if len(a) == 8:
+            both = norm(v) * norm(a)
+            same[: len(v)] = np.divide((v * a).sum(axis=1), both, out=np.zeros(len(v)), where=both != 0)
+        elif len(a) == 2:
+            same[len(v) :] = 1.0
+        same = np.copysign(np.floor(np.abs(same) * 1e6 + 0.5) / 1e6, same) + 0.0
+        want += [(q, i, same[i]) for i in np.lexsort((np.arange(len(rows)), -same))[:20].tolist()]
+    got, want = sorted(got), sorted(want)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and max(abs(g[2] - w[2]) for g, w in zip(got, want, strict=True)) < 1.5e-6
+    assert sum(ranked) < 0.4 * len(rows) * len(ids)
