@@ -6,6 +6,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import rules, text, urls, watermarks
@@ -208,3 +209,17 @@ def test_semantic_filter_equals_the_rule(spark):
             kept.append(a)
     got = {r.id for r in semantic.semantic_keep(d, "id", "v", lambda x: written(x, "test")).where("kept").collect()}
     assert got == {*kept, 900}
+
+
+def test_unclustered_vectors_meet_once(spark):
+    """Vectors without clusters visit half of the cells, travel as one row each until blocks are dealt, and give each pair once."""
+    v = np.random.default_rng(4).normal(size=(600, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(v.tolist(), pa.list_(pa.float64()))], ["key", "v"])
+    placed = [r for b in semantic._cells(v[:9] / np.linalg.norm(v[:9], axis=1)[:, None], 1.0)(iter([batch])) for r in b.to_pylist()]
+    assert len(placed) == 600 and sum(len(r["visits"]) for r in placed) <= 600 * 8 / 2 * 1.2 and all(c > r["cell"] for r in placed for c in r["visits"])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    for threshold, block in ((0.7, 30), (0.7, None), (-1.0, 50)):  # few pairs, and all
+        want = {(a, b) for a, b in zip(*np.nonzero(np.triu(np.round(unit @ unit.T, 6) >= threshold, 1)), strict=True)}
+        got = [(r.a, r.b) for r in semantic.cosine_pairs(d, "id", "v", threshold, lambda x: written(x, "test"), pivots=9, block=block).collect()]
+        assert len(got) == len(set(got)) == len(want) > 1000 and set(got) == want
