@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -113,3 +114,16 @@ def test_top_reads_fewer_blocks_than_there_are(spark):
     index._exact = lambda lists: read.append(lists.select("block").distinct().count()) or exact(lists)
     best = index.top(spark.createDataFrame([(0, "the")], "query long, text string"), 3).collect()
     assert sorted(r.key for r in best) == [0, 1, 2] and max(read) <= 8 < index.blocks
+
+
+def test_lists_leave_a_task_whole_and_scans_name_their_terms(spark):
+    rows = [(b, k, t) for b, k, t in ((0, 1, "the of"), (0, 1, "the"), (0, 4, None), (0, 7, "of of"), (2, 1, "the"), (2, 2, ""))]
+    batches = [pa.RecordBatch.from_pylist([dict(zip("bkt", r, strict=True)) for r in part], pa.schema([("b", pa.int32()), ("k", pa.int64()), ("t", pa.string())])) for part in (rows[:1], rows[1:4], rows[4:])]
+    got = {(r["term"], r["block"]): (r["keys"], r["tfs"], r["most"]) for b in postings._indexed(iter(batches)) for r in b.to_pylist()}
+    assert got == {("the", 0): ([1], [2], 2), ("of", 0): ([1, 7], [1, 2], 2), ("the", 2): ([1], [1], 1)}
+    docs = spark.createDataFrame(TEXTS, "id long, body string")
+    index = postings.Postings.build(docs, "id", "body", block=25)
+    found = index.matches(spark.createDataFrame([(0, "rare"), (1, "wörk")], "query long, text string"))
+    assert "EqualTo(term,rare)" in found._jdf.queryExecution().toString()
+    many = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(postings.NAMED + 1))), (1, "rare")], "query long, text string")
+    assert sorted(r.key for r in index.matches(many).collect()) == sorted(i for i, t in TEXTS if i is not None and t and "rare" in t)
