@@ -1,7 +1,10 @@
 """State by key and entry: restarts, limits by count and age, timers, ties, and a topic with very many URLs."""
 
 import datetime as dt
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from millrace.streaming import keyed, streams
@@ -69,3 +72,64 @@ def test_session_entries_and_their_timers(spark, tmp_path):
     got = sorted((r.s, r.e, r.v, r.id, r.change) for r in run().selectExpr("session s", "entry e", "coalesce(value, -1) v", "id", "change").collect())
     assert [g for g in got if g[4] == "expired"] == [(1, "x", 2.0, 2, "expired"), (1, "y", -1.0, 3, "expired")]
     assert [g for g in got if g[4] == "set"] == [(1, "x", 2.0, 2, "set"), (1, "y", -1.0, 3, "set"), (2, "x", 5.0, 4, "set"), (2, "x", 6.0, 5, "set"), (3, "x", 7.0, 6, "set")]
+
+
+class _State(dict):
+    """A map or value state that counts what is written."""
+
+    writes = 0
+
+    def keys(self):
+        return iter(list(dict.keys(self)))
+
+    def updateValue(self, k, v):  # noqa: N802  Spark's names
+        self.writes += 1
+        self[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        self.writes += 1
+        del self[k]
+
+    def getValue(self, k):  # noqa: N802
+        return dict.get(self, k)
+
+    containsKey = dict.__contains__  # noqa: N815
+
+
+class _One:
+    def __init__(self):
+        self.v = None
+
+    exists = lambda self: self.v is not None
+    get = lambda self: self.v
+
+    def update(self, v):
+        self.v = v
+
+
+def test_what_goes_at_once_never_enters_the_state():
+    rng, p = np.random.default_rng(6), keyed._Retained(20, 6 * keyed.HOUR)
+    p.held, p.newest, seen, held = _State(), _One(), [], set()
+    for _ in range(3):
+        frames = [pd.DataFrame({"ts": pd.to_datetime(rng.integers(0, 30 * 3600, 500), unit="s"), "id": rng.permutation(500) + 1000 * k}) for k in range(4)]
+        for out in p.handleInputRows(("a",), iter(frames), None):
+            for i, change in zip(out["id"], out["change"], strict=True):
+                seen.append((i, change))
+        every = {(int(t.timestamp() * 1000), int(i)) for f in frames for t, i in zip(f["ts"], f["id"], strict=True)} | held
+        top = max(every)[0]
+        held = set(sorted(e for e in every if e[0] >= top - 6 * keyed.HOUR)[-20:])
+        assert set(p.held.keys()) == held
+    came = Counter(i for i, c in seen if c == "received")
+    went = Counter(i for i, c in seen if c == "dropped")
+    assert sum(came.values()) == 6000 and sum(came.values()) - sum(went.values()) == len(held) and p.held.writes <= 3 * 2 * 20
+
+
+def test_a_batch_writes_an_entry_once():
+    p = keyed._Entries(keyed.HOUR)
+    p.entries, p.until, timers = _State(), _One(), []
+    p.handle = type("H", (), {"deleteTimer": lambda self, t: timers.remove(t), "registerTimer": lambda self, t: timers.append(t)})()
+    frames = [pd.DataFrame({"ts": pd.to_datetime([k * 10, k * 10 + 1], unit="s"), "entry": ["x", "y"], "value": [float(k), None], "id": [k, k]}) for k in range(50)]
+    out = pd.concat(list(p.handleInputRows((1,), iter(frames), None)))
+    assert p.entries.writes == 2 and dict(p.entries) == {("x",): (490_000, 49, 49.0), ("y",): (491_000, 49, None)} and timers == [491_000 + keyed.HOUR]
+    assert sorted(zip(out["entry"], out["id"], strict=True)) == [("x", 49), ("y", 49)]
+    assert pd.concat(list(p.handleInputRows((1,), iter(frames[:3]), None))).empty and p.entries.writes == 2
