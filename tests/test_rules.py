@@ -223,3 +223,13 @@ def test_unclustered_vectors_meet_once(spark):
         want = {(a, b) for a, b in zip(*np.nonzero(np.triu(np.round(unit @ unit.T, 6) >= threshold, 1)), strict=True)}
         got = [(r.a, r.b) for r in semantic.cosine_pairs(d, "id", "v", threshold, lambda x: written(x, "test"), pivots=9, block=block).collect()]
         assert len(got) == len(set(got)) == len(want) > 1000 and set(got) == want
+
+
+def test_dense_patterns_look_at_the_first_letter_and_count_the_same(spark):
+    rows = ["Art. 5 art 7 ART.9 xart 5 artykuł 12 Article  3 §4 a§ 4 a§4 _§ 5 ust. 3 USTĘP 4 ustęp Paragraph sections section Section", "1,5 % 12.000 EUR 1234 3.4.2024 2024-01-02 é12 12é ³4 1 mln.", "EU CSRD ÉUR UEÉ A ABCDEFG AB_ AB1 łAB AB", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    plain = [F.regexp_count("t", F.lit(text.bordered(p))).alias(f"a{i}") for i, (_, p) in enumerate(text.DENSE)]
+    gated = [F.regexp_count("t", F.lit(p)).alias(f"b{i}") for i, (_, p) in enumerate(text.dense_patterns())]
+    found = d.select(*plain, *gated).collect()
+    assert all(tuple(r)[:4] == tuple(r)[4:] for r in found) and all(sum(r[i] or 0 for r in found) for i in range(4))
+    assert all(p.startswith("(?=[") or p.startswith("(?=\\d") for _, p in text.dense_patterns())
