@@ -59,11 +59,10 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _set_pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["code", "x", "y"]):
-            code, x, y, own, key = (rows.column(c).to_numpy() for c in ("code", "x", "y", "own", "key"))
+            code, x, y, own, key, sizes = (rows.column(c).to_numpy() for c in ("code", "x", "y", "own", "key", "size"))
             every, found = list(list_rows(rows.column("codes"))), ([], [], [])
             for lo, hi in _parts(rows, ["code", "x", "y"]):
-                sets = every[lo:hi]
-                size = np.array([len(s) for s in sets])
+                sets, size = every[lo:hi], sizes[lo:hi]
                 both = _overlaps(sets)
                 same = both / (size[:, None] + size[None, :] - both)
                 fits = np.triu(same >= threshold - 1e-9, 1)
@@ -85,19 +84,18 @@ hundred elements (questions, titles, items): a set travels once for each of its
 
     A set's elements are put in a global order, rare ones first.  Sets so similar share one of their first
     size - ceil(threshold * size) + 1 elements, and the first element that they share at all is one of those: there, and only there,
-    the pair counts.
+    the pair counts.  Elements of one set alone come first in that order and meet nothing: they count, but get no number and travel no further.
     """
-    sets = rows.select(F.col(key).cast("long").alias("key"), F.array_sort(F.array_distinct(elements)).alias("s")).where("size(s) > 0")
-    classed = checkpoint(sets.withColumn("same", F.md5(F.to_json("s"))))
+    sets = rows.select(F.col(key).cast("long").alias("key"), F.sort_array(F.array_distinct(elements)).alias("s"))
+    classed = checkpoint(sets.withColumn("same", F.md5(F.to_json("s")))).where("size(s) > 0")  # not before: the sets would be made twice
     firsts = checkpoint(classed.groupBy("same").agg(F.min("key").alias("key"), F.any_value("s").alias("s")))
-    flat = firsts.select("key", F.explode("s").alias("element"))
-    counts = flat.groupBy("element").agg(F.count("*").alias("n"))
+    flat = firsts.select("key", (F.size("s") - F.get("s", F.lit(0)).isNull().cast("int")).alias("size"), F.explode("s").alias("element"))
+    counts = flat.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     codes = checkpoint(counts.repartitionByRange("n", "element").sortWithinPartitions("n", "element").select("element", F.monotonically_increasing_id().alias("code")))
-    coded = checkpoint(flat.join(codes, "element").groupBy("key").agg(F.sort_array(F.collect_list("code")).alias("codes")))
-    size = F.size("codes")
-    prefix = size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1
-    placed = coded.select("key", "codes", F.explode(F.slice("codes", F.lit(1), prefix)).alias("code"))
-    near = dealt(placed, ["code"], "key", block).select("code", "x", "y", "own", "key", "codes").mapInArrow(_set_pairs(threshold), "a long, b long, similarity double")
+    coded = checkpoint(flat.join(codes, "element").groupBy("key", "size").agg(F.sort_array(F.collect_list("code")).alias("codes")))
+    prefix = F.size("codes") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int") + 1  # less what is the set's alone
+    placed = coded.where(prefix > 0).select("key", "size", "codes", F.explode(F.slice("codes", F.lit(1), prefix)).alias("code"))
+    near = dealt(placed, ["code"], "key", block).select("code", "x", "y", "own", "key", "size", "codes").mapInArrow(_set_pairs(threshold), "a long, b long, similarity double")
     equal = classed.join(firsts.select("same", F.col("key").alias("a")), "same").where("a < key").select("a", F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
     return near.unionByName(equal)
 

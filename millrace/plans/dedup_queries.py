@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import urls
+from millrace.functions.text import let
 from millrace.operators import dedup, similarity
 from millrace.plans.core import query
 from millrace.session import written
@@ -60,7 +61,7 @@ SELECT a.conv_id, a.turn, max(round(len(list_intersect(a.g, b.g)) / greatest(len
 def question_loops(spark, sf):
     """Greatest bigram Jaccard with an earlier question of the conversation."""
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    grams = F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+    grams = F.array_distinct(let(w, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))))
     u = load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", grams.alias("g"))
     b = u.select("conv_id", F.col("turn").alias("t"), F.col("g").alias("h"))
     near = F.size(F.array_intersect("g", "h")) / F.greatest(F.size(F.array_union("g", "h")), F.lit(1))
@@ -108,8 +109,8 @@ def question_repeats(spark, sf):
     tail = F.when(F.col("turn") % 2 == 0, " why not").otherwise("")
     u = u.unionByName(u.select("conv_id", (F.col("turn") + 1_000_000).alias("turn"), F.concat("text", tail).alias("text")))
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    pair = lambda x, i: F.concat(F.col("conv_id").cast("string"), F.lit("|"), x, F.lit("_"), F.get(w, i + 1))
-    grams = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), pair)
+    pair = lambda w: lambda x, i: F.concat(F.col("conv_id").cast("string"), F.lit("|"), x, F.lit("_"), F.get(w, i + 1))
+    grams = let(w, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), pair(w)))
     rows = u.select((F.col("conv_id") * 10_000_000 + F.col("turn")).alias("id"), grams.alias("g"))
     found = similarity.jaccard_pairs(rows, "id", "g", 0.6, lambda d: written(d, "repeats"))
     return found.withColumn("similarity", F.round("similarity", 6))
@@ -127,9 +128,8 @@ def similar_texts(spark, sf):
     turns = load(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     rows = twice.unionByName(turns.select((F.col("conv_id") * 10_000_000 + F.col("turn") + 1_000_000).alias("id"), "text"))
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    rows = rows.select("id", w.alias("w"))
-    triple = lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1), F.lit(" "), F.get("w", i + 2))
-    rows = rows.select("id", F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), triple).alias("g"))
+    triple = lambda w: lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1), F.lit(" "), F.get(w, i + 2))
+    rows = rows.select("id", let(w, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), triple(w))).alias("g"))
     found = similarity.jaccard_pairs(rows, "id", "g", 0.75, lambda d: written(d, "similar"))
     return found.withColumn("similarity", F.round("similarity", 6))
 

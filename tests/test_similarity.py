@@ -42,6 +42,16 @@ def test_jaccard_pairs(spark, threshold, block):
     assert similarity.jaccard_pairs(df.limit(0), "id", "s", threshold, keep).count() == 0
 
 
+def test_elements_of_one_set_alone_do_not_travel(spark):
+    rows = [(k, [f"own{k}-{i}" for i in range(30)]) for k in range(50)] + [(100, [*"abcdefgh"]), (101, [*"abcdefg", "mine"])]
+    seen = []
+    keep_all = lambda d: (seen.append(keep(d)), seen[-1])[1]
+    got = similarity.jaccard_pairs(spark.createDataFrame(rows, "id long, s array<string>"), "id", "s", 0.75, keep_all).collect()
+    assert [(r.a, r.b, round(r.similarity, 6)) for r in got] == [(100, 101, round(7 / 9, 6))]
+    coded = next(d for d in seen if "codes" in d.columns)
+    assert coded.select(F.sum(F.size("codes"))).first()[0] == 14
+
+
 def brute_hashes(rows, distance):
     seen, firsts, out = {}, [], []
     for k, b in sorted(rows):
