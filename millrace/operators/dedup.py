@@ -2,27 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
 from millrace.operators import similarity
 from millrace.session import written
 
 
+#: Features that are hashed and counted at once.
+PIECE = 50_000
+
+
 def features(text: Column) -> Column:
     """Words and word pairs, with repeats."""
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    return F.concat(w, F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+    pairs = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
+    return let(w, lambda w: F.concat(w, pairs(w)))
+
+
+def pieces(lists: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of lists that hold ``most`` elements together, or are a single list."""
+    ends, lo = lists.offsets.to_numpy()[1:], 0
+    while lo < len(lists):
+        hi = max(int(np.searchsorted(ends, lists.offsets[lo].as_py() + most, side="right")), lo + 1)
+        yield lo, hi
+        lo = hi
+
+
+def _simhashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in pieces(batch.column(1), PIECE):
+            part = batch.slice(lo, hi - lo)
+            said, ends = part.column(1).flatten().to_pylist(), np.cumsum([0, *pc.list_value_length(part.column(1)).to_pylist()])
+            heads = {f: hashlib.md5(f.encode(), usedforsecurity=False).digest()[:8] for f in set(said)}
+            bits = np.unpackbits(np.frombuffer(b"".join(map(heads.__getitem__, said)), np.uint8).reshape(-1, 8), axis=1)
+            votes = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(bits, axis=0, dtype=np.int64)))
+            most = 2 * (votes[ends[1:]] - votes[ends[:-1]]) > np.diff(ends)[:, None]
+            raw = (most + np.uint8(48)).astype(np.uint8).tobytes().decode()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[k : k + 64] for k in range(0, len(raw), 64)], pa.string())], ["key", "simhash"])
 
 
 def simhash(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key and a string of 64 bits: bit i is set if more features than not have it in the first 8 bytes of their md5."""
-    f = rows.select(key, F.explode_outer(features(F.col(text))).alias("f")).groupBy(key, "f").agg(F.count("*").alias("k"))
-    halves = [F.conv(F.substring(F.md5("f"), 1 + 8 * h, 8), 16, 10).cast("long").alias(f"h{h}") for h in range(2)]
-    votes = f.select(key, "k", *halves)
-    sums = [F.sum(F.when(F.getbit(f"h{i // 32}", F.lit(31 - i % 32)) == 1, F.col("k")).otherwise(-F.col("k"))).alias(f"v{i}") for i in range(64)]
-    bits = F.concat(*[F.when(F.col(f"v{i}") > 0, "1").otherwise("0") for i in range(64)])
-    return votes.groupBy(key).agg(*sums).select(key, bits.alias("simhash"))
+    """key and a string of 64 bits: bit i is set if more features than not have it in the first 8 bytes of their md5.
+
+    Rows of one key count together.  They meet in one shuffle, before anything is gathered; no task holds votes but for a few texts.
+    """
+    said = rows.select(F.col(key).alias("key"), text).repartition("key").groupBy("key").agg(F.flatten(F.collect_list(features(F.col(text)))).alias("said"))
+    kind = rows.schema[key].dataType.simpleString()
+    return said.mapInArrow(_simhashes, f"key {kind}, simhash string").withColumnRenamed("key", key)
 
 
 def hamming(a: Column, b: Column) -> Column:

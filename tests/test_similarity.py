@@ -1,5 +1,6 @@
 """Similarity joins against brute force: ties, copies, empty sets, one hot element, one hot block of bits."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import dedup, similarity
+from millrace.plans.registry import QUERIES
 from millrace.session import written
 
 RNG = np.random.default_rng(21)
@@ -125,3 +127,24 @@ def test_known_texts_stand_before_items_of_any_key(spark):
     items = [(-20, "what is a green bond"), (-3, "when does the law apply to small firms in the union"), (0, "when does the law apply to small firms in the union"), (4, "quite another question here"), (7, None)]
     got = dedup.preloaded(spark.createDataFrame(items, "id long, t string"), known, "id", "t", keep)
     assert {r.id: r.kept for r in got.collect()} == {-20: False, -3: True, 0: False, 4: True, 7: True}
+
+
+def test_simhash_counts_a_keys_rows_together_and_equal_titles_once(spark, tmp_path):
+    def bits(texts):
+        w = [t.lower().split() for t in texts if t]
+        said = [f for x in w for f in [*x, *(f"{a} {b}" for a, b in itertools.pairwise(x))]]
+        heads = [int(hashlib.md5(f.encode()).hexdigest()[:16], 16) for f in said]
+        return "".join("1" if 2 * sum(h >> (63 - i) & 1 for h in heads) > len(heads) else "0" for i in range(64))
+
+    rows = [(1, "a b"), (1, None), (2, None), (3, ""), (4, "One two  one"), (4, "two"), (5, "ż ż\tx " * 40)]
+    got = {r.k: r.simhash for r in dedup.simhash(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    assert got == {k: bits([t for i, t in rows if i == k]) for k in range(1, 6)}
+    parts = [(k, ["old ring", "new bolt"][k % 2], f"Brand#{k % 3}") for k in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["title_neighbours"](spark, str(tmp_path)).collect()
+    classes = {}
+    for k, name, brand in parts:
+        for i, t in enumerate((name, name.upper().replace(" ", "  "), f"{name} {name} {brand} more")):
+            classes.setdefault(bits([t]), []).append(3 * k + i)
+    want = {(min(x), min(y), f, len(x), len(y)) for a, x in classes.items() for b, y in classes.items() if min(x) < min(y) and (f := sum(c != d for c, d in zip(a, b, strict=True))) <= 3}
+    assert {(r.a, r.b, r.distance, r.n_a, r.n_b) for r in found} == want and len(found) == len(want)
