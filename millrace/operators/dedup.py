@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,17 +77,19 @@ def simhash_pairs(hashes: DataFrame, key: str, distance: int = 3, checkpoint=lam
 def shingles(text: Column) -> Column:
     """Distinct word trigrams; pairs for two words; the text for one; a mark for none."""
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    n = F.when(F.size(w) >= 3, 3).when(F.size(w) == 2, 2).otherwise(1)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
-    return F.when(F.size(w) == 0, F.array(F.lit("_empty_"))).otherwise(grams)
+    n = lambda w: F.when(F.size(w) >= 3, 3).when(F.size(w) == 2, 2).otherwise(1)
+    return let(w, lambda w: F.when(F.size(w) == 0, F.array(F.lit("_empty_"))).otherwise(_grams(w, n(w), " ")))
+
+
+def _grams(w: Column, n: Column, between: str) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), between)))
 
 
 def question_shingles(text: Column) -> Column:
     """The shingles of the reference's filter: joined by ``_``, a single word as it stands in the text."""
     w = F.filter(F.split(F.lower(text), r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"), lambda x: x != "")
-    n = F.when(F.size(w) >= 3, 3).otherwise(2)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), "_")))
-    return F.when(F.size(w) == 0, F.array(F.lit("_empty_"))).when(F.size(w) == 1, F.array(F.lower(text))).otherwise(grams)
+    n = lambda w: F.when(F.size(w) >= 3, 3).otherwise(2)
+    return let(w, lambda w: F.when(F.size(w) == 0, F.array(F.lit("_empty_"))).when(F.size(w) == 1, F.array(F.lower(text))).otherwise(_grams(w, n(w), "_")))
 
 
 def minhash(text: Column, permutations: int = 128, cut=shingles) -> Column:
@@ -94,10 +97,94 @@ def minhash(text: Column, permutations: int = 128, cut=shingles) -> Column:
     return F.transform(F.array(cut(text)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.array_min(F.transform(s, lambda x: F.md5(F.concat(p.cast("string"), F.lit("|"), x))))))[0]
 
 
+# MD5 (RFC 1321): rotations and constants of its 64 steps.
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Messages of so many bytes are one block; so many are hashed at once.
+ONE_BLOCK, AT_ONCE = 55, 8192
+
+
+def md5_heads(first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """First 8 bytes, as big-endian numbers, of the MD5 of messages of one padded block: their first words, and rows 0 to 15 with all others."""
+    a, b, c, d = (np.full(len(first), v, np.uint32) for v in _START)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += words[g] if g else first
+        f += np.uint32(_SINES[i])
+        turned = f << np.uint32(_TURNS[i])
+        f >>= np.uint32(32 - _TURNS[i])
+        turned |= f
+        turned += b
+        a, b, c, d = d, turned, b, c
+    head = np.stack((a + np.uint32(_START[0]), b + np.uint32(_START[1])), axis=1)
+    return head.astype("<u4", copy=False).view(">u8")[:, 0].astype(np.uint64)
+
+
+def seeded_minima(said: list[bytes], starts: np.ndarray, permutations: int) -> np.ndarray:
+    """For each run of strings (from one start to the next) and seed the least of the first 8 bytes of the MD5s of ``seed|string``."""
+    out = np.empty((permutations, len(starts)), np.uint64)
+    size = np.fromiter(map(len, said), np.int64, len(said))
+    for digits in range(1, len(str(permutations - 1)) + 1):
+        head = digits + 1
+        short = np.flatnonzero(size + head <= ONE_BLOCK)
+        raw = np.zeros((len(short), 64), np.uint8)
+        flat = np.frombuffer(b"".join(said[k] for k in short.tolist()), np.uint8)
+        row = np.repeat(np.arange(len(short)), size[short])
+        raw[row, head + np.arange(len(flat)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])] = flat
+        raw[np.arange(len(short)), head + size[short]] = 128
+        raw[:, 56:58] = (8 * (head + size[short])).astype("<u2").view(np.uint8).reshape(-1, 2)
+        words = np.ascontiguousarray(raw.view("<u4").T)
+        long = [(k, said[k]) for k in np.flatnonzero(size + head > ONE_BLOCK).tolist()]
+        found = np.empty(len(said), np.uint64)
+        for seed in range(10 ** (digits - 1) if digits > 1 else 0, min(10**digits, permutations)):
+            prefix = f"{seed}|".encode()
+            first = words[0] | np.uint32(int.from_bytes(prefix, "little"))  # up to four bytes: seeds have three digits at most
+            for lo in range(0, len(short), AT_ONCE):
+                found[short[lo : lo + AT_ONCE]] = md5_heads(first[lo : lo + AT_ONCE], words[:, lo : lo + AT_ONCE])
+            for k, s in long:
+                found[k] = int.from_bytes(hashlib.md5(prefix + s, usedforsecurity=False).digest()[:8])
+            out[seed] = np.minimum.reduceat(found, starts)
+    return out.T
+
+
+def _signatures(permutations: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in pieces(batch.column(1), PIECE):
+                part = batch.slice(lo, hi - lo)
+                starts = np.cumsum([0, *pc.list_value_length(part.column(1)).to_pylist()])[:-1]
+                least = seeded_minima(part.column(1).flatten().cast(pa.binary()).to_pylist(), starts, permutations).view(np.int64)
+                ends = pa.array(np.arange(len(least) + 1) * permutations, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(least.ravel()))], ["t", "signature"])
+
+    return run
+
+
+def signed(items: DataFrame, key: str, text: str, checkpoint, permutations: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(key, t) of all items, and (t, signature, same) of their unlike texts, each of which is signed once; null texts count as empty.
+
+    Signatures hold the first 8 bytes of the least md5 of ``seed|shingle`` for each seed, ``same`` is equal for equal ones.
+    """
+    said = checkpoint(items.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")))
+    texts = said.select("t").distinct()
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not fewer for few bytes: the work is in the hashes
+    cut = texts.repartition(parts, F.xxhash64("t")).select("t", question_shingles(F.col("t")).alias("said"))
+    return said, checkpoint(cut.mapInArrow(_signatures(permutations), "t string, signature array<long>").withColumn("same", F.md5(F.concat_ws("|", F.col("signature").cast("array<string>")))))
+
+
 def minhash_pairs(signatures: DataFrame, key: str, bands: int = 16, rows: int = 8, threshold: float = 0.85) -> DataFrame:
     """Pairs (a, b, similarity) that share a band and agree in at least ``threshold`` of the signature."""
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("no"), F.md5(F.concat_ws("|", F.slice("signature", i * rows + 1, rows))).alias("band"))))
-    keyed = signatures.select(key, band.alias("x")).select(key, "x.no", "x.band")
+    band = F.posexplode(F.array(*[F.md5(F.concat_ws("|", F.slice("signature", i * rows + 1, rows).cast("array<string>"))) for i in range(bands)]))
+    keyed = signatures.select(key, band.alias("no", "band"))
     found = keyed.select(F.col(key).alias("a"), "no", "band").join(keyed.select(F.col(key).alias("b"), "no", "band"), ["no", "band"]).where("a < b").select("a", "b").distinct()
     sig = lambda end: signatures.select(F.col(key).alias(end), F.col("signature").alias("s" + end))
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) / F.size("sa")
@@ -118,17 +205,25 @@ def greedy_keep(items: DataFrame, key: str, pairs: DataFrame, checkpoint) -> Dat
     return state
 
 
+def _firsts(items: DataFrame, key: str, text: str, checkpoint) -> tuple[DataFrame, DataFrame]:
+    """(key, first) of all items, and (key, signature) of the first item of each signature."""
+    rows, texts = signed(items, key, text, checkpoint)
+    seen = rows.groupBy("t").agg(F.min(key).alias("k")).join(texts, "t")
+    firsts = checkpoint(seen.groupBy("same").agg(F.min("k").alias("first")))
+    named = checkpoint(texts.select("t", "same").join(firsts, "same").select("t", "first"))
+    single = seen.join(firsts, "same").where(F.col("k") == F.col("first")).select(F.col("k").alias(key), "signature")
+    return rows.join(named, "t").select(key, "first"), checkpoint(single)
+
+
 def near_duplicates(items: DataFrame, key: str, text: str, checkpoint, threshold: float = 0.85) -> DataFrame:
     """key and kept of every item, in the order of ``key``: dropped if an earlier, kept item shares a band and is similar enough.
 
     Equal signatures share one decision, on the earliest; so copies make no pairs.  Null texts count as empty.
     """
-    signed = checkpoint(items.select(key, minhash(F.coalesce(F.col(text), F.lit("")), cut=question_shingles).alias("signature")).withColumn("same", F.md5(F.concat_ws("|", "signature"))))
-    firsts = signed.groupBy("same").agg(F.min(key).alias(key))
-    single = checkpoint(firsts.join(signed.select(key, "signature"), key).select(key, "signature", "same"))
-    kept = greedy_keep(single, key, minhash_pairs(single, key, threshold=threshold), checkpoint)
-    first = single.join(kept, key).select("same", F.col(key).alias("first"), "kept")
-    return signed.select(key, "same").join(first, "same").select(key, (F.col("kept") & (F.col(key) == F.col("first"))).alias("kept"))
+    rows, single = _firsts(items, key, text, checkpoint)
+    kept = greedy_keep(single, key, checkpoint(minhash_pairs(single, key, threshold=threshold)), checkpoint)
+    first = kept.select(F.col(key).alias("first"), "kept")
+    return rows.join(first, "first").select(key, (F.col("kept") & (F.col(key) == F.col("first"))).alias("kept"))
 
 
 def preloaded(items: DataFrame, known: DataFrame, key: str, text: str, checkpoint, threshold: float = 0.85) -> DataFrame:
@@ -141,9 +236,7 @@ def preloaded(items: DataFrame, known: DataFrame, key: str, text: str, checkpoin
     border = min(mine.agg(F.min(key)).first()[0] or 0, 0)
     low = first.agg(F.max(key)).first()[0] or 0
     both = first.select((F.col(key) - low - 1 + border).alias(key), text).unionByName(mine)
-    signature = minhash(F.coalesce(F.col(text), F.lit("")), cut=question_shingles).alias("signature")
-    signed = checkpoint(both.select(key, signature).withColumn("same", F.md5(F.concat_ws("|", "signature"))))
-    single = checkpoint(signed.groupBy("same").agg(F.min(key).alias(key)).join(signed.select(key, "signature"), key).select(key, "signature", "same"))
+    _, single = _firsts(both, key, text, checkpoint)
     pairs = checkpoint(minhash_pairs(single, key, threshold=threshold))
     hit = pairs.where((F.col("a") < border) & (F.col("b") >= border)).select(F.col("b").alias(key)).distinct()
     open_ = single.where(F.col(key) >= border).join(hit, key, "left_anti")

@@ -148,3 +148,14 @@ def test_simhash_counts_a_keys_rows_together_and_equal_titles_once(spark, tmp_pa
             classes.setdefault(bits([t]), []).append(3 * k + i)
     want = {(min(x), min(y), f, len(x), len(y)) for a, x in classes.items() for b, y in classes.items() if min(x) < min(y) and (f := sum(c != d for c, d in zip(a, b, strict=True))) <= 3}
     assert {(r.a, r.b, r.distance, r.n_a, r.n_b) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("permutations", [1, 10, 128])
+def test_signatures_are_the_least_md5s_of_unlike_texts(spark, permutations):
+    texts = ["", None, "One", "a b", "a b c d", "é " * 50 + "x", "w" * 49 + " b c", "w" * 60 + " b c", "a b c d", "w" * 48 + " b c", "w" * 50 + " b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    said, signed = dedup.signed(rows, "id", "t", keep, permutations)
+    cut = {r.t: r.s for r in said.select("t", dedup.question_shingles(F.col("t")).alias("s")).collect()}
+    got = {r.t: [x % 2**64 for x in r.signature] for r in signed.collect()}
+    assert signed.count() == len(got) == len({t or "" for t in texts}) and said.count() == len(texts)
+    assert got == {t: [min(int(hashlib.md5(f"{p}|{x}".encode()).hexdigest()[:16], 16) for x in s) for p in range(permutations)] for t, s in cut.items()}
