@@ -107,3 +107,12 @@ def test_revision(spark, revised, ok):
     assert spark.range(1).select(generation.is_revision(F.lit(revised), F.lit(original)).alias("x")).first().x == ok
     got = generation.constitutional_revision(row, lambda a: F.lit("c"), lambda a, c: F.lit(revised)).first()
     assert (got.rejected is not None) == (revised is not None and len(revised) >= 20)
+
+
+def test_files_are_parsed_some_at_a_time_and_one_without_content_fails_alone(spark):
+    rows = spark.createDataFrame([("a", "html", b"<p>x</p>"), ("b", "html", None), ("c", None, b"y"), ("d", "own", b"z")], "path string, format string, content binary")
+    parsed = parsers.parse(rows, {"own": lambda raw: str(type(raw) is bytes)})
+    got = {r.path: (r.text, r.error) for r in parsed.collect()}
+    assert got.pop("b")[1].startswith("TypeError") and got == {"a": ("x", None), "c": ("y", None), "d": ("True", None)}
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "MapInPandas" not in plan  # a hundred rows travel together, whatever a task holds
