@@ -34,3 +34,8 @@ def test_same_rows(spark, duck, name):
     assert sorted(r.columns) == columns
     at = [r.columns.index(c) for c in columns]
     assert sorted(tuple(norm(x[c]) for c in columns) for x in df.collect()) == sorted(tuple(norm(x[i]) for i in at) for x in r.fetchall())
+
+
+def test_lines_of_orders_are_dealt_out_before_they_are_sorted(spark):
+    plan = QUERIES["node_merge"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_COL" in plan.split("partial_max_by", 1)[1].split("FileScan")[0]
