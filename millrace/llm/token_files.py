@@ -7,7 +7,8 @@ serves, and a lost executor only means that its ranges are encoded again.  A par
 one number per part.
 
 White-space separated pieces of a text are encoded independently by this tokenizer (its pattern drops white space and its
-merges never cross it), so each piece's ids are remembered; the library encodes the pieces that are not.
+merges never cross it), and so are a stem and its final punctuation.  Texts are split in Arrow, up to ``block_bytes`` of them at
+once; ids of the different stems and endings are remembered, and the library encodes those that are not.
 
 Defined cases: null and empty texts give the end id alone; null doc_ids come first; rows that repeat a doc_id are
 ordered by text and each get their own place; other columns are ignored.
@@ -15,11 +16,13 @@ ordered by text and each get their own place; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,18 +33,24 @@ from millrace.llm.wavelet import WaveletFile, encode
 END_ID, SHARD_TOKENS = 1, 1 << 20
 
 
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that lowering keeps single letters and that no normal form takes apart or joins with ASCII punctuation.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces in one call of the library, whose answer takes some hundred bytes an id.
+_AT_ONCE = 1 << 14
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: How byte-level tokenizers name the bytes that are no printable Latin-1 characters.
+_BYTE_NAMES = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 324), strict=True))
 
 
-def tail(piece: bytes) -> tuple[bytes, bytes] | None:
-    """A piece's stem and final ASCII punctuation, where an ASCII letter stands before it: the tokenizer's pattern always cuts there.
+def stem_lengths(pieces: pa.Array) -> np.ndarray:
+    """Bytes of each piece before its final ASCII punctuation where a Latin letter stands before it: the tokenizer's pattern always cuts there.
 
-    Other letters are left to the library: lowering may end them in a mark, which is no letter.
+    Elsewhere all bytes of the piece. Other letters are left to the library: lowering may end them in a mark, which is no letter.
     """
-    stem = piece.rstrip(_PUNCTUATION)
-    if not stem or len(stem) == len(piece) or b"<|" in piece or stem[-1] > 127 or not stem[-1:].isalpha():
-        return None
-    return stem, piece[len(stem) :]
+    stems = pc.ascii_rtrim(pieces, _PUNCTUATION)
+    cut = pc.and_not(pc.match_substring_regex(stems, f"[{_LETTERS}]$"), pc.match_substring(pieces, "<|"))
+    return pc.if_else(cut, pc.binary_length(stems), pc.binary_length(pieces)).to_numpy(zero_copy_only=False)
 
 
 class PieceIds:
@@ -51,31 +60,63 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.plain = Tokenizer(self.tokenizer.model)  # without normaliser and pattern
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.limit, self.memory, self.passing = limit, {}, ()
+        self.limit, self.memory, self.passing = limit, {b"": b""}, ()
 
-    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces through one call of the library."""
-        e = self.tokenizer.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
+    def _learn(self, tokenizer, pieces: list[bytes], words: list[str]) -> None:
+        e = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids, owners = np.array(e.ids, self.dtype), np.array(e.word_ids, np.int64)
         cuts = (np.searchsorted(owners, np.arange(len(pieces) + 1)) * self.dtype.itemsize).tolist()
         raw = ids.tobytes()
-        return {p: raw[cuts[i] : cuts[i + 1]] for i, p in enumerate(pieces)}
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        # the tokenizer lowers all letters itself; strings like its special tokens are left as they are
-        pieces = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        self.memory.update(zip(pieces, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+
+    def learn(self, pieces: Iterable[bytes]) -> None:
+        """Remember the ids of pieces by two kinds of calls of the library: words of small Latin letters go to its merges at once, for
+        normaliser and pattern leave them as they are; the others go through the whole of it."""
+        plain, words, rest = [], [], []
+        for piece in pieces:
+            word = piece.decode()
+            if _PLAIN.fullmatch(word):
+                plain.append(piece)
+                words.append(word if len(word) == len(piece) else piece.decode("latin-1").translate(_BYTE_NAMES))
+            else:
+                rest.append(piece)
+        for tokenizer, names, texts in ((self.plain, plain, words), (self.tokenizer, rest, [p.decode() for p in rest])):
+            for k in range(0, len(names), _AT_ONCE):
+                self._learn(tokenizer, names[k : k + _AT_ONCE], texts[k : k + _AT_ONCE])
+
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces, one after the other, and where each piece's end."""
+        names, stems = text_bytes(pieces), stem_lengths(pieces).tolist()
+        parts = [x for p, n in zip(names, stems, strict=True) for x in (p[:n], p[n:])]  # stem and punctuation, in turn
         known = self.memory
-        for piece in self.passing:  # of the last call: the memory was full
-            del known[piece]
-        missing = set().union(*pieces).difference(known)
-        cut = {p: t for p in missing if (t := tail(p))}
-        parts = (missing - cut.keys()).union(*cut.values()).difference(known)
-        if parts:
-            known.update(self.learn(list(parts)))
-        known.update({p: known[a] + known[b] for p, (a, b) in cut.items()})
-        self.passing = parts.union(missing) if len(known) > self.limit else ()
-        return [np.frombuffer(b"".join(map(known.__getitem__, ps)), self.dtype) for ps in pieces]
+        for part in self.passing:  # of the last call: the memory was full
+            del known[part]
+        self.passing = ()
+        missing = set(parts).difference(known)
+        self.learn(missing)
+        found = list(map(known.__getitem__, parts))
+        self.passing = missing if len(known) > self.limit else ()
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize)[1::2]
+        return np.frombuffer(b"".join(found), self.dtype), ends
+
+    def encode(self, texts: pa.Array | list[bytes | None]) -> list[np.ndarray]:
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        # the tokenizer lowers all letters itself; strings like its special tokens are left as they are
+        pieces = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        offsets, different = pieces.offsets.to_numpy(), pieces.flatten().dictionary_encode()
+        del pieces
+        table, ends = self._ids(different.dictionary)
+        starts = np.concatenate(([0], ends))[:-1]
+        codes = different.indices.to_numpy()
+        counts = (ends - starts)[codes]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        place = np.int32 if max(upto[-1], len(table)) < 1 << 31 else np.int64
+        at = np.repeat((starts[codes] - upto[:-1]).astype(place), counts)
+        at += np.arange(upto[-1], dtype=place)
+        ids = table.take(at)
+        return np.split(ids, upto[offsets[1:-1] - offsets[0]]) if len(texts) else []
 
 
 def _write(tokenizer_path: str, end_id: int, shard_tokens: int, block_bytes: int):
@@ -91,13 +132,12 @@ def _write(tokenizer_path: str, end_id: int, shard_tokens: int, block_bytes: int
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((part, pa.int32()), (shard, pa.int32()), (first, pa.int64()), (int(ends[-1]), pa.int64()), (ids, pa.list_(pa.int64())), (image, pa.binary()))], ["part", "shard", "first", "n_ids", "doc_ids", "image"])
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            texts = texts if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else texts.cast(pa.string())
+            upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)
             at = 0
             while at < len(texts):
-                stop, total = at, 0
-                while stop < len(texts) and (stop == at or total < block_bytes):
-                    total += len(texts[stop] or b"")
-                    stop += 1
+                stop = 1 + max(at, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + block_bytes, side="right")) - 1)
                 for name, got in zip(names[at:stop], pieces.encode(texts[at:stop]), strict=True):
                     held.append(np.concatenate((got, end)))
                     ids.append(name)
@@ -115,7 +155,7 @@ def _write(tokenizer_path: str, end_id: int, shard_tokens: int, block_bytes: int
 _FILES = "part int, shard int, first long, n_ids long, doc_ids array<long>, image binary"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, parts: int | None = None, block_bytes: int = 1 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, parts: int | None = None, block_bytes: int = 1 << 24) -> DataFrame:
     """The table of shard files of ``docs`` (doc_id, text), written to the shared folder."""
     docs = require_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = parts or max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

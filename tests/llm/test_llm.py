@@ -317,6 +317,26 @@ def test_ids_of_odd_letters_equal_the_library():
     assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_full_memory_learns_each_stem_once_and_plain_words_by_the_merges_alone():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(vocabulary_path(TOKENIZER)), token_files.PieceIds(vocabulary_path(TOKENIZER), limit=3)
+    letters = [*"abcdeßàéîöøüýÿÀÉÖØÞ"]
+    stems = ["".join(np.random.default_rng(k).choice(letters, 1 + k % 9)) for k in range(400)]
+    texts = [" ".join(s + e for e in ("", ".", ",%%%", "'")) for s in stems] + ["\t the  end.\n", "", "µª÷é. x×y º!"]
+    want, learned = [tok.encode(t, add_special_tokens=False).ids for t in texts], []
+
+    def learn(tokenizer, pieces, words, body=own._learn):
+        learned.append((tokenizer is own.plain, pieces))
+        body(tokenizer, pieces, words)
+
+    own._learn = learn
+    assert [x.tolist() for x in own.encode(texts)[:-1] + own.encode(texts)[-1:]] == want
+    assert len(learned) == 4 and all(len(set(p)) == len(p) for _, p in learned) and not any(p[:1].isalpha() and p.endswith(b".") for p in own.memory)
+    assert {s.encode() for s in stems if re.fullmatch("[a-zß-öø-ÿ]+", s)} <= set(learned[0][1]) and learned[0][0] and len(own.memory) > 3
+    assert own.encode([None])[0].tolist() == [] and list(own.memory) == [b""]
+
+
 def test_minhash_equals_brute_force(docs):
     def shingles(t):
         w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
